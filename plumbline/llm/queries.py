@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm.exact_dedup import exact_duplicates
 from plumbline.llm.language_id import fit_centroids, held_out, predict_languages
 from plumbline.llm.mixing import mix
+from plumbline.llm.pii import find_personal_data
+from plumbline.llm.quality_crf import fit_quality, score_quality
 from plumbline.llm.substring_dedup import remove_repeated_passages
 
 
@@ -31,6 +33,15 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(documents(spark, sf_dir))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return score_quality(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "repeats")
 
@@ -39,6 +50,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_language_id": op3_language_id,
+    "op5_pii": op5_pii,
+    "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
 }
 
