@@ -11,6 +11,7 @@ from plumbline.llm.language_id import fit_centroids, held_out, predict_languages
 from plumbline.llm.mixing import mix
 from plumbline.llm.pii import find_personal_data
 from plumbline.llm.quality_crf import fit_quality, score_quality
+from plumbline.llm.sentencepiece_bpe import encoding_digest
 from plumbline.llm.substring_dedup import remove_repeated_passages
 
 
@@ -33,6 +34,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digest(documents(spark, sf_dir))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(documents(spark, sf_dir))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_language_id": op3_language_id,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_pii": op5_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
