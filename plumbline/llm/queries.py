@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm.exact_dedup import exact_duplicates
 from plumbline.llm.language_id import fit_centroids, held_out, predict_languages
 from plumbline.llm.mixing import mix
+from plumbline.llm.packing import packing_digest
 from plumbline.llm.pii import find_personal_data
 from plumbline.llm.quality_crf import fit_quality, score_quality
 from plumbline.llm.sentencepiece_bpe import encoding_digest
 from plumbline.llm.substring_dedup import remove_repeated_passages
+from plumbline.llm.token_counts import count_tokens, flat_token_blocks
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +44,14 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(documents(spark, sf_dir))
 
 
+def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_digest(documents(spark, sf_dir))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(flat_token_blocks(documents(spark, sf_dir))).select("doc_id", "n_tokens")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return score_quality(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -57,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_pii": op5_pii,
+    "op7_token_packing": op7_token_packing,
+    "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
 }
