@@ -1,9 +1,11 @@
 """Column expressions that several corpus operators share."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key is hot if it has at least this share of all rows, so there are at most 1/share hot keys.
+HOT_SHARE = 0.001
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -20,3 +22,22 @@ def ascii_lower(text: Column) -> Column:
 def word_count(text: str = "text") -> Column:
     """Number of words of a text as a long; 0 for null."""
     return F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
+
+
+def join_weighted(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Left join of ``rows`` (with doc_id) to ``table``, one row per key, whose ``weight`` is the number of rows of a key.
+
+    The hot keys, 1/HOT_SHARE at most, are broadcast. Rows that they match get a last key for the
+    shuffle join that matches nothing and spreads them, so no partition holds a hot key. The last
+    key is a digest in text form, which no number is.
+    """
+    *firsts, last = keys
+    values = [c for c in table.columns if c not in keys]
+    hot = table.where(F.col(weight) >= F.lit(total * HOT_SHARE)).select(*keys, *(F.col(c).alias(f"__hot_{c}") for c in values))
+    rest = table.where(F.col(weight) < F.lit(total * HOT_SHARE)).select(*(F.col(c).alias(f"__rest_{c}") for c in table.columns))
+    found = rows.join(F.broadcast(hot), keys, "left")
+    spread = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    found = found.withColumn("__spread", F.when(F.col(f"__hot_{weight}").isNull(), F.col(last)).otherwise(spread))
+    on = [F.col("__spread") == F.col(f"__rest_{last}"), *(F.col(k) == F.col(f"__rest_{k}") for k in firsts)]
+    found = found.join(rest, on, "left").withColumns({c: F.coalesce(f"__hot_{c}", f"__rest_{c}") for c in values})
+    return found.select(*rows.columns, *values)

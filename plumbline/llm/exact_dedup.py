@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.llm.columns import ascii_lower, text_or_empty
+from plumbline.llm.columns import ascii_lower, join_weighted, text_or_empty
 
 _H, _S, _T, _N = "__ed_hash", "__ed_sha", "__ed_text", "__ed_count"
 _KEEP, _TEXTS = "__ed_keep", "__ed_texts"
-#: A group is hot if it holds at least this share of all rows, so there are at most 1/share hot groups.
-HOT_SHARE = 0.001
 
 
 def _hash128(text: Column) -> Column:
@@ -36,21 +34,7 @@ def duplicate_groups(docs: DataFrame, *, normalise=ascii_lower, hash128=_hash128
     by_text = rows.groupBy(_H, _S, _T).agg(pick("doc_id").alias(_KEEP), F.count(F.lit(1)).alias(_N))
     groups = by_text.groupBy(_H, _S).agg(F.max(_KEEP).alias(_KEEP), F.max(_N).alias(_N), F.count(F.lit(1)).alias(_TEXTS))
     clash = F.raise_error(F.lit("different texts share a 128-bit hash and a SHA-256")).cast("long")
-    return groups.where((F.col(_N) > 1) | (F.col(_TEXTS) > 1)).withColumn(_N, F.when(F.col(_TEXTS) > 1, clash).otherwise(F.col(_N)))
-
-
-def _with_groups(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
-    """``rows`` with the id that stays and the size of their group, null where a text is single.
-
-    The hot groups, 1/HOT_SHARE at most, are broadcast. Rows that they match get a key for the
-    shuffle join that matches nothing and spreads them, so no partition holds a hot group.
-    """
-    hot = groups.where(F.col(_N) >= F.lit(total * HOT_SHARE)).select(_H, _S, F.col(_KEEP).alias("__ed_hot_keep"), F.col(_N).alias("__ed_hot_count"))
-    rest = groups.where(F.col(_N) < F.lit(total * HOT_SHARE)).select(F.col(_H).alias("__ed_rest_hash"), F.col(_S).alias("__ed_key"), _KEEP, _N)
-    found = rows.join(F.broadcast(hot), [_H, _S], "left")
-    key = F.when(F.col("__ed_hot_count").isNull(), F.col(_S)).otherwise(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    found = found.withColumn("__ed_own", key).join(rest, (F.col("__ed_own") == F.col("__ed_key")) & (F.col(_H) == F.col("__ed_rest_hash")), "left")
-    return found.withColumns({_KEEP: F.coalesce("__ed_hot_keep", _KEEP), _N: F.coalesce("__ed_hot_count", _N)})
+    return groups.where((F.col(_N) > 1) | (F.col(_TEXTS) > 1)).select(_H, _S, _KEEP, F.when(F.col(_TEXTS) > 1, clash).otherwise(F.col(_N)).alias(_N))
 
 
 def exact_duplicates(docs: DataFrame, *, normalise=ascii_lower, hash128=_hash128, keep: str = "max") -> DataFrame:
@@ -65,7 +49,7 @@ def exact_duplicates(docs: DataFrame, *, normalise=ascii_lower, hash128=_hash128
     groups = duplicate_groups(docs, normalise=normalise, hash128=hash128, keep=keep)
     rows = _keyed(docs.select("doc_id", "text"), normalise, hash128).select("doc_id", _H, _S)
     keep_id = F.when(F.col(_N).isNull(), F.col("doc_id")).otherwise(F.col(_KEEP))
-    return _with_groups(rows, groups, docs.count()).select(
+    return join_weighted(rows, groups, [_H, _S], _N, docs.count()).select(
         "doc_id",
         keep_id.alias("keep_id"),
         F.coalesce(_N, F.lit(1)).cast("long").alias("group_size"),
@@ -77,5 +61,5 @@ def exact_duplicates(docs: DataFrame, *, normalise=ascii_lower, hash128=_hash128
 def drop_exact_duplicates(docs: DataFrame, *, normalise=ascii_lower, hash128=_hash128, keep: str = "max") -> DataFrame:
     """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns."""
     groups = duplicate_groups(docs, normalise=normalise, hash128=hash128, keep=keep)
-    rows = _with_groups(_keyed(docs, normalise, hash128), groups, docs.count())
+    rows = join_weighted(_keyed(docs, normalise, hash128), groups, [_H, _S], _N, docs.count())
     return rows.where(F.col(_N).isNull() | F.col("doc_id").eqNullSafe(F.col(_KEEP))).select(*docs.columns)

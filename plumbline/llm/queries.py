@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm.exact_dedup import exact_duplicates
 from plumbline.llm.language_id import fit_centroids, held_out, predict_languages
 from plumbline.llm.mixing import mix
+from plumbline.llm.order_minhash import near_duplicates
 from plumbline.llm.packing import packing_digest
 from plumbline.llm.pii import find_personal_data
 from plumbline.llm.quality_crf import fit_quality, score_quality
@@ -44,6 +45,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(documents(spark, sf_dir))
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_digest(documents(spark, sf_dir))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_pii": op5_pii,
+    "op6_order_minhash": op6_order_minhash,
     "op7_token_packing": op7_token_packing,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
