@@ -24,14 +24,27 @@ class Vocabulary(dict):
         return found
 
 
+class WordHashes(dict):
+    """Word bytes to a 64-bit hash, as in ``Vocabulary``."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+    def of(self, text: bytes | None) -> np.ndarray:
+        """The hashes of a text's words in order."""
+        words = text.split() if text else []
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
 class Block:
     """The words of several texts one after another: ``ids`` and ``hashes`` by word, ``start`` by text.
 
     ``bytes.split`` splits at exactly the six ASCII white-space characters that bound a word here.
     """
 
-    def __init__(self, texts: list[bytes | None], vocabulary: Vocabulary | None = None):
-        self.vocabulary = Vocabulary() if vocabulary is None else vocabulary
+    def __init__(self, texts: list[bytes | None]):
+        self.vocabulary = Vocabulary()
         words: list[bytes] = []
         sizes = np.zeros(len(texts), dtype=np.int64)
         for i, text in enumerate(texts):
