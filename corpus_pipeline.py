@@ -1,3 +1,65 @@
+"""The corpus pipeline: five stages over ``documents``, each one operator of ``plumbline.llm``.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
+read again as the next one's docs; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from plumbline.llm.exact_dedup import drop_exact_duplicates
+from plumbline.llm.language_id import fit_centroids, held_out, keep_identified
+from plumbline.llm.mixing import repeat_documents
+from plumbline.llm.order_minhash import drop_near_duplicates
+from plumbline.llm.sentencepiece_bpe import encode_documents
+from plumbline.llm.storage import shared_folder
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents whose language the fitted centroids reject."""
+    return keep_identified(docs, fit_centroids(docs.where(~held_out())))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of equal texts."""
+    return drop_exact_duplicates(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near-duplicates."""
+    return drop_near_duplicates(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or leave out documents so that the sources reach their target weights."""
+    return repeat_documents(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and ids of every document of the mix."""
+    return encode_documents(docs)
+
+
+STAGES = [
+    ("language identification", language_id),
+    ("exact dedup", exact_dedup),
+    ("order MinHash near-dedup", near_dedup),
+    ("mixing", mixing),
+    ("SentencePiece encoding", encoding),
+]
+
+#: SQL cannot express the classifier, order MinHash or merge-dropout; tests compare with a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of all stages on ``documents``. What is between two of them is in the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            path = shared_folder(spark, f"pipeline-stage-{number}")
+            docs.write.mode("overwrite").parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
