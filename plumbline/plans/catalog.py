@@ -557,3 +557,47 @@ def ledger_chain_verify(spark, sf_dir):
 def ledger_latency(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("cluster_id"), F.col("ts").cast("timestamp").alias("timestamp_start"), F.expr("cast(ts as timestamp) + make_dt_interval(0, 0, 0, (event_id % 7) / 1000.0)").alias("timestamp_end"))
     return _rounded(ledger.latency(rows), "mean_latency_ms")
+
+
+# --- training rounds (no SQL; tested against NumPy) ------------------------------------------
+
+
+def _examples(spark, sf_dir, *, windows: bool) -> DataFrame:
+    """events in twelve shards and three sub-clusters as training examples: windows of 16 rows, or single rows."""
+    rows = sharded(spark, sf_dir, "value", "user_id").withColumns({"a": F.col("value").cast("double"), "b": (F.col("user_id") % 24).cast("double")})
+    fit = features.fit_numeric(rows.where("split = 'train'"), ["a", "b"])
+    rows = features.transform(rows, fit, {})
+    if windows:
+        rows = features.window_features(rows, width=16, stride=8).select("client", "split", F.col("start_pos").alias("example"), F.col("window").alias("features"), F.col("window_label").alias("label"))
+    else:
+        rows = rows.select("client", "split", F.col("local_pos").alias("example"), F.array("features").alias("features"), "label")
+        rows = rows.withColumn("features", F.transform(F.element_at("features", 1), lambda x: F.array(x)))
+    return rows.withColumn("subcluster_id", F.format_string("H%d", F.col("client") % 3 + 1))
+
+
+def _one_round(spark, sf_dir, network, windows: bool, **options) -> DataFrame:
+    from plumbline.operators import federated
+
+    rounds, _ = federated.run_rounds(_examples(spark, sf_dir, windows=windows), federated.Training(network, **options), 1)
+    return spark.createDataFrame([(r["round"], k, float(v)) for r in rounds for k, v in r.items() if k != "round"], "round int, metric string, value double")
+
+
+@query()
+def train_round_cnn(spark, sf_dir):
+    from plumbline.operators.networks import Network
+
+    return _one_round(spark, sf_dir, Network("cnn", 2, 16), True, method="scaffold", rate=0.01)
+
+
+@query()
+def train_round_mlp(spark, sf_dir):
+    from plumbline.operators.networks import Network
+
+    return _one_round(spark, sf_dir, Network("mlp", 2), False, method="fedprox", rate=0.001, adam=True)
+
+
+@query()
+def train_round_tcn(spark, sf_dir):
+    from plumbline.operators.networks import Network
+
+    return _one_round(spark, sf_dir, Network("tcn", 2, 16, blocks=(8, 8, 8), head=8), True, method="fedbn", rate=0.01)
