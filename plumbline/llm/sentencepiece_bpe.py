@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import math
 import re
 from array import array
 from dataclasses import dataclass
@@ -23,21 +22,26 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 #: Ways in which one unit of text can be segmented; each occurrence draws one by a keyed hash.
 VARIANT_BITS = 2
-#: Segmentations that a task remembers, per variant.
-REMEMBERED = 200_000
+#: Segmentations that a worker remembers, per variant.
+REMEMBERED = 150_000
+#: Documents whose ids are sent on together.
+LOT = 100
 #: Characters up to which a unit is remembered and has its agenda in place.
 SHORT = 64
 
 _MARK = "▁"
 _MARK_BYTES = _MARK.encode()
 _MASK = (1 << 64) - 1
+#: The place in the order of scores of a pair that makes no piece.
+_NONE = 1 << 40
 
 
 @dataclass(frozen=True)
 class Pieces:
-    """A merge-type vocabulary: ``ranks`` has (priority, id) of the pieces that merges may make, ``single`` the ids of one-character pieces."""
+    """A merge-type vocabulary: ``ranks`` orders the pieces by score, the best first, and ``ids`` has their ids."""
 
-    ranks: dict[str, tuple[float, int]]
+    ranks: dict[str, int]
+    ids: dict[str, int]
     byte_ids: tuple[int, ...]
     output: tuple[bytes, ...]
     units: str
@@ -47,7 +51,7 @@ class Pieces:
 def load_pieces(path: str = MODEL_PATH) -> Pieces:
     """Read a model file on the driver; the result is small (a vocabulary) and goes to the tasks by broadcast."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    ranks, byte_ids, output, glue = {}, [0] * 256, [], set()
+    ids, byte_ids, output, glue = {}, [0] * 256, [], set()
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         if model.is_byte(i):
@@ -58,10 +62,12 @@ def load_pieces(path: str = MODEL_PATH) -> Pieces:
         else:
             if _MARK in piece.lstrip(_MARK) or "\n" in piece:
                 raise ValueError(f"piece {piece!r} spans units; this model is not supported")
-            ranks[piece] = (-model.get_score(i), i)
+            ids[piece] = i
             output.append(piece.replace(_MARK, " ").encode())
             glue.update(a for a, b in zip(piece, piece[1:], strict=False) if a.isalnum() and not b.isalnum())
-    return Pieces(ranks, tuple(byte_ids), tuple(output), _units("".join(sorted(glue))), model.serialized_model_proto())
+    scores = sorted({-model.get_score(i) for i in ids.values()})
+    places = {score: place for place, score in enumerate(scores)}
+    return Pieces({piece: places[-model.get_score(i)] for piece, i in ids.items()}, ids, tuple(byte_ids), tuple(output), _units("".join(sorted(glue))), model.serialized_model_proto())
 
 
 def _units(glue: str) -> str:
@@ -74,20 +80,11 @@ def _units(glue: str) -> str:
     return rf" *{word}++{some}| *[^ \n]+| +|\n"
 
 
-class _Draws:
+def _draws(unit: bytes, key: int, count: int) -> bytes:
     """The keyed bytes of one unit, one for each candidate merge in the order in which they come up."""
-
-    def __init__(self, unit: bytes, key: int):
-        self.unit, self.key, self.block, self.drawn = unit, key, b"", 0
-
-    def first(self, count: int) -> bytes:
-        while len(self.block) < count:
-            self.block += xxhash.xxh3_128_digest(self.unit, self.key + (len(self.block) << 32) & _MASK)
-        return self.block[:count]
-
-    def next(self) -> int:
-        self.drawn += 1
-        return self.first(self.drawn)[-1] if self.drawn > len(self.block) else self.block[self.drawn - 1]
+    if count <= 16:
+        return xxhash.xxh3_128_digest(unit, key)
+    return b"".join(xxhash.xxh3_128_digest(unit, key + (i << 32)) for i in range(-(-count // 16)))
 
 
 class Encoder:
@@ -98,10 +95,10 @@ class Encoder:
         self.units = re.compile(pieces.units)
         self.bytes = frozenset(pieces.byte_ids)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=pieces.model)
-        self.plain: dict[str, tuple[list[int], int]] = {}
-        self.known: list[dict[str, list[int]]] = [{} for _ in range(1 << VARIANT_BITS)]
+        self.plain: dict[str, tuple[tuple[int, ...], int]] = {}
+        self.known: list[dict[str, tuple[int, ...]]] = [{} for _ in range(1 << VARIANT_BITS)]
 
-    def segment(self, unit: str, draws: _Draws | None = None) -> tuple[list[int], int]:
+    def segment(self, unit: str, draws: bytes = b"") -> tuple[tuple[int, ...], int]:
         """Ids of one unit, and how many merges were made.
 
         The agenda holds the candidate of each pair of neighbours; the one with the best score, the
@@ -110,51 +107,51 @@ class Encoder:
         """
         symbols = list(unit.replace(" ", _MARK))
         count = len(symbols)
-        symbols = self._merge_short(symbols, draws) if count <= SHORT else self._merge_long(symbols, draws)
-        ids: list[int] = []
-        for symbol in symbols:
-            found = self.pieces.ranks.get(symbol)
-            if found:
-                ids.append(found[1])
-            else:
-                ids += [self.pieces.byte_ids[b] for b in symbol.encode()]
+        # each of the first candidates and of the two that a merge gives comes up once at most
+        draw = iter(draws).__next__ if draws else None
+        symbols = self._merge_short(symbols, draw) if count <= SHORT else self._merge_long(symbols, draw)
+        known = self.pieces.ids
+        try:
+            ids = tuple(map(known.__getitem__, symbols))
+        except KeyError:  # characters without a piece of their own are written as bytes
+            ids = tuple(i for s in symbols for i in ([known[s]] if s in known else [self.pieces.byte_ids[b] for b in s.encode()]))
         return ids, count - len(symbols)
 
-    def _merge_short(self, symbols: list[str], draws: _Draws | None) -> list[str]:
+    def _merge_short(self, symbols: list[str], draw) -> list[str]:
         """The agenda as one priority for each pair in place; finding the least is cheap for a few dozen."""
-        ranks, limit, none = self.pieces.ranks, self.limit, (math.inf,)
-        agenda = [ranks.get(a + b, none)[0] for a, b in zip(symbols, symbols[1:], strict=False)]
+        rank, limit = self.pieces.ranks.get, self.limit
+        agenda = [rank(a + b, _NONE) for a, b in zip(symbols, symbols[1:], strict=False)]
         while agenda:
             best = min(agenda)
-            if best == math.inf:
+            if best == _NONE:
                 break
             at = agenda.index(best)
-            if draws and draws.next() < limit:
-                agenda[at] = math.inf
+            if draw and draw() < limit:
+                agenda[at] = _NONE
                 continue
-            symbols[at] += symbols.pop(at + 1)
+            merged = symbols[at] = symbols[at] + symbols.pop(at + 1)
             del agenda[at]
             if at:
-                agenda[at - 1] = ranks.get(symbols[at - 1] + symbols[at], none)[0]
+                agenda[at - 1] = rank(symbols[at - 1] + merged, _NONE)
             if at < len(agenda):
-                agenda[at] = ranks.get(symbols[at] + symbols[at + 1], none)[0]
+                agenda[at] = rank(merged + symbols[at + 1], _NONE)
         return symbols
 
-    def _merge_long(self, symbols: list[str], draws: _Draws | None) -> list[str]:
+    def _merge_long(self, symbols: list[str], draw) -> list[str]:
         """The agenda as a heap over linked symbols; a candidate is stale once one of its parts has changed."""
         ranks, limit, n = self.pieces.ranks, self.limit, len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
 
         def candidate(left: int, right: int):
             found = ranks.get(symbols[left] + symbols[right])
-            return [(found[0], left, len(symbols[left]), len(symbols[right]))] if found else []
+            return [] if found is None else [(found, left, len(symbols[left]), len(symbols[right]))]
 
         agenda = [c for i in range(n - 1) for c in candidate(i, i + 1)]
         heapq.heapify(agenda)
         while agenda:
             _, left, own, other = heapq.heappop(agenda)
             right = after[left]
-            if right >= n or len(symbols[left]) != own or len(symbols[right]) != other or (draws and draws.next() < limit):
+            if right >= n or len(symbols[left]) != own or len(symbols[right]) != other or (draw and draw() < limit):
                 continue
             symbols[left] += symbols[right]
             symbols[right] = ""
@@ -190,25 +187,29 @@ class Encoder:
                     out += self._plain(unit)[0]
         return out
 
-    def _plain(self, unit: str) -> tuple[list[int], int]:
-        """The segmentation without skips, remembered for units of usual length."""
+    def _plain(self, unit: str) -> tuple[tuple[int, ...], int]:
+        """The segmentation without skips, remembered for units of usual length.
+
+        The library gives the same ids as ``segment`` and puts the first space mark by itself; where
+        characters became bytes the number of merges can't be told from the ids.
+        """
         found = self.plain.get(unit)
         if found is None:
-            # the library gives the same ids and puts the first space mark by itself; with bytes among them merges can't be told
             ids = self.library.encode(unit[1:]) if unit[0] == " " else None
-            found = (ids, len(unit) - len(ids)) if ids and self.bytes.isdisjoint(ids) else self.segment(unit)
+            found = (tuple(ids), len(unit) - len(ids)) if ids and self.bytes.isdisjoint(ids) else self.segment(unit)
             if len(unit) <= SHORT:
                 if len(self.plain) >= REMEMBERED:
                     self.plain.clear()
                 self.plain[unit] = found
         return found
 
-    def _learn(self, unit: str, variant: int) -> list[int]:
+    def _learn(self, unit: str, variant: int) -> tuple[int, ...]:
         """The segmentation of a variant: the plain one if no keyed byte of its merges asks for a skip."""
-        draws = _Draws(unit.encode(), self.seed << VARIANT_BITS | variant)
         ids, merges = self._plain(unit)
-        if merges and min(draws.first(merges)) < self.limit:
-            ids, _ = self.segment(unit, draws)
+        if merges:
+            data, key = unit.encode(), self.seed << VARIANT_BITS | variant
+            if min(_draws(data, key, merges)[:merges]) < self.limit:
+                ids, _ = self.segment(unit, _draws(data, key, 3 * len(unit)))
         if len(unit) <= SHORT:
             known = self.known[variant]
             if len(known) >= REMEMBERED:
@@ -239,6 +240,13 @@ def _encoder(docs: DataFrame, path: str, dropout: float, seed: int):
     return make
 
 
+def _lots(batches):
+    """LOT rows at a time, so that a task holds few ids."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, LOT):
+            yield batch.slice(start, LOT)
+
+
 def encode_documents(docs: DataFrame, *, path: str = MODEL_PATH, dropout: float = DROPOUT, seed: int = 42) -> DataFrame:
     """One row per document: doc_id and ``ids``, an array of int.
 
@@ -253,9 +261,9 @@ def encode_documents(docs: DataFrame, *, path: str = MODEL_PATH, dropout: float
 
     def run(batches):
         encoder = make()
-        for batch in batches:
-            ids = batch.column("doc_id")
-            found = [None if t is None else encoder.encode(t, i) for i, t in zip(ids.to_pylist(), batch.column("text").to_pylist(), strict=True)]
+        for lot in _lots(batches):
+            ids = lot.column("doc_id")
+            found = [None if t is None else encoder.encode(t, i) for i, t in zip(ids.to_pylist(), lot.column("text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -283,7 +291,7 @@ def encoding_digest(docs: DataFrame, *, path: str = MODEL_PATH, dropout: float =
 
     def run(batches):
         encoder = make()
-        for batch in batches:
+        for batch in _lots(batches):
             rows = []
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = encoder.encode(text or "", i)
