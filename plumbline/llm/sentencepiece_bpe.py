@@ -7,6 +7,8 @@ import heapq
 import re
 from array import array
 from dataclasses import dataclass
+from itertools import chain
+from operator import getitem, itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,8 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 #: Ways in which one unit of text can be segmented; each occurrence draws one by a keyed hash.
 VARIANT_BITS = 2
-#: Segmentations that a worker remembers, per variant.
-REMEMBERED = 150_000
+#: Units whose segmentations a worker remembers.
+REMEMBERED = 400_000
 #: Documents whose ids are sent on together.
 LOT = 100
 #: Characters up to which a unit is remembered and has its agenda in place.
@@ -34,6 +36,8 @@ _MARK_BYTES = _MARK.encode()
 _MASK = (1 << 64) - 1
 #: The place in the order of scores of a pair that makes no piece.
 _NONE = 1 << 40
+_UNKNOWN = (None,) * (1 << VARIANT_BITS)
+_PLAIN = itemgetter(1 << VARIANT_BITS)
 
 
 @dataclass(frozen=True)
@@ -95,8 +99,7 @@ class Encoder:
         self.units = re.compile(pieces.units)
         self.bytes = frozenset(pieces.byte_ids)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=pieces.model)
-        self.plain: dict[str, tuple[tuple[int, ...], int]] = {}
-        self.known: list[dict[str, tuple[int, ...]]] = [{} for _ in range(1 << VARIANT_BITS)]
+        self.known: dict[str, list] = {}
 
     def segment(self, unit: str, draws: bytes = b"") -> tuple[tuple[int, ...], int]:
         """Ids of one unit, and how many merges were made.
@@ -173,48 +176,59 @@ class Encoder:
             if i:  # a space mark in the text itself is written byte by byte, so that decoding gives it back
                 out += [self.pieces.byte_ids[b] for b in _MARK_BYTES]
             units = self.units.findall(part if i else " " + part)
+            entries = self._entries(units)
             if self.limit:
                 start = xxhash.xxh3_64_intdigest(b"%d:%d" % (doc_id or 0, i), self.seed & _MASK)
                 draws = mixed(np.arange(len(units), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(start)) >> np.uint64(64 - VARIANT_BITS)
-                for unit, variant in zip(units, draws.tolist(), strict=True):
-                    known = self.known[variant]
-                    ids = known.get(unit)
-                    if ids is None:
-                        ids = self._learn(unit, variant)
-                    out += ids
+                variants = draws.tolist()
+                found = list(map(getitem, entries, variants))
+                if None in found:
+                    for at, ids in enumerate(found):
+                        if ids is None:
+                            found[at] = self._learn(units[at], entries[at], variants[at])
             else:
-                for unit in units:
-                    out += self._plain(unit)[0]
+                found = map(_PLAIN, entries)
+            out.extend(chain.from_iterable(found))
         return out
 
-    def _plain(self, unit: str) -> tuple[tuple[int, ...], int]:
-        """The segmentation without skips, remembered for units of usual length.
+    def _entries(self, units: list[str]) -> list[list]:
+        """What is remembered of each unit, learning those that are new: its segmentation in each variant, where known, then the plain one and its merges.
 
-        The library gives the same ids as ``segment`` and puts the first space mark by itself; where
-        characters became bytes the number of merges can't be told from the ids.
+        The library gives the same plain ids as ``segment`` and puts the first space mark by itself;
+        where characters became bytes the number of merges can't be told from the ids.
         """
-        found = self.plain.get(unit)
-        if found is None:
-            ids = self.library.encode(unit[1:]) if unit[0] == " " else None
-            found = (tuple(ids), len(unit) - len(ids)) if ids and self.bytes.isdisjoint(ids) else self.segment(unit)
-            if len(unit) <= SHORT:
-                if len(self.plain) >= REMEMBERED:
-                    self.plain.clear()
-                self.plain[unit] = found
-        return found
-
-    def _learn(self, unit: str, variant: int) -> tuple[int, ...]:
+        entries = list(map(self.known.get, units))
+        if None in entries:
+            new = dict.fromkeys(unit for unit, entry in zip(units, entries, strict=True) if entry is None)
+            if len(self.known) + len(new) > REMEMBERED:
+                self._forget()
+            marked = [unit for unit in new if unit[0] == " "]
+            for unit, ids in zip(marked, self.library.encode([unit[1:] for unit in marked], num_threads=1), strict=True):
+                if ids and self.bytes.isdisjoint(ids):
+                    new[unit] = [*_UNKNOWN, tuple(ids), len(unit) - len(ids)]
+            for unit, entry in new.items():
+                if entry is None:
+                    entry = new[unit] = [*_UNKNOWN, *self.segment(unit)]
+                if len(unit) <= SHORT and len(self.known) < REMEMBERED:
+                    self.known[unit] = entry
+            entries = [new[unit] if entry is None else entry for unit, entry in zip(units, entries, strict=True)]
+        return entries
+
+    def _forget(self) -> None:
+        """Keep the units that came up in two variants at least, or none if those are too many."""
+        kept = {unit: entry for unit, entry in self.known.items() if entry.count(None) < len(_UNKNOWN) - 1}
+        self.known = kept if len(kept) < REMEMBERED // 2 else {}
+
+    def _learn(self, unit: str, entry: list, variant: int) -> tuple[int, ...]:
         """The segmentation of a variant: the plain one if no keyed byte of its merges asks for a skip."""
-        ids, merges = self._plain(unit)
-        if merges:
-            data, key = unit.encode(), self.seed << VARIANT_BITS | variant
-            if min(_draws(data, key, merges)[:merges]) < self.limit:
-                ids, _ = self.segment(unit, _draws(data, key, 3 * len(unit)))
-        if len(unit) <= SHORT:
-            known = self.known[variant]
-            if len(known) >= REMEMBERED:
-                known.clear()
-            known[unit] = ids
+        ids = entry[variant]
+        if ids is None:
+            *_, ids, merges = entry
+            if merges:
+                data, key = unit.encode(), self.seed << VARIANT_BITS | variant
+                if min(_draws(data, key, merges)[:merges]) < self.limit:
+                    ids, _ = self.segment(unit, _draws(data, key, 3 * len(unit)))
+            entry[variant] = ids
         return ids
 
     def decode(self, ids) -> str:
