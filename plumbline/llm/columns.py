@@ -1,6 +1,6 @@
 """Column expressions that several corpus operators share."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,3 +41,19 @@ def join_weighted(rows: DataFrame, table: DataFrame, keys: list[str], weight: st
     on = [F.col("__spread") == F.col(f"__rest_{last}"), *(F.col(k) == F.col(f"__rest_{k}") for k in firsts)]
     found = found.join(rest, on, "left").withColumns({c: F.coalesce(f"__hot_{c}", f"__rest_{c}") for c in values})
     return found.select(*rows.columns, *values)
+
+
+def first_by_hash(rows: DataFrame, key: str, sample: int) -> DataFrame:
+    """Up to ``sample`` rows of each value of ``key``, those that come first by a hash of doc_id.
+
+    A count of each value sets a bound on the hash below which lie about twice as many rows as are
+    wanted; only these are shuffled, so what meets in one task does not grow with the input. The
+    counts, one row per value, are broadcast: ``key`` is a label of which a model keeps several
+    rows per value anyway. ``doc_id`` and ``key`` must not be null.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__fh_n"))
+    chance = F.xxhash64("doc_id")
+    place = chance.cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    near = rows.join(F.broadcast(counts), key).where(place * F.col("__fh_n") <= F.lit(2.0 * sample + 100))
+    order = Window.partitionBy(key).orderBy(chance, "doc_id")
+    return near.withColumn("__fh_turn", F.row_number().over(order)).where(F.col("__fh_turn") <= sample).select(*rows.columns)

@@ -6,7 +6,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from plumbline.llm.columns import first_by_hash
 
 #: Hashed dimensions of one-, two- and three-character features.
 DIMENSIONS = (1 << 10, 1 << 12, 1 << 13)
@@ -88,13 +90,11 @@ def _cluster(vectors: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
 def fit_centroids(labelled: DataFrame, *, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Centroids:
     """Fit on up to ``sample`` documents of each language; rows without doc_id, text or lang are passed over.
 
-    The ids are chosen without texts (each task sends at most ``sample`` per language), then one
-    more scan fetches those texts by a broadcast of at most ``sample`` ids per language.
+    The ids are chosen from doc_id and lang alone, then one more scan fetches their texts by a
+    broadcast of at most ``sample`` ids per language; those whose text is null are passed over.
     """
-    ids = labelled.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = ids.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= sample).select("doc_id").distinct()
-    rows = labelled.join(F.broadcast(ids), "doc_id").select("lang", "text").collect()
+    ids = first_by_hash(labelled.where("doc_id IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang"), "lang", sample).select("doc_id").distinct()
+    rows = labelled.join(F.broadcast(ids), "doc_id").where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text").collect()
     rows = [(r.lang, term_counts(r.text)) for r in sorted(rows, key=lambda r: (r.lang, r.text)) if has_letter(r.text)]
     size = sum(DIMENSIONS)
     idf = np.log((1 + len(rows)) / (1 + sum(((c > 0) for _, c in rows), np.zeros(size)))) + 1
