@@ -7,8 +7,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from plumbline.llm.columns import first_by_hash
 from plumbline.llm.words import Vocabulary, as_bytes
 
 #: Labelled documents of each class that a fit reads, at most, taken in the order of a hash of doc_id.
@@ -142,9 +143,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) ->
 
     Rows of ``labels`` (doc_id, quality) with other qualities and documents without text or id are passed over.
     """
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", "quality").withColumn("turn", F.row_number().over(order))
-    chosen = chosen.where(F.col("turn") <= sample).select(F.col("doc_id").alias("__q_id"), "quality").dropDuplicates(["__q_id"])
+    chosen = first_by_hash(labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", "quality"), "quality", sample)
+    chosen = chosen.select(F.col("doc_id").alias("__q_id"), "quality").dropDuplicates(["__q_id"])
     rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__q_id")).where("text IS NOT NULL").select("quality", "text").collect()
     examples = []
     for row in sorted(rows, key=lambda r: (r.quality, r.text)):

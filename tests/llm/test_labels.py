@@ -8,8 +8,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Window, functions as F
 
 from plumbline.llm import language_id, pii, quality_crf as Q
+from plumbline.llm.columns import first_by_hash
 from plumbline.llm.quality_crf import LineModel
 
 
@@ -131,3 +133,13 @@ def test_quality_verdicts(spark, small, sf_dir):
     rows = Q.score_quality(small, model).join(labels, "doc_id").where("NOT base_failed").collect()
     assert sum(r.kept == bool(r.quality) for r in rows) / len(rows) >= 0.95
     assert Q.fit_quality(small, labels.limit(0)) == Q.DEFAULT
+
+
+def test_first_by_hash(spark):
+    """The same rows as a window over everything gives, for a hot key, a rare one and ties."""
+    ids = [(i, "hot") for i in range(3000)] + [(i, "rare") for i in range(5)] + [(7, "tie")] * 3
+    rows = spark.createDataFrame(ids, "doc_id long, lang string")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    wanted = rows.withColumn("turn", F.row_number().over(order)).where("turn <= 40").select("doc_id", "lang")
+    assert sorted(first_by_hash(rows, "lang", 40).collect()) == sorted(wanted.collect())
+    assert not first_by_hash(rows.limit(0), "lang", 40).collect()
