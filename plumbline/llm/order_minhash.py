@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Sketches of a document, and the k-mers of each: two documents of similarity s agree in one with probability s**KMERS.
 SKETCHES, KMERS = 16, 4
-#: Pivots of a bucket that its members are compared with.
-PIVOTS = 4
+#: Members up to which a bucket compares all of them; those of larger ones meet by a prefix-filter join.
+BUCKET = 32
+#: Bits of a shingle's hash that name its bin in the counts that order shingles.
+BIN_BITS = 18
+#: Crowded texts of a lot, about; the pairs of two lots are verified together.
+LOT = 128
 #: Different words whose hashes are remembered.
 REMEMBERED = 1 << 19
 
@@ -129,18 +134,110 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text_key string, keys array<long>")
 
 
+def _bucket_members(texts: DataFrame) -> DataFrame:
+    """rep, key and n_members for each bucket that ``texts`` (rep, keys) fall into with others. A bucket is one key."""
+    members = texts.select("rep", F.explode("keys").alias("key"))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n_members")).where("n_members > 1")
+    return members.join(sizes, "key")
+
+
 def candidate_pairs(texts: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of ``texts`` (rep, keys) that share a bucket, one of them a pivot of it.
+    """Pairs (a, b), a < b, of ``texts`` (rep, keys) that share a bucket of at most BUCKET members: all of them."""
+    members = _bucket_members(texts).where(F.col("n_members") <= BUCKET)
+    left, right = members.select("key", F.col("rep").alias("a")), members.select("key", F.col("rep").alias("b"))
+    return left.join(right, "key").where("a < b").select("a", "b").distinct()
+
+
+def crowded_texts(texts: DataFrame) -> DataFrame:
+    """The rep of each of ``texts`` (rep, keys) that falls into a bucket of more than BUCKET members."""
+    return _bucket_members(texts).where(F.col("n_members") > BUCKET).select("rep").distinct()
 
-    A bucket is one key. Its members fall into PIVOTS lots by a hash, and the first of each lot in
-    the order of another hash is a pivot, so small buckets compare all their members and large
-    ones grow linearly, with other pivots in each of the buckets that two documents share.
+
+def prefix_lengths(n: int, least: float) -> tuple[int, int]:
+    """How many of the n shingles of a text, in any order that all texts share, must be met by a longer and by a shorter one.
+
+    Two texts of n <= m shingles at a similarity of ``least`` have at least ``least / (1 + least)
+    * (n + m)`` in common, so n by itself asks for ``2 * least / (1 + least) * n`` of the shorter
+    text and ``least * m`` of the longer one. The first common one then lies in both prefixes.
     """
-    members = texts.select("rep", F.explode("keys").alias("key"))
-    chance = F.xxhash64("key", "rep")
-    pivots = members.groupBy("key", F.pmod(chance, F.lit(PIVOTS)).alias("lot")).agg(F.min_by("rep", chance).alias("pivot"))
-    pairs = members.join(pivots.select("key", "pivot"), "key").where("rep <> pivot")
-    return pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    return n - math.ceil(2 * least / (1 + least) * n - 1e-9) + 1, n - math.ceil(least * n - 1e-9) + 1
+
+
+def crowded_pairs(docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
+    """All pairs (a, b), a < b, of ``docs`` (id, text) that can have a similarity of ``least``, by a prefix-filter join.
+
+    The shared order of shingles puts rare ones first, by counts of 2**BIN_BITS bins of their
+    hashes, so what a template gives to many texts is at the end. Any order is exact; this one
+    keeps template shingles out of the prefix of a shorter text unless it hardly differs from them.
+    """
+
+    def count(batches):
+        for batch in batches:
+            bins = np.zeros(1 << BIN_BITS, dtype=np.int64)
+            for _, labelled in _blocks(as_bytes(batch.column("text"))):
+                bins += np.bincount((labelled >> np.uint64(64 - BIN_BITS)).astype(np.int64), minlength=len(bins))
+            used = np.flatnonzero(bins)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(bins[used])], ["bin", "n"])
+
+    counted = docs.select("text").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    bins = np.zeros(1 << BIN_BITS, dtype=np.int64)
+    bins[counted.column("bin").to_numpy()] = counted.column("n").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bins)
+
+    def prefixes(batches):
+        frequency = shared.value
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, max(1, batch.num_rows), 256)):
+                columns = [[], [], [], [], []]
+                for rep, (_, labelled) in zip(part.column("id").to_pylist(), _blocks(as_bytes(part.column("text"))), strict=True):
+                    if n := len(labelled):
+                        short, long = prefix_lengths(n, least)
+                        ordered = labelled[np.lexsort((labelled, frequency[(labelled >> np.uint64(64 - BIN_BITS)).astype(np.int64)]))]
+                        places = np.arange(long)
+                        for column, values in zip(columns, (np.full(long, rep), ordered[:long].view(np.int64), np.full(long, n), places, places < short), strict=True):
+                            column.append(values)
+                kinds = (np.int64, np.int64, np.int64, np.int64, bool)
+                arrays = [pa.array(np.concatenate(c) if c else np.zeros(0, dtype=k)) for c, k in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, ["rep", "shingle", "n", "place", "short"])
+
+    found = cut_lineage(docs.select("id", "text").mapInArrow(prefixes, "rep long, shingle long, n long, place long, short boolean"))
+    x = found.where("short").select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "place")))
+    y = found.select("shingle", *(F.col(c).alias(f"y_{c}") for c in ("rep", "n", "place")))
+    both = x.join(y, "shingle").where("x_n < y_n OR (x_n = y_n AND x_rep < y_rep)")
+    # if this is their first common shingle, no more than what follows in both can be common beside it
+    most = F.lit(1) + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")) - F.lit(1)
+    both = both.where(most >= F.lit(least / (1 + least)) * (F.col("x_n") + F.col("y_n")) - F.lit(1e-6))
+    return both.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+
+
+def verify_crowded(pairs: DataFrame, docs: DataFrame, count: int, *, least: float = SIMILARITY) -> DataFrame:
+    """As ``verify_pairs`` for many pairs of few of ``docs`` (id, text; ``count`` rows): texts are sent once per pair of lots, not once per pair."""
+    lots = F.lit(-(-count // LOT) or 1)
+    lot = lambda c: F.pmod(F.xxhash64(F.col(c)), lots)
+    pairs = pairs.select("a", "b", lot("a").alias("lot_a"), lot("b").alias("lot_b"))
+    ends = pairs.select("lot_a", "lot_b", F.explode(F.array("a", "b")).alias("id")).distinct()
+    sent = ends.join(docs, "id").select("lot_a", "lot_b", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    rows = sent.union(pairs.select("lot_a", "lot_b", "a", "b", F.lit(None).cast("string")))
+    rows = rows.repartition("lot_a", "lot_b").sortWithinPartitions("lot_a", "lot_b", F.col("b").asc_nulls_first())
+
+    def run(batches):
+        shingles, words, of = {}, WordHashes(), None
+        for batch in batches:
+            out = []
+            lots = zip(batch.column("lot_a").to_pylist(), batch.column("lot_b").to_pylist(), strict=True)
+            for here, a, b, text in zip(lots, batch.column("a").to_pylist(), batch.column("b").to_pylist(), as_bytes(batch.column("text")), strict=True):
+                if here != of:
+                    shingles, of = {}, here
+                if b is None:
+                    if len(words) > REMEMBERED:
+                        words.clear()
+                    shingles.setdefault(a, []).append(labelled_shingles(words.of(text)))
+                elif score := max(similarity(x, y, least) for x in shingles[a] for y in shingles[b]):
+                    out.append((a, b, score))
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "similarity"])
+
+    return rows.mapInArrow(run, "a long, b long, similarity double")
 
 
 def verify_pairs(pairs: DataFrame, docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
@@ -167,7 +264,9 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
     component of links, n_links the number of different texts that this text was found linked to.
     Two texts are linked if a shared order MinHash key makes them candidates and their aligned
     five-word shingles are at least ``least`` of all shingles of both. At a similarity of 0.8 a
-    pair shares no key with a probability of 0.0002.
+    pair shares no key with a probability of 0.0002. Texts of large buckets are candidates of
+    each other by an exact prefix-filter join instead, so no link among them is passed over; their
+    links, which n_links counts, grow with the square of a family whose texts all match.
 
     Null counts as an empty text; texts without words are only linked as copies. Rows that repeat
     a doc_id share its class. Rows with a null doc_id get the class of their text, null if no
@@ -177,8 +276,15 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
     sketches = sketch_documents(docs)
     texts = sketches.groupBy("text_key").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("n_copies"), F.first("keys").alias("keys"))
     texts = cut_lineage(texts)
-    pairs = candidate_pairs(texts.where("copy_of IS NOT NULL").select(F.col("copy_of").alias("rep"), "keys"))
-    links = cut_lineage(verify_pairs(pairs, docs, least=least).select("a", "b").distinct())
+    reps = texts.where("copy_of IS NOT NULL").select(F.col("copy_of").alias("rep"), "keys")
+    found = verify_pairs(candidate_pairs(reps), docs, least=least)
+    crowded = cut_lineage(crowded_texts(reps))
+    count = crowded.count()
+    if count:
+        of = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(crowded.select(F.col("rep").alias("id")), "id").dropDuplicates(["id", "text"])
+        of = cut_lineage(of)
+        found = found.union(verify_crowded(crowded_pairs(of, least=least), of, count, least=least))
+    links = cut_lineage(found.select("a", "b").distinct())
     roots = connected_components(links)
     degrees = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
     linked = roots.join(degrees, "node")

@@ -208,3 +208,38 @@ def test_components(spark, shape):
     found = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     wanted = {"path": dict.fromkeys(range(41), 0), "star": dict.fromkeys(range(30), 0), "pairs": {x: 10 * i for i in range(9) for x in (10 * i, 10 * i + 1)}, "none": {}}[shape]
     assert found == wanted
+
+
+def template_family(size=1500, planted=60):
+    """Texts that are 85 % template, not linked to each other, and a near copy at about 0.82 of each of the first ones."""
+    rng = random.Random(11)
+    head = [f"t{i}" for i in range(255)]
+    rows = [(i, head + [f"d{i}x{j}" for j in range(45)]) for i in range(size)]
+    for i in range(planted):
+        words = list(rows[i][1])
+        for at in rng.sample(range(10, 250, 12), 6):
+            words[at] = f"c{i}x{at}"
+        rows.append((size + i, words))
+    return [(i, " ".join(w)) for i, w in rows]
+
+
+def test_near_template_family(make):
+    """Links inside a large family that shares a template, and n_links, are those of comparing all pairs."""
+    rows, size, planted = template_family(), 1500, 60
+    hashes = WordHashes()
+    shingles = [labelled_shingles(hashes.of(t.encode())) for _, t in rows]
+    assert not similarity(shingles[1], shingles[2]) and similarity(shingles[0], shingles[size]) > 0.8
+    degree = dict.fromkeys(range(len(rows)), 0)
+    for i in range(len(rows)):
+        for j in (*range(min(i, 200)), *range(max(size, 200), i)):  # the rest are plain members, alike but for their own words
+            if similarity(shingles[i], shingles[j]):
+                degree[i], degree[j] = degree[i] + 1, degree[j] + 1
+    found = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates(make(rows)).collect()}
+    assert all(found[size + i][0] == i for i in range(planted))
+    assert {i: n for i, (_, n) in found.items()} == degree
+
+
+def test_near_links_of_a_crowd(make):
+    """n_links of a family whose texts all match counts every link."""
+    rows = [(i, " ".join([*(f"t{j}" for j in range(200)), f"d{i}"])) for i in range(150)]
+    assert {r.n_links for r in near_duplicates(make(rows)).collect()} == {149}
