@@ -33,9 +33,6 @@ SPELLED = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
 }
 
-# soft hyphen, Greek and Cyrillic, other scripts' digits, characters without width, full-width forms, mathematical letters
-_ODD_RANGES = ((0xAD, 0xAD), (0x370, 0x52F), (0x660, 0x669), (0x6F0, 0x6F9), (0x966, 0x96F), (0x200B, 0x200D), (0x2060, 0x2060), (0xFEFF, 0xFEFF), (0xFF01, 0xFF5E), (0x1D400, 0x1D7FF))
-_ODD = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _ODD_RANGES) + "]")
 _DIGIT_WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _AT, _DOT = "at|arroba|ät", "dot|punto|punkt|point"
 _DISGUISES = re.compile(
@@ -47,7 +44,17 @@ _DISGUISES = re.compile(
     rf"|(?P<digits>\b(?:{_DIGIT_WORD}|[0-9])(?:[ ,-]+(?:{_DIGIT_WORD}|[0-9]))*\b)",
     re.IGNORECASE,
 )
-_HINT = re.compile(rf"[\[({{<]\s*(?:{_AT}|{_DOT})\s*[\])}}>]|\s(?:{_DOT})\s", re.IGNORECASE)
+# what all texts have that the normal form changes, but for characters that look like others
+_HINT = re.compile(
+    rf"[\[({{<]\s*(?:{_AT}|{_DOT})\s*[\])}}>]|\s(?:{_DOT})\s"
+    rf"|\bplus[ -]+(?:{_DIGIT_WORD}|[0-9])\b"
+    rf"|\.(?:{_DIGIT_WORD})\b"
+    rf"|\b(?:{_DIGIT_WORD})(?:[ ,-]+[0-9])*[ ,-]+(?:{_DIGIT_WORD})\b",
+    re.IGNORECASE,
+)
+_SPELLED_ONE = re.compile(rf"\b(?:{_DIGIT_WORD})\b", re.IGNORECASE)
+# a spelled digit that other digits, or a plus sign, may share an identifier with
+_NEAR = re.compile(rf"(?:[+0-9]|\bplus)[ ().,-]*\b(?:{_DIGIT_WORD})\b|\b(?:{_DIGIT_WORD})[ ().,-]+(?:(?:{_DIGIT_WORD})\b|[0-9])", re.IGNORECASE)
 _DOT_NEXT = re.compile(rf"\s+(?:{_DOT})\s", re.IGNORECASE)
 
 
@@ -73,7 +80,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind index) of the fixed patterns, leftmost and non-overlapping within a kind, in order."""
     spans = [(s, e, 0) for s, e in _emails(text)]
     if _DIGIT.search(text):
-        spans += [(*m.span(), 1) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        spans += [(*m.span(), 1) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 12 <= len(digits) <= 19 and _luhn(digits):
@@ -98,11 +105,11 @@ def _digits_of(run: str) -> str:
     return "".join(SPELLED.get(w, w) for w in re.split(r"[ ,-]+", run.lower()))
 
 
-def normal_form(text: str) -> tuple[str, list[int]]:
+def normal_form(text: str, *, every: bool = False) -> tuple[str, list[int]]:
     """The text with disguises undone, and for each of its characters the place in the text that it came from.
 
     The list has one more entry, the length of the text. A run of spelled digits needs four
-    digits or more, of which two are spelled; a shorter one stays as it is.
+    digits or more, of which two are spelled; a shorter one stays as it is, unless ``every`` spelled digit counts.
     """
     chars, origin = [], []
     for i, char in enumerate(text):
@@ -121,7 +128,9 @@ def normal_form(text: str) -> tuple[str, list[int]]:
             new = "."
         elif kind == "plus":
             new = "+"
-        elif len(digits := _digits_of(m[0])) >= 4 and sum(w.lower() in SPELLED for w in re.split(r"[ ,-]+", m[0])) >= 2:
+        elif (digits := _digits_of(m[0])) != m[0] and every:
+            new = digits
+        elif len(digits) >= 4 and sum(w.lower() in SPELLED for w in re.split(r"[ ,-]+", m[0])) >= 2:
             new = digits
         elif m[0].lower() in SPELLED and (middle.endswith((".", " dot ", " punto ", " punkt ", " point "), 0, m.start()) or _DOT_NEXT.match(middle, m.end())):
             new = digits
@@ -137,29 +146,42 @@ def normal_form(text: str) -> tuple[str, list[int]]:
     return "".join(out), places + origin[last:]
 
 
-def _disguised(text: str) -> bool:
-    if _ODD.search(text) or _HINT.search(text):
-        return True
-    words = text.lower().replace(",", " ").replace("-", " ").split()
-    return not SPELLED.keys().isdisjoint(words) and sum(w in SPELLED for w in words) >= 4
+def _odd(text: str) -> bool:
+    return not text.isascii() and any(_plain(c) != c for c in set(text) if not c.isascii())
 
 
-def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of identifiers that show only in the normal form and overlap no span of ``base``, as places in the text."""
-    if not _disguised(text):
-        return []
-    normal, origin = normal_form(text)
+def _normal_spans(text: str, every: bool) -> list[tuple[int, int, int]]:
+    """The fixed patterns of the normal form, as places in the text."""
+    normal, origin = normal_form(text, every=every)
     if normal == text:
         return []
-    taken, added = sorted((s, e) for s, e, _ in base), []
-    for start, end, kind in base_spans(normal):
-        s = origin[start]
-        # the span ends where the source of its last character does: before that of the next one, without white space between
-        e = s + len(text[s : origin[end]].rstrip(" ,-\t\n\r"))
-        if all(e <= a or b <= s for a, b in taken):
-            added.append((s, e, kind))
-            taken.append((s, e))
-    return added
+    # a span ends where the source of its last character does: before that of the next one, without white space between
+    return [(s, s + len(text[s : origin[end]].rstrip(" ,-\t\n\r")), kind) for start, end, kind in base_spans(normal) for s in [origin[start]]]
+
+
+def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of identifiers that show only in the normal form and lie in no span of ``base``, as places in the text.
+
+    One may contain a span of ``base``, where that is a part of the identifier that was left plain.
+    A short run of spelled digits counts if an identifier that it makes valid overlaps no other,
+    or contains one of its kind and has two spelled digits beside it.
+    """
+    odd = _odd(text)
+    taken, added = [(s, e) for s, e, _ in base], []
+    if odd or _HINT.search(text):
+        for s, e, kind in _normal_spans(text, False):
+            if not any(a <= s and e <= b for a, b in taken):
+                added.append((s, e, kind))
+                taken.append((s, e))
+    if odd or _NEAR.search(text):
+        for s, e, kind in _normal_spans(text, True):
+            met = [(a, b) for a, b in taken if a < e and s < b]
+            # one valid without them grows by two spelled digits or more; a single one may be the next word
+            longer = [(a, b) for a, b, k in [*base, *added] if k == kind and s <= a and b <= e and len(_SPELLED_ONE.findall(text[s:a] + " " + text[b:e])) >= 2]
+            if all(m in longer for m in met):
+                added.append((s, e, kind))
+                taken.append((s, e))
+    return sorted(added, key=lambda x: (x[0], x[2]))
 
 
 def _joined(spans) -> str:

@@ -143,3 +143,38 @@ def test_first_by_hash(spark):
     wanted = rows.withColumn("turn", F.row_number().over(order)).where("turn <= 40").select("doc_id", "lang")
     assert sorted(first_by_hash(rows, "lang", 40).collect()) == sorted(wanted.collect())
     assert not first_by_hash(rows.limit(0), "lang", 40).collect()
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "span"),
+    [
+        ("call plus 4 9 three zero 5 5 5 1 2 3 4", "phone", "plus 4 9 three zero 5 5 5 1 2 3 4"),
+        ("host 10.zero.zero.one", "ip", "10.zero.zero.one"),
+        ("(four one one one one one one one one one one one one one one one.)", "card", "four one one one one one one one one one one one one one one one"),
+        ("jоhn.doe@example.com", "email", "jоhn.doe@example.com"),
+        ("ring +49 30 555 12 three four now", "phone", "+49 30 555 12 three four"),
+        ("host ১0.0.0.1", "ip", "১0.0.0.1"),
+    ],
+)
+def test_pii_disguises_by_themselves(text, kind, span):
+    found = pii.added_spans(text, pii.base_spans(text))
+    assert [(pii.KINDS[k], text[s:e]) for s, e, k in found] == [(kind, span)]
+
+
+def test_pii_containing_span_is_masked(make):
+    (row,) = pii.mask_personal_data(make([(1, "to jоhn.doe@example.com now")])).collect()
+    assert row.text == "to <email> now"
+
+
+def test_pii_gate_lets_all_through():
+    """No text that the normal form changes is passed over, whatever else is in it."""
+    rng = random.Random(3)
+    parts = ["one", "(four", "six.", "7", "10", ".", "plus", "dot", "at", "a", "[at]", "(dot)", "zero", "+", "@", "x", ",", "-", "un"]
+    for _ in range(20000):
+        text = rng.choice(["", " "]).join(rng.choice(parts) for _ in range(rng.randrange(9)))
+        assert pii.normal_form(text)[0] == text or pii._HINT.search(text), text
+
+
+def test_pii_many_zeros():
+    text = "0" * 5000 + ".0.0.1"
+    assert (0, len(text), 1) in pii.base_spans(text)
