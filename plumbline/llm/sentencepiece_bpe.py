@@ -6,9 +6,10 @@ import hashlib
 import heapq
 import re
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
-from operator import getitem, itemgetter
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,9 @@ from plumbline.llm.words import mixed
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Share of candidate merges that are skipped.
 DROPOUT = 0.1
-#: Ways in which one unit of text can be segmented; each occurrence draws one by a keyed hash.
-VARIANT_BITS = 2
-#: Units whose segmentations a worker remembers.
+#: Keyed bytes that are drawn at once for each occurrence of a unit; one that needs more gets them by itself.
+DRAWN = 16
+#: Units, and segmentations with skips, that a worker remembers.
 REMEMBERED = 400_000
 #: Documents whose ids are sent on together.
 LOT = 100
@@ -36,8 +37,9 @@ _MARK_BYTES = _MARK.encode()
 _MASK = (1 << 64) - 1
 #: The place in the order of scores of a pair that makes no piece.
 _NONE = 1 << 40
-_UNKNOWN = (None,) * (1 << VARIANT_BITS)
-_PLAIN = itemgetter(1 << VARIANT_BITS)
+#: The bits of the first merges of a unit.
+_FIRST = np.array([(1 << i) - 1 for i in range(DRAWN + 1)], dtype=np.uint16)
+_IDS, _MERGES = itemgetter(0), itemgetter(1)
 
 
 @dataclass(frozen=True)
@@ -85,7 +87,7 @@ def _units(glue: str) -> str:
 
 
 def _draws(unit: bytes, key: int, count: int) -> bytes:
-    """The keyed bytes of one unit, one for each candidate merge in the order in which they come up."""
+    """Keyed bytes, one for each candidate merge in the order in which they come up."""
     if count <= 16:
         return xxhash.xxh3_128_digest(unit, key)
     return b"".join(xxhash.xxh3_128_digest(unit, key + (i << 32)) for i in range(-(-count // 16)))
@@ -100,8 +102,9 @@ class Encoder:
         self.bytes = frozenset(pieces.byte_ids)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=pieces.model)
         self.known: dict[str, list] = {}
+        self.patterns = 0
 
-    def segment(self, unit: str, draws: bytes = b"") -> tuple[tuple[int, ...], int]:
+    def segment(self, unit: str, draws: Iterator[int] | None = None) -> tuple[tuple[int, ...], int]:
         """Ids of one unit, and how many merges were made.
 
         The agenda holds the candidate of each pair of neighbours; the one with the best score, the
@@ -111,7 +114,7 @@ class Encoder:
         symbols = list(unit.replace(" ", _MARK))
         count = len(symbols)
         # each of the first candidates and of the two that a merge gives comes up once at most
-        draw = iter(draws).__next__ if draws else None
+        draw = draws.__next__ if draws else None
         symbols = self._merge_short(symbols, draw) if count <= SHORT else self._merge_long(symbols, draw)
         known = self.pieces.ids
         try:
@@ -177,22 +180,22 @@ class Encoder:
                 out += [self.pieces.byte_ids[b] for b in _MARK_BYTES]
             units = self.units.findall(part if i else " " + part)
             entries = self._entries(units)
+            found = list(map(_IDS, entries))
             if self.limit:
                 start = xxhash.xxh3_64_intdigest(b"%d:%d" % (doc_id or 0, i), self.seed & _MASK)
-                draws = mixed(np.arange(len(units), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(start)) >> np.uint64(64 - VARIANT_BITS)
-                variants = draws.tolist()
-                found = list(map(getitem, entries, variants))
-                if None in found:
-                    for at, ids in enumerate(found):
-                        if ids is None:
-                            found[at] = self._learn(units[at], entries[at], variants[at])
-            else:
-                found = map(_PLAIN, entries)
+                drawn = mixed(np.arange(len(units) * (DRAWN // 8), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(start))
+                drawn = (drawn ^ (drawn >> np.uint64(32))).view(np.uint8).reshape(-1, DRAWN)
+                skips = np.packbits(drawn < self.limit, axis=1, bitorder="little").view(np.uint16)[:, 0]
+                merges = np.fromiter(map(_MERGES, entries), dtype=np.int64, count=len(entries))
+                # without a skip among the merges of the plain segmentation it is the one
+                other = np.flatnonzero((skips & _FIRST[np.minimum(merges, DRAWN)] != 0) | (merges > DRAWN))
+                for at, bits in zip(other.tolist(), skips[other].tolist(), strict=True):
+                    found[at] = self._skipping(units[at], entries[at], bits, drawn[at], start, at)
             out.extend(chain.from_iterable(found))
         return out
 
     def _entries(self, units: list[str]) -> list[list]:
-        """What is remembered of each unit, learning those that are new: its segmentation in each variant, where known, then the plain one and its merges.
+        """What is remembered of each unit, learning those that are new: the plain segmentation, its merges, those with skips by pattern and the lengths of the patterns.
 
         The library gives the same plain ids as ``segment`` and puts the first space mark by itself;
         where characters became bytes the number of merges can't be told from the ids.
@@ -200,35 +203,51 @@ class Encoder:
         entries = list(map(self.known.get, units))
         if None in entries:
             new = dict.fromkeys(unit for unit, entry in zip(units, entries, strict=True) if entry is None)
-            if len(self.known) + len(new) > REMEMBERED:
+            if len(self.known) + self.patterns + len(new) > REMEMBERED:
                 self._forget()
             marked = [unit for unit in new if unit[0] == " "]
             for unit, ids in zip(marked, self.library.encode([unit[1:] for unit in marked], num_threads=1), strict=True):
                 if ids and self.bytes.isdisjoint(ids):
-                    new[unit] = [*_UNKNOWN, tuple(ids), len(unit) - len(ids)]
+                    new[unit] = [tuple(ids), len(unit) - len(ids), None, ()]
             for unit, entry in new.items():
                 if entry is None:
-                    entry = new[unit] = [*_UNKNOWN, *self.segment(unit)]
+                    entry = new[unit] = [*self.segment(unit), None, ()]
                 if len(unit) <= SHORT and len(self.known) < REMEMBERED:
                     self.known[unit] = entry
             entries = [new[unit] if entry is None else entry for unit, entry in zip(units, entries, strict=True)]
         return entries
 
     def _forget(self) -> None:
-        """Keep the units that came up in two variants at least, or none if those are too many."""
-        kept = {unit: entry for unit, entry in self.known.items() if entry.count(None) < len(_UNKNOWN) - 1}
-        self.known = kept if len(kept) < REMEMBERED // 2 else {}
-
-    def _learn(self, unit: str, entry: list, variant: int) -> tuple[int, ...]:
-        """The segmentation of a variant: the plain one if no keyed byte of its merges asks for a skip."""
-        ids = entry[variant]
-        if ids is None:
-            *_, ids, merges = entry
-            if merges:
-                data, key = unit.encode(), self.seed << VARIANT_BITS | variant
-                if min(_draws(data, key, merges)[:merges]) < self.limit:
-                    ids, _ = self.segment(unit, _draws(data, key, 3 * len(unit)))
-            entry[variant] = ids
+        """Keep the units that came up with two patterns of skips at least, or none if those are too many."""
+        kept = {unit: entry for unit, entry in self.known.items() if len(entry[3]) and len(entry[2]) > 1}
+        size = sum(1 + len(entry[2]) for entry in kept.values())
+        self.known, self.patterns = (kept, size - len(kept)) if size < REMEMBERED // 2 else ({}, 0)
+
+    def _skipping(self, unit: str, entry: list, bits: int, drawn: np.ndarray, start: int, place: int) -> tuple[int, ...]:
+        """The segmentation of one occurrence, whose keyed bytes ask for skips.
+
+        It depends on as many of ``bits`` as there were candidates, and is remembered by these with
+        a one above them. No such pattern is the start of another one, so the first that fits is it.
+        """
+        _, _, patterns, lengths = entry
+        for length in lengths:
+            ids = patterns.get(bits & ((1 << length) - 1) | 1 << length)
+            if ids is not None:
+                return ids
+        more = 3 * len(unit) - DRAWN
+        data = drawn.tobytes()
+        if more > 0:
+            data += _draws(b"%d:%d" % (start, place), self.seed & _MASK, more)
+        draws = iter(data)
+        ids, _ = self.segment(unit, draws)
+        length = len(data) - draws.__length_hint__()
+        if length <= DRAWN and self.known.get(unit) is entry and len(self.known) + self.patterns < REMEMBERED:
+            if patterns is None:
+                patterns = entry[2] = {}
+            patterns[bits & ((1 << length) - 1) | 1 << length] = ids
+            self.patterns += 1
+            if length not in lengths:
+                entry[3] = (*lengths, length)
         return ids
 
     def decode(self, ids) -> str:
@@ -266,8 +285,8 @@ def encode_documents(docs: DataFrame, *, path: str = MODEL_PATH, dropout: float
 
     Without dropout the ids are those of the SentencePiece library, but for the space mark U+2581
     in a text, which the library turns into a space and this encoder keeps, byte by byte. With
-    dropout, occurrences of a unit (a word with the spaces before it) differ: each draws one of
-    four segmentations by a hash of seed, doc_id and place, so that reruns agree. Null text gives
+    dropout, occurrences of a unit (a word with the spaces before it) differ: each candidate merge
+    is skipped by a hash of seed, doc_id, place and its number, so that reruns agree. Null text gives
     null, empty text an empty array; a null doc_id draws as 0. Repeated rows each give a row; an
     empty table gives an empty result. Columns beside doc_id and text are not read.
     """

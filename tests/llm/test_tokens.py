@@ -154,3 +154,28 @@ def test_mix(make):
     assert repeated.columns == docs.columns
     assert repeated.count() == sum(r.repeats for r in mixing.mix(docs.where("doc_id <> 5")).collect())
     assert mixing.mix(make([])).count() == 0 and mixing.repeat_documents(make([])).count() == 0
+
+
+@pytest.mark.parametrize("merges", [1, 2, 4])
+def test_dropout_varies_for_each_occurrence(texts, merges):
+    """Every short unit gets as many ids on average as independent skips give it, however often it comes up."""
+    encoder, plain, rng = sp.Encoder(sp.load_pieces()), sp.Encoder(sp.load_pieces(), dropout=0.0), random.Random(9)
+    words = sorted({w for t in list(texts.values())[:40] for w in (t or "").split() if w.isalpha()})
+    words = [w for w in words if plain.segment(" " + w)[1] == merges][:6]
+    assert len(words) == 6
+    for word in words:
+        text, count = " ".join([word] * 4000), 4000
+        found = encoder.encode(text, 5)
+        assert encoder.decode(found) == text and found != encoder.encode(text, 6)
+        wanted = sum(len(encoder.segment(" " + word, iter(rng.randbytes(64)))[0]) for _ in range(count)) / count
+        assert wanted > len(plain.encode(word)) + 0.01 and abs(len(found) / count - wanted) < 0.05, (word, len(found) / count, wanted)
+
+
+def test_dropout_does_not_depend_on_memory(texts, monkeypatch):
+    some = [t for t in texts.values() if t][:30]
+    encoder = sp.Encoder(sp.load_pieces())
+    wanted = [encoder.encode(t, i) for i, t in enumerate(some * 2)]
+    assert encoder.patterns
+    monkeypatch.setattr(sp, "REMEMBERED", 50)
+    other = sp.Encoder(sp.load_pieces())
+    assert [other.encode(t, i) for i, t in enumerate(some * 2)] == wanted
