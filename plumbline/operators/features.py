@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.scalars import category, one_hot
+from plumbline.operators import running
 
 #: Categories from which on a column is dropped.
 MOST_CATEGORIES = 20
@@ -20,29 +21,48 @@ class NumericFit:
     dropped: dict[str, str]
 
 
+def median(rows: DataFrame, column: str) -> float | None:
+    """The exact median of a double column, the mean of the middle two if there is no single one; null is missing, NaN the largest.
+
+    It comes from running sums over the counts of values by buckets, so no task holds all different
+    values.
+    """
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    numbers = counts.where(~F.isnan("value"))
+    size = counts.agg(F.sum("n").alias("all"), F.count(F.when(~F.isnan("value"), 1)).alias("different")).first()
+    if not size["all"]:
+        return None
+    steps = running.running_sums(numbers, ["value"], {"upto": F.col("n")}, buckets=min(1024, -(-size["different"] // running.ONE_TASK_ROWS) or 1))
+    middle = [F.min(F.when(F.col("upto") > F.lit(place), F.col("value"))).alias(name) for name, place in (("low", (size["all"] - 1) // 2), ("high", size["all"] // 2))]
+    found = steps.agg(*middle).first()
+    low, high = (float("nan") if v is None else v for v in found)
+    return low if low == high else low * 0.5 + high * 0.5
+
+
 def fit_numeric(rows: DataFrame, features: list[str], *, position: str = "pos") -> NumericFit:
     """Median, mean and population standard deviation of each double column; null is missing.
 
     All-missing columns are dropped, and those whose values are close to the first one in order of
     position: within 1e-8 + 1e-5 * abs(first). The mean is of the imputed column. One aggregate
-    over the rows finds medians and first values, a second one the rest; columns are aggregated
-    side by side, so the rows are read twice whatever their number.
+    over the rows finds first values, a second one the rest, for all columns side by side; the
+    median of each column is found by itself.
     """
-    one = rows.agg(*(e for i, f in enumerate(features) for e in (F.median(f).alias(f"m{i}"), F.min_by(f, F.when(F.col(f).isNotNull(), F.col(position))).alias(f"x{i}"), F.min_by(F.col(f).isNull(), position).alias(f"n{i}")))).first()
-    there = {f: i for i, f in enumerate(features) if one[f"m{i}"] is not None}
+    one = rows.agg(*(e for i, f in enumerate(features) for e in (F.min_by(f, F.when(F.col(f).isNotNull(), F.col(position))).alias(f"x{i}"), F.min_by(F.col(f).isNull(), position).alias(f"n{i}")))).first()
+    medians = {f: median(rows, f) for f in features}
+    there = {f: i for i, f in enumerate(features) if medians[f] is not None}
     dropped = {f: "all_missing" for f in features if f not in there}
     if not there:
         return NumericFit({}, dropped)
-    filled = {f: F.coalesce(F.col(f), F.lit(one[f"m{i}"])) for f, i in there.items()}
+    filled = {f: F.coalesce(F.col(f), F.lit(medians[f])) for f, i in there.items()}
     # the first value counts after imputation
-    first = {f: one[f"m{i}"] if one[f"n{i}"] else one[f"x{i}"] for f, i in there.items()}
+    first = {f: medians[f] if one[f"n{i}"] else one[f"x{i}"] for f, i in there.items()}
     two = rows.agg(*(e for f, i in there.items() for e in (F.avg(filled[f]).alias(f"a{i}"), F.stddev_pop(filled[f]).alias(f"s{i}"), F.max(F.abs(filled[f] - F.lit(first[f]))).alias(f"d{i}")))).first()
     kept = {}
     for f, i in there.items():
         if two[f"d{i}"] <= 1e-8 + 1e-5 * abs(first[f]) or not two[f"s{i}"]:
             dropped[f] = "near_constant"
         else:
-            kept[f] = (one[f"m{i}"], two[f"a{i}"], two[f"s{i}"])
+            kept[f] = (medians[f], two[f"a{i}"], two[f"s{i}"])
     return NumericFit(kept, dropped)
 
 

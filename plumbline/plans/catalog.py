@@ -224,7 +224,7 @@ def zscore_train_only(spark, sf_dir):
 SELECT event_id, round(coalesce(f, med), 6) AS f FROM x, m""")
 def median_impute(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("f"))
-    return rows.crossJoin(F.broadcast(rows.agg(F.median("f").alias("med")))).select("event_id", F.round(F.coalesce("f", "med"), 6).alias("f"))  # one row of statistics
+    return rows.select("event_id", F.round(F.coalesce("f", F.lit(features.median(rows, "f")).cast("double")), 6).alias("f"))
 
 
 @query("SELECT o_orderpriority AS category, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS place FROM (SELECT DISTINCT o_orderpriority FROM orders)")

@@ -234,3 +234,23 @@ def test_ledger(spark, tmp_path):
 def test_profile_classes():
     found = profile.column_classes(["time", "sensor", "attack", "Attack_P1"], labels=["attack"], times=["Time"], leakage=["attack_p1"])
     assert found["retained"] == ["sensor"] and found["excluded"] == ["Attack_P1", "attack", "time"]
+
+
+@pytest.mark.parametrize("count", [1, 2, 999, 1000])
+def test_median_by_buckets(spark, monkeypatch, count):
+    """The median is exact over many buckets, and no aggregate gathers all different values for it."""
+    from statistics import median
+
+    from plumbline.operators import features, running
+
+    def gathers(column):
+        raise AssertionError("F.median holds all different values in one task")
+
+    monkeypatch.setattr(features.F, "median", gathers)
+    monkeypatch.setattr(running, "ONE_TASK_ROWS", 50)
+    values = [float(i * 7919 % 613) for i in range(count)]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(count, None)], "pos long, f double")
+    assert features.median(rows, "f") == median(values)
+    assert features.median(rows.where("f IS NULL"), "f") is None
+    if count > 2:
+        assert features.fit_numeric(rows, ["f"]).kept["f"][0] == median(values)
