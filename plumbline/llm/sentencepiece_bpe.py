@@ -5,14 +5,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -23,35 +21,35 @@ from plumbline.llm.words import mixed
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Share of candidate merges that are skipped.
 DROPOUT = 0.1
-#: Keyed bytes that are drawn at once for each occurrence of a unit; one that needs more gets them by itself.
-DRAWN = 16
-#: Units, and segmentations with skips, that a worker remembers.
-REMEMBERED = 400_000
-#: Documents whose ids are sent on together.
-LOT = 100
-#: Characters up to which a unit is remembered and has its agenda in place.
-SHORT = 64
+#: Units, and characters of units, that a worker remembers.
+REMEMBERED, REMEMBERED_CHARS = 300_000, 6_000_000
+#: Bytes of text that are encoded together, about; a longer document goes alone.
+LOT_BYTES = 1 << 20
+#: Characters of the units whose agendas are worked off side by side, by the width of their table; longer ones go one by one.
+WIDTHS = (4, 8, 16, 32, 64)
+#: Cells of a table of agendas.
+CELLS = 1 << 16
 
 _MARK = "▁"
-_MARK_BYTES = _MARK.encode()
 _MASK = (1 << 64) - 1
 #: The place in the order of scores of a pair that makes no piece.
-_NONE = 1 << 40
-#: The bits of the first merges of a unit.
-_FIRST = np.array([(1 << i) - 1 for i in range(DRAWN + 1)], dtype=np.uint16)
-_IDS, _MERGES = itemgetter(0), itemgetter(1)
+_NONE = np.int32(1 << 30)
+_PAIR = 20
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_TURN = np.uint64(0xD6E8FEB86659FD93)
 
 
 @dataclass(frozen=True)
 class Pieces:
-    """A merge-type vocabulary: ``ranks`` orders the pieces by score, the best first, and ``ids`` has their ids."""
+    """A merge-type vocabulary: the symbol of each character, the piece that two symbols make, and the order of the pieces by score, the best first."""
 
-    ranks: dict[str, int]
-    ids: dict[str, int]
+    chars: dict[str, int]
+    pairs: dict[int, int]
+    order: np.ndarray
     byte_ids: tuple[int, ...]
     output: tuple[bytes, ...]
     units: str
-    model: bytes
+    digest: str
 
 
 def load_pieces(path: str = MODEL_PATH) -> Pieces:
@@ -71,9 +69,16 @@ def load_pieces(path: str = MODEL_PATH) -> Pieces:
             ids[piece] = i
             output.append(piece.replace(_MARK, " ").encode())
             glue.update(a for a, b in zip(piece, piece[1:], strict=False) if a.isalnum() and not b.isalnum())
-    scores = sorted({-model.get_score(i) for i in ids.values()})
-    places = {score: place for place, score in enumerate(scores)}
-    return Pieces({piece: places[-model.get_score(i)] for piece, i in ids.items()}, ids, tuple(byte_ids), tuple(output), _units("".join(sorted(glue))), model.serialized_model_proto())
+    if output[0] or any(c not in ids for piece in ids for c in piece):
+        raise ValueError("a piece has id 0 or a character that is no piece; this model is not supported")
+    scores = {score: place for place, score in enumerate(sorted({-model.get_score(i) for i in ids.values()}))}
+    order = np.full(len(output), _NONE)
+    for i in ids.values():
+        order[i] = scores[-model.get_score(i)]
+    halves = ((piece[:k], piece[k:], i) for piece, i in ids.items() for k in range(1, len(piece)))
+    pairs = {ids[a] << _PAIR | ids[b]: i for a, b, i in halves if a in ids and b in ids}
+    digest = hashlib.sha256(model.serialized_model_proto()).hexdigest()
+    return Pieces({c: i for c, i in ids.items() if len(c) == 1}, pairs, order, tuple(byte_ids), tuple(output), _units("".join(sorted(glue))), digest)
 
 
 def _units(glue: str) -> str:
@@ -86,81 +91,238 @@ def _units(glue: str) -> str:
     return rf" *{word}++{some}| *[^ \n]+| +|\n"
 
 
-def _draws(unit: bytes, key: int, count: int) -> bytes:
-    """Keyed bytes, one for each candidate merge in the order in which they come up."""
-    if count <= 16:
-        return xxhash.xxh3_128_digest(unit, key)
-    return b"".join(xxhash.xxh3_128_digest(unit, key + (i << 32)) for i in range(-(-count // 16)))
+class _Numbers(dict):
+    """Units to consecutive numbers; ``fresh`` has those that are new since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        found = self[unit] = len(self)
+        self.fresh.append(unit)
+        return found
+
+
+class _Column:
+    """A one-dimensional array that grows."""
+
+    def __init__(self, kind):
+        self.data, self.size = np.zeros(1 << 12, dtype=kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.size + len(values) > len(self.data):
+            grown = np.zeros(max(2 * len(self.data), self.size + len(values)), dtype=self.data.dtype)
+            grown[: self.size] = self.data[: self.size]
+            self.data = grown
+        self.data[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    """Where each of consecutive runs begins."""
+    return np.cumsum(sizes) - sizes
+
+
+def _gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``pool`` one after another."""
+    return pool[np.arange(int(sizes.sum())) + np.repeat(starts - _starts(sizes), sizes)]
 
 
 class Encoder:
-    """Encodes texts with a vocabulary, a seed and a share of skipped merges, to the nearest 256th."""
+    """Encodes texts with a vocabulary, a seed and a share of skipped merges.
+
+    A unit's agenda holds the candidate of each pair of neighbours. The one with the best score,
+    the leftmost on ties, comes up next; it is skipped, and does not come back, or its parts merge
+    and give new candidates. Which ones are skipped is drawn for each occurrence of a unit by
+    hashes of seed, doc_id, place and number of the skip: each hash gives the candidates up to the
+    next skip, so that an occurrence whose first skip lies beyond the merges of its unit costs one
+    comparison and takes the remembered segmentation.
+    """
 
     def __init__(self, pieces: Pieces, *, dropout: float = DROPOUT, seed: int = 42):
-        self.pieces, self.seed, self.limit = pieces, seed, round(dropout * 256)
+        self.pieces, self.seed, self.dropout = pieces, seed, dropout
+        with np.errstate(divide="ignore"):
+            self.log_kept = np.log1p(-float(dropout))
         self.units = re.compile(pieces.units)
-        self.bytes = frozenset(pieces.byte_ids)
-        self.library = sentencepiece.SentencePieceProcessor(model_proto=pieces.model)
-        self.known: dict[str, list] = {}
-        self.patterns = 0
-
-    def segment(self, unit: str, draws: Iterator[int] | None = None) -> tuple[tuple[int, ...], int]:
-        """Ids of one unit, and how many merges were made.
+        self.symbols = -1 - np.arange(0x110000, dtype=np.int32)
+        for char, symbol in pieces.chars.items():
+            self.symbols[ord(char)] = symbol
+        self.symbols[ord(" ")] = pieces.chars[_MARK]
+        self.byte_ids = np.array(pieces.byte_ids, dtype=np.int32)
+        # a piece whose score no other one has is told by its place in the order
+        places, first, count = np.unique(pieces.order, return_index=True, return_counts=True)
+        self.of_place = np.zeros(int(places[places < _NONE].max(initial=0)) + 1, dtype=np.int32)
+        alone = (count == 1) & (places < _NONE)
+        self.of_place[places[alone]] = first[alone]
+        # open addressing with at most a quarter of the slots taken
+        self.bits = max(4, (4 * len(pieces.pairs)).bit_length())
+        self.slot_pairs, self.slot_ids = np.full(1 << self.bits, -1, dtype=np.int64), np.zeros(1 << self.bits, dtype=np.int32)
+        pairs = np.fromiter(pieces.pairs, dtype=np.int64, count=len(pieces.pairs))
+        for pair, slot, made in zip(pairs.tolist(), self._slots(pairs).tolist(), pieces.pairs.values(), strict=True):
+            while self.slot_pairs[slot] >= 0:
+                slot = (slot + 1) & ((1 << self.bits) - 1)
+            self.slot_pairs[slot], self.slot_ids[slot] = pair, made
+        self._forget()
 
-        The agenda holds the candidate of each pair of neighbours; the one with the best score, the
-        leftmost on ties, comes up next. It is skipped, and does not come back, if its keyed byte
-        falls below the dropout share; else its parts merge and give new candidates.
+    def _forget(self) -> None:
+        self.known, self.long = _Numbers(), {}
+        self.chars, self.plain = _Column(np.int32), _Column(np.int32)
+        self.char_start, self.char_size, self.plain_start, self.plain_size, self.merges = (_Column(np.int64) for _ in range(5))
+
+    def _slots(self, pairs: np.ndarray) -> np.ndarray:
+        return (pairs.view(np.uint64) * _SPREAD >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _made(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The piece that each pair of symbols makes, 0 for none."""
+        pairs = np.maximum(a, 0).astype(np.int64) << _PAIR | np.maximum(b, 0)
+        slots = self._slots(pairs)
+        there = self.slot_pairs[slots]
+        same = there == pairs
+        made = np.where(same, self.slot_ids[slots], np.int32(0))
+        left = np.flatnonzero(~same & (there >= 0))
+        while len(left):
+            slots[left] = (slots[left] + 1) & ((1 << self.bits) - 1)
+            there = self.slot_pairs[slots[left]]
+            same = there == pairs[left]
+            made[left[same]] = self.slot_ids[slots[left[same]]]
+            left = left[~same & (there >= 0)]
+        return made
+
+    def _gaps(self, keys: np.ndarray, turn: np.ndarray | int) -> np.ndarray:
+        """Candidates that merge before the next skip, for the number of the skip of each occurrence."""
+        drawn = mixed(keys + np.asarray(turn).astype(np.uint64) * _TURN)
+        drawn ^= drawn >> np.uint64(32)
+        chance = ((drawn >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0**-53
+        return np.minimum(np.log(chance) / self.log_kept, 1e9).astype(np.int64)
+
+    def skipped(self, key: int) -> Iterator[int]:
+        """The numbers of the skipped candidates of one occurrence, without end."""
+        turn, at = 0, -1
+        while True:
+            at += 1 + int(self._gaps(np.array([key], dtype=np.uint64), turn)[0])
+            yield at
+            turn += 1
+
+    def occurrence_keys(self, doc_id: int | None, places: np.ndarray) -> np.ndarray:
+        """What the draws of a document's units hang on."""
+        start = xxhash.xxh3_64_intdigest(b"%d" % (doc_id or 0), self.seed & _MASK)
+        return mixed(places.astype(np.uint64) * _SPREAD + np.uint64(start))
+
+    def _agendas(self, starts: np.ndarray, sizes: np.ndarray, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Work off the agendas of units of at most the last of WIDTHS characters: ids, where each unit's begin and how many, and its merges."""
+        found, begin, count, merges, total = [np.zeros(0, dtype=np.int32)], np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64), 0
+        least = 0
+        for width in WIDTHS:
+            of_width = np.flatnonzero((sizes > least) & (sizes <= width))
+            least = width
+            for rows in (of_width[i : i + CELLS // width] for i in range(0, len(of_width), CELLS // width)):
+                symbols = self._table(starts[rows], sizes[rows], width, None if keys is None else keys[rows])
+                there = symbols != 0
+                merges[rows] = sizes[rows] - there.sum(axis=1)
+                ids, count[rows] = self._written(symbols[there], there.sum(axis=1))
+                begin[rows] = total + _starts(count[rows])
+                total += len(ids)
+                found.append(ids)
+        return np.concatenate(found), begin, count, merges
+
+    def _table(self, starts: np.ndarray, sizes: np.ndarray, width: int, keys: np.ndarray | None) -> np.ndarray:
+        """Symbols of each unit once no candidate is left, 0 where one was merged into its left neighbour.
+
+        All rows take one candidate at a time, so the number of the candidate is the same for all.
+        A column without a symbol on either side spares the tests for the ends.
         """
-        symbols = list(unit.replace(" ", _MARK))
-        count = len(symbols)
-        # each of the first candidates and of the two that a merge gives comes up once at most
-        draw = draws.__next__ if draws else None
-        symbols = self._merge_short(symbols, draw) if count <= SHORT else self._merge_long(symbols, draw)
-        known = self.pieces.ids
-        try:
-            ids = tuple(map(known.__getitem__, symbols))
-        except KeyError:  # characters without a piece of their own are written as bytes
-            ids = tuple(i for s in symbols for i in ([known[s]] if s in known else [self.pieces.byte_ids[b] for b in s.encode()]))
-        return ids, count - len(symbols)
-
-    def _merge_short(self, symbols: list[str], draw) -> list[str]:
-        """The agenda as one priority for each pair in place; finding the least is cheap for a few dozen."""
-        rank, limit = self.pieces.ranks.get, self.limit
-        agenda = [rank(a + b, _NONE) for a, b in zip(symbols, symbols[1:], strict=False)]
-        while agenda:
-            best = min(agenda)
-            if best == _NONE:
-                break
-            at = agenda.index(best)
-            if draw and draw() < limit:
-                agenda[at] = _NONE
-                continue
-            merged = symbols[at] = symbols[at] + symbols.pop(at + 1)
-            del agenda[at]
-            if at:
-                agenda[at - 1] = rank(symbols[at - 1] + merged, _NONE)
-            if at < len(agenda):
-                agenda[at] = rank(merged + symbols[at + 1], _NONE)
-        return symbols
-
-    def _merge_long(self, symbols: list[str], draw) -> list[str]:
-        """The agenda as a heap over linked symbols; a candidate is stale once one of its parts has changed."""
-        ranks, limit, n = self.pieces.ranks, self.limit, len(symbols)
+        order, stride, n = self.pieces.order, width + 2, len(starts)
+        inside = np.arange(width) < sizes[:, None]
+        symbols = np.zeros((n, stride), dtype=np.int32)
+        symbols[:, 1:-1][inside] = _gather(self.chars.data, starts, sizes)
+        agenda = np.full((n, stride), _NONE)
+        pairs = inside[:, 1:]
+        agenda[:, 1:-2][pairs] = order[self._made(symbols[:, 1:-2][pairs], symbols[:, 2:-1][pairs])]
+        after = np.tile(np.arange(1, stride + 1), (n, 1))
+        before = after - 2
+        cells, ranks, afters, befores = symbols.reshape(-1), agenda.reshape(-1), after.reshape(-1), before.reshape(-1)
+        rows = np.arange(n)
+        if keys is not None:
+            turn, skip = np.zeros(n, dtype=np.int64), self._gaps(keys, 0)
+        number = 0
+        while len(rows):
+            open_ = agenda[rows]
+            at = open_.argmin(axis=1)
+            best = open_[np.arange(len(rows)), at]
+            live = best < _NONE
+            if not live.all():
+                rows, at, best = rows[live], at[live], best[live]
+            base = rows * stride
+            if keys is not None:
+                out = skip[rows] == number
+                if out.any():
+                    gone = rows[out]
+                    ranks[base[out] + at[out]] = _NONE
+                    turn[gone] += 1
+                    skip[gone] = number + 1 + self._gaps(keys[gone], turn[gone])
+                    stay = ~out
+                    base, at, best = base[stay], at[stay], best[stay]
+            left = base + at
+            next_ = afters[left]
+            right = base + next_
+            made = self.of_place[best]
+            tied = np.flatnonzero(made == 0)
+            if len(tied):
+                made[tied] = self._made(cells[left[tied]], cells[right[tied]])
+            beyond, ahead = afters[right], base + befores[left]
+            cells[left], cells[right], ranks[right], afters[left] = made, 0, _NONE, beyond
+            beyond = base + beyond
+            befores[beyond] = at
+            ranks[left] = order[self._made(made, cells[beyond])]
+            ranks[ahead] = order[self._made(cells[ahead], made)]
+            number += 1
+        return symbols[:, 1:-1]
+
+    def _written(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of symbols in runs of ``sizes``: characters without a piece become the ids of their bytes."""
+        odd = np.flatnonzero(symbols < 0)
+        if not len(odd):
+            return symbols, sizes
+        codes = -1 - symbols[odd]
+        lengths = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
+        repeats = np.ones(len(symbols), dtype=np.int64)
+        repeats[odd] = lengths
+        ids, at = np.repeat(symbols, repeats), _starts(repeats)[odd]
+        for length in (1, 2, 3, 4):
+            of = lengths == length
+            for k in range(length):
+                bits = codes[of] >> (6 * (length - 1 - k))
+                lead = bits if length == 1 else bits | (0x100 - (0x100 >> length)) & 0xFF if k == 0 else bits & 0x3F | 0x80
+                ids[at[of] + k] = self.byte_ids[lead]
+        return ids, np.add.reduceat(repeats, _starts(sizes))
+
+    def _long(self, unit: str, key: int | None) -> tuple[np.ndarray, int]:
+        """Ids of one unit and its merges: the agenda as a heap over linked symbols; a candidate is stale once one of its parts has changed."""
+        pairs, order = self.pieces.pairs.get, self.pieces.order
+        symbols = self.symbols[np.frombuffer(unit.encode("utf-32-le"), dtype=np.uint32)].tolist()
+        n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
 
         def candidate(left: int, right: int):
-            found = ranks.get(symbols[left] + symbols[right])
-            return [] if found is None else [(found, left, len(symbols[left]), len(symbols[right]))]
+            made = pairs(symbols[left] << _PAIR | symbols[right]) if symbols[left] > 0 < symbols[right] else None
+            return [] if made is None else [(int(order[made]), left, symbols[left], symbols[right], made)]
 
         agenda = [c for i in range(n - 1) for c in candidate(i, i + 1)]
         heapq.heapify(agenda)
+        skips = self.skipped(key) if key is not None and self.dropout else iter(())
+        number, skip, merges = -1, next(skips, -1), 0
         while agenda:
-            _, left, own, other = heapq.heappop(agenda)
+            _, left, own, other, made = heapq.heappop(agenda)
             right = after[left]
-            if right >= n or len(symbols[left]) != own or len(symbols[right]) != other or (draw and draw() < limit):
+            if right >= n or symbols[left] != own or symbols[right] != other:
                 continue
-            symbols[left] += symbols[right]
-            symbols[right] = ""
+            number += 1
+            if number == skip:
+                skip = next(skips)
+                continue
+            merges += 1
+            symbols[left], symbols[right] = made, 0
             after[left] = after[right]
             if after[left] < n:
                 before[after[left]] = left
@@ -168,87 +330,70 @@ class Encoder:
                 if pair[0] >= 0 and pair[1] < n:
                     for c in candidate(*pair):
                         heapq.heappush(agenda, c)
-        return [s for s in symbols if s]
+        left = np.array([s for s in symbols if s], dtype=np.int32)
+        return self._written(left, np.array([len(left)]))[0], merges
+
+    def _learn(self) -> None:
+        """Remember the characters and the plain segmentation of each fresh unit."""
+        units, self.known.fresh = self.known.fresh, []
+        first, size = len(self.char_size.data[: self.char_size.size]), np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        codes = np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32)
+        starts = self.chars.size + _starts(size)
+        self.chars.add(self.symbols[codes])
+        self.char_start.add(starts)
+        self.char_size.add(size)
+        ids, begin, count, merges = self._agendas(starts, np.where(size > WIDTHS[-1], 0, size), None)
+        more = [ids]
+        for i in np.flatnonzero(size > WIDTHS[-1]).tolist():
+            self.long[first + i] = units[i]
+            ids, merges[i] = self._long(units[i], None)
+            begin[i], count[i] = sum(map(len, more)), len(ids)
+            more.append(ids)
+        if _MARK in units:  # a space mark in the text itself is written byte by byte, so that decoding gives it back
+            i, ids = units.index(_MARK), self.byte_ids[list(_MARK.encode())]
+            begin[i], count[i], merges[i] = sum(map(len, more)), len(ids), 0
+            more.append(ids)
+        self.plain_start.add(self.plain.size + begin)
+        self.plain_size.add(count)
+        self.merges.add(merges)
+        self.plain.add(np.concatenate(more))
+
+    def encode_lot(self, texts: list[str | None], doc_ids: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts one after another, and where each text's begin, with the total at the end; null and empty texts have none."""
+        if len(self.known) > REMEMBERED or self.chars.size > REMEMBERED_CHARS:
+            self._forget()
+        units, sizes, keys = [], [], []
+        for text, doc_id in zip(texts, doc_ids, strict=True):
+            before = len(units)
+            for i, part in enumerate(text.split(_MARK) if text else ()):
+                units += [_MARK] * bool(i)
+                units += self.units.findall(part if i else " " + part)
+            sizes.append(len(units) - before)
+            if self.dropout:
+                keys.append(self.occurrence_keys(doc_id, np.arange(sizes[-1])))
+        numbers = np.fromiter(map(self.known.__getitem__, units), dtype=np.int64, count=len(units))
+        if self.known.fresh:
+            self._learn()
+        begin, count, pool = self.plain_start.data[numbers], self.plain_size.data[numbers], self.plain.data[: self.plain.size]
+        if self.dropout and units:
+            keys = np.concatenate(keys)
+            touched = np.flatnonzero(self._gaps(keys, 0) < self.merges.data[numbers])
+            size = self.char_size.data[numbers[touched]]
+            ids, at, many, _ = self._agendas(self.char_start.data[numbers[touched]], np.where(size > WIDTHS[-1], 0, size), keys[touched])
+            more, total = [pool, ids], len(ids)
+            for i in np.flatnonzero(size > WIDTHS[-1]).tolist():
+                ids, _ = self._long(self.long[int(numbers[touched[i]])], int(keys[touched[i]]))
+                at[i], many[i] = total, len(ids)
+                total += len(ids)
+                more.append(ids)
+            begin[touched], count[touched] = len(pool) + at, many
+            pool = np.concatenate(more)
+        ends = np.concatenate(([0], np.cumsum(count)))
+        return _gather(pool, begin, count), ends[np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))]
 
     def encode(self, text: str, doc_id: int | None = 0) -> list[int]:
         """Ids of a whole text; an empty one has none."""
-        if not text:
-            return []
-        out: list[int] = []
-        for i, part in enumerate(text.split(_MARK)):
-            if i:  # a space mark in the text itself is written byte by byte, so that decoding gives it back
-                out += [self.pieces.byte_ids[b] for b in _MARK_BYTES]
-            units = self.units.findall(part if i else " " + part)
-            entries = self._entries(units)
-            found = list(map(_IDS, entries))
-            if self.limit:
-                start = xxhash.xxh3_64_intdigest(b"%d:%d" % (doc_id or 0, i), self.seed & _MASK)
-                drawn = mixed(np.arange(len(units) * (DRAWN // 8), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(start))
-                drawn = (drawn ^ (drawn >> np.uint64(32))).view(np.uint8).reshape(-1, DRAWN)
-                skips = np.packbits(drawn < self.limit, axis=1, bitorder="little").view(np.uint16)[:, 0]
-                merges = np.fromiter(map(_MERGES, entries), dtype=np.int64, count=len(entries))
-                # without a skip among the merges of the plain segmentation it is the one
-                other = np.flatnonzero((skips & _FIRST[np.minimum(merges, DRAWN)] != 0) | (merges > DRAWN))
-                for at, bits in zip(other.tolist(), skips[other].tolist(), strict=True):
-                    found[at] = self._skipping(units[at], entries[at], bits, drawn[at], start, at)
-            out.extend(chain.from_iterable(found))
-        return out
-
-    def _entries(self, units: list[str]) -> list[list]:
-        """What is remembered of each unit, learning those that are new: the plain segmentation, its merges, those with skips by pattern and the lengths of the patterns.
-
-        The library gives the same plain ids as ``segment`` and puts the first space mark by itself;
-        where characters became bytes the number of merges can't be told from the ids.
-        """
-        entries = list(map(self.known.get, units))
-        if None in entries:
-            new = dict.fromkeys(unit for unit, entry in zip(units, entries, strict=True) if entry is None)
-            if len(self.known) + self.patterns + len(new) > REMEMBERED:
-                self._forget()
-            marked = [unit for unit in new if unit[0] == " "]
-            for unit, ids in zip(marked, self.library.encode([unit[1:] for unit in marked], num_threads=1), strict=True):
-                if ids and self.bytes.isdisjoint(ids):
-                    new[unit] = [tuple(ids), len(unit) - len(ids), None, ()]
-            for unit, entry in new.items():
-                if entry is None:
-                    entry = new[unit] = [*self.segment(unit), None, ()]
-                if len(unit) <= SHORT and len(self.known) < REMEMBERED:
-                    self.known[unit] = entry
-            entries = [new[unit] if entry is None else entry for unit, entry in zip(units, entries, strict=True)]
-        return entries
-
-    def _forget(self) -> None:
-        """Keep the units that came up with two patterns of skips at least, or none if those are too many."""
-        kept = {unit: entry for unit, entry in self.known.items() if len(entry[3]) and len(entry[2]) > 1}
-        size = sum(1 + len(entry[2]) for entry in kept.values())
-        self.known, self.patterns = (kept, size - len(kept)) if size < REMEMBERED // 2 else ({}, 0)
-
-    def _skipping(self, unit: str, entry: list, bits: int, drawn: np.ndarray, start: int, place: int) -> tuple[int, ...]:
-        """The segmentation of one occurrence, whose keyed bytes ask for skips.
-
-        It depends on as many of ``bits`` as there were candidates, and is remembered by these with
-        a one above them. No such pattern is the start of another one, so the first that fits is it.
-        """
-        _, _, patterns, lengths = entry
-        for length in lengths:
-            ids = patterns.get(bits & ((1 << length) - 1) | 1 << length)
-            if ids is not None:
-                return ids
-        more = 3 * len(unit) - DRAWN
-        data = drawn.tobytes()
-        if more > 0:
-            data += _draws(b"%d:%d" % (start, place), self.seed & _MASK, more)
-        draws = iter(data)
-        ids, _ = self.segment(unit, draws)
-        length = len(data) - draws.__length_hint__()
-        if length <= DRAWN and self.known.get(unit) is entry and len(self.known) + self.patterns < REMEMBERED:
-            if patterns is None:
-                patterns = entry[2] = {}
-            patterns[bits & ((1 << length) - 1) | 1 << length] = ids
-            self.patterns += 1
-            if length not in lengths:
-                entry[3] = (*lengths, length)
-        return ids
+        return self.encode_lot([text], [doc_id])[0].tolist()
 
     def decode(self, ids) -> str:
         """The text of ids from ``encode``: exactly the text that was encoded."""
@@ -261,7 +406,7 @@ _WORKER: dict[tuple, Encoder] = {}
 
 def _encoder(docs: DataFrame, path: str, dropout: float, seed: int):
     pieces = load_pieces(path)
-    key = (hashlib.sha256(pieces.model).hexdigest(), dropout, seed)
+    key = (pieces.digest, dropout, seed)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def make() -> Encoder:
@@ -274,10 +419,14 @@ def _encoder(docs: DataFrame, path: str, dropout: float, seed: int):
 
 
 def _lots(batches):
-    """LOT rows at a time, so that a task holds few ids."""
+    """Rows of about LOT_BYTES of text at a time, so that a task holds few ids."""
     for batch in batches:
-        for start in range(0, batch.num_rows, LOT):
-            yield batch.slice(start, LOT)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + LOT_BYTES, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def encode_documents(docs: DataFrame, *, path: str = MODEL_PATH, dropout: float = DROPOUT, seed: int = 42) -> DataFrame:
@@ -285,31 +434,31 @@ def encode_documents(docs: DataFrame, *, path: str = MODEL_PATH, dropout: float
 
     Without dropout the ids are those of the SentencePiece library, but for the space mark U+2581
     in a text, which the library turns into a space and this encoder keeps, byte by byte. With
-    dropout, occurrences of a unit (a word with the spaces before it) differ: each candidate merge
-    is skipped by a hash of seed, doc_id, place and its number, so that reruns agree. Null text gives
-    null, empty text an empty array; a null doc_id draws as 0. Repeated rows each give a row; an
-    empty table gives an empty result. Columns beside doc_id and text are not read.
+    dropout, each occurrence of a unit (a word with the spaces before it) draws which of its
+    candidate merges are skipped by hashes of seed, doc_id and place, so that reruns agree. Null
+    text gives null, empty text an empty array; a null doc_id draws as 0. Repeated rows each give
+    a row; an empty table gives an empty result. Columns beside doc_id and text are not read.
     """
     make = _encoder(docs, path, dropout, seed)
 
     def run(batches):
         encoder = make()
         for lot in _lots(batches):
-            ids = lot.column("doc_id")
-            found = [None if t is None else encoder.encode(t, i) for i, t in zip(ids.to_pylist(), lot.column("text").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids, starts = encoder.encode_lot(lot.column("text").to_pylist(), lot.column("doc_id").to_pylist())
+            found = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids), mask=lot.column("text").is_null())
+            yield pa.RecordBatch.from_arrays([lot.column("doc_id"), found], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, *, path: str = MODEL_PATH) -> DataFrame:
     """doc_id and ``text`` of rows of doc_id and ids; null ids give null text."""
-    make = _encoder(encoded, path, 0.0, 0)
+    output = encoded.sparkSession.sparkContext.broadcast(load_pieces(path).output)
 
     def run(batches):
-        encoder = make()
+        pieces = output.value
         for batch in batches:
-            texts = [None if ids is None else encoder.decode(ids) for ids in batch.column("ids").to_pylist()]
+            texts = [None if ids is None else b"".join(map(pieces.__getitem__, ids))[1:].decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
@@ -324,13 +473,12 @@ def encoding_digest(docs: DataFrame, *, path: str = MODEL_PATH, dropout: float =
 
     def run(batches):
         encoder = make()
-        for batch in _lots(batches):
-            rows = []
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encoder.encode(text or "", i)
-                digest = hashlib.sha256(array("i", ids).tobytes()).hexdigest()
-                rows.append((len(ids), digest, None if text is None else encoder.decode(ids) == text))
-            counts, digests, lossless = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(lossless, pa.bool_())], ["doc_id", "n_ids", "ids_sha256", "lossless"])
+        for lot in _lots(batches):
+            doc_ids, texts = lot.column("doc_id").to_pylist(), lot.column("text").to_pylist()
+            ids, starts = encoder.encode_lot(texts, doc_ids)
+            bounds = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
+            digests = [hashlib.sha256(ids[a:b].astype("<i4", copy=False)).hexdigest() for a, b in bounds]
+            lossless = [None if text is None else encoder.decode(ids[a:b].tolist()) == text for (a, b), text in zip(bounds, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([lot.column("doc_id"), pa.array(np.diff(starts)), pa.array(digests, pa.string()), pa.array(lossless, pa.bool_())], ["doc_id", "n_ids", "ids_sha256", "lossless"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_ids long, ids_sha256 string, lossless boolean")
