@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.columns import join_weighted
+from plumbline.llm.columns import HOT_SHARE, join_weighted
 from plumbline.llm.components import connected_components
 from plumbline.llm.storage import cut_lineage
 from plumbline.llm.words import WordHashes, as_bytes, mixed, rolling
@@ -20,8 +20,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Sketches of a document, and the k-mers of each: two documents of similarity s agree in one with probability s**KMERS.
 SKETCHES, KMERS = 16, 4
-#: Members up to which a bucket compares all of them; those of larger ones meet by a prefix-filter join.
+#: Members up to which a bucket compares all of them; those of larger ones meet its pivots and then texts of other classes by a prefix-filter join.
 BUCKET = 32
+#: Members of a larger bucket that all its members meet.
+PIVOTS = 4
 #: Bits of a shingle's hash that name its bin in the counts that order shingles.
 BIN_BITS = 18
 #: Crowded texts of a lot, about; the pairs of two lots are verified together.
@@ -134,23 +136,43 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text_key string, keys array<long>")
 
 
-def _bucket_members(texts: DataFrame) -> DataFrame:
-    """rep, key and n_members for each bucket that ``texts`` (rep, keys) fall into with others. A bucket is one key."""
+def _buckets(texts: DataFrame) -> DataFrame:
+    """The keys that several of ``texts`` (rep, keys) share: key, n_members and pivots, the members that come first by each of PIVOTS hashes.
+
+    All of it is summed up before it is shuffled.
+    """
     members = texts.select("rep", F.explode("keys").alias("key"))
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n_members")).where("n_members > 1")
-    return members.join(sizes, "key")
+    firsts = [F.min(F.struct(F.xxhash64(F.lit(i), "rep").alias("h"), "rep")).alias(f"p{i}") for i in range(PIVOTS)]
+    found = members.groupBy("key").agg(F.count(F.lit(1)).alias("n_members"), *firsts).where("n_members > 1")
+    return found.select("key", "n_members", F.array_distinct(F.array(*(F.col(f"p{i}.rep") for i in range(PIVOTS)))).alias("pivots"))
 
 
-def candidate_pairs(texts: DataFrame) -> DataFrame:
+def candidate_pairs(texts: DataFrame, buckets: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of ``texts`` (rep, keys) that share a bucket of at most BUCKET members: all of them."""
-    members = _bucket_members(texts).where(F.col("n_members") <= BUCKET)
+    small = buckets.where(F.col("n_members") <= BUCKET).select("key")
+    members = texts.select("rep", F.explode("keys").alias("key")).join(small, "key")
     left, right = members.select("key", F.col("rep").alias("a")), members.select("key", F.col("rep").alias("b"))
     return left.join(right, "key").where("a < b").select("a", "b").distinct()
 
 
-def crowded_texts(texts: DataFrame) -> DataFrame:
-    """The rep of each of ``texts`` (rep, keys) that falls into a bucket of more than BUCKET members."""
-    return _bucket_members(texts).where(F.col("n_members") > BUCKET).select("rep").distinct()
+def crowded_members(texts: DataFrame, buckets: DataFrame, total: int) -> DataFrame:
+    """rep and pivots for each of ``texts`` (rep, keys; ``total`` rows) and each bucket of more than BUCKET members that it falls into.
+
+    Buckets with at least HOT_SHARE of all members, 1 / HOT_SHARE of them at most, are broadcast, so that no key of the shuffle join is hot.
+    """
+    large = buckets.where(F.col("n_members") > BUCKET).select("key", "n_members", "pivots")
+    bound = F.lit(total * SKETCHES * HOT_SHARE)
+    hot, rest = large.where(F.col("n_members") >= bound).drop("n_members"), large.where(F.col("n_members") < bound).drop("n_members")
+    members = texts.select("rep", F.explode("keys").alias("key"))
+    of_hot = members.join(F.broadcast(hot), "key")
+    of_rest = members.join(F.broadcast(hot.select("key")), "key", "left_anti").join(rest, "key")
+    return of_hot.select("rep", "pivots").union(of_rest.select("rep", "pivots"))
+
+
+def pivot_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of each of ``members`` (rep, pivots) with its pivots."""
+    both = members.select("rep", F.explode("pivots").alias("pivot")).where("rep <> pivot")
+    return both.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
 
 
 def prefix_lengths(n: int, least: float) -> tuple[int, int]:
@@ -164,11 +186,15 @@ def prefix_lengths(n: int, least: float) -> tuple[int, int]:
 
 
 def crowded_pairs(docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
-    """All pairs (a, b), a < b, of ``docs`` (id, text) that can have a similarity of ``least``, by a prefix-filter join.
+    """The pairs (a, b), a < b, of ``docs`` (id, text, root) of different roots that can have a similarity of ``least``, by a prefix-filter join.
 
     The shared order of shingles puts rare ones first, by counts of 2**BIN_BITS bins of their
     hashes, so what a template gives to many texts is at the end. Any order is exact; this one
     keeps template shingles out of the prefix of a shorter text unless it hardly differs from them.
+
+    Texts of one root are in one class already and need not meet again. A shingle whose texts all
+    have one root goes; of any other, the texts of its most frequent root meet only the texts of
+    other roots. So a family that its pivots have put together makes as many rows as it has texts.
     """
 
     def count(batches):
@@ -188,25 +214,31 @@ def crowded_pairs(docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
         frequency = shared.value
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, max(1, batch.num_rows), 256)):
-                columns = [[], [], [], [], []]
-                for rep, (_, labelled) in zip(part.column("id").to_pylist(), _blocks(as_bytes(part.column("text"))), strict=True):
+                columns = [[], [], [], [], [], []]
+                for rep, root, (_, labelled) in zip(part.column("id").to_pylist(), part.column("root").to_pylist(), _blocks(as_bytes(part.column("text"))), strict=True):
                     if n := len(labelled):
                         short, long = prefix_lengths(n, least)
                         ordered = labelled[np.lexsort((labelled, frequency[(labelled >> np.uint64(64 - BIN_BITS)).astype(np.int64)]))]
                         places = np.arange(long)
-                        for column, values in zip(columns, (np.full(long, rep), ordered[:long].view(np.int64), np.full(long, n), places, places < short), strict=True):
+                        for column, values in zip(columns, (np.full(long, rep), np.full(long, root), ordered[:long].view(np.int64), np.full(long, n), places, places < short), strict=True):
                             column.append(values)
-                kinds = (np.int64, np.int64, np.int64, np.int64, bool)
+                kinds = (np.int64, np.int64, np.int64, np.int64, np.int64, bool)
                 arrays = [pa.array(np.concatenate(c) if c else np.zeros(0, dtype=k)) for c, k in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, ["rep", "shingle", "n", "place", "short"])
-
-    found = cut_lineage(docs.select("id", "text").mapInArrow(prefixes, "rep long, shingle long, n long, place long, short boolean"))
-    x = found.where("short").select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("rep", "n", "place")))
-    y = found.select("shingle", *(F.col(c).alias(f"y_{c}") for c in ("rep", "n", "place")))
-    both = x.join(y, "shingle").where("x_n < y_n OR (x_n = y_n AND x_rep < y_rep)")
+                yield pa.RecordBatch.from_arrays(arrays, ["rep", "root", "shingle", "n", "place", "short"])
+
+    found = cut_lineage(docs.select("id", "root", "text").mapInArrow(prefixes, "rep long, root long, shingle long, n long, place long, short boolean"))
+    roots = found.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("texts"))
+    mixed_ones = roots.groupBy("shingle").agg(F.max(F.struct("texts", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    found = cut_lineage(found.join(mixed_ones.select("shingle", F.col("most.root").alias("main")), "shingle"))
+    named = lambda side, rows: rows.select("shingle", *(F.col(c).alias(f"{side}_{c}") for c in ("rep", "root", "n", "place")))
+    apart = F.col("x_root") != F.col("y_root")
+    shorter = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_rep") < F.col("y_rep")))
     # if this is their first common shingle, no more than what follows in both can be common beside it
-    most = F.lit(1) + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")) - F.lit(1)
-    both = both.where(most >= F.lit(least / (1 + least)) * (F.col("x_n") + F.col("y_n")) - F.lit(1e-6))
+    most = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+    near = apart & shorter & (most >= F.lit(least / (1 + least)) * (F.col("x_n") + F.col("y_n")) - F.lit(1e-6))
+    lesser, main = found.where("root <> main"), found.where("root = main")
+    meet = lambda x, y: named("x", x.where("short")).join(named("y", y), "shingle").where(near)
+    both = meet(lesser, found).union(meet(main, lesser))
     return both.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
@@ -258,15 +290,15 @@ def verify_pairs(pairs: DataFrame, docs: DataFrame, *, least: float = SIMILARITY
 
 
 def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, class_id, copy_of, n_links.
+    """One row per document: doc_id, class_id, copy_of.
 
     copy_of is the smallest doc_id with the same text, class_id the smallest of the connected
-    component of links, n_links the number of different texts that this text was found linked to.
-    Two texts are linked if a shared order MinHash key makes them candidates and their aligned
-    five-word shingles are at least ``least`` of all shingles of both. At a similarity of 0.8 a
-    pair shares no key with a probability of 0.0002. Texts of large buckets are candidates of
-    each other by an exact prefix-filter join instead, so no link among them is passed over; their
-    links, which n_links counts, grow with the square of a family whose texts all match.
+    component of links. Two texts are linked if their aligned five-word shingles are at least
+    ``least`` of all shingles of both. Order MinHash keys make candidates: at a similarity of 0.8
+    a pair shares none with a probability of 0.0002. All members of a bucket of up to BUCKET meet.
+    Those of a larger one meet its pivots, which puts most of a family into one class; then texts
+    of large buckets that are still in different classes meet by an exact prefix-filter join, so
+    no link between classes is passed over, and links inside a class need not be counted.
 
     Null counts as an empty text; texts without words are only linked as copies. Rows that repeat
     a doc_id share its class. Rows with a null doc_id get the class of their text, null if no
@@ -277,19 +309,26 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
     texts = sketches.groupBy("text_key").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("n_copies"), F.first("keys").alias("keys"))
     texts = cut_lineage(texts)
     reps = texts.where("copy_of IS NOT NULL").select(F.col("copy_of").alias("rep"), "keys")
-    found = verify_pairs(candidate_pairs(reps), docs, least=least)
-    crowded = cut_lineage(crowded_texts(reps))
+    buckets = cut_lineage(_buckets(reps))
+    found = verify_pairs(candidate_pairs(reps, buckets), docs, least=least)
+    members = cut_lineage(crowded_members(reps, buckets, reps.count()))
+    crowded = members.select(F.col("rep").alias("id")).distinct()
     count = crowded.count()
     if count:
-        of = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(crowded.select(F.col("rep").alias("id")), "id").dropDuplicates(["id", "text"])
+        of = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(crowded, "id").dropDuplicates(["id", "text"])
         of = cut_lineage(of)
-        found = found.union(verify_crowded(crowded_pairs(of, least=least), of, count, least=least))
+        found = found.union(verify_crowded(pivot_pairs(members), of, count, least=least))
     links = cut_lineage(found.select("a", "b").distinct())
-    roots = connected_components(links)
-    degrees = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
-    linked = roots.join(degrees, "node")
-    classes = texts.drop("keys").join(linked, F.col("copy_of") == F.col("node"), "left").where("n_copies > 1 OR root IS NOT NULL")
-    classes = classes.select("text_key", "copy_of", "n_copies", F.coalesce("root", "copy_of").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    roots = cut_lineage(connected_components(links))
+    if count:
+        placed = of.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", "text", F.coalesce("root", "id").alias("root"))
+        more = cut_lineage(verify_crowded(crowded_pairs(placed, least=least), of, count, least=least).select("a", "b"))
+        if not more.isEmpty():
+            roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    linked = roots.where("node <> root")
+    heads = linked.select(F.col("root").alias("node"), "root").distinct()
+    classes = texts.drop("keys").join(linked.union(heads), F.col("copy_of") == F.col("node"), "left").where("n_copies > 1 OR root IS NOT NULL")
+    classes = classes.select("text_key", "copy_of", "n_copies", F.coalesce("root", "copy_of").alias("class_id"))
     rows = docs.select(F.col("doc_id").cast("long"), F.md5(F.coalesce("text", F.lit(""))).alias("text_key"))
     found = join_weighted(rows, classes, ["text_key"], "n_copies", docs.count())
     single = F.col("n_copies").isNull()
@@ -297,7 +336,6 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
         "doc_id",
         F.when(single, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(single, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 

@@ -223,23 +223,69 @@ def template_family(size=1500, planted=60):
     return [(i, " ".join(w)) for i, w in rows]
 
 
+def components(count, pairs):
+    """The smallest member of each one's component, by union and find."""
+    root = list(range(count))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in range(count)}
+
+
 def test_near_template_family(make):
-    """Links inside a large family that shares a template, and n_links, are those of comparing all pairs."""
+    """Classes inside a large family that shares a template are those of comparing all pairs."""
     rows, size, planted = template_family(), 1500, 60
     hashes = WordHashes()
     shingles = [labelled_shingles(hashes.of(t.encode())) for _, t in rows]
     assert not similarity(shingles[1], shingles[2]) and similarity(shingles[0], shingles[size]) > 0.8
-    degree = dict.fromkeys(range(len(rows)), 0)
-    for i in range(len(rows)):
-        for j in (*range(min(i, 200)), *range(max(size, 200), i)):  # the rest are plain members, alike but for their own words
-            if similarity(shingles[i], shingles[j]):
-                degree[i], degree[j] = degree[i] + 1, degree[j] + 1
-    found = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates(make(rows)).collect()}
-    assert all(found[size + i][0] == i for i in range(planted))
-    assert {i: n for i, (_, n) in found.items()} == degree
+    # the rest are plain members, alike but for their own words
+    pairs = [(i, j) for i in range(len(rows)) for j in (*range(min(i, 200)), *range(max(size, 200), i)) if similarity(shingles[i], shingles[j])]
+    assert len(pairs) >= planted
+    assert {r.doc_id: r.class_id for r in near_duplicates(make(rows)).collect()} == components(len(rows), pairs)
+
+
+@pytest.mark.parametrize("edits, size", [(2, 150), (3, 300), (4, 200), (5, 200)])
+def test_near_family_of_edits(make, edits, size):
+    """Copies with random edits, of which not all are linked to each other, get the classes of comparing all pairs."""
+    rng, rows = random.Random(edits), []
+    for i in range(size):
+        words = [f"t{j}" for j in range(200)]
+        for at in rng.sample(range(200), edits):
+            words[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(words)))
+    hashes = WordHashes()
+    shingles = [labelled_shingles(hashes.of(t.encode())) for _, t in rows]
+    pairs = [(j, i) for i in range(size) for j in range(i) if similarity(shingles[i], shingles[j])]
+    assert {r.doc_id: r.class_id for r in near_duplicates(make(rows)).collect()} == components(size, pairs)
+
+
+@pytest.mark.parametrize("apart", [0, 1, 7])
+def test_crowded_pairs_are_those_between_roots(make, spark, apart):
+    """Texts of one root make no pairs; every similar pair of different roots is found, whatever roots there are."""
+    rng, rows = random.Random(apart), []
+    for i in range(80):
+        words = [f"t{j}" for j in range(60)]
+        for at in rng.sample(range(60), 1):
+            words[at] = f"e{i}"
+        rows.append((i, " ".join(words), 0 if not apart or i % 8 else i % apart + 100))
+    hashes = WordHashes()
+    shingles = [labelled_shingles(hashes.of(t.encode())) for _, t, _ in rows]
+    wanted = {(j, i) for i in range(80) for j in range(i) if rows[i][2] != rows[j][2] and similarity(shingles[i], shingles[j])}
+    docs = spark.createDataFrame(rows, "id long, text string, root long")
+    found = {(r.a, r.b) for r in order_minhash.crowded_pairs(docs).collect()}
+    assert wanted <= found and all(rows[a][2] != rows[b][2] for a, b in found) and bool(wanted) == bool(apart)
+    verified = {(r.a, r.b) for r in order_minhash.verify_crowded(order_minhash.crowded_pairs(docs), docs.select("id", "text"), 80).collect()}
+    assert verified == wanted
 
 
-def test_near_links_of_a_crowd(make):
-    """n_links of a family whose texts all match counts every link."""
+def test_near_crowd(make):
+    """A family whose texts all match is one class."""
     rows = [(i, " ".join([*(f"t{j}" for j in range(200)), f"d{i}"])) for i in range(150)]
-    assert {r.n_links for r in near_duplicates(make(rows)).collect()} == {149}
+    assert {r.class_id for r in near_duplicates(make(rows)).collect()} == {0}
