@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +14,8 @@ from plumbline.llm.words import Vocabulary, as_bytes
 
 #: Labelled documents of each class that a fit reads, at most, taken in the order of a hash of doc_id.
 SAMPLE = 300
+#: Lines of a document that a fit reads, at most.
+LINES = 100
 #: A document is kept if at least this share of its words is in lines labelled content.
 CONTENT_SHARE = 0.5
 #: Texts are counted in groups of about this many bytes, each with its own word numbers.
@@ -83,47 +85,76 @@ class LineModel:
 DEFAULT = LineModel((-3.0, 4.0, 4.0, 2.0, 2.0, 5.0, 2.0, 0.5, 1.0, 0.5), 0.0, ((0.5, -0.5), (-0.5, 0.5)))
 
 
-def _log_sum(a: float, b: float) -> float:
-    return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+def fit_lines(examples: list[tuple[list[tuple[float, ...]], list[int]]], *, chain: bool = True, begin: LineModel | None = None, rounds: int = 60, rate: float = 0.5, ridge: float = 1e-3) -> LineModel:
+    """Maximum likelihood of the labels by gradient ascent with Adagrad steps; forward-backward gives expectations.
 
-
-def fit_lines(examples: list[tuple[list[tuple[float, ...]], list[int]]], *, rounds: int = 60, rate: float = 0.5, ridge: float = 1e-3) -> LineModel:
-    """Maximum likelihood of the labels by gradient ascent with Adagrad steps; forward-backward gives expectations."""
-    size = len(FEATURES)
-    params, seen = np.zeros(size + 5), np.full(size + 5, 1e-6)
-    stacked = [(np.array(f), y) for f, y in examples if f]
-    if not stacked:
+    Sequences are padded to one length and go side by side. The ascent starts from ``begin``, or from zeros. Without ``chain`` the scores of
+    changing between lines stay 0 and each line stands for itself.
+    """
+    examples = [(np.array(f), y) for f, y in examples if len(f)]
+    if not examples:
         return DEFAULT
-    total = sum(len(y) for _, y in stacked)
+    size, sizes = len(FEATURES), np.array([len(y) for _, y in examples])
+    features = np.zeros((len(examples), sizes.max(), size))
+    labels = np.zeros(features.shape[:2], dtype=np.int64)
+    for i, (f, y) in enumerate(examples):
+        features[i, : len(y)], labels[i, : len(y)] = f, y
+    inside = np.arange(features.shape[1]) < sizes[:, None]
+    moves = inside[:, 1:]
+    seen_moves = [int((moves & (labels[:, :-1] == i) & (labels[:, 1:] == j)).sum()) for i, j in itertools.product((0, 1), repeat=2)]
+    params, seen, total = np.zeros(size + 5), np.full(size + 5, 1e-6), int(sizes.sum())
+    if begin:
+        params[:] = [*begin.weights, begin.start, *begin.change[0], *begin.change[1]]
     for _ in range(rounds):
+        weights, start, change = params[:size], params[size], params[size + 1 :].reshape(2, 2)
+        score = np.where(inside, features @ weights, 0.0)
+        forward, backward = np.zeros((*score.shape, 2)), np.zeros((*score.shape, 2))
+        forward[:, 0, 1] = start + score[:, 0]
+        for t in range(1, score.shape[1]):
+            step = np.logaddexp(forward[:, t - 1, :1] + change[0], forward[:, t - 1, 1:] + change[1])
+            step[:, 1] += score[:, t]
+            forward[:, t] = np.where(inside[:, t, None], step, forward[:, t - 1])
+        for t in range(score.shape[1] - 2, -1, -1):
+            ahead = backward[:, t + 1] + np.stack((np.zeros(len(score)), score[:, t + 1]), axis=1)
+            step = np.logaddexp(ahead[:, :1] + change[:, 0], ahead[:, 1:] + change[:, 1])
+            backward[:, t] = np.where(inside[:, t + 1, None], step, 0.0)
+        z = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
+        boiler = np.where(inside, np.exp(forward[:, :, 1] + backward[:, :, 1] - z[:, None]), 0.0)
         gradient = -ridge * params
-        weights, start, (cc, cb, bc, bb) = params[:size], params[size], params[size + 1 :].tolist()
-        for features, y in stacked:
-            s, n = (features @ weights).tolist(), len(y)
-            forward = [(0.0, start + s[0])]
-            for t in range(1, n):
-                c, b = forward[-1]
-                forward.append((_log_sum(c + cc, b + bc), _log_sum(c + cb, b + bb) + s[t]))
-            backward = [(0.0, 0.0)]
-            for t in range(n - 1, 0, -1):
-                c, b = backward[-1]
-                backward.append((_log_sum(cc + c, cb + s[t] + b), _log_sum(bc + c, bb + s[t] + b)))
-            backward.reverse()
-            z = _log_sum(*forward[-1])
-            boiler = np.array([math.exp(forward[t][1] + backward[t][1] - z) for t in range(n)])
-            wrong = np.array(y) - boiler
-            gradient[:size] += features.T @ wrong / total
-            gradient[size] += wrong[0] / total
-            for t in range(1, n):
-                for k, (i, j, move) in enumerate(((0, 0, cc), (0, 1, cb), (1, 0, bc), (1, 1, bb))):
-                    chance = math.exp(forward[t - 1][i] + move + (s[t] if j else 0.0) + backward[t][j] - z)
-                    gradient[size + 1 + k] += ((y[t - 1], y[t]) == (i, j)) / total - chance / total
+        gradient[:size] += np.einsum("dtf,dt->f", features, labels - boiler) / total
+        gradient[size] += (labels[:, 0] - boiler[:, 0]).sum() / total
+        if chain:
+            for k, (i, j) in enumerate(itertools.product((0, 1), repeat=2)):
+                chance = forward[:, :-1, i] + change[i, j] + (score[:, 1:] if j else 0.0) + backward[:, 1:, j] - z[:, None]
+                gradient[size + 1 + k] += (seen_moves[k] - np.exp(np.where(moves, chance, -np.inf)).sum()) / total
+        else:
+            gradient[size:] = 0.0
         seen += gradient**2
         params += rate * gradient / np.sqrt(seen)
     w = params.tolist()
     return LineModel(tuple(w[:size]), w[size], ((w[size + 1], w[size + 2]), (w[size + 3], w[size + 4])))
 
 
+def refined_labels(model: LineModel, features: list[tuple[float, ...]], counts: list[int], quality: int, share: float = CONTENT_SHARE) -> list[int]:
+    """Labels of the lines of a document of known quality: the model's, as far as the quality bears them out.
+
+    ``counts`` are the words of each line. At least ``share`` of the words of a good document are
+    content, and less than that of a bad one; where the model's labels say otherwise, the lines
+    that are nearest to the other label by their own features change until it holds.
+    """
+    labels = model.labels(features)
+    scores, total = (np.array(features) @ np.array(model.weights)).tolist(), sum(counts)
+    content = total - sum(c for c, y in zip(counts, labels, strict=True) if y)
+    order = sorted(range(len(labels)), key=lambda i: (scores[i], i), reverse=not quality)
+    for i in order:
+        if (content >= share * total) == bool(quality):
+            break
+        if labels[i] == quality:
+            labels[i] = 1 - quality
+            content += counts[i] if quality else -counts[i]
+    return labels
+
+
 def _lines(text: bytes) -> tuple[list[tuple[float, ...]], list[int], int]:
     """Features and word counts of the lines that have words, and how many of them equal an earlier line."""
     seen, features, counts, repeats = set(), [], [], 0
@@ -138,19 +169,54 @@ def _lines(text: bytes) -> tuple[list[tuple[float, ...]], list[int], int]:
     return features, counts, repeats
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> LineModel:
-    """Fit on up to ``sample`` documents each of quality 0, whose lines count as boilerplate, and 1, as content.
+def _sampled_lines(text: bytes, chance: int) -> tuple[list[tuple[float, ...]], list[int]]:
+    """Features and word counts of LINES consecutive lines, from a place that ``chance`` gives, or of all if there are fewer."""
+    features, counts, _ = _lines(text)
+    start = chance % max(1, len(counts) - LINES + 1)
+    return features[start : start + LINES], counts[start : start + LINES]
+
 
-    Rows of ``labels`` (doc_id, quality) with other qualities and documents without text or id are passed over.
+def line_examples(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> list[tuple[list[tuple[float, ...]], list[int], int]]:
+    """Features and word counts of the lines, and the quality, of up to ``sample`` documents each of quality 0 and 1.
+
+    A document gives LINES lines at most, so no more than 2 * ``sample`` * LINES come to the
+    driver; of rows with the same doc_id one counts. Rows of ``labels`` (doc_id, quality) with
+    other qualities and documents without text or id are passed over.
     """
     chosen = first_by_hash(labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", "quality"), "quality", sample)
-    chosen = chosen.select(F.col("doc_id").alias("__q_id"), "quality").dropDuplicates(["__q_id"])
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__q_id")).where("text IS NOT NULL").select("quality", "text").collect()
-    examples = []
-    for row in sorted(rows, key=lambda r: (r.quality, r.text)):
-        features, _, _ = _lines(row.text.encode())
-        examples.append((features, [1 - row.quality] * len(features)))
-    return fit_lines(examples)
+    chosen = chosen.select(F.col("doc_id").cast("long").alias("__q_id"), F.col("quality").cast("long").alias("__q_quality")).dropDuplicates(["__q_id"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("__q_id"), "text").where("text IS NOT NULL").join(F.broadcast(chosen), "__q_id")
+
+    def run(batches):
+        for batch in batches:
+            found = [_sampled_lines(t, i) for t, i in zip(as_bytes(batch.column("text")), batch.column("__q_id").to_pylist(), strict=True)]
+            features = pa.array([[x for line in f for x in line] for f, _ in found], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("__q_id"), batch.column("__q_quality"), features, pa.array([c for _, c in found], pa.list_(pa.int64()))], ["id", "quality", "features", "counts"])
+
+    found = rows.select("__q_id", "__q_quality", "text").mapInArrow(run, "id long, quality long, features array<double>, counts array<long>")
+    found = found.groupBy("id", "quality").agg(F.min(F.struct("features", "counts")).alias("lines")).orderBy("id").collect()
+    width = len(FEATURES)
+    return [([tuple(r.lines.features[i : i + width]) for i in range(0, len(r.lines.features), width)], list(r.lines.counts), r.quality) for r in found if r.lines.counts]
+
+
+def fit_documents(examples: list[tuple[list[tuple[float, ...]], list[int], int]], *, refinements: int = 1) -> LineModel:
+    """Fit on lines of documents whose quality is known (features, word counts, quality) but not the label of each line.
+
+    All lines of a bad document start as boilerplate, all of a good one as content. A first fit
+    takes each line for itself, so that lines of a bad document that look like those of good ones
+    score as content. Then labels and model are refined in turns: the labels as
+    ``refined_labels``, the model on these sequences, which gives the scores of changing.
+    """
+    labels, model = [[1 - q] * len(c) for _, c, q in examples], None
+    for turn in range(refinements + 1):
+        model = fit_lines([(f, y) for (f, _, _), y in zip(examples, labels, strict=True)], chain=turn > 0, begin=model, rounds=60 if turn else 240)
+        labels = [refined_labels(model, *example) for example in examples]
+    return fit_lines([(f, y) for (f, _, _), y in zip(examples, labels, strict=True)], begin=model)
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> LineModel:
+    """``fit_documents`` on ``line_examples``."""
+    return fit_documents(line_examples(docs, labels, sample=sample))
 
 
 def _repeated(packed: np.ndarray) -> int:

@@ -135,6 +135,66 @@ def test_quality_verdicts(spark, small, sf_dir):
     assert Q.fit_quality(small, labels.limit(0)) == Q.DEFAULT
 
 
+def test_quality_mixed_documents(spark, small, sf_dir):
+    """Navigation before and after prose: each line gets its own label, and the share of words decides."""
+    model = Q.fit_quality(small, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    prose = [r.text for r in small.where("lang = 'en'").join(spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1"), "doc_id").orderBy("doc_id").limit(30).collect()]
+    prose = [x for t in prose for x in t.split("\n") if len(x.split()) > 30 and x.endswith(".")][:40]
+    rng, right, total = random.Random(4), 0, 0
+    assert len(prose) == 40
+    for n_nav, n_prose in itertools.product((4, 12), (4, 12)):
+        for _ in range(5):
+            nav = [" | ".join("".join(rng.choice("aeioustrn") for _ in range(6)) for _ in range(rng.randrange(5, 30))) + " |" for _ in range(n_nav)]
+            text, half = rng.sample(prose, n_prose), n_nav // 2
+            lines = nav[:half] + text + nav[half:]
+            wanted = [1] * half + [0] * n_prose + [1] * (n_nav - half)
+            found = model.labels(Q._lines("\n".join(lines).encode())[0])
+            right, total = right + sum(x == y for x, y in zip(found, wanted, strict=True)), total + len(wanted)
+    assert right / total > 0.97, right / total
+    rows = Q.score_quality(small, model).where("n_boilerplate > 0 AND n_boilerplate < n_lines").count()
+    assert rows > 0.005 * small.count()
+
+
+def test_quality_fit_by_brute_force():
+    """The gradient of the chain's likelihood vanishes where the fit ends, over all sequences of labels."""
+    rng = np.random.default_rng(2)
+    examples = [([(1.0, *rng.normal(size=len(Q.FEATURES) - 1))] * 1 + [(1.0, *rng.normal(size=len(Q.FEATURES) - 1)) for _ in range(n - 1)], rng.integers(0, 2, n).tolist()) for n in (1, 2, 3, 4, 5, 5)]
+
+    def loss(model):
+        def score(f, y):
+            return sum(np.dot(x, model.weights) for x, v in zip(f, y, strict=True) if v) + model.start * y[0] + sum(model.change[a][b] for a, b in itertools.pairwise(y))
+
+        value = sum(score(f, y) - np.log(sum(np.exp(score(f, z)) for z in itertools.product((0, 1), repeat=len(y)))) for f, y in examples)
+        params = [*model.weights, model.start, *model.change[0], *model.change[1]]
+        return value / 20 - 0.05 * np.dot(params, params) / 2
+
+    model = Q.fit_lines(examples, rounds=800, ridge=0.05)
+    best = loss(model)
+    params = np.array([*model.weights, model.start, *model.change[0], *model.change[1]])
+    for i in range(len(params)):
+        for step in (-0.02, 0.02):
+            p = params.copy()
+            p[i] += step
+            k = len(Q.FEATURES)
+            assert loss(LineModel(tuple(p[:k]), p[k], ((p[k + 1], p[k + 2]), (p[k + 3], p[k + 4])))) <= best + 1e-7
+
+
+def test_quality_refined_labels():
+    model = LineModel((0.0, 1.0, *(0.0,) * 8), 0.0, ((0.0, 0.0), (0.0, 0.0)))
+    lines = [(1.0, x, *(0.0,) * 8) for x in (2.0, -3.0, -0.5, 1.0)]
+    assert model.labels(lines) == [1, 0, 0, 1]
+    assert Q.refined_labels(model, lines, [10, 10, 10, 10], 0) == [1, 0, 1, 1]
+    assert Q.refined_labels(model, lines, [10, 10, 10, 10], 1) == [1, 0, 0, 1]
+    assert Q.refined_labels(model, lines, [30, 10, 10, 10], 1) == [0, 0, 0, 0]
+
+
+def test_quality_sample_is_bounded(make):
+    long = make([(i, "line of words\n" * 5000) for i in range(3)] + [(1, "again")] * 50 + [(4, None), (None, "x")])
+    labels = long.select("doc_id").distinct().withColumn("quality", F.lit(1)).union(make([(9, "")]).selectExpr("doc_id", "0"))
+    examples = Q.line_examples(long, labels)
+    assert len(examples) == 3 and all(len(c) <= Q.LINES and len(f) == len(c) and q == 1 for f, c, q in examples)
+
+
 def test_first_by_hash(spark):
     """The same rows as a window over everything gives, for a hot key, a rare one and ties."""
     ids = [(i, "hot") for i in range(3000)] + [(i, "rare") for i in range(5)] + [(7, "tie")] * 3
