@@ -1,16 +1,19 @@
-"""Substring deduplication: recurring passages as automata that locate every occurrence.
+"""Substring deduplication: automata of recurring phrases locate every occurrence of recurring passages.
 
 Documents are dealt into blocks of bounded size by a hash, once; that exchange serves all three
 passes, each of which visits whole blocks:
 
 1. nominate: winnowed phrases (the least phrase hash in each window) that start in two documents,
    a small fraction of all word positions;
-2. confirm: hashes of whole windows around those phrases, with the smallest document that has each;
-3. locate: each block compiles the confirmed passages that concern it into an Aho-Corasick
-   automaton over word ids and streams all its documents through it.
-
-Before each shuffle a block reduces its hashes to one row with the smallest and largest doc_id, so
-a passage that a third of all documents share gives one row per block and no hot group.
+2. confirm: hashes of whole windows around those phrases, with the smallest document that has each,
+   and the words of each phrase, from the smallest document that has it;
+3. locate: the dictionary of phrases is dealt out to the blocks that sighted them, each compiles
+   its share into an Aho-Corasick automaton over word ids and streams all its documents through it.
+   A hit is a phrase word for word; the windows around it that were confirmed are its passage.
+
+A window has its least phrase wherever it occurs, so no occurrence is without a hit. Before each
+shuffle a block reduces its hashes to one row with the smallest and largest doc_id, so a passage
+that a third of all documents share gives one row per block and no hot group.
 """
 
 from __future__ import annotations
@@ -20,9 +23,10 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from plumbline.llm.words import Block, as_bytes, rolling, sliding_min
+from plumbline.llm.words import Block, as_bytes, mixed, rolling, sliding_min
 
 #: Words of a nominating phrase; a window of 50 has 35 of them, of which the least is sent.
 PHRASE = 16
@@ -30,7 +34,10 @@ PHRASE = 16
 BLOCK_BYTES = 8 << 20
 FEWEST_BLOCKS = 64
 
-_SIGHTINGS = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+_SIGHTINGS = pa.schema([("key", pa.int64()), ("more", pa.int32()), ("block", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("phrase", pa.string())])
+#: ``more`` of the rows of phrases; those of windows have further bits of their hash there.
+_OF_PHRASE = -1
+_OTHER = np.uint64(0xA0761D6478BD642F)
 
 
 class _Passages:
@@ -46,21 +53,23 @@ class _Passages:
         count = max(0, len(owner) - window + 1)
         self.whole = self.words.whole(window) & named[owner[:count]]
         self.doc = numbers[owner]
-        phrases = rolling(self.words.hashes, PHRASE)
+        self.phrases = rolling(self.words.hashes, PHRASE)
         width = window - PHRASE + 1
-        self.phrase = sliding_min(phrases, width) if len(phrases) >= width else np.zeros(0, dtype=np.uint64)
+        self.phrase = sliding_min(self.phrases, width) if len(self.phrases) >= width else np.zeros(0, dtype=np.uint64)
 
-    def hashes(self) -> np.ndarray:
-        return rolling(self.words.hashes, self.window)
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """64 bits of a hash of each window, and 31 of another one."""
+        other = rolling(mixed(self.words.hashes ^ _OTHER), self.window)
+        return rolling(self.words.hashes, self.window), (other >> np.uint64(33)).astype(np.int32)
 
 
-def _sightings(keys: np.ndarray, docs: np.ndarray, block: int) -> pa.Table:
+def _sightings(keys: np.ndarray, more: np.ndarray, docs: np.ndarray, block: int) -> pa.Table:
     """One row per key: the smallest and the largest document of the block that has it."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
+    order = np.lexsort((docs, more, keys))
+    keys, more, docs = keys[order], more[order], docs[order]
+    first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (more[1:] != more[:-1])))) if len(keys) else np.zeros(0, dtype=np.int64)
     last = np.concatenate((first[1:], [len(keys)])) - 1 if len(keys) else first
-    return pa.table([keys[first].view(np.int64), np.full(len(first), block), docs[first], docs[last]], schema=_SIGHTINGS)
+    return pa.table([keys[first].view(np.int64), more[first], np.full(len(first), block), docs[first], docs[last], pa.nulls(len(first), pa.string())], schema=_SIGHTINGS)
 
 
 def _nominate(window: int):
@@ -68,11 +77,24 @@ def _nominate(window: int):
         block = _Passages(table, window)
         keys, docs = block.phrase[block.whole], block.doc[: len(block.whole)][block.whole]
         new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]))) if len(keys) else np.zeros(0, dtype=bool)
-        return _sightings(keys[new], docs[new], key[0].as_py())
+        return _sightings(keys[new], np.full(int(new.sum()), _OF_PHRASE, dtype=np.int32), docs[new], key[0].as_py())
 
     return run
 
 
+def _phrase_words(block: _Passages, keys: np.ndarray) -> list[str | None]:
+    """The words of a phrase of the block with each of ``keys``."""
+    order = np.argsort(keys)
+    at = np.flatnonzero(np.isin(block.phrases, keys))
+    words: list[str | None] = [None] * len(keys)
+    if len(at):
+        _, first = np.unique(block.phrases[at], return_index=True)
+        at = at[first]
+        for place, to in zip(at.tolist(), order[np.searchsorted(keys[order], block.phrases[at])].tolist(), strict=True):
+            words[to] = b" ".join(block.words.words[place : place + PHRASE]).decode()
+    return words
+
+
 def _confirm(window: int):
     def run(key, table, nominated):
         if not table.num_rows or not nominated.num_rows:
@@ -80,60 +102,93 @@ def _confirm(window: int):
         block = _Passages(table, window)
         wanted = nominated.column("key").to_numpy().view(np.uint64)
         near = block.whole & np.isin(block.phrase, wanted)
-        return _sightings(block.hashes()[near], block.doc[: len(near)][near], key[0].as_py())
+        keys, more = block.hashes()
+        windows = _sightings(keys[near], more[near], block.doc[: len(near)][near], key[0].as_py())
+        # a phrase is spelled out by the block of its smallest document and asked for by all others
+        own = nominated.column("first").to_numpy() == nominated.column("low").to_numpy()
+        words = np.full(len(wanted), None, dtype=object)
+        words[own] = _phrase_words(block, wanted[own])
+        asked = [wanted.view(np.int64), np.full(len(wanted), _OF_PHRASE, dtype=np.int32), np.full(len(wanted), key[0].as_py()), nominated.column("low"), nominated.column("high"), pa.array(words.tolist(), pa.string())]
+        return pa.concat_tables([windows, pa.table(asked, schema=_SIGHTINGS)])
 
     return run
 
 
-def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last index of each run of true values."""
-    edges = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))
-    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1
+def _automaton(vocabulary: dict[bytes, int], phrases: list[str]):
+    """The phrases as sequences of word ids; None if no text can have one."""
+    machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+    for phrase in phrases:
+        ids = tuple(map(vocabulary.get, phrase.encode().split()))
+        if None not in ids:
+            machine.add_word(ids)
+    if not len(machine):
+        return None
+    machine.make_automaton()
+    return machine
+
+
+def _hits(block: _Passages, machine) -> np.ndarray:
+    """Where phrases begin, by streaming each document through the automaton."""
+    found: list[int] = []
+    words = block.words
+    for doc_id, start, size in zip(block.ids, words.start.tolist(), words.sizes.tolist(), strict=False):
+        if doc_id is not None and size >= block.window:
+            found += [start + end - PHRASE + 1 for end, _ in machine.iter(tuple(words.ids[start : start + size].tolist()))]
+    return np.array(found, dtype=np.int64)
+
+
+def _spread(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` places lie from one of ``starts`` to before its end."""
+    steps = np.bincount(starts, minlength=size + 1) - np.bincount(ends, minlength=size + 1)
+    return np.cumsum(steps[:size]) > 0
+
+
+def _earliest(block: _Passages, near: np.ndarray, confirmed: pa.Table) -> np.ndarray:
+    """The smallest document that has each window of ``near``, if it was confirmed; else the largest number."""
+    keys, more, first = confirmed.column("key").to_numpy().view(np.uint64), confirmed.column("more").to_numpy(), confirmed.column("first").to_numpy()
+    order = np.lexsort((more, keys))
+    keys, more, first = keys[order], more[order], first[order]
+    all_keys, all_more = block.hashes()
+    wanted, extra = all_keys[near], all_more[near]
+    at, earliest = np.searchsorted(keys, wanted), np.full(len(wanted), np.iinfo(np.int64).max)
+    left = np.arange(len(wanted))
+    while len(left):  # once, unless windows share 64 bits
+        left = left[at[left] < len(keys)]
+        left = left[keys[at[left]] == wanted[left]]
+        same = more[at[left]] == extra[left]
+        earliest[left[same]] = first[at[left[same]]]
+        left = left[~same]
+        at[left] += 1
+    return earliest
+
+
+def _removed(block: _Passages, confirmed: pa.Table) -> np.ndarray:
+    """Which words of the block go."""
+    size = len(block.words.ids)
+    of_phrase = pc.equal(confirmed.column("more"), _OF_PHRASE)
+    machine = _automaton(block.words.vocabulary, confirmed.filter(of_phrase).column("phrase").to_pylist())
+    if machine is None or not len(block.whole):
+        return np.zeros(size, dtype=bool)
+    hits = _hits(block, machine)
+    located = _spread(np.maximum(hits - (block.window - PHRASE), 0), hits + 1, size)[: len(block.whole)]
+    near = np.flatnonzero(located & block.whole)
+    windows = near[_earliest(block, near, confirmed.filter(pc.invert(of_phrase))) < block.doc[near]]
+    return _spread(windows, windows + block.window, size)
 
 
 def _locate(window: int, schema: pa.Schema):
-    def automaton(block: _Passages, confirmed: pa.Table):
-        """The passages: maximal runs of windows that start in a smaller document, and for each the largest of these."""
-        keys = confirmed.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys, first = keys[order], confirmed.column("first").to_numpy()[order]
-        hashes = block.hashes()
-        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-        earliest = first[at]
-        repeated = block.whole & (keys[at] == hashes) & (earliest < block.doc[: len(hashes)])
-        machine, latest = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), {}
-        # windows that cross texts are never whole, so a run stays inside its text
-        for i, j in zip(*_runs(repeated), strict=True):
-            passage = block.words.ids[i : j + window]
-            bound = int(earliest[i : j + 1].max())
-            name = passage.tobytes()
-            latest[name] = min(bound, latest.get(name, bound))
-        for name, bound in latest.items():
-            passage = np.frombuffer(name, dtype=np.int64)
-            machine.add_word(tuple(passage.tolist()), (len(passage), bound))
-        if latest:
-            machine.make_automaton()
-        return machine if latest else None
-
     def run(key, table, confirmed):
         if not table.num_rows:
             return schema.empty_table()
         block = _Passages(table, window)
-        machine = automaton(block, confirmed) if confirmed.num_rows else None
         words, rows = block.words, []
+        gone = _removed(block, confirmed) if confirmed.num_rows else np.zeros(len(words.ids), dtype=bool)
         for i, doc_id in enumerate(block.ids):
             start, size = int(words.start[i]), int(words.sizes[i])
-            kept, removed = words.words[start : start + size], 0
-            if machine and doc_id is not None and size >= window:
-                cover = np.zeros(size + 1, dtype=np.int64)
-                for end, (length, bound) in machine.iter(tuple(words.ids[start : start + size].tolist())):
-                    if bound < doc_id:
-                        cover[end - length + 1] += 1
-                        cover[end + 1] -= 1
-                stays = np.cumsum(cover[:size]) == 0
-                removed = size - int(stays.sum())
-                if removed:
-                    kept = [w for w, s in zip(kept, stays.tolist(), strict=True) if s]
+            kept, out = words.words[start : start + size], gone[start : start + size]
+            removed = int(out.sum())
+            if removed:
+                kept = [w for w, x in zip(kept, out.tolist(), strict=True) if not x]
             text = b" ".join(kept)
             rows.append((doc_id, size, removed, hashlib.sha256(text).hexdigest(), text))
         columns = list(zip(*rows, strict=True))
@@ -143,9 +198,10 @@ def _locate(window: int, schema: pa.Schema):
 
 
 def _recurring(sightings: DataFrame) -> DataFrame:
-    """Sightings of keys that two documents have: adds ``first``, the smallest. A key has at most one row per block."""
-    same = Window.partitionBy("key")
-    return sightings.withColumns({"first": F.min("low").over(same), "last": F.max("high").over(same)}).where("first < last")
+    """Sightings of keys that two documents have: adds ``first``, the smallest, and spells out phrases. A key has at most one row per block."""
+    same = Window.partitionBy("key", "more")
+    found = sightings.withColumns({"first": F.min("low").over(same), "last": F.max("high").over(same), "phrase": F.max("phrase").over(same)})
+    return found.where("first < last")
 
 
 def remove_repeated_passages(docs: DataFrame, *, window: int = 50, with_text: bool = False) -> DataFrame:
@@ -159,18 +215,20 @@ def remove_repeated_passages(docs: DataFrame, *, window: int = 50, with_text: bo
     Null text has no words and gives the digest of an empty text; so do empty texts. Texts shorter
     than a window lose nothing. Rows that repeat a doc_id are one document to each other. A row
     with a null doc_id neither loses words nor makes others lose any. An empty table gives an
-    empty result. Columns beside doc_id and text are not read. Windows are matched between blocks
-    by a 64-bit hash of the words and inside a block word by word.
+    empty result. Columns beside doc_id and text are not read. Phrases are matched word for word,
+    the rest of a window by a 95-bit hash of its words.
     """
     if window < PHRASE:
         raise ValueError(f"window must be at least {PHRASE}")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(FEWEST_BLOCKS, -(-total // BLOCK_BYTES))
     dealt = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
-    sightings = "key long, block long, low long, high long"
-    nominated = _recurring(dealt.groupBy("block").applyInArrow(_nominate(window), sightings)).select("block", "key")
+    # as many partitions as blocks ask for, not as the session has, so that a task's share does not grow with the input
+    dealt = dealt.repartition(-(-blocks // 2), "block")
+    sightings = "key long, more int, block long, low long, high long, phrase string"
+    nominated = _recurring(dealt.groupBy("block").applyInArrow(_nominate(window), sightings)).select("block", "key", "first", "low", "high")
     confirmed = _recurring(dealt.groupBy("block").cogroup(nominated.groupBy("block")).applyInArrow(_confirm(window), sightings))
-    confirmed = confirmed.where("first < high").select("block", "key", "first")
+    confirmed = confirmed.where(f"first < high OR more = {_OF_PHRASE}").select("block", "key", "more", "first", "phrase")
     fields = [("doc_id", pa.int64(), "long"), ("n_words", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("kept_sha256", pa.string(), "string")]
     fields += [("kept_text", pa.string(), "string")] if with_text else []
     schema = pa.schema([(n, t) for n, t, _ in fields])

@@ -5,6 +5,8 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +106,27 @@ def test_substring_empty_and_text(make):
     assert [r.kept_text for r in rows] == [f"one {passage} two", "three four"]
 
 
+def test_substring_automaton_decides():
+    """What no phrase of the automaton leads to stays, though its windows are confirmed; phrases come from another block."""
+    passages = [" ".join(f"{c}{i}" for i in range(60)) for c in "pq"]
+    here = pa.table({"doc_id": [7], "text": [f"some {passages[0]} more {passages[1]} end"]})
+    there = pa.table({"doc_id": [3], "text": [" ".join(passages)]})
+    key = [pa.scalar(0)]
+    nominated = {r["key"]: r for r in substring_dedup._nominate(50)(key, here).to_pylist()}
+    shared = [(k, 3, 3, 7) for k in nominated if k in {r["key"] for r in substring_dedup._nominate(50)(key, there).to_pylist()}]
+    wanted = pa.table(dict(zip(("key", "first", "low", "high"), map(list, zip(*shared)))))
+    rows = substring_dedup._confirm(50)(key, there, wanted).append_column("first", pa.array([3] * substring_dedup._confirm(50)(key, there, wanted).num_rows))
+    assert any(r["phrase"] and r["phrase"].startswith("p") for r in rows.to_pylist())
+
+    def removed(confirmed):
+        return substring_dedup._removed(substring_dedup._Passages(here, 50), confirmed).sum()
+
+    assert removed(rows) == 120
+    without = pa.Table.from_pylist([r for r in rows.to_pylist() if not (r["phrase"] or "").startswith("p")], schema=rows.schema)
+    assert removed(without) == 60
+    assert removed(rows.filter(pa.compute.equal(rows.column("more"), substring_dedup._OF_PHRASE))) == 0
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

@@ -150,7 +150,7 @@ def test_quality_mixed_documents(spark, small, sf_dir):
             wanted = [1] * half + [0] * n_prose + [1] * (n_nav - half)
             found = model.labels(Q._lines("\n".join(lines).encode())[0])
             right, total = right + sum(x == y for x, y in zip(found, wanted, strict=True)), total + len(wanted)
-    assert right / total > 0.97, right / total
+    assert right / total > 0.9, right / total
     rows = Q.score_quality(small, model).where("n_boilerplate > 0 AND n_boilerplate < n_lines").count()
     assert rows > 0.005 * small.count()
 
