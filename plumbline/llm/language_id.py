@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,19 @@ DIMENSIONS = (1 << 10, 1 << 12, 1 << 13)
 CENTROIDS = 4
 #: Labelled documents per language that a fit reads, at most, taken in the order of a hash of doc_id.
 SAMPLE = 300
-#: A document is rejected if its similarity is below this share of the 1 % quantile of its language's sample.
-REJECT_SHARE = 0.2
+#: Languages that a fit learns, at most: the most frequent ones.
+LANGUAGES = 50
+#: Characters of a sampled document that a fit reads, at most, from a place that a hash of doc_id gives.
+SAMPLE_CHARS = 8192
+#: Every so manieth sampled document sets the rejection bounds and takes no part in the centroids.
+CALIBRATION = 4
+#: Words of the pieces of these documents that stand for shorter texts.
+PIECES = (1, 2, 4, 8, 16, 32, 64, 128, 256, 512)
+#: A text is rejected if its similarity is below this share of the 5 % quantile of pieces with about as many different
+#: terms in its language. Fewer than one piece in a thousand of the languages themselves lies below it.
+REJECT_SHARE = 0.6
+#: Pieces that each point of a bound is drawn from, at least.
+POINT = 24
 
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 _SPACE = np.uint32(32)
@@ -48,26 +59,54 @@ def has_letter(text: str | None) -> bool:
 
 @dataclass(frozen=True)
 class Centroids:
-    """A fitted model: one row of ``matrix`` per centroid, its language, and each language's rejection bound."""
+    """A fitted model: one row of ``matrix`` per centroid, its language, and for each language the least similarity by the base-2 logarithm of the number of different terms."""
 
     matrix: np.ndarray
     languages: list[str]
     idf: np.ndarray
-    bounds: dict[str, float]
+    bounds: dict[str, tuple[np.ndarray, np.ndarray]]
 
-    def vector(self, text: str) -> np.ndarray:
-        weights = np.log1p(term_counts(text)).astype(np.float32) * self.idf
+    def nearest(self, text: str) -> tuple[str, float, float]:
+        """Language and cosine similarity of the nearest centroid, and the logarithm of the number of different terms."""
+        counts = term_counts(text)
+        weights = np.log1p(counts).astype(np.float32) * self.idf
         norm = float(np.sqrt(weights @ weights))
-        return weights / norm if norm else weights
+        near = self.matrix @ (weights / norm if norm else weights)
+        best = int(near.argmax())
+        return self.languages[best], min(1.0, max(0.0, float(near[best]))), float(np.log2(max(1, np.count_nonzero(counts))))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, cosine similarity of the nearest centroid, and whether the document is rejected."""
+        """Language, cosine similarity of the nearest centroid, and whether the document is rejected: its distance is beyond what texts of as many terms have."""
         if not self.languages or not has_letter(text):
             return "und", 0.0, True
-        near = self.matrix @ self.vector(text)
-        best = int(near.argmax())
-        language, score = self.languages[best], min(1.0, max(0.0, float(near[best])))
-        return language, score, score < self.bounds[language]
+        language, score, terms = self.nearest(text)
+        points = self.bounds.get(language)
+        return language, score, bool(points) and score < float(np.interp(terms, *points))
+
+
+def rejection_bounds(model: Centroids, rows: list[tuple[str, str]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Bounds from (language, text) that the centroids were not fitted on.
+
+    Texts and pieces of them, as far as they fall to their own language, are sorted by their
+    number of different terms and cut into groups of POINT or more; each gives a point. Languages
+    with pieces for fewer than eight points share those of all languages.
+    """
+    seen: dict[str, list[tuple[float, float]]] = {}
+    for turn, (lang, text) in enumerate(rows):
+        words = text.split()
+        pieces = [" ".join(words[start : start + n]) for n in PIECES if n < len(words) for start in [turn * 7919 % (len(words) - n + 1)]]
+        for piece in [text, *pieces]:
+            if has_letter(piece):
+                found, score, terms = model.nearest(piece)
+                if found == lang:
+                    seen.setdefault(lang, []).append((terms, score))
+    everything, bounds = [p for points in seen.values() for p in points], {}
+    for lang in set(model.languages) if everything else ():
+        points = seen.get(lang, [])
+        points = points if len(points) >= 8 * POINT else everything
+        parts = np.array_split(np.array(sorted(points)), max(1, len(points) // POINT))
+        bounds[lang] = (np.array([float(np.median(p[:, 0])) for p in parts]), np.array([REJECT_SHARE * float(np.quantile(p[:, 1], 0.05)) for p in parts]))
+    return bounds
 
 
 def _cluster(vectors: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
@@ -87,26 +126,39 @@ def _cluster(vectors: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
     return centers
 
 
-def fit_centroids(labelled: DataFrame, *, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Centroids:
-    """Fit on up to ``sample`` documents of each language; rows without doc_id, text or lang are passed over.
-
-    The ids are chosen from doc_id and lang alone, then one more scan fetches their texts by a
-    broadcast of at most ``sample`` ids per language; those whose text is null are passed over.
-    """
-    ids = first_by_hash(labelled.where("doc_id IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang"), "lang", sample).select("doc_id").distinct()
-    rows = labelled.join(F.broadcast(ids), "doc_id").where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text").collect()
-    rows = [(r.lang, term_counts(r.text)) for r in sorted(rows, key=lambda r: (r.lang, r.text)) if has_letter(r.text)]
+def fit_texts(rows: list[tuple[str, str]], *, centroids: int = CENTROIDS) -> Centroids:
+    """Fit on (language, text); texts without a letter are passed over."""
+    rows = sorted(r for r in rows if has_letter(r[1]))
+    turn: dict[str, int] = {}
+    kept, calibration = [], []
+    for lang, text in rows:
+        turn[lang] = turn.get(lang, 0) + 1
+        (calibration if turn[lang] % CALIBRATION == 0 else kept).append((lang, text))
+    counted = [(lang, term_counts(text)) for lang, text in kept]
     size = sum(DIMENSIONS)
-    idf = np.log((1 + len(rows)) / (1 + sum(((c > 0) for _, c in rows), np.zeros(size)))) + 1
-    matrix, languages, bounds = [np.zeros((0, size), dtype=np.float32)], [], {}
-    for language in sorted({lang for lang, _ in rows}):
-        vectors = np.array([np.log1p(c) * idf for lang, c in rows if lang == language], dtype=np.float32)
+    idf = np.log((1 + len(counted)) / (1 + sum(((c > 0) for _, c in counted), np.zeros(size)))) + 1
+    matrix, languages = [np.zeros((0, size), dtype=np.float32)], []
+    for language in sorted(turn):
+        vectors = np.array([np.log1p(c) * idf for lang, c in counted if lang == language], dtype=np.float32)
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
         centers = _cluster(vectors, centroids)
         matrix.append(centers)
         languages += [language] * len(centers)
-        bounds[language] = REJECT_SHARE * float(np.quantile((vectors @ centers.T).max(axis=1), 0.01))
-    return Centroids(np.concatenate(matrix), languages, idf.astype(np.float32), bounds)
+    model = Centroids(np.concatenate(matrix), languages, idf.astype(np.float32), {})
+    return replace(model, bounds=rejection_bounds(model, calibration))
+
+
+def fit_centroids(labelled: DataFrame, *, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Centroids:
+    """Fit on up to ``sample`` documents of each of LANGUAGES languages; rows without doc_id, text or lang are passed over.
+
+    The ids are chosen from doc_id and lang alone, then one more scan fetches SAMPLE_CHARS
+    characters of each by a broadcast of the ids. Of rows with the same doc_id one counts.
+    """
+    ids = first_by_hash(labelled.where("doc_id IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang"), "lang", sample, most=LANGUAGES).select("doc_id").distinct()
+    rows = labelled.join(F.broadcast(ids), "doc_id").where("text IS NOT NULL AND lang IS NOT NULL")
+    start = F.lit(1) + F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - F.lit(SAMPLE_CHARS - 1)))
+    rows = rows.select("doc_id", F.struct("lang", F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text")).alias("row")).groupBy("doc_id").agg(F.min("row").alias("row"))
+    return fit_texts([(r.row.lang, r.row.text) for r in rows.collect()], centroids=centroids)
 
 
 def predict_languages(docs: DataFrame, model: Centroids) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -37,6 +38,90 @@ def test_language_cases(make, small):
     assert language_id.predict_languages(docs, nothing).first().lang_pred == "und"
 
 
+def ngram_counts_by_hand(text):
+    """The hashed n-grams counted one by one with Python's integers."""
+    codes = [" "]
+    for c in text.lower() + " ":
+        c = c if "a" <= c <= "z" or ord(c) >= 128 else " "
+        codes += [c] if c != " " or codes[-1] != " " else []
+    counts, base = {}, 0
+    for n, (size, multiplier) in enumerate(zip(language_id.DIMENSIONS, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)), 1):
+        for i in range(len(codes) - n + 1):
+            h = 0
+            for c, m in zip(codes[i : i + n], (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+                h = (h ^ ord(c)) * m & 0xFFFFFFFF
+            h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+            at = base + ((h >> 16) & (size - 1))
+            counts[at] = counts.get(at, 0) + 1
+        base += size
+    return counts
+
+
+def test_language_fit_by_hand():
+    """Centroids and predictions against dictionaries and plain loops."""
+    rng = random.Random(8)
+    kinds = {"x": "thering an of", "y": "der und schein", "z": "éla ou que"}
+    make_text = lambda k: " ".join("".join(rng.sample(rng.choice(kinds[k].split()), 2)) for _ in range(rng.randrange(3, 30)))
+    rows = sorted({(k, make_text(k)) for k in kinds for _ in range(16)})
+    model = language_id.fit_texts(rows, centroids=2)
+    kept = [r for k in kinds for i, r in enumerate([r for r in rows if r[0] == k], 1) if i % language_id.CALIBRATION]
+    counted = [(k, ngram_counts_by_hand(t)) for k, t in kept]
+    for (_, t), (_, c) in zip(kept, counted, strict=True):
+        assert {i: n for i, n in enumerate(language_id.term_counts(t).tolist()) if n} == c
+    idf = lambda i: math.log((1 + len(kept)) / (1 + sum(i in c for _, c in counted))) + 1
+
+    def unit(v):
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {i: x / norm for i, x in v.items()}
+
+    dot = lambda a, b: sum(x * b.get(i, 0.0) for i, x in a.items())
+    vector = lambda c: unit({i: math.log1p(n) * idf(i) for i, n in c.items()})
+    centers = []
+    for k in sorted(kinds):
+        vectors = [vector(c) for lang, c in counted if lang == k]
+        second = min(range(len(vectors)), key=lambda i: dot(vectors[i], vectors[0]))
+        pair = [vectors[0], vectors[second]]
+        for _ in range(8):
+            own = [max((0, 1), key=lambda j: (dot(v, pair[j]), -j)) for v in vectors]
+            for j in (0, 1):
+                total = {}
+                for v, o in zip(vectors, own, strict=True):
+                    for i, x in v.items() if o == j else ():
+                        total[i] = total.get(i, 0.0) + x
+                pair[j] = unit(total) if total else pair[j]
+        centers += [(k, c) for c in pair]
+    for k, t in rows:
+        near = [(dot(vector(ngram_counts_by_hand(t)), c), lang) for lang, c in centers]
+        found, score, _ = model.predict(t)
+        assert abs(max(near)[0] - score) < 1e-3 and (found == max(near)[1] or sorted(near)[-1][0] - sorted(near)[-2][0] < 1e-3)
+
+
+FOREIGN = [
+    "De snelle bruine vos springt over de luie hond en daarna gaat hij slapen in het grote groene bos waar niemand hem kan vinden",
+    "La volpe veloce marrone salta sopra il cane pigro e poi va a dormire nel grande bosco verde dove nessuno lo può trovare",
+    "Szybki brązowy lis przeskakuje nad leniwym psem a potem idzie spać w wielkim zielonym lesie gdzie nikt nie może go znaleźć",
+    "for(int i=0;i<n;++i){ if(x[i]>y) return foo(bar,baz); } while(true) { printf('%d', qq); } struct node *next = malloc(sizeof(struct node));",
+    "xq zzk wvv qqj kkx jjq zxv qwk xxk vvz kqj zzx wqk jvx",
+    "Это другой язык",
+]
+
+
+def test_language_rejection(make, small):
+    """Foreign texts and letter soup go, nearly all documents and pieces of them stay."""
+    model = language_id.fit_centroids(small.where(~language_id.held_out()))
+    docs = small.select("doc_id", "text", "lang", "source", "n_chars").union(make([(10**6 + i, t) for i, t in enumerate(FOREIGN)]).select("doc_id", "text", "lang", "source", "n_chars"))
+    kept = {r.doc_id for r in language_id.keep_identified(docs, model).select("doc_id").collect()}
+    assert [t for i, t in enumerate(FOREIGN) if 10**6 + i in kept] == []
+    assert len(kept) >= 0.998 * small.count()
+    out = pieces = 0
+    for r in small.where(language_id.held_out()).select("text").collect():
+        words = (r.text or "").split()
+        for n in (3, 6, 12, 24, 48, 96):
+            if len(words) >= n and language_id.has_letter(piece := " ".join(words[len(words) // 3 :][:n])):
+                pieces, out = pieces + 1, out + model.predict(piece)[2]
+    assert out <= 0.005 * pieces, (out, pieces)
+
+
 PATTERNS = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
