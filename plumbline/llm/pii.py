@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -35,27 +36,33 @@ SPELLED = {
 
 _DIGIT_WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _AT, _DOT = "at|arroba|ät", "dot|punto|punkt|point"
-_DISGUISES = re.compile(
-    rf"(?P<at>\s*[\[({{<]\s*(?:{_AT})\s*[\])}}>]\s*)"
-    rf"|(?P<dot>\s*[\[({{<]\s*(?:{_DOT})\s*[\])}}>]\s*)"
-    rf"|(?P<bare_at>(?<=[A-Za-z0-9])\s+(?:{_AT})\s+(?=[A-Za-z0-9-]+\s+(?:{_DOT})\s+[A-Za-z0-9]))"
-    rf"|(?P<bare_dot>(?<=[A-Za-z0-9])\s+(?:{_DOT})\s+(?=[A-Za-z0-9]))"
-    rf"|(?P<plus>\bplus[ -]+(?=(?:{_DIGIT_WORD}|[0-9])\b))"
-    rf"|(?P<digits>\b(?:{_DIGIT_WORD}|[0-9])(?:[ ,-]+(?:{_DIGIT_WORD}|[0-9]))*\b)",
+_OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
+# no part can be entered at more than one place of a run of white space, so a scan is linear
+_PHRASES = re.compile(
+    rf"(?P<at>{_OPEN}\s*+(?:{_AT})\s*+{_CLOSE}\s*+)"
+    rf"|(?P<dot>{_OPEN}\s*+(?:{_DOT})\s*+{_CLOSE}\s*+)"
+    rf"|(?P<bare_at>(?<=[A-Za-z0-9])\s++(?:{_AT})\s++(?=[A-Za-z0-9-]++(?:\s++(?:{_DOT})\s++[A-Za-z0-9]|\s*+{_OPEN}\s*+(?:{_DOT})\s*+{_CLOSE}|(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,24}}\b)))"
+    rf"|(?P<bare_dot>(?<=[A-Za-z0-9])\s++(?:{_DOT})\s++(?=[A-Za-z0-9]))",
     re.IGNORECASE,
 )
+_TOKENS = re.compile(
+    rf"(?P<plus>\bplus[ -]++(?=(?:{_DIGIT_WORD}|[0-9]++)\b))"
+    rf"|(?P<digits>\b(?:{_DIGIT_WORD}|[0-9]++)(?:[ ,-]++(?:{_DIGIT_WORD}|[0-9]++)\b)*+\b)",
+    re.IGNORECASE,
+)
+_PARTS = re.compile(r"[^ ,-]++")
 # what all texts have that the normal form changes, but for characters that look like others
 _HINT = re.compile(
-    rf"[\[({{<]\s*(?:{_AT}|{_DOT})\s*[\])}}>]|\s(?:{_DOT})\s"
-    rf"|\bplus[ -]+(?:{_DIGIT_WORD}|[0-9])\b"
-    rf"|\.(?:{_DIGIT_WORD})\b"
-    rf"|\b(?:{_DIGIT_WORD})(?:[ ,-]+[0-9])*[ ,-]+(?:{_DIGIT_WORD})\b",
+    rf"{_OPEN}\s*+(?:{_AT}|{_DOT})\s*+{_CLOSE}|\s(?:{_DOT})\s"
+    rf"|\s(?:{_AT})\s++[A-Za-z0-9-]++\."
+    rf"|\bplus[ -]++(?:{_DIGIT_WORD}|[0-9]++)\b"
+    rf"|\.(?:{_DIGIT_WORD})\b|\b(?:{_DIGIT_WORD})\.[A-Za-z0-9]"
+    rf"|\b(?:{_DIGIT_WORD})(?:[ ,-]++[0-9]++)*[ ,-]++(?:{_DIGIT_WORD})\b",
     re.IGNORECASE,
 )
 _SPELLED_ONE = re.compile(rf"\b(?:{_DIGIT_WORD})\b", re.IGNORECASE)
 # a spelled digit that other digits, or a plus sign, may share an identifier with
-_NEAR = re.compile(rf"(?:[+0-9]|\bplus)[ ().,-]*\b(?:{_DIGIT_WORD})\b|\b(?:{_DIGIT_WORD})[ ().,-]+(?:(?:{_DIGIT_WORD})\b|[0-9])", re.IGNORECASE)
-_DOT_NEXT = re.compile(rf"\s+(?:{_DOT})\s", re.IGNORECASE)
+_NEAR = re.compile(rf"(?:[+0-9]|\bplus)[ ().,-]*\b(?:{_DIGIT_WORD})\b|\b(?:{_DIGIT_WORD})[ ().,-]++(?:(?:{_DIGIT_WORD})\b|[0-9])", re.IGNORECASE)
 
 
 def _luhn(digits: str) -> bool:
@@ -101,49 +108,67 @@ def _plain(char: str) -> str:
     return same if len(same) == 1 and same.isascii() else char
 
 
-def _digits_of(run: str) -> str:
-    return "".join(SPELLED.get(w, w) for w in re.split(r"[ ,-]+", run.lower()))
-
-
-def normal_form(text: str, *, every: bool = False) -> tuple[str, list[int]]:
-    """The text with disguises undone, and for each of its characters the place in the text that it came from.
-
-    The list has one more entry, the length of the text. A run of spelled digits needs four
-    digits or more, of which two are spelled; a shorter one stays as it is, unless ``every`` spelled digit counts.
-    """
+def _characters(text: str) -> tuple[str, list[int]]:
+    """Look-alike characters made plain and characters without width left out, with the place in ``text`` of each that stays."""
+    if text.isascii():
+        return text, list(range(len(text)))
     chars, origin = [], []
     for i, char in enumerate(text):
         plain = char if char.isascii() else _plain(char)
         if plain:
             chars.append(plain)
             origin.append(i)
-    origin.append(len(text))
-    middle = "".join(chars)
-    out, places, last = [], [], 0
-    for m in _DISGUISES.finditer(middle):
-        kind, new = m.lastgroup, None
-        if kind in ("at", "bare_at"):
-            new = "@"
-        elif kind in ("dot", "bare_dot"):
-            new = "."
-        elif kind == "plus":
-            new = "+"
-        elif (digits := _digits_of(m[0])) != m[0] and every:
-            new = digits
-        elif len(digits) >= 4 and sum(w.lower() in SPELLED for w in re.split(r"[ ,-]+", m[0])) >= 2:
-            new = digits
-        elif m[0].lower() in SPELLED and (middle.endswith((".", " dot ", " punto ", " punkt ", " point "), 0, m.start()) or _DOT_NEXT.match(middle, m.end())):
-            new = digits
-        if new is not None:
-            out.append(middle[last : m.start()])
-            places += origin[last : m.start()]
-            out.append(new)
-            # one source place for each new character: words one by one, anything else at its start
-            words = [w.start() for w in re.finditer(r"[^ ,-]+", m[0])] if kind == "digits" else [0]
-            places += [origin[m.start() + w] for w in words]
-            last = m.end()
-    out.append(middle[last:])
-    return "".join(out), places + origin[last:]
+    return "".join(chars), origin
+
+
+def _phrases(text: str) -> tuple[str, list[int]]:
+    """At and dot as words, bare or in brackets, made signs, with the white space around them left out."""
+    out, origin, last = [], [], 0
+    for m in _PHRASES.finditer(text):
+        before = len(text[last : m.start()].rstrip()) + last if m.lastgroup in ("at", "dot") else m.start()
+        out += [text[last:before], "@" if m.lastgroup in ("at", "bare_at") else "."]
+        origin += [*range(last, before), m.start()]
+        last = m.end()
+    return "".join(out) + text[last:], [*origin, *range(last, len(text))]
+
+
+def _tokens(text: str, every: bool) -> tuple[str, list[int]]:
+    """Runs of digits as words and numbers made one number, and plus as a word made a sign.
+
+    A run needs four digits or more and two words among them, or is one word next to a dot between
+    letters or digits, unless ``every`` run with a word counts.
+    """
+    out, origin, last = [], [], 0
+    for m in _TOKENS.finditer(text):
+        new, places = "+", [m.start()]
+        if m.lastgroup == "digits":
+            parts = [(p.start(), p[0], SPELLED.get(p[0].lower())) for p in _PARTS.finditer(text, m.start(), m.end())]
+            spelled = sum(digit is not None for _, _, digit in parts)
+            if not spelled:
+                continue
+            new = "".join(digit or part for _, part, digit in parts)
+            places = [at + i for at, part, digit in parts for i in range(1 if digit else len(part))]
+            start, end = m.span()
+            by_dot = len(parts) == 1 and (text[start - 1 : start] == "." and text[start - 2 : start - 1].isalnum() or text[end : end + 1] == "." and text[end + 1 : end + 2].isalnum())
+            if not (every or by_dot or (len(new) >= 4 and spelled >= 2)):
+                continue
+        out += [text[last : m.start()], new]
+        origin += [*range(last, m.start()), *places]
+        last = m.end()
+    return "".join(out) + text[last:], [*origin, *range(last, len(text))]
+
+
+def normal_form(text: str, *, every: bool = False) -> tuple[str, list[int]]:
+    """The text with disguises undone, and for each of its characters the place in the text that it came from.
+
+    Three passes, each with the places of its own output in its input: characters, at and dot
+    phrases, digit tokens (``every`` as there). The list has one more entry, the length of the text.
+    """
+    found, origin = _characters(text)
+    for undo in (_phrases, lambda x: _tokens(x, every)):
+        found, places = undo(found)
+        origin = [origin[i] for i in places]
+    return found, [*origin, len(text)]
 
 
 def _odd(text: str) -> bool:
@@ -156,7 +181,34 @@ def _normal_spans(text: str, every: bool) -> list[tuple[int, int, int]]:
     if normal == text:
         return []
     # a span ends where the source of its last character does: before that of the next one, without white space between
-    return [(s, s + len(text[s : origin[end]].rstrip(" ,-\t\n\r")), kind) for start, end, kind in base_spans(normal) for s in [origin[start]]]
+    return [(s, s + len(text[s : origin[end]].rstrip(" ,-\t\n\v\f\r")), kind) for start, end, kind in base_spans(normal) for s in [origin[start]]]
+
+
+class _Spans:
+    """Spans in order of their starts, with the furthest end so far, so that what a span meets is found without a look at all of them."""
+
+    def __init__(self, spans=()):
+        self.spans, self.starts, self.reach = [], [], []
+        for span in spans:
+            self.add(span)
+
+    def add(self, span: tuple[int, int, int]) -> None:
+        self.spans.append(span)
+        self.starts.append(span[0])
+        self.reach.append(max(span[1], self.reach[-1] if self.reach else 0))
+
+    def cover(self, s: int, e: int) -> bool:
+        """Whether one of the spans holds all of s to e."""
+        at = bisect_right(self.starts, s) - 1
+        return at >= 0 and self.reach[at] >= e
+
+    def met(self, s: int, e: int):
+        """The spans that share a place with s to e."""
+        at = bisect_left(self.starts, e) - 1
+        while at >= 0 and self.reach[at] > s:
+            if self.spans[at][1] > s:
+                yield self.spans[at]
+            at -= 1
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -167,21 +219,18 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     or contains one of its kind and has two spelled digits beside it.
     """
     odd = _odd(text)
-    taken, added = [(s, e) for s, e, _ in base], []
+    taken, added, more = _Spans(base), _Spans(), _Spans()
     if odd or _HINT.search(text):
         for s, e, kind in _normal_spans(text, False):
-            if not any(a <= s and e <= b for a, b in taken):
-                added.append((s, e, kind))
-                taken.append((s, e))
+            if not taken.cover(s, e) and not added.cover(s, e):
+                added.add((s, e, kind))
     if odd or _NEAR.search(text):
         for s, e, kind in _normal_spans(text, True):
-            met = [(a, b) for a, b in taken if a < e and s < b]
             # one valid without them grows by two spelled digits or more; a single one may be the next word
-            longer = [(a, b) for a, b, k in [*base, *added] if k == kind and s <= a and b <= e and len(_SPELLED_ONE.findall(text[s:a] + " " + text[b:e])) >= 2]
-            if all(m in longer for m in met):
-                added.append((s, e, kind))
-                taken.append((s, e))
-    return sorted(added, key=lambda x: (x[0], x[2]))
+            grows = lambda a, b, k: k == kind and s <= a and b <= e and len(_SPELLED_ONE.findall(text[s:a] + " " + text[b:e])) >= 2  # noqa: B023, E731
+            if not any(more.met(s, e)) and all(grows(*m) for spans in (taken, added) for m in spans.met(s, e)):
+                more.add((s, e, kind))
+    return sorted(added.spans + more.spans, key=lambda x: (x[0], x[2]))
 
 
 def _joined(spans) -> str:
