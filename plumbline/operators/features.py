@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumbline.functions.scalars import category, one_hot
+from plumbline.functions.scalars import category, logit_gradient, one_hot
 from plumbline.operators import running
 
 #: Categories from which on a column is dropped.
@@ -155,3 +155,13 @@ def class_weight(rows: DataFrame, label: str = "label") -> DataFrame:
     return counts.withColumn("positive_weight", F.when(both, F.try_divide(F.col("negatives").cast("double"), F.col("positives").cast("double"))))
 
 
+def linear_step(rows: DataFrame, weights: dict[str, float], bias: float, *, label: str = "label", rate: float = 0.05, positive_weight: float = 1.0) -> DataFrame:
+    """key and value of a linear model after one step of gradient descent over all rows; ``weights`` are by feature column.
+
+    The gradient is one aggregate, summed where the rows are before anything is shuffled.
+    """
+    logit = sum((F.col(f) * F.lit(w) for f, w in weights.items()), F.lit(bias))
+    slope = logit_gradient(logit, label, positive_weight)
+    means = rows.withColumn("__slope", slope).agg(*(F.avg(F.col("__slope") * F.col(f)).alias(f) for f in weights), F.avg("__slope").alias("bias"))
+    stepped = [F.struct(F.lit(k).alias("key"), (F.lit(w) - F.lit(rate) * F.col(k)).alias("value")) for k, w in {**weights, "bias": bias}.items()]
+    return means.select(F.inline(F.array(*stepped)))

@@ -87,10 +87,25 @@ def chain(rows: list[dict], *, experiment: str, cluster: int, digest: str) -> li
     return out
 
 
-def broken_links(records: DataFrame, *, by=("cluster_id",), order: str = "round_id", new: str = "new_main_model_hash", previous: str = "previous_main_model_hash") -> DataFrame:
-    """The records whose previous hash is not the new hash of the record before; the first one must have none."""
-    before = F.lag(new).over(Window.partitionBy(*by).orderBy(order))
-    return records.withColumn("expected", before).where(~F.col(previous).eqNullSafe(F.col("expected")))
+def previous_hash(new: str, *, by=("cluster_id",), order: str = "round_id") -> Column:
+    """The new hash of the record before; for ledgers of few records a cluster, see ``broken_links`` for any size."""
+    return F.lag(new).over(Window.partitionBy(*by).orderBy(order))
+
+
+def broken_links(records: DataFrame, *, by=("cluster_id",), order: str = "round_id", new: str = "new_main_model_hash", previous: str = "previous_main_model_hash", span: int = 100_000) -> DataFrame:
+    """The records whose previous hash is not the new hash of the record before; the first one must have none.
+
+    Records meet in stretches of ``span`` round numbers, not by cluster. Each stretch hands the hash
+    of its last record on to the next one of its cluster, over one row per stretch.
+    """
+    rows = records.withColumn("__stretch", F.floor(F.col(order) / F.lit(span)))
+    last = rows.groupBy(*by, "__stretch").agg(F.max_by(new, order).alias("__last"))
+    carried = last.select(*by, "__stretch", F.lag("__last").over(Window.partitionBy(*by).orderBy("__stretch")).alias("__carried"))
+    inside = F.lag(new).over(Window.partitionBy(*by, "__stretch").orderBy(order))
+    first = F.row_number().over(Window.partitionBy(*by, "__stretch").orderBy(order)) == 1
+    rows = rows.withColumns({"__inside": inside, "__first": first}).join(carried, [*by, "__stretch"])
+    rows = rows.withColumn("expected", F.when(F.col("__first"), F.col("__carried")).otherwise(F.col("__inside")))
+    return rows.where(~F.col(previous).eqNullSafe(F.col("expected"))).select(*records.columns, "expected")
 
 
 def latency(records: DataFrame, *, by=("cluster_id",), start: str = "timestamp_start", end: str = "timestamp_end") -> DataFrame:

@@ -401,11 +401,11 @@ def state_replace(spark, sf_dir):
     return _rounded(state.replace_state(pick(0), pick(1)), "value")
 
 
-@query(f"""WITH {_STATES}, d AS (SELECT key, idx, sum(value) AS s FROM st WHERE contributor < 20 GROUP BY ALL), c AS (SELECT key, idx, value FROM st WHERE contributor = 0)
-SELECT c.key, c.idx, round(c.value + coalesce(d.s, 0) / 40, 6) AS value FROM c LEFT JOIN d ON c.key = d.key AND c.idx = d.idx""")
+@query(f"""WITH {_STATES}, d AS (SELECT key, idx, sum(value) AS s FROM st GROUP BY ALL), n AS (SELECT count(DISTINCT contributor) AS n FROM st), c AS (SELECT key, idx, value FROM st WHERE contributor = 0)
+SELECT c.key, c.idx, round(c.value + coalesce(d.s, 0) / n.n, 6) AS value FROM c CROSS JOIN n LEFT JOIN d ON c.key = d.key AND c.idx = d.idx""")
 def scaffold_update(spark, sf_dir):
     rows = states(spark, sf_dir)
-    return _rounded(state.server_control(rows.where("contributor = 0").select("key", "idx", "value"), rows.where("contributor < 20"), 40), "value")
+    return _rounded(state.server_control(rows.where("contributor = 0").select("key", "idx", "value"), rows, rows.select("contributor").distinct().count()), "value")
 
 
 @query(f"WITH {_STATES}, r AS (SELECT key, idx, value AS b FROM st WHERE contributor = 0) SELECT contributor, round(0.005 * sum(power(value - b, 2)), 8) AS penalty FROM st JOIN r ON st.key = r.key AND st.idx = r.idx GROUP BY contributor")
@@ -434,7 +434,7 @@ def communication_cost(spark, sf_dir):
     return reports.communication_cost(runs)
 
 
-_ARTIFACTS = "a AS (SELECT DISTINCT event_type AS experiment_id, user_id % 4 AS seed, CASE user_id % 17 WHEN 0 THEN 'failed' WHEN 1 THEN 'metrics' ELSE 'log' END AS kind FROM events WHERE event_id % 97 < 3)"
+_ARTIFACTS = "a AS (SELECT DISTINCT event_type AS experiment_id, user_id % 4 AS seed, CASE WHEN event_type = 'error' AND user_id % 4 = 1 THEN 'failed' WHEN event_type IN ('click', 'purchase') OR user_id % 4 < 2 THEN 'metrics' ELSE 'log' END AS kind FROM events)"
 
 
 @query(f"""WITH {_ARTIFACTS}, g AS (SELECT DISTINCT event_type AS experiment_id, s.seed FROM events, (SELECT unnest(range(0, 5)) AS seed) s),
@@ -444,8 +444,8 @@ SELECT experiment_id, count(*) AS n_seeds, count(*) FILTER (WHERE state = 'COMPL
 CASE WHEN count(*) FILTER (WHERE state = 'COMPLETE') = count(*) THEN 'COMPLETE' WHEN count(*) FILTER (WHERE state = 'COMPLETE') > 0 THEN 'PARTIAL' WHEN count(*) FILTER (WHERE state IN ('FAILED', 'PARTIAL')) > 0 THEN 'FAILED' ELSE 'MISSING' END AS status FROM y GROUP BY experiment_id""")
 def seed_status(spark, sf_dir):
     rows = table(spark, sf_dir, "events")
-    kind = F.expr("CASE user_id % 17 WHEN 0 THEN 'failed' WHEN 1 THEN 'metrics' ELSE 'log' END")
-    artifacts = rows.where("event_id % 97 < 3").select(F.col("event_type").alias("experiment_id"), (F.col("user_id") % 4).alias("seed"), kind.alias("kind"))
+    kind = F.expr("CASE WHEN event_type = 'error' AND user_id % 4 = 1 THEN 'failed' WHEN event_type IN ('click', 'purchase') OR user_id % 4 < 2 THEN 'metrics' ELSE 'log' END")
+    artifacts = rows.select(F.col("event_type").alias("experiment_id"), (F.col("user_id") % 4).alias("seed"), kind.alias("kind"))
     grid = reports.seed_grid(rows.select(F.col("event_type").alias("experiment_id")), spark.range(5).withColumnRenamed("id", "seed"))
     return reports.experiment_status(reports.seed_states(grid, artifacts))
 
@@ -546,11 +546,9 @@ p AS (SELECT *, lag(new_hash) OVER (PARTITION BY cluster_id ORDER BY round_id) A
 SELECT cluster_id, round_id FROM q WHERE previous_hash IS DISTINCT FROM expected""")
 def ledger_chain_verify(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("cluster_id"), F.col("event_id").alias("round_id"), F.sha2(F.col("event_id").cast("string"), 256).alias("new_hash"))
-    from pyspark.sql import Window
-
-    before = F.lag("new_hash").over(Window.partitionBy("cluster_id").orderBy("round_id"))
+    before = ledger.previous_hash("new_hash")
     rows = rows.withColumn("previous_hash", F.when(F.col("round_id") % 101 == 0, "x").otherwise(before))
-    return ledger.broken_links(rows, new="new_hash", previous="previous_hash").select("cluster_id", "round_id")
+    return ledger.broken_links(rows, new="new_hash", previous="previous_hash", span=1000).select("cluster_id", "round_id")
 
 
 @query("""SELECT user_id % 3 AS cluster_id, count(*) AS n_records, round(avg((epoch_us(ts + to_milliseconds(CAST(event_id % 7 AS INTEGER))) - epoch_us(ts)) / 1000.0), 6) AS mean_latency_ms FROM events GROUP BY 1""")
@@ -601,3 +599,6 @@ def train_round_tcn(spark, sf_dir):
     from plumbline.operators.networks import Network
 
     return _one_round(spark, sf_dir, Network("tcn", 2, 16, blocks=(8, 8, 8), head=8), True, method="fedbn", rate=0.01)
+
+
+from plumbline.plans import catalog_io  # noqa: E402, F401  registers its queries here

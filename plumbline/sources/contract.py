@@ -8,6 +8,8 @@ from pathlib import Path
 
 import yaml
 
+from plumbline.sources.files import is_there, matching
+
 #: Environment variable that moves the data root, and the root that relative paths name by default.
 ROOT_VARIABLE, DEFAULT_ROOT = "PLUMBLINE_DATA_ROOT", "data/raw"
 
@@ -87,7 +89,7 @@ def profile_files(contract: Contract) -> list[str]:
     """The listed files in their order; each must exist and be a CSV file."""
     paths = [f"{resolve(contract.directory)}/{f}" for f in contract.files]
     for p in paths:
-        if not p.endswith(".csv") or not os.path.isfile(p):
+        if not p.endswith(".csv") or not is_there(p):
             raise ContractError(f"no CSV file at {p}")
     return paths
 
@@ -95,11 +97,11 @@ def profile_files(contract: Contract) -> list[str]:
 def training_files(contract: Contract) -> list[str]:
     """The files that training reads: those listed, else all by name; the one file; or the combined file, without a fallback."""
     if contract.mode == "directory":
-        found = profile_files(contract) if contract.files else sorted(map(str, Path(resolve(contract.directory)).glob(contract.pattern)))
+        found = profile_files(contract) if contract.files else matching(resolve(contract.directory), contract.pattern)
         if not found:
             raise ContractError(f"no files in {contract.directory}")
         return found
     path = resolve(contract.file)
-    if not os.path.isfile(path):
+    if not is_there(path):
         raise ContractError(f"no file at {path}", contract.missing_code if contract.mode == "combined" else None)
     return [path]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from plumbline.functions import scalars as S
 from plumbline.operators.profile import profile_columns
 from plumbline.sources.contract import Contract, ContractError, profile_files, training_files
+from plumbline.sources.files import first_bytes
 
 #: Columns that every scan adds: the file's place in the list, and the row's place in the file.
 FILE, ROW = "file_ord", "row_ord"
@@ -24,9 +25,8 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
 
 
 def has_mark(spark: SparkSession, path: str) -> bool:
-    """Whether a file starts with a byte-order mark; only its first bytes are compared."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 3).alias("head")).first()
-    return bytes(head.head) == b"\xef\xbb\xbf"
+    """Whether a file starts with a byte-order mark; only its first bytes are read."""
+    return first_bytes(path, 3) == b"\xef\xbb\xbf"
 
 
 def scan(spark: SparkSession, paths: list[str], *, ragged: str = "reject") -> DataFrame:
