@@ -27,3 +27,9 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     """A checkpoint of ``frame`` in the checkpoint folder."""
     checkpoint_folder(frame.sparkSession)
     return frame.checkpoint()
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ``shared_folder`` that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

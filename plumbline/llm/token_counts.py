@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -11,25 +14,52 @@ from plumbline.llm.tokens import END_OF_DOCUMENT, RANKS_PATH, byte_encoding
 
 #: Bytes of a block, a multiple of any id's size.
 BLOCK_BYTES = 1 << 18
+#: Bytes of a file that a task reads in one go, about, and tasks at most; with more spans than these a task reads several.
+SPAN_BYTES, MOST_TASKS = 64 << 20, 100_000
 
 
-def read_flat_files(spark: SparkSession, path: str, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of flat files: file, block (from 0), payload. A file is read by one task (Spark reads binary files whole, up to 2 GB)."""
+def read_flat_files(spark: SparkSession, path: str, *, block_bytes: int = BLOCK_BYTES, whole: bool = False) -> DataFrame:
+    """Blocks of flat files of any size: file, block (from 0), payload.
 
-    def run(batches):
+    Files are listed with their lengths only; then each task reads spans of SPAN_BYTES by offset,
+    so one large file spreads over many tasks. The ranges are read by pyarrow's file systems; for a
+    store that these do not know, ``whole`` lets Spark read each file by one task, up to 2 GB.
+    """
+    listed = spark.read.format("binaryFile").load(path)
+
+    def cut(batches):
         for batch in batches:
             for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 for i, start in enumerate(range(0, len(content), block_bytes)):
                     yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([i], pa.int64()), pa.array([content[start : start + block_bytes]], pa.binary())], ["file", "block", "payload"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, payload binary")
+    def ranges(batches):
+        for batch in batches:
+            for file, first, length in zip(*(batch.column(c).to_pylist() for c in ("path", "first", "length")), strict=True):
+                # Spark writes file:/x where pyarrow wants file:///x
+                store, place = pa.fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", file))
+                with store.open_input_file(place) as stream:
+                    for block in range(first, min(first + per_span, -(-length // block_bytes))):
+                        payload = stream.read_at(min(block_bytes, length - block * block_bytes), block * block_bytes)
+                        yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([payload], pa.binary())], ["file", "block", "payload"])
+
+    schema = "file string, block long, payload binary"
+    if whole:
+        return listed.select("path", "content").mapInArrow(cut, schema)
+    per_span = max(1, SPAN_BYTES // block_bytes)
+    files = listed.where("length > 0").select("path", "length")
+    spans = files.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {per_span * block_bytes}"))).alias("span"))
+    count = files.agg(F.sum(F.expr(f"(length - 1) div {per_span * block_bytes} + 1"))).first()[0] or 1
+    return spans.select("path", "length", (F.col("span") * per_span).alias("first")).repartition(min(count, MOST_TASKS), "path", "first").mapInArrow(ranges, schema)
 
 
 def flat_token_blocks(docs: DataFrame, *, block_bytes: int = BLOCK_BYTES, path: str = RANKS_PATH, end: int = END_OF_DOCUMENT) -> DataFrame:
     """The documents as flat streams of 16-bit ids, one per task, each document followed by ``end``, in blocks.
 
     Gives file, block, payload and doc_ids, those of the documents whose separator is in the
-    block: the list that a corpus writer keeps beside its flat files.
+    block: the list that a corpus writer keeps beside its flat files. Null and empty texts are
+    documents without ids, repeated rows are documents each, an empty table gives no blocks, and
+    columns beside doc_id and text are not read.
     """
     schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("payload", pa.binary()), ("doc_ids", pa.list_(pa.int64()))])
 

@@ -152,8 +152,37 @@ def test_counts_of_files(spark, tmp_path, block_bytes):
         counts = [len(x) for x in "".join("|" if i == 0 else "x" for i in ids).split("|")]
         wanted |= {(f"{f}.bin", n): c for n, c in enumerate(counts if counts[-1] else counts[:-1])}
     (tmp_path / "3.bin").write_bytes(b"")
-    found = tc.count_tokens(tc.read_flat_files(spark, str(tmp_path), block_bytes=block_bytes), end=0).collect()
-    assert {(r.file.split("/")[-1], r.ordinal): r.n_tokens for r in found} == wanted
+    for whole in (False, True):
+        found = tc.count_tokens(tc.read_flat_files(spark, str(tmp_path), block_bytes=block_bytes, whole=whole), end=0).collect()
+        assert {(r.file.split("/")[-1], r.ordinal): r.n_tokens for r in found} == wanted
+
+
+def test_counts_of_one_file_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tc, "SPAN_BYTES", 64)
+    ids = np.random.default_rng(1).integers(0, 40, 5000).astype("<u2")
+    ids.tofile(tmp_path / "one.bin")
+    blocks = tc.read_flat_files(spark, str(tmp_path), block_bytes=32)
+    assert blocks.rdd.getNumPartitions() > 100 and sorted(r.block for r in blocks.collect()) == list(range(-(-10000 // 32)))
+    ends = np.flatnonzero(ids == 0)
+    wanted = [*(np.diff(ends, prepend=-1) - 1).tolist(), *([len(ids) - 1 - int(ends[-1])] if ends[-1] < len(ids) - 1 else [])]
+    assert [r.n_tokens for r in tc.count_tokens(blocks, end=0).orderBy("ordinal").collect()] == wanted
+
+
+def test_counts_odd_tables(make):
+    rows = [(1, "some words"), (None, "x"), (3, None)]
+    found = tc.count_tokens(tc.flat_token_blocks(make(rows, extra=("file", "block", "payload", "doc_ids")))).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in found) == [(0, 1), (1, 2), (3, 0)]
+    assert tc.count_tokens(tc.flat_token_blocks(make([]))).count() == 0
+
+
+def test_packing_fill(texts):
+    """Packing lot by lot fills rows nearly as well as one pass over everything."""
+    encoding = byte_encoding()
+    sizes = [n for t in texts.values() for n in [len(encoding.encode_ordinary(t or ""))] for n in [*[256] * (n // 256), n % 256] if n]
+    rows = lambda part: len(packing.best_fit_decreasing(part, 256))
+    lots = [sizes[i : i + 400] for i in range(0, len(sizes), 400)]
+    assert rows(sizes) <= sum(map(rows, lots)) <= 1.02 * rows(sizes)
+    assert sum(sizes) / (256 * sum(map(rows, lots))) > 0.95
 
 
 def fill(sizes, weights, share=1.5, epochs=2.0):
@@ -179,7 +208,7 @@ def test_targets(spark, seed):
         assert found[name] == pytest.approx(want)
 
 
-def test_mix(make):
+def test_mix(make, monkeypatch):
     rng = random.Random(3)
     rows = [(i, "w " * rng.randrange(1, 60), None, rng.choice(["b", "a", "a", "a", None, "\U0001f642"])) for i in range(600)] + [(700, None, None, "a"), (701, "", None, "empty"), (702, "x", None, ""), (5, "w w", None, "a")]
     docs = make(rows, extra=("bucket", "taken"))
@@ -193,6 +222,13 @@ def test_mix(make):
     repeated = mixing.repeat_documents(docs.where("doc_id <> 5"))
     assert repeated.columns == docs.columns
     assert repeated.count() == sum(r.repeats for r in mixing.mix(docs.where("doc_id <> 5")).collect())
+    twice = mixing.repeat_documents(docs.where("doc_id = 5 OR source = 'b'"))
+    assert {r.doc_id for r in twice.collect()} <= {r.doc_id for r in docs.collect()}
+    long = mixing.mix(make([(1, "w " * 2_000_000, None, "a"), (2, "w", None, "a")])).orderBy("doc_id").collect()
+    assert [r.size for r in long] == [2_000_000, 1] and all(r.taken <= 2 * r.size for r in long)
+    wanted = sorted(map(str, mixing.repeat_documents(docs).collect()))
+    monkeypatch.setattr(mixing, "LIMITS", 0)
+    assert sorted(map(str, mixing.repeat_documents(docs).collect())) == wanted
     assert mixing.mix(make([])).count() == 0 and mixing.repeat_documents(make([])).count() == 0
 
 
