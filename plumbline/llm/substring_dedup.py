@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from plumbline.llm.words import Block, as_bytes, mixed, rolling, sliding_min
+from plumbline.llm.words import Block, Vocabulary, as_bytes, mixed, rolling, sliding_min
 
 #: Words of a nominating phrase; a window of 50 has 35 of them, of which the least is sent.
 PHRASE = 16
@@ -40,12 +40,19 @@ _OF_PHRASE = -1
 _OTHER = np.uint64(0xA0761D6478BD642F)
 
 
+#: The words of earlier blocks of a Python worker, which spares numbering and hashing them again; bounded.
+REMEMBERED = 500_000
+_WORKER = Vocabulary()
+
+
 class _Passages:
     """A block of documents with the hashes of its windows."""
 
     def __init__(self, table: pa.Table, window: int):
         self.ids = table.column("doc_id").to_pylist()
-        self.words = Block(as_bytes(table.column("text")))
+        if len(_WORKER) > REMEMBERED:
+            _WORKER.clear()
+        self.words = Block(as_bytes(table.column("text")), _WORKER)
         self.window = window
         named = np.array([x is not None for x in self.ids], dtype=bool)
         numbers = np.array([x or 0 for x in self.ids], dtype=np.int64)
@@ -58,9 +65,9 @@ class _Passages:
         self.phrase = sliding_min(self.phrases, width) if len(self.phrases) >= width else np.zeros(0, dtype=np.uint64)
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """64 bits of a hash of each window, and 31 of another one."""
+        """64 bits of a hash of each window, and 16 of another one."""
         other = rolling(mixed(self.words.hashes ^ _OTHER), self.window)
-        return rolling(self.words.hashes, self.window), (other >> np.uint64(33)).astype(np.int32)
+        return rolling(self.words.hashes, self.window), (other >> np.uint64(48)).astype(np.int32)
 
 
 def _sightings(keys: np.ndarray, more: np.ndarray, docs: np.ndarray, block: int) -> pa.Table:
@@ -114,27 +121,40 @@ def _confirm(window: int):
     return run
 
 
+def _width(vocabulary: dict) -> int:
+    """Characters of a word in an automaton: digits to base 64. One character a word would give a node as many branches as there are words."""
+    return max(1, -(-len(vocabulary).bit_length() // 6))
+
+
+def _as_text(numbers: np.ndarray, width: int) -> str:
+    """Numbers as ``width`` digits each, the lowest first and from an alphabet of its own, so that a match begins where a word does."""
+    digits = (numbers[:, None] >> (6 * np.arange(width))) & 63
+    digits[:, 0] += 64
+    return digits.astype(np.uint8).tobytes().decode("ascii")
+
+
 def _automaton(vocabulary: dict[bytes, int], phrases: list[str]):
-    """The phrases as sequences of word ids; None if no text can have one."""
-    machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for phrase in phrases:
-        ids = tuple(map(vocabulary.get, phrase.encode().split()))
-        if None not in ids:
-            machine.add_word(ids)
-    if not len(machine):
+    """The phrases as sequences of words; None if no text can have one."""
+    split = [tuple(map(vocabulary.get, phrase.encode().split())) for phrase in phrases]
+    known = [ids for ids in split if None not in ids]
+    if not known:
         return None
+    machine, width = ahocorasick.Automaton(ahocorasick.STORE_LENGTH), _width(vocabulary)
+    text = _as_text(np.array(known).reshape(-1) + 1, width)
+    for i in range(0, len(text), PHRASE * width):
+        machine.add_word(text[i : i + PHRASE * width])
     machine.make_automaton()
     return machine
 
 
 def _hits(block: _Passages, machine) -> np.ndarray:
-    """Where phrases begin, by streaming each document through the automaton."""
-    found: list[int] = []
-    words = block.words
-    for doc_id, start, size in zip(block.ids, words.start.tolist(), words.sizes.tolist(), strict=False):
-        if doc_id is not None and size >= block.window:
-            found += [start + end - PHRASE + 1 for end, _ in machine.iter(tuple(words.ids[start : start + size].tolist()))]
-    return np.array(found, dtype=np.int64)
+    """Where phrases begin, by streaming all documents, with a 0 after each, through the automaton."""
+    words, width = block.words, _width(block.words.vocabulary)
+    stream = np.zeros(len(words.ids) + len(words.sizes), dtype=np.int64)
+    back, place = np.zeros(len(stream), dtype=np.int64), np.arange(len(words.ids)) + words.owner()
+    stream[place], back[place] = words.ids + 1, np.arange(len(words.ids))
+    ends = np.fromiter((end for end, _ in machine.iter(_as_text(stream, width))), dtype=np.int64)
+    return back[ends // width] - (PHRASE - 1)
 
 
 def _spread(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
@@ -216,7 +236,7 @@ def remove_repeated_passages(docs: DataFrame, *, window: int = 50, with_text: bo
     than a window lose nothing. Rows that repeat a doc_id are one document to each other. A row
     with a null doc_id neither loses words nor makes others lose any. An empty table gives an
     empty result. Columns beside doc_id and text are not read. Phrases are matched word for word,
-    the rest of a window by a 95-bit hash of its words.
+    the rest of a window by an 80-bit hash of its words.
     """
     if window < PHRASE:
         raise ValueError(f"window must be at least {PHRASE}")
@@ -228,7 +248,7 @@ def remove_repeated_passages(docs: DataFrame, *, window: int = 50, with_text: bo
     sightings = "key long, more int, block long, low long, high long, phrase string"
     nominated = _recurring(dealt.groupBy("block").applyInArrow(_nominate(window), sightings)).select("block", "key", "first", "low", "high")
     confirmed = _recurring(dealt.groupBy("block").cogroup(nominated.groupBy("block")).applyInArrow(_confirm(window), sightings))
-    confirmed = confirmed.where(f"first < high OR more = {_OF_PHRASE}").select("block", "key", "more", "first", "phrase")
+    confirmed = confirmed.where("first < high").select("block", "key", "more", "first", "phrase")
     fields = [("doc_id", pa.int64(), "long"), ("n_words", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("kept_sha256", pa.string(), "string")]
     fields += [("kept_text", pa.string(), "string")] if with_text else []
     schema = pa.schema([(n, t) for n, t, _ in fields])

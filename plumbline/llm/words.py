@@ -18,6 +18,10 @@ class Vocabulary(dict):
         super().__init__()
         self.hashes: list[int] = []
 
+    def clear(self) -> None:
+        super().clear()
+        self.hashes = []
+
     def __missing__(self, word: bytes) -> int:
         found = self[word] = len(self.hashes)
         self.hashes.append(xxhash.xxh3_64_intdigest(word))
@@ -40,11 +44,11 @@ class WordHashes(dict):
 class Block:
     """The words of several texts one after another: ``ids`` and ``hashes`` by word, ``start`` by text.
 
-    ``bytes.split`` splits at exactly the six ASCII white-space characters that bound a word here.
+    A ``vocabulary`` may come from earlier blocks. ``bytes.split`` splits at exactly the six ASCII white-space characters that bound a word here.
     """
 
-    def __init__(self, texts: list[bytes | None]):
-        self.vocabulary = Vocabulary()
+    def __init__(self, texts: list[bytes | None], vocabulary: Vocabulary | None = None):
+        self.vocabulary = Vocabulary() if vocabulary is None else vocabulary
         words: list[bytes] = []
         sizes = np.zeros(len(texts), dtype=np.int64)
         for i, text in enumerate(texts):

@@ -99,6 +99,17 @@ def test_substring_random(make, seed):
     assert substring_found(docs, 20) == substring_brute(rows, 20)
 
 
+def test_substring_does_not_depend_on_memory():
+    """Blocks that forget the words of earlier ones in between give the same."""
+    tables = [pa.table({"doc_id": [i], "text": [" ".join(f"w{i * 7 % 90 + j}" for j in range(80))]}) for i in range(6)]
+    wanted = [substring_dedup._nominate(20)([pa.scalar(0)], t) for t in tables]
+    remembered, substring_dedup.REMEMBERED = substring_dedup.REMEMBERED, 60
+    try:
+        assert [substring_dedup._nominate(20)([pa.scalar(0)], t) for t in tables] == wanted
+    finally:
+        substring_dedup.REMEMBERED = remembered
+
+
 def test_substring_empty_and_text(make):
     assert substring_dedup.remove_repeated_passages(make([])).count() == 0
     passage = " ".join(f"p{i}" for i in range(60))
