@@ -1,8 +1,11 @@
 """Rounds of local training and two-level weighted means, one Spark job per round.
 
 Examples stay on the executors: a client is one group of a DataFrame, trained in the task that has
-it. What goes out is the state of the network, and what comes back its long table; both are a few
-thousand numbers per client. States are averaged by ``plumbline.operators.state``.
+it, so a client should have no more examples than a task holds. What goes out is the averaged state
+of the network; what comes back is a long table, written once per round. What belongs to a client
+(FedBN's batch-norm state, SCAFFOLD's control variate) stays in that table and meets the client's
+examples in the next round by a cogroup, so the driver holds one state, however many clients there
+are. States are averaged by ``plumbline.operators.state``.
 """
 
 from __future__ import annotations
@@ -11,11 +14,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from plumbline.functions.scalars import BATCH_NORM
 from plumbline.operators import scoring, state as states
 from plumbline.operators.networks import Network, State, probabilities, weighted_loss
+from plumbline.sources.files import workspace
 
 METHODS = ("fedavg", "fedprox", "scaffold", "fedbn")
 
@@ -86,8 +90,8 @@ def train_client(training: Training, x: np.ndarray, y: np.ndarray, shared: State
                     g = first[k] / (1 - 0.9**steps) / (np.sqrt(second[k] / (1 - 0.999**steps)) + 1e-8)
                 current[k] = current[k] - training.rate * g
             current |= fresh
-            losses.append((loss, len(part)))
-    mean = sum(a * n for a, n in losses) / sum(n for _, n in losses)
+            losses.append(loss)
+    mean = sum(losses) / len(losses)  # of the means of batches, whatever the size of the last one
     renewed = {}
     if training.method == "scaffold":
         renewed = {k: control.get(k, 0.0) - server.get(k, 0.0) + (start[k] - current[k]) / (steps * training.rate) for k in current}
@@ -103,94 +107,127 @@ def _rows(client: int, kind: str, arrays: State) -> list[tuple]:
     return [(client, kind, k, i, float(v)) for k, a in arrays.items() for i, v in enumerate(np.ravel(a))]
 
 
-def local_updates(examples: DataFrame, training: Training, shared: dict, *, own: dict[int, State] | None = None, server: State | None = None, controls: dict[int, State] | None = None, round_no: int = 1) -> DataFrame:
-    """Train every client of ``examples`` (client, subcluster_id, features, label): client, subcluster_id, n, loss, kind, key, idx, value.
+_UPDATE = "client long, subcluster_id string, n long, loss double, kind string, key string, idx int, value double"
 
-    ``shared`` is the state by sub-cluster id. kind is state or control. A client's seed comes from
-    the round and its number, never from the order of tasks.
+
+def _of_client(rows: pd.DataFrame | None, kind: str, network: Network) -> State:
+    """The arrays of one kind that a client has in the table of an earlier round; a key is whole or not there."""
+    if rows is None:
+        return {}
+    shapes, rows = network.shapes(), rows[rows["kind"] == kind]
+    return {k: part.sort_values("idx")["value"].to_numpy(np.float32).reshape(shapes[k]) for k, part in rows.groupby("key")}
+
+
+def with_seed_places(examples: DataFrame, *, hierarchical: bool) -> DataFrame:
+    """``examples`` with seed_place, which sets a client's seed apart: its place, or 100 for each sub-cluster before its own and its place in there."""
+    clients = examples.select("client", "subcluster_id").distinct()
+    inside = Window.partitionBy("subcluster_id").orderBy("client") if hierarchical else Window.orderBy("client")
+    place = F.row_number().over(inside) - 1
+    if hierarchical:
+        place = place + 100 * (F.dense_rank().over(Window.orderBy("subcluster_id")) - 1)
+    return examples.join(clients.select("client", "subcluster_id", place.cast("long").alias("seed_place")), ["client", "subcluster_id"])
+
+
+def local_updates(examples: DataFrame, training: Training, shared: State, *, earlier: DataFrame | None = None, server: State | None = None, round_no: int = 1) -> DataFrame:
+    """Train every client of ``examples`` (client, subcluster_id, seed_place, features, label): client, subcluster_id, n, loss, kind, key, idx, value.
+
+    kind is state or control. ``earlier`` is the table of the round before, from which a client
+    takes what is its own. A client's seed comes from the round and its place, never from the
+    order of tasks.
     """
-    known = examples.sparkSession.sparkContext.broadcast((shared, own or {}, server, controls or {}))
+    known = examples.sparkSession.sparkContext.broadcast((shared, server))
 
-    def run(group):
-        start, own_states, server_control, client_controls = known.value
+    def train(group: pd.DataFrame, before: pd.DataFrame | None) -> pd.DataFrame:
+        if not len(group):
+            return pd.DataFrame({"client": [], "subcluster_id": [], "n": [], "loss": [], "kind": [], "key": [], "idx": [], "value": []})
+        start, server_control = known.value
         client, sub = int(group["client"].iloc[0]), group["subcluster_id"].iloc[0]
         group = group.sort_values("example")
-        found = train_client(training, _tensor(group["features"], training.network), group["label"].to_numpy(), start[sub], own=own_states.get(client), server=server_control, control=client_controls.get(client), seed=training.seed + 1000 * round_no + client)
+        own = _of_client(before, "state", training.network) if training.method == "fedbn" else {}
+        control = _of_client(before, "control", training.network)
+        seed = training.seed + 1000 * round_no + int(group["seed_place"].iloc[0])
+        found = train_client(training, _tensor(group["features"], training.network), group["label"].to_numpy(), start, own=own, server=server_control, control=control, seed=seed)
         rows = _rows(client, "state", found.state) + _rows(client, "control", found.control)
         out = pd.DataFrame(rows, columns=["client", "kind", "key", "idx", "value"])
         return out.assign(subcluster_id=sub, n=len(group), loss=found.loss)[["client", "subcluster_id", "n", "loss", "kind", "key", "idx", "value"]]
 
-    schema = "client long, subcluster_id string, n long, loss double, kind string, key string, idx int, value double"
-    return examples.select("client", "subcluster_id", "example", "features", "label").groupBy("client").applyInPandas(run, schema)
+    groups = examples.select("client", "subcluster_id", "seed_place", "example", "features", "label").groupBy("client")
+    if earlier is None:
+        return groups.applyInPandas(lambda group: train(group, None), _UPDATE)
+    return groups.cogroup(earlier.select("client", "kind", "key", "idx", "value").groupBy("client")).applyInPandas(train, _UPDATE)
 
 
 def to_state(rows: list, network: Network) -> State:
-    """Arrays from collected (key, idx, value) rows."""
-    out = {k: np.zeros(int(np.prod(s)), np.float32) for k, s in network.shapes().items()}
+    """Arrays from collected (key, idx, value) rows, which must be all of the network's state and no more."""
+    shapes = network.shapes()
+    out = {k: np.zeros(int(np.prod(s)), np.float32) for k, s in shapes.items()}
+    if {r["key"] for r in rows} != shapes.keys() or len(rows) != sum(map(len, out.values())):
+        raise states.AggregationError("the rows are not a whole state of the network")
     for r in rows:
         out[r["key"]][r["idx"]] = r["value"]
-    return {k: out[k].reshape(s) for k, s in network.shapes().items()}
+    return {k: out[k].reshape(s) for k, s in shapes.items()}
 
 
-def predictions(examples: DataFrame, network: Network, shared: State, own: dict[int, State] | None = None) -> DataFrame:
-    """client, split, label, p of every example, batch-norm keys from the client's own state where there is one."""
-    known = examples.sparkSession.sparkContext.broadcast((shared, own or {}))
+def _table(spark: SparkSession, arrays: State) -> DataFrame:
+    return spark.createDataFrame([r[2:] for r in _rows(0, "state", arrays)], "key string, idx int, value double")
 
-    def run(frames):
-        start, own_states = known.value
-        for frame in frames:
-            for client, part in frame.groupby("client"):
-                local = own_states.get(int(client), {})
-                merged = {k: local.get(k, v) if is_batch_norm(k) else v for k, v in start.items()}
-                logits, _, _ = network.forward(merged, _tensor(part["features"], network))
-                yield part[["client", "split", "label"]].assign(p=probabilities(logits))
 
-    return examples.select("client", "split", "label", "features").mapInPandas(run, "client long, split string, label int, p double")
+def predictions(examples: DataFrame, network: Network, shared: State, own: DataFrame | None = None) -> DataFrame:
+    """client, split, label, p of every example; batch-norm keys from the client's rows in ``own`` (client, kind, key, idx, value) if it is given."""
+    known = examples.sparkSession.sparkContext.broadcast(shared)
+    rows, schema = examples.select("client", "split", "label", "features"), "client long, split string, label int, p double"
 
+    def score(part: pd.DataFrame, state: State) -> pd.DataFrame:
+        logits, _, _ = network.forward(state, _tensor(part["features"], network))
+        return part[["client", "split", "label"]].assign(p=probabilities(logits))
 
-def run_rounds(examples: DataFrame, training: Training, rounds: int, *, hierarchical: bool = True) -> tuple[list[dict], State]:
-    """Metrics of each round and the last state.
+    if own is None:
+        return rows.mapInPandas(lambda frames: (score(f, known.value) for f in frames if len(f)), schema)
+
+    def run(part: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return pd.DataFrame({"client": [], "split": [], "label": [], "p": []})
+        local = _of_client(mine, "state", network)
+        return score(part, {k: local.get(k, v) if is_batch_norm(k) else v for k, v in known.value.items()})
+
+    return rows.groupBy("client").cogroup(own.select("client", "kind", "key", "idx", "value").groupBy("client")).applyInPandas(run, schema)
+
+
+def run_rounds(examples: DataFrame, training: Training, rounds: int, *, hierarchical: bool = True) -> tuple[list[dict], State, DataFrame | None]:
+    """Metrics of each round, the last state and, for FedBN, what belongs to each client.
 
     ``examples`` has client, subcluster_id, split, example (its place), features and label, and is
-    cached while rounds run. Each round trains all clients in one job, averages by sub-cluster and
-    over sub-clusters (flat: one sub-cluster), and scores every split; the driver holds averaged
-    states and, for FedBN and SCAFFOLD, what belongs to each client.
+    cached while rounds run. Each round trains all clients in one job whose table is written to the
+    shared workspace, checks and averages it by sub-cluster and over sub-clusters (flat: one
+    sub-cluster), and scores every split.
     """
-    network = training.network
+    network, spark = training.network, examples.sparkSession
     if not hierarchical:
         examples = examples.withColumn("subcluster_id", F.lit("all"))
-    examples = examples.cache()
-    subs = [r[0] for r in examples.select("subcluster_id").distinct().orderBy("subcluster_id").collect()]
+    examples = with_seed_places(examples, hierarchical=hierarchical).cache()
     clients = examples.select("client").distinct().count()
-    state = network.initial(training.seed)
-    shared, own, controls = {s: state for s in subs}, {}, {}
+    state, earlier, own = network.initial(training.seed), None, None
     server = {k: np.zeros(s, np.float32) for k, s in network.shapes().items()} if training.method == "scaffold" else None
-    metrics = []
-    train = examples.where("split = 'train'")
+    metrics, train = [], examples.where("split = 'train'")
     for number in range(1, rounds + 1):
-        updates = local_updates(train, training, shared, own=own, server=server, controls=controls, round_no=number).cache()
+        path = workspace(spark, f"round-{number}")
+        local_updates(train, training, state, earlier=earlier, server=server, round_no=number).write.parquet(path)
+        updates = spark.read.parquet(path)
         weights = updates.where("kind = 'state'").select(F.lit(1).alias("cluster_id"), "subcluster_id", F.col("client").alias("contributor"), "n", "key", "idx", "value")
-        mean = to_state(states.two_level_mean(weights, batch_norm=training.method != "fedbn").collect(), network)
+        states.check_updates(weights)
+        mean = states.two_level_mean(weights).select("key", "idx", "value")
         if training.method == "fedbn":
-            mean = {k: state[k] if is_batch_norm(k) else v for k, v in mean.items()}
-            for r in _by_client(updates.where("kind = 'state'"), network).items():
-                own[r[0]] = {k: v for k, v in r[1].items() if is_batch_norm(k)}
+            mean, own = states.replace_state(_table(spark, state), mean), updates
+        mean = to_state(mean.collect(), network)
         if training.method == "scaffold":
-            renewed = _by_client(updates.where("kind = 'control'"), network)
-            zero = {k: np.zeros(s, np.float32) for k, s in network.shapes().items()}
-            server = {k: server[k] + sum(c[k] - controls.get(i, zero)[k] for i, c in renewed.items()) / clients for k in server}
-            controls |= renewed
-        losses = updates.select("client", "subcluster_id", "loss").distinct().groupBy("subcluster_id").agg(F.avg("loss").alias("loss")).agg(F.avg("loss")).first()[0]
-        updates.unpersist()
-        state, shared = mean, {s: mean for s in subs}
+            new = updates.where("kind = 'control'").select("client", "key", "idx", "value")
+            if earlier is not None:
+                before = earlier.where("kind = 'control'").select("client", "key", "idx", F.col("value").alias("__before"))
+                new = new.join(before, ["client", "key", "idx"], "left").select("client", "key", "idx", (F.col("value") - F.coalesce("__before", F.lit(0.0))).alias("value"))
+            server = to_state(states.server_control(_table(spark, server), new, clients).collect(), network)
+        losses = updates.groupBy("client", "subcluster_id").agg(F.first("loss").alias("loss")).groupBy("subcluster_id").agg(F.avg("loss").alias("loss")).agg(F.avg("loss")).first()[0]
+        state, earlier = mean, updates
         scores = scoring.evaluate(predictions(examples, network, state, own)).collect()
         metrics.append({"round": number, "train_loss": losses} | {f"{r.split}_{r.rule}_{m}": r[m] for r in scores for m in ("f1", "accuracy", "fpr", "log_loss", "threshold")})
     examples.unpersist()
-    return metrics, state
-
-
-def _by_client(updates: DataFrame, network: Network) -> dict[int, State]:
-    rows: dict[int, list] = {}
-    for r in updates.select("client", "key", "idx", "value").collect():
-        rows.setdefault(r.client, []).append(r)
-    return {c: to_state(v, network) for c, v in rows.items()}
+    return metrics, state, own

@@ -557,12 +557,18 @@ def ledger_latency(spark, sf_dir):
     return _rounded(ledger.latency(rows), "mean_latency_ms")
 
 
-# --- training rounds (no SQL; tested against NumPy) ------------------------------------------
+# --- training rounds (no SQL; tests train clients by hand and check gradients by differences) -----
+
+
+#: Rows of a shard of the training queries, about: shards grow in number with the input, not in size.
+SHARD_ROWS = 20_000
 
 
 def _examples(spark, sf_dir, *, windows: bool) -> DataFrame:
-    """events in twelve shards and three sub-clusters as training examples: windows of 16 rows, or single rows."""
-    rows = sharded(spark, sf_dir, "value", "user_id").withColumns({"a": F.col("value").cast("double"), "b": (F.col("user_id") % 24).cast("double")})
+    """events in twelve shards, or as many as SHARD_ROWS ask for, and three sub-clusters as training examples: windows of 16 rows, or single rows."""
+    rows = events(spark, sf_dir).select("ts", "event_id", "label", "value", "user_id")
+    rows = sharding.shard_and_split(rows, ["ts", "event_id"], max(CLIENTS, -(-rows.count() // SHARD_ROWS)))
+    rows = rows.withColumns({"a": F.col("value").cast("double"), "b": (F.col("user_id") % 24).cast("double")})
     fit = features.fit_numeric(rows.where("split = 'train'"), ["a", "b"])
     rows = features.transform(rows, fit, {})
     if windows:
@@ -573,10 +579,11 @@ def _examples(spark, sf_dir, *, windows: bool) -> DataFrame:
     return rows.withColumn("subcluster_id", F.format_string("H%d", F.col("client") % 3 + 1))
 
 
-def _one_round(spark, sf_dir, network, windows: bool, **options) -> DataFrame:
+def _rounds(spark, sf_dir, network, windows: bool, **options) -> DataFrame:
+    """Two rounds, so that what clients keep from the first one takes part in the second."""
     from plumbline.operators import federated
 
-    rounds, _ = federated.run_rounds(_examples(spark, sf_dir, windows=windows), federated.Training(network, **options), 1)
+    rounds, _, _ = federated.run_rounds(_examples(spark, sf_dir, windows=windows), federated.Training(network, **options), 2)
     return spark.createDataFrame([(r["round"], k, float(v)) for r in rounds for k, v in r.items() if k != "round"], "round int, metric string, value double")
 
 
@@ -584,21 +591,21 @@ def _one_round(spark, sf_dir, network, windows: bool, **options) -> DataFrame:
 def train_round_cnn(spark, sf_dir):
     from plumbline.operators.networks import Network
 
-    return _one_round(spark, sf_dir, Network("cnn", 2, 16), True, method="scaffold", rate=0.01)
+    return _rounds(spark, sf_dir, Network("cnn", 2, 16), True, method="scaffold", rate=0.01)
 
 
 @query()
 def train_round_mlp(spark, sf_dir):
     from plumbline.operators.networks import Network
 
-    return _one_round(spark, sf_dir, Network("mlp", 2), False, method="fedprox", rate=0.001, adam=True)
+    return _rounds(spark, sf_dir, Network("mlp", 2), False, method="fedprox", rate=0.001, adam=True)
 
 
 @query()
 def train_round_tcn(spark, sf_dir):
     from plumbline.operators.networks import Network
 
-    return _one_round(spark, sf_dir, Network("tcn", 2, 16, blocks=(8, 8, 8), head=8), True, method="fedbn", rate=0.01)
+    return _rounds(spark, sf_dir, Network("tcn", 2, 16, blocks=(8, 8, 8), head=8), True, method="fedbn", rate=0.01)
 
 
 from plumbline.plans import catalog_io  # noqa: E402, F401  registers its queries here

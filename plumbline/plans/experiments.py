@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import traceback
 from dataclasses import dataclass, replace
 from datetime import UTC, datetime, timedelta
 
@@ -74,13 +75,13 @@ def run_experiment(data: DataFrame, run: Run, output: str) -> dict:
     if weight is None:
         raise sharding.CoverageError("training examples have one class only")
     training = replace(run.training, positive_weight=weight)
-    metrics, last = federated.run_rounds(data, training, run.rounds, hierarchical=run.hierarchical)
+    metrics, last, own = federated.run_rounds(data, training, run.rounds, hierarchical=run.hierarchical)
     rows = [(run.experiment_id, training.seed, m["round"], float(m["train_loss"]), m.get("validation_tuned_f1"), m.get("test_tuned_f1"), m.get("test_tuned_fpr"), m.get("validation_tuned_threshold")) for m in metrics]
     rounds = spark.createDataFrame(rows, "experiment_id string, seed int, round int, train_loss double, val_f1 double, test_f1 double, test_fpr double, threshold double")
     base = f"{output}/{run.experiment_id}/seed_{training.seed}"
     sinks.write_csv(rounds, f"{base}/round_metrics")
     best = scoring.best_round(rounds).first()
-    scores = federated.predictions(data, training.network, last).withColumns({"experiment_id": F.lit(run.experiment_id), "seed": F.lit(training.seed)})
+    scores = federated.predictions(data, training.network, last, own).withColumns({"experiment_id": F.lit(run.experiment_id), "seed": F.lit(training.seed)})
     sinks.write_predictions(scores, f"{base}/predictions")
     groups = data.select("client", "subcluster_id").distinct()
     sizes = data.where("split = 'train'").groupBy("client").count().agg(F.count(F.lit(1)).alias("clients"), F.sum("count").alias("samples")).first()
@@ -90,6 +91,11 @@ def run_experiment(data: DataFrame, run: Run, output: str) -> dict:
     return summary
 
 
+def described(error: Exception) -> str:
+    """Kind, text and the last calls of an error, for a status row."""
+    return f"{type(error).__name__}: {str(error)[:500]}\n" + "".join(traceback.format_tb(error.__traceback__)[-4:])[-1500:]
+
+
 def note(spark: SparkSession, output: str, run: Run, status: str, detail: str) -> None:
     row = (run.experiment_id, run.training.seed, status, detail, datetime.now(UTC).timestamp())
     sinks.write_status(spark.createDataFrame([row], "experiment_id string, seed int, status string, detail string, at double"), f"{output}/status")
@@ -117,7 +123,7 @@ def run_seeds(data: DataFrame, runs: list[Run], seeds: list[int], output: str) -
             try:
                 run_experiment(data, seeded, output)
             except Exception as error:  # noqa: BLE001 - a run must not end the batch
-                note(spark, output, seeded, "FAILED", str(error)[:500])
+                note(spark, output, seeded, "FAILED", described(error))
     states = sinks.read_status(spark, f"{output}/status").select("experiment_id", "seed", F.col("status").alias("state"))
     return reports.experiment_status(states)
 
@@ -152,7 +158,7 @@ def tune(data_of, base: Run, axes: dict[str, list], output: str, *, start: int =
             s = run_experiment(data_of(values), run, output)
             row = (trial.trial_id, trial.trial_no, "COMPLETE", s["val_f1"], s["test_f1"], s["test_fpr"], s["seconds"], "")
         except Exception as error:  # noqa: BLE001 - a trial must not end the search
-            row = (trial.trial_id, trial.trial_no, "FAILED", None, None, None, None, str(error)[:500])
+            row = (trial.trial_id, trial.trial_no, "FAILED", None, None, None, None, described(error))
         spark.createDataFrame([row], schema).write.mode("append").parquet(path)
     return reports.best_trial(spark.read.schema(schema).parquet(path))
 

@@ -45,3 +45,34 @@ def workspace(spark: SparkSession, name: str) -> str:
     """A new path under the session's spark.checkpoint.dir, which all machines share. Only where it names none, as in tests, a temporary folder."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="plumbline-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def expanded(paths: list[str]) -> list[str]:
+    """Files as they are, and the CSV files of each folder, in order of their names and each once."""
+    found = []
+    for path in paths:
+        store, where = _place(path)
+        if not store.exists(where):
+            raise FileNotFoundError(path)
+        found += [path] if store.getFileStatus(where).isFile() else matching(path, "*.csv")
+    return list(dict.fromkeys(found))
+
+
+def read_text(path: str) -> str:
+    """A small file as text."""
+    store, where = _place(path)
+    stream = store.open(where)
+    try:
+        return bytes(SparkSession.active().sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def write_text(path: str, text: str) -> None:
+    """Write a small file, in place of one that is there."""
+    store, where = _place(path)
+    stream = store.create(where, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()

@@ -169,22 +169,58 @@ def test_rounds(spark):
     rows = [(c, f"H{c % 2}", s, i, [[float(v)] for v in x], int(x[0] > 0)) for c in range(4) for i in range(60) for x in [rng.normal(size=2)] for s in [("train", "validation", "test")[i % 3]]]
     examples = spark.createDataFrame(rows, "client long, subcluster_id string, split string, example long, features array<array<double>>, label int")
     training = federated.Training(networks.Network("mlp", 2, dropout=0.0), rate=0.02, adam=True, batch=16, epochs=5)
-    metrics, last = federated.run_rounds(examples, training, 3)
+    metrics, last, own = federated.run_rounds(examples, training, 3)
     assert [m["round"] for m in metrics] == [1, 2, 3] and metrics[-1]["train_loss"] < metrics[0]["train_loss"]
-    assert metrics[-1]["test_tuned_f1"] > 0.8
+    assert metrics[-1]["test_tuned_f1"] > 0.8 and own is None
     # the first round equals clients trained by hand
     shared = training.network.initial(training.seed)
     sums, total = {}, 0
     for c in range(4):
         own = [r for r in rows if r[0] == c and r[2] == "train"]
-        local = federated.train_client(training, np.array([r[4] for r in own], np.float32), np.array([r[5] for r in own]), shared, seed=training.seed + 1000 + c)
+        local = federated.train_client(training, np.array([r[4] for r in own], np.float32), np.array([r[5] for r in own]), shared, seed=training.seed + 1000 + 100 * (c % 2) + c // 2)
         total += len(own)
         sums = {k: sums.get(k, 0) + v * len(own) for k, v in local.state.items()}
-    _, first = federated.run_rounds(examples, training, 1)
+    _, first, _ = federated.run_rounds(examples, training, 1)
     for k in first:
         assert first[k] == pytest.approx(sums[k] / total, abs=1e-5)
 
 
+@pytest.mark.parametrize("method", ["fedbn", "scaffold"])
+def test_second_round_by_hand(spark, method):
+    """What a client keeps from the first round takes part in the second as when clients are trained by hand."""
+    rng = np.random.default_rng(2)
+    rows = [(c, f"H{c // 2}", "train", i, [[float(v) for v in x[k : k + 4]] for k in (0, 4)], int(x[0] > 0)) for c in range(3) for i in range(12 + c) for x in [rng.normal(size=8)]]
+    examples = spark.createDataFrame(rows, "client long, subcluster_id string, split string, example long, features array<array<double>>, label int")
+    training = federated.Training(networks.Network("cnn", 2, 4) if method == "scaffold" else networks.Network("tcn", 2, 4, blocks=(3, 3, 3), head=3, dropout=0.0), method=method, rate=0.05, batch=8)
+    state, server, own, controls = training.network.initial(training.seed), {}, {}, {}
+    for number in (1, 2):
+        found, weights = {}, {}
+        for c in range(3):
+            part = [r for r in rows if r[0] == c]
+            found[c] = federated.train_client(training, np.array([r[4] for r in part], np.float32), np.array([r[5] for r in part]), state, own=own.get(c), server=server, control=controls.get(c), seed=training.seed + 1000 * number + 100 * (c // 2) + c % 2)
+            weights[c] = len(part)
+        mean = {k: sum(found[c].state[k] * weights[c] for c in found) / sum(weights.values()) for k in state}
+        if method == "fedbn":
+            own = {c: found[c].state for c in found}
+            mean = {k: state[k] if federated.is_batch_norm(k) else v for k, v in mean.items()}
+        else:
+            server = {k: server.get(k, 0) + sum(found[c].control[k] - controls.get(c, {}).get(k, 0) for c in found) / 3 for k in state}
+            controls = {c: found[c].control for c in found}
+        state = mean
+    _, last, kept = federated.run_rounds(examples, training, 2)
+    for k in last:
+        assert last[k] == pytest.approx(state[k], abs=1e-5), k
+    assert (kept is not None) == (method == "fedbn")
+
+
+def test_incomplete_state():
+    network = networks.Network("mlp", 2)
+    rows = [{"key": k, "idx": i, "value": 0.0} for k, s in network.shapes().items() for i in range(int(np.prod(s)))]
+    assert federated.to_state(rows, network).keys() == network.shapes().keys()
+    with pytest.raises(state.AggregationError):
+        federated.to_state(rows[:-1], network)
+
+
 def test_ward_and_membership(spark, tmp_path):
     points = np.array([[0.0], [0.2], [10.0], [10.1], [50.0]])
     assert grouping.ward(points, 3) == [0, 0, 1, 1, 2] and grouping.ward(points, 5) == [0, 1, 2, 3, 4] and grouping.ward(points, 1) == [0] * 5
