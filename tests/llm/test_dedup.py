@@ -285,7 +285,7 @@ def test_near_template_family(make):
     assert {r.doc_id: r.class_id for r in near_duplicates(make(rows)).collect()} == components(len(rows), pairs)
 
 
-@pytest.mark.parametrize("edits, size", [(2, 150), (3, 300), (4, 200), (5, 200)])
+@pytest.mark.parametrize("edits, size", [(2, 120), (3, 250), (5, 150)])
 def test_near_family_of_edits(make, edits, size):
     """Copies with random edits, of which not all are linked to each other, get the classes of comparing all pairs."""
     rng, rows = random.Random(edits), []

@@ -368,10 +368,13 @@ def test_pii_containing_span_is_masked(make):
 def test_pii_gate_lets_all_through():
     """No text that the normal form changes is passed over, whatever else is in it."""
     rng = random.Random(3)
-    parts = ["one", "(four", "six.", "7", "10", ".", "plus", "dot", "at", "a", "[at]", "(dot)", "zero", "+", "@", "x", ",", "-", "un"]
+    parts = ["one", "(four", "six.", "7", "10", ".", "plus", "dot", "at", "a", "[at]", "(dot)", "zero", "+", "@", "x", ",", "-", "un", "Fünf", "\u201csix\u201d", "\u00a0", "_", "\t", "ONE", "zéro"]
     for _ in range(20000):
         text = rng.choice(["", " "]).join(rng.choice(parts) for _ in range(rng.randrange(9)))
+        hint, near = pii._gates(text)
         assert pii.normal_form(text)[0] == text or pii._HINT.search(text), text
+        assert hint or not pii._HINT.search(text), text
+        assert near or not pii._NEAR.search(text), text
 
 
 def test_pii_many_zeros():
