@@ -115,26 +115,37 @@ def fit_and_transform(rows: DataFrame, numeric: list[str], text: list[str], *, s
     return transform(rows, fit, fit_categories(base, text)[0])
 
 
+def _in_windows(rows: DataFrame, width: int, stride: int, by, order: str) -> DataFrame:
+    """Each row once for each full window that has it, with window_no. ``order`` counts the rows of a group without gaps.
+
+    A row knows its windows from its place, so rows meet by window and not by group: a shard's
+    split may be of any size. Where groups begin is broadcast; there is a row for each shard and
+    split, a number that the settings of a run give and not its input.
+    """
+    groups = rows.groupBy(*by).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__size")).where(F.col("__size") >= width)
+    out = rows.join(F.broadcast(groups), list(by)).withColumn("__place", F.col(order) - F.col("__first"))
+    low = F.greatest(F.lit(0).cast("long"), F.expr(f"(__place - {width} + {stride}) div {stride}"))
+    high = F.least(F.expr(f"__place div {stride}"), F.expr(f"(__size - {width}) div {stride}"))
+    # numerators below 0 are of the first window's rows
+    low = F.when(F.col("__place") < width, F.lit(0).cast("long")).otherwise(low)
+    return out.withColumns({"__low": low, "__high": high}).where("__low <= __high").withColumn("window_no", F.explode(F.sequence("__low", "__high")))
+
+
 def window_labels(rows: DataFrame, *, width: int, stride: int, by=("client", "split"), order: str = "local_pos", label: str = "label") -> DataFrame:
     """Full count windows inside each shard's split: start_pos, window_no and label, 1 if any row of the window has 1.
 
     Windows start at every ``stride``-th row of the split; their number is (n - width) div stride + 1.
     """
-    each = Window.partitionBy(*by).orderBy(order)
-    frame = each.rowsBetween(0, width - 1)
-    out = rows.withColumns({"__n": F.row_number().over(each) - 1, "__rows": F.count(F.lit(1)).over(frame), "window_label": F.max(label).over(frame)})
-    out = out.where((F.col("__rows") == width) & (F.col("__n") % stride == 0))
-    return out.select(*by, F.col(order).alias("start_pos"), F.expr(f"cast(__n div {stride} as bigint)").alias("window_no"), F.col("window_label").cast("int").alias("window_label"))
+    out = _in_windows(rows.select(*by, order, label), width, stride, by, order).groupBy(*by, "window_no").agg(F.min(order).alias("start_pos"), F.max(label).cast("int").alias("window_label"))
+    return out.select(*by, "start_pos", "window_no", "window_label")
 
 
 def window_features(rows: DataFrame, *, width: int, stride: int, by=("client", "split"), order: str = "local_pos", label: str = "label", features: str = "features") -> DataFrame:
     """The windows themselves, features first: a matrix of one row per feature and one column per row of the window."""
-    each = Window.partitionBy(*by).orderBy(order)
-    frame = each.rowsBetween(0, width - 1)
-    out = rows.withColumns({"__n": F.row_number().over(each) - 1, "__rows": F.collect_list(features).over(frame), "window_label": F.max(label).over(frame)})
-    out = out.where((F.size("__rows") == width) & (F.col("__n") % stride == 0))
-    turned = F.transform(F.sequence(F.lit(0), F.size(F.element_at("__rows", 1)) - 1), lambda i: F.transform("__rows", lambda r: F.get(r, i)))
-    return out.select(*by, F.col(order).alias("start_pos"), turned.alias("window"), F.col("window_label").cast("int").alias("window_label"))
+    out = _in_windows(rows.select(*by, order, label, features), width, stride, by, order)
+    out = out.groupBy(*by, "window_no").agg(F.min(order).alias("start_pos"), F.max(label).cast("int").alias("window_label"), F.sort_array(F.collect_list(F.struct(order, features))).alias("__rows"))
+    turned = F.transform(F.sequence(F.lit(0), F.size(F.get("__rows", F.lit(0))[features]) - 1), lambda i: F.transform("__rows", lambda r: F.get(r[features], i)))
+    return out.select(*by, "start_pos", turned.alias("window"), "window_label")
 
 
 def too_short(rows: DataFrame, *, width: int, by=("client", "split")) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Global order without one task for all rows: positions and running sums by buckets of the first key."""
+"""Global order without one task for all rows: positions and running sums by buckets of the keys."""
 
 from __future__ import annotations
 
@@ -11,32 +11,37 @@ SAMPLE = 4096
 _BUCKET = "__bucket"
 
 
-def _bounds(frame: DataFrame, key: str, buckets: int) -> list:
-    """Bucket bounds from the keys of the rows that come first by a hash of the key, at most SAMPLE of them."""
-    keys = frame.where(F.col(key).isNotNull()).select(key).distinct().orderBy(F.xxhash64(key)).limit(SAMPLE).collect()
-    ordered = sorted(r[0] for r in keys)
+def _bounds(frame: DataFrame, order: list[str], buckets: int) -> list:
+    """Bucket bounds from the keys of the rows that come first by a hash of all keys, at most SAMPLE of them, so that buckets have about as many rows each."""
+    keys = frame.where(F.col(order[0]).isNotNull()).select(*order).orderBy(F.xxhash64(*order)).limit(SAMPLE).collect()
+    ordered = sorted(tuple((v is not None, v) for v in r) for r in keys)
     return sorted({ordered[i * len(ordered) // buckets] for i in range(1, buckets)}) if ordered else []
 
 
-def _bucketed(frame: DataFrame, key: str, buckets: int | None) -> DataFrame:
+def _bucketed(frame: DataFrame, order: list[str], buckets: int | None) -> DataFrame:
     if buckets is None:
         rows = frame.count()
         buckets = 1 if rows <= ONE_TASK_ROWS else min(1024, -(-rows // ONE_TASK_ROWS))
-    bounds = _bounds(frame, key, buckets) if buckets > 1 else []
+    bounds = _bounds(frame, order, buckets) if buckets > 1 else []
     if not bounds:
         return frame.withColumn(_BUCKET, F.lit(0))
-    place = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(key)))
-    return frame.withColumn(_BUCKET, F.when(F.col(key).isNull(), -1).otherwise(place))
+    types = {c: frame.schema[c].dataType for c in order}
+    keys = F.struct(*(F.col(c).alias(c) for c in order))
+    array = F.array(*[F.struct(*(F.lit(v).cast(types[c]).alias(c) for c, (_, v) in zip(order, bound, strict=True))) for bound in bounds])
+    # halving steps instead of a look at every bound
+    steps = [F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))]
+    place = F.aggregate(F.array(*steps), F.lit(0), lambda at, step: F.when(F.coalesce(F.get(array, at + step - 1) <= keys, F.lit(False)), at + step).otherwise(at))
+    return frame.withColumn(_BUCKET, F.when(F.col(order[0]).isNull(), -1).otherwise(place))
 
 
 def running_sums(frame: DataFrame, order: list[str], sums: dict[str, Column], *, descending: bool = False, buckets: int | None = None) -> DataFrame:
     """``frame`` with, for each name in ``sums``, the sum over all rows up to and including a row.
 
-    Rows come in the order of the columns ``order``, nulls first, or last if descending. Each
-    bucket of the first column is one window; what comes before a bucket is a running sum over one
-    row per bucket. ``buckets`` defaults to 1 up to a million rows, then one for each million.
+    Rows come in the order of the columns ``order``, nulls first, or last if descending. Buckets
+    are ranges of all these columns, so that ties in the first one do not fill a bucket. Each is
+    one window; what comes before a bucket is a running sum over one row per bucket. ``buckets`` defaults to 1 up to a million rows, then one for each million.
     """
-    rows = _bucketed(frame, order[0], buckets)
+    rows = _bucketed(frame, order, buckets)
     keys = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
     across = Window.orderBy(F.col(_BUCKET).desc() if descending else F.col(_BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(_BUCKET).agg(*(F.sum(v).alias(f"__total_{n}") for n, v in sums.items()))

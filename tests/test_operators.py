@@ -58,6 +58,14 @@ def test_order_shards_and_splits(spark):
         sharding.check_coverage(split.withColumn("label", F.lit(0)))
 
 
+def test_positions_of_ties(spark):
+    """Rows with one first key, nulls among the others, spread over buckets and keep their order."""
+    rows = spark.createDataFrame([(5, i * 37 % 101 if i else None, i) for i in range(101)], "a int, b int, c int")
+    found = [r.c for r in running.positions(rows, ["a", "b"], buckets=7).orderBy("pos").collect()]
+    assert found == [0, *sorted(range(1, 101), key=lambda i: i * 37 % 101)]
+    assert running._bucketed(rows, ["a", "b"], 7).select("__bucket").distinct().count() >= 5
+
+
 def test_order_keys(spark):
     rows = spark.createDataFrame([("10", "5-Apr-19", "b"), ("9", "12-Mar-19", "a")], "n string, d string, t string")
     assert values(sharding.order_keys(rows, ["n", "d", "t"]), "key_n", "key_d", "key_t") == [(10.0, "2019-04-05", "b"), (9.0, "2019-03-12", "a")]
