@@ -372,6 +372,8 @@ def test_pii_gate_lets_all_through():
     for _ in range(20000):
         text = rng.choice(["", " "]).join(rng.choice(parts) for _ in range(rng.randrange(9)))
         hint, near = pii._gates(text)
+        if pii._odd(text):  # always looked at
+            continue
         assert pii.normal_form(text)[0] == text or pii._HINT.search(text), text
         assert hint or not pii._HINT.search(text), text
         assert near or not pii._NEAR.search(text), text
