@@ -58,7 +58,7 @@ def inspect(spark: SparkSession, paths: list[str], contract: Contract, *, consis
     headers = {i: header_of(spark, p) for i, p in enumerate(paths)}
     for i, names in headers.items():
         if require_label and contract.label not in names:
-            raise ContractError(f"{paths[i]} has no label column {contract.label}. Available columns: {', '.join(names)}. Refusing to guess alternative label names.")
+            raise ContractError(f"{paths[i]}: the label {contract.label} is not among its columns ({', '.join(names)})")
     if consistent and len({tuple(h) for h in headers.values()}) > 1:
         raise ContractError("files have different headers")
     table = scan(spark, paths)
@@ -69,7 +69,7 @@ def inspect(spark: SparkSession, paths: list[str], contract: Contract, *, consis
     if unknown:
         raise ContractError(f"labels {sorted({r.raw for r in labels})} include values that are neither 0 nor 1: {unknown}")
     if require_label and {r.label for r in labels} != {0, 1}:
-        raise ContractError("labels must contain both binary classes {0,1}")
+        raise ContractError("all labels are of one class")
     sets = [set(h) for h in headers.values()]
     return {
         "profile": profile,

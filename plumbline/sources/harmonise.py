@@ -18,7 +18,7 @@ def union_columns(parts: dict[str, list[str]], *, shared: list[str], last: list[
     for name, columns in parts.items():
         missing = [c for c in [*shared, *last] if c not in columns]
         if missing:
-            raise SchemaError(f"{name}: missing required shared columns: {', '.join(missing)}")
+            raise SchemaError(f"{name} lacks {', '.join(missing)}")
     others = dict.fromkeys(c for columns in parts.values() for c in columns if c not in (*shared, *last))
     if not others:
         raise SchemaError("no columns beside the shared ones")
