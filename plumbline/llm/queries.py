@@ -16,6 +16,7 @@ from plumbline.llm.quality_crf import fit_quality, score_quality
 from plumbline.llm.sentencepiece_bpe import encoding_digest
 from plumbline.llm.substring_dedup import remove_repeated_passages
 from plumbline.llm.token_counts import count_tokens, flat_token_blocks
+from plumbline.llm.word_bpe import word_bpe_digest
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +67,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "repeats")
 
 
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe_digest(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
+    "op13_word_bpe": op13_word_bpe,
 }
 
 ORACLES: dict[str, str] = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -109,3 +111,14 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """The texts of an Arrow column as UTF-8 bytes."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return pc.cast(column, kind).to_pylist()
+
+
+def lots(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows with about ``most`` bytes of text at a time; a longer text comes alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
