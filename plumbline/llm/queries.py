@@ -14,6 +14,7 @@ from plumbline.llm.packing import packing_digest
 from plumbline.llm.pii import find_personal_data
 from plumbline.llm.quality_crf import fit_quality, score_quality
 from plumbline.llm.sentencepiece_bpe import encoding_digest
+from plumbline.llm.spelling import spelling_variants
 from plumbline.llm.substring_dedup import remove_repeated_passages
 from plumbline.llm.token_counts import count_tokens, flat_token_blocks
 from plumbline.llm.word_bpe import word_bpe_digest
@@ -67,6 +68,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "repeats")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
 def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe_digest(documents(spark, sf_dir))
 
@@ -82,15 +87,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
+    "op11_spelling": op11_spelling,
     "op13_word_bpe": op13_word_bpe,
 }
 
+#: Words of op11 in SQL: CRC-32 by its polynomial, a byte at a time, from a table that the query makes.
+_SPELLING_WORDS = r"""
+bits AS (SELECT i, list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS crc FROM range(256) t(i)),
+steps AS (SELECT list(crc ORDER BY i) AS crcs FROM bits),
+runs AS (
+  SELECT doc_id, run, count(*) AS k
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY ALL),
+codes AS (SELECT *, lower(hex(encode(concat(doc_id, ':', run)))) AS h FROM runs),
+sums AS (
+  SELECT run, k,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+             lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+  FROM codes, steps),
+words AS (
+  SELECT CASE WHEN crc % 97 = 0 THEN substr(run, 1, CAST(crc % length(run) AS BIGINT)) || substr(run, CAST(crc % length(run) AS BIGINT) + 2) ELSE run END AS word, k FROM sums),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM words GROUP BY word HAVING sum(k) >= 3 AND length(word) >= 5)"""
+
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM d""",
+    "op11_spelling": f"""
+WITH RECURSIVE {_SPELLING_WORDS},
+cuts AS (SELECT word, n, i, substr(word, 1, CAST(i AS BIGINT)) || substr(word, CAST(i AS BIGINT) + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, v.word, v.n FROM cuts c JOIN v ON c.rest = v.word
+  UNION SELECT v.word, c.word, c.n FROM cuts c JOIN v ON c.rest = v.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS most FROM near GROUP BY word),
+pick AS (SELECT near.word, min(encode(near.other)) AS other FROM near JOIN best ON near.word = best.word AND near.n = best.most GROUP BY near.word),
+forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * v.n THEN decode(other) END AS form, CASE WHEN most >= 2 * v.n THEN most END AS form_n
+  FROM v LEFT JOIN best ON v.word = best.word LEFT JOIN pick ON v.word = pick.word),
+paths AS (SELECT word, coalesce(form, word) AS root FROM forms UNION ALL SELECT p.word, f.form FROM paths p JOIN forms f ON p.root = f.word AND f.form IS NOT NULL WHERE p.root <> p.word),
+ends AS (SELECT p.word, p.root FROM paths p JOIN forms f ON p.root = f.word WHERE f.form IS NULL)
+SELECT forms.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms JOIN ends ON forms.word = ends.word""",
     "op10_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, md5('42:' || doc_id) AS k,
