@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.collocations import collocations
 from plumbline.llm.exact_dedup import exact_duplicates
 from plumbline.llm.language_id import fit_centroids, held_out, predict_languages
 from plumbline.llm.mixing import mix
@@ -72,6 +73,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(documents(spark, sf_dir))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
 def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe_digest(documents(spark, sf_dir))
 
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
     "op11_spelling": op11_spelling,
+    "op12_collocations": op12_collocations,
     "op13_word_bpe": op13_word_bpe,
 }
 
@@ -129,6 +135,23 @@ forms AS (
 paths AS (SELECT word, coalesce(form, word) AS root FROM forms UNION ALL SELECT p.word, f.form FROM paths p JOIN forms f ON p.root = f.word AND f.form IS NOT NULL WHERE p.root <> p.word),
 ends AS (SELECT p.word, p.root FROM paths p JOIN forms f ON p.root = f.word WHERE f.form IS NULL)
 SELECT forms.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms JOIN ends ON forms.word = ends.word""",
+    "op12_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM pieces),
+grams AS (SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase FROM words, range(1, 5) t(size)),
+f AS (SELECT lang, phrase, size, CAST(count(*) AS BIGINT) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM words GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE size > 1),
+cuts AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+scores AS (
+  SELECT cuts.lang, cuts.phrase, cuts.f AS a, cuts.size, k, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * cuts.f // (x.f + y.f) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(ws[1:k], ' ') JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(ws[k + 1:], ' ')),
+lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, array_to_string(ws[i:i + part - 1], ' ') AS phrase, max(f) AS f FROM c, range(2, 4) t(part), range(1, 4) s(i) WHERE part < size AND i + part - 1 <= size GROUP BY ALL),
+kept AS (SELECT l.* FROM lowest l LEFT JOIN inside i ON i.lang = l.lang AND i.phrase = l.phrase WHERE i.f IS NULL OR 100::HUGEINT * i.f < 80::HUGEINT * l.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000""",
     "op10_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, md5('42:' || doc_id) AS k,

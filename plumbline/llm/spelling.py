@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.storage import cut_lineage
+from plumbline.llm.storage import bits_of, cut_lineage
 from plumbline.llm.words import as_bytes, mixed
 
 #: One occurrence of a run in this many loses a letter, in the mean.
@@ -41,8 +41,6 @@ HASHED = 1 << 21
 _RUN = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+")
 _P = 0x9E3779B97F4A7C15
 _BACK = np.uint64(pow(_P, -1, 1 << 64))
-#: Bits of one bitmap of Spark's bitmap functions.
-_BUCKET = 32768
 
 
 def _without_letter(run: bytes, at: int) -> bytes:
@@ -160,18 +158,14 @@ def _spelled(words: list[str], kind: str, at: int, hits: tuple[np.ndarray, ...],
 
 
 def _bitmap(vocabulary: DataFrame, bits: int) -> np.ndarray:
-    """The bits of all words, made by tasks and joined by Spark's bitmap aggregates; 2**bits bits come to the driver."""
+    """The bits of all words; 2**bits bits come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = word_hashes(batch.column("word").to_pylist())[1]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_probes(hashes, bits)).astype(np.int64))], ["bit"])
 
-    rows = vocabulary.select("word").mapInArrow(run, "bit long").groupBy(F.floor(F.col("bit") / _BUCKET).alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit") % _BUCKET).alias("bitmap"))
-    found = np.zeros(1 << bits >> 3, dtype=np.uint8)
-    for r in rows.toLocalIterator():
-        found[r.bucket * _BUCKET // 8 :][: _BUCKET // 8] = np.frombuffer(r.bitmap, dtype=np.uint8)
-    return found
+    return bits_of(vocabulary.select("word").mapInArrow(run, "bit long"), bits)
 
 
 def near_words(vocabulary: DataFrame, size: int, *, bitmap_bits: int = BITMAP_BITS) -> DataFrame:

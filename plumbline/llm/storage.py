@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+#: Bits of one bitmap of Spark's bitmap functions.
+_BUCKET = 32768
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -33,3 +37,13 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of ``shared_folder`` that nothing reads any more."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def bits_of(rows: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bits as bytes, with those set that column ``bit`` names. Spark's bitmap aggregates join what tasks set; the bits come to the driver."""
+    bitmaps = rows.groupBy(F.expr(f"bit div {_BUCKET}").alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit") % _BUCKET).alias("bitmap"))
+    found = np.zeros(max(1, 1 << bits >> 3), dtype=np.uint8)
+    for r in bitmaps.toLocalIterator():
+        own = found[r.bucket * _BUCKET // 8 :][: _BUCKET // 8]
+        own[:] = np.frombuffer(r.bitmap, dtype=np.uint8)[: len(own)]
+    return found
