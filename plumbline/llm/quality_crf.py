@@ -85,12 +85,14 @@ class LineModel:
 DEFAULT = LineModel((-3.0, 4.0, 4.0, 2.0, 2.0, 5.0, 2.0, 0.5, 1.0, 0.5), 0.0, ((0.5, -0.5), (-0.5, 0.5)))
 
 
-def fit_lines(examples: list[tuple[list[tuple[float, ...]], list[int]]], *, chain: bool = True, begin: LineModel | None = None, rounds: int = 60, rate: float = 0.5, ridge: float = 1e-3) -> LineModel:
+def fit_lines(examples: list[tuple[list[tuple[float, ...]], list[int]]], *, chain: bool = True, begin: LineModel | None = None, weights: list[float] | None = None, rounds: int = 60, rate: float = 0.5, ridge: float = 1e-3) -> LineModel:
     """Maximum likelihood of the labels by gradient ascent with Adagrad steps; forward-backward gives expectations.
 
-    Sequences are padded to one length and go side by side. The ascent starts from ``begin``, or from zeros. Without ``chain`` the scores of
+    Sequences are padded to one length and go side by side; ``weights`` say how often each counts,
+    once if not given. The ascent starts from ``begin``, or from zeros. Without ``chain`` the scores of
     changing between lines stay 0 and each line stands for itself.
     """
+    often = np.array([w for (f, _), w in zip(examples, weights or [1.0] * len(examples), strict=True) if len(f)])
     examples = [(np.array(f), y) for f, y in examples if len(f)]
     if not examples:
         return DEFAULT
@@ -101,13 +103,13 @@ def fit_lines(examples: list[tuple[list[tuple[float, ...]], list[int]]], *, chai
         features[i, : len(y)], labels[i, : len(y)] = f, y
     inside = np.arange(features.shape[1]) < sizes[:, None]
     moves = inside[:, 1:]
-    seen_moves = [int((moves & (labels[:, :-1] == i) & (labels[:, 1:] == j)).sum()) for i, j in itertools.product((0, 1), repeat=2)]
-    params, seen, total = np.zeros(size + 5), np.full(size + 5, 1e-6), int(sizes.sum())
+    seen_moves = [float(often @ (moves & (labels[:, :-1] == i) & (labels[:, 1:] == j)).sum(axis=1)) for i, j in itertools.product((0, 1), repeat=2)]
+    params, seen, total = np.zeros(size + 5), np.full(size + 5, 1e-6), float(often @ sizes)
     if begin:
         params[:] = [*begin.weights, begin.start, *begin.change[0], *begin.change[1]]
     for _ in range(rounds):
-        weights, start, change = params[:size], params[size], params[size + 1 :].reshape(2, 2)
-        score = np.where(inside, features @ weights, 0.0)
+        line, start, change = params[:size], params[size], params[size + 1 :].reshape(2, 2)
+        score = np.where(inside, features @ line, 0.0)
         forward, backward = np.zeros((*score.shape, 2)), np.zeros((*score.shape, 2))
         forward[:, 0, 1] = start + score[:, 0]
         for t in range(1, score.shape[1]):
@@ -121,12 +123,12 @@ def fit_lines(examples: list[tuple[list[tuple[float, ...]], list[int]]], *, chai
         z = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
         boiler = np.where(inside, np.exp(forward[:, :, 1] + backward[:, :, 1] - z[:, None]), 0.0)
         gradient = -ridge * params
-        gradient[:size] += np.einsum("dtf,dt->f", features, labels - boiler) / total
-        gradient[size] += (labels[:, 0] - boiler[:, 0]).sum() / total
+        gradient[:size] += np.einsum("dtf,dt,d->f", features, labels - boiler, often) / total
+        gradient[size] += often @ (labels[:, 0] - boiler[:, 0]) / total
         if chain:
             for k, (i, j) in enumerate(itertools.product((0, 1), repeat=2)):
                 chance = forward[:, :-1, i] + change[i, j] + (score[:, 1:] if j else 0.0) + backward[:, 1:, j] - z[:, None]
-                gradient[size + 1 + k] += (seen_moves[k] - np.exp(np.where(moves, chance, -np.inf)).sum()) / total
+                gradient[size + 1 + k] += (seen_moves[k] - often @ np.exp(np.where(moves, chance, -np.inf)).sum(axis=1)) / total
         else:
             gradient[size:] = 0.0
         seen += gradient**2
@@ -199,19 +201,26 @@ def line_examples(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -
     return [([tuple(r.lines.features[i : i + width]) for i in range(0, len(r.lines.features), width)], list(r.lines.counts), r.quality) for r in found if r.lines.counts]
 
 
-def fit_documents(examples: list[tuple[list[tuple[float, ...]], list[int], int]], *, refinements: int = 1) -> LineModel:
+def balance(labels: list[list[int]]) -> list[float]:
+    """Weights of label sequences: those with both labels count together as much as all others."""
+    both = [0 < sum(y) < len(y) for y in labels]
+    share = max(1.0, (len(both) - sum(both)) / max(1, sum(both)))
+    return [share if b else 1.0 for b in both]
+
+
+def fit_documents(examples: list[tuple[list[tuple[float, ...]], list[int], int]]) -> LineModel:
     """Fit on lines of documents whose quality is known (features, word counts, quality) but not the label of each line.
 
     All lines of a bad document start as boilerplate, all of a good one as content. A first fit
     takes each line for itself, so that lines of a bad document that look like those of good ones
-    score as content. Then labels and model are refined in turns: the labels as
-    ``refined_labels``, the model on these sequences, which gives the scores of changing.
+    score as content; ``refined_labels`` makes labels of that. The chain is fitted to these.
+    Most documents have one label throughout, which says nothing of where labels change and would
+    teach the chain never to change; so both kinds of document have the same weight.
     """
-    labels, model = [[1 - q] * len(c) for _, c, q in examples], None
-    for turn in range(refinements + 1):
-        model = fit_lines([(f, y) for (f, _, _), y in zip(examples, labels, strict=True)], chain=turn > 0, begin=model, rounds=60 if turn else 240)
-        labels = [refined_labels(model, *example) for example in examples]
-    return fit_lines([(f, y) for (f, _, _), y in zip(examples, labels, strict=True)], begin=model)
+    lines = [f for f, _, _ in examples]
+    single = fit_lines(list(zip(lines, [[1 - q] * len(c) for _, c, q in examples], strict=True)), chain=False, rounds=240)
+    labels = [refined_labels(single, *example) for example in examples]
+    return fit_lines(list(zip(lines, labels, strict=True)), begin=single, weights=balance(labels), rounds=120)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> LineModel:

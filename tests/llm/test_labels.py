@@ -294,7 +294,30 @@ def test_quality_mixed_documents(spark, small, sf_dir):
     assert rows > 0.005 * small.count()
 
 
-def test_quality_fit_by_brute_force():
+def test_quality_chain_decides(spark, small, sf_dir):
+    """On documents put together from lines of good and bad ones, verdicts with the chain differ from those of the same lines each for itself."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    examples = Q.line_examples(small, labels)
+    model = Q.fit_documents(examples)
+    single = LineModel(model.weights, 0.0, ((0.0, 0.0), (0.0, 0.0)))
+    rng = random.Random(8)
+    good, bad = ([e for e in examples if e[2] == q and len(e[1]) > 3] for q in (1, 0))
+    differ = 0
+    for _ in range(300):
+        (f, c, _), (g, d, _) = rng.choice(bad), rng.choice(good)
+        i, j = rng.randrange(1, 8), rng.randrange(1, 8)
+        lines, counts = [*f[:i], *g[:j], *f[i : i + 3]], [*c[:i], *d[:j], *c[i : i + 3]]
+        shares = [sum(n for n, y in zip(counts, m.labels(lines), strict=True) if not y) / sum(counts) for m in (model, single)]
+        differ += (shares[0] >= Q.CONTENT_SHARE) != (shares[1] >= Q.CONTENT_SHARE)
+    assert differ > 3, differ
+
+
+def test_quality_balance():
+    assert Q.balance([[0, 0], [1, 1], [0, 1], [1]]) == [1.0, 1.0, 3.0, 1.0] and Q.balance([[0], [1]]) == [1.0, 1.0] and Q.balance([[0, 1]] * 3) == [1.0] * 3
+
+
+@pytest.mark.parametrize("weights", [None, [3.0, 1.0, 1.0, 2.0, 1.0, 1.0]])
+def test_quality_fit_by_brute_force(weights):
     """The gradient of the chain's likelihood vanishes where the fit ends, over all sequences of labels."""
     rng = np.random.default_rng(2)
     examples = [([(1.0, *rng.normal(size=len(Q.FEATURES) - 1))] * 1 + [(1.0, *rng.normal(size=len(Q.FEATURES) - 1)) for _ in range(n - 1)], rng.integers(0, 2, n).tolist()) for n in (1, 2, 3, 4, 5, 5)]
@@ -303,11 +326,12 @@ def test_quality_fit_by_brute_force():
         def score(f, y):
             return sum(np.dot(x, model.weights) for x, v in zip(f, y, strict=True) if v) + model.start * y[0] + sum(model.change[a][b] for a, b in itertools.pairwise(y))
 
-        value = sum(score(f, y) - np.log(sum(np.exp(score(f, z)) for z in itertools.product((0, 1), repeat=len(y)))) for f, y in examples)
+        value = sum(w * (score(f, y) - np.log(sum(np.exp(score(f, z)) for z in itertools.product((0, 1), repeat=len(y))))) for w, (f, y) in zip(weights or [1.0] * 6, examples, strict=True))
         params = [*model.weights, model.start, *model.change[0], *model.change[1]]
-        return value / 20 - 0.05 * np.dot(params, params) / 2
+        return value / total - 0.05 * np.dot(params, params) / 2
 
-    model = Q.fit_lines(examples, rounds=800, ridge=0.05)
+    total = sum(w * len(y) for w, (_, y) in zip(weights or [1.0] * 6, examples, strict=True))
+    model = Q.fit_lines(examples, weights=weights, rounds=800, ridge=0.05)
     best = loss(model)
     params = np.array([*model.weights, model.start, *model.change[0], *model.change[1]])
     for i in range(len(params)):
@@ -324,7 +348,8 @@ def test_quality_refined_labels():
     assert model.labels(lines) == [1, 0, 0, 1]
     assert Q.refined_labels(model, lines, [10, 10, 10, 10], 0) == [1, 0, 1, 1]
     assert Q.refined_labels(model, lines, [10, 10, 10, 10], 1) == [1, 0, 0, 1]
-    assert Q.refined_labels(model, lines, [30, 10, 10, 10], 1) == [0, 0, 0, 0]
+    assert Q.refined_labels(model, lines, [30, 10, 10, 10], 1) == [1, 0, 0, 0]  # 30 of 60 words are content, which is the share
+    assert Q.refined_labels(model, lines, [31, 10, 10, 10], 1) == [0, 0, 0, 0]
 
 
 def test_quality_sample_is_bounded(make):
