@@ -43,16 +43,19 @@ def join_weighted(rows: DataFrame, table: DataFrame, keys: list[str], weight: st
     return found.select(*rows.columns, *values)
 
 
-def first_by_hash(rows: DataFrame, key: str, sample: int, *, most: int = 50) -> DataFrame:
+def first_by_hash(rows: DataFrame, key: str, sample: int, *, most: int | None = 50) -> DataFrame:
     """Up to ``sample`` rows of each of the ``most`` most frequent values of ``key``, those that come first by a hash of doc_id.
 
     A count of each value sets a bound on the hash below which lie about twice as many rows as are
     wanted; only these are shuffled, so what meets in one task does not grow with the input. The
-    counts, ``most`` rows, are broadcast. ``doc_id`` and ``key`` must not be null.
+    counts, ``most`` rows, are broadcast; without ``most``, all values count and Spark chooses the
+    join by their size. ``doc_id`` and ``key`` must not be null.
     """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__fh_n")).orderBy(F.desc("__fh_n"), key).limit(most)
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__fh_n"))
+    if most is not None:
+        counts = F.broadcast(counts.orderBy(F.desc("__fh_n"), key).limit(most))
     chance = F.xxhash64("doc_id")
     place = chance.cast("double") / F.lit(2.0**64) + F.lit(0.5)
-    near = rows.join(F.broadcast(counts), key).where(place * F.col("__fh_n") <= F.lit(2.0 * sample + 100))
+    near = rows.join(counts, key).where(place * F.col("__fh_n") <= F.lit(2.0 * sample + 100))
     order = Window.partitionBy(key).orderBy(chance, "doc_id")
     return near.withColumn("__fh_turn", F.row_number().over(order)).where(F.col("__fh_turn") <= sample).select(*rows.columns)

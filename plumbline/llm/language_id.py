@@ -16,8 +16,8 @@ DIMENSIONS = (1 << 10, 1 << 12, 1 << 13)
 CENTROIDS = 4
 #: Labelled documents per language that a fit reads, at most, taken in the order of a hash of doc_id.
 SAMPLE = 300
-#: Languages that a fit learns, at most: the most frequent ones.
-LANGUAGES = 50
+#: Labelled documents that a fit reads in all; beyond SAMPLE_TOTAL / SAMPLE languages each gives fewer, and none is left out.
+SAMPLE_TOTAL = 15_000
 #: Characters of a sampled document that a fit reads, at most, from a place that a hash of doc_id gives.
 SAMPLE_CHARS = 8192
 #: Every so manieth sampled document sets the rejection bounds and takes no part in the centroids.
@@ -54,7 +54,7 @@ def term_counts(text: str) -> np.ndarray:
 
 def has_letter(text: str | None) -> bool:
     """Whether a text has a letter of any script."""
-    return bool(text) and (text.lower() != text.upper() or any(map(str.isalpha, text)))
+    return bool(text) and any(map(str.isalpha, text))
 
 
 @dataclass(frozen=True)
@@ -149,13 +149,15 @@ def fit_texts(rows: list[tuple[str, str]], *, centroids: int = CENTROIDS) -> Cen
 
 
 def fit_centroids(labelled: DataFrame, *, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Centroids:
-    """Fit on up to ``sample`` documents of each of LANGUAGES languages; rows without doc_id, text or lang are passed over.
+    """Fit on up to ``sample`` documents of every language, SAMPLE_TOTAL in all or 2 of each if that is more; rows without doc_id, text or lang are passed over.
 
     The ids are chosen from doc_id and lang alone, then one more scan fetches SAMPLE_CHARS
-    characters of each by a broadcast of the ids. Of rows with the same doc_id one counts.
+    characters of each by a join with the ids. Of rows with the same doc_id one counts.
     """
-    ids = first_by_hash(labelled.where("doc_id IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang"), "lang", sample, most=LANGUAGES).select("doc_id").distinct()
-    rows = labelled.join(F.broadcast(ids), "doc_id").where("text IS NOT NULL AND lang IS NOT NULL")
+    known = labelled.where("doc_id IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang")
+    each = max(2, min(sample, SAMPLE_TOTAL // max(1, known.select("lang").distinct().count())))
+    ids = first_by_hash(known, "lang", each, most=None).select("doc_id").distinct()
+    rows = labelled.join(ids, "doc_id").where("text IS NOT NULL AND lang IS NOT NULL")
     start = F.lit(1) + F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - F.lit(SAMPLE_CHARS - 1)))
     rows = rows.select("doc_id", F.struct("lang", F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text")).alias("row")).groupBy("doc_id").agg(F.min("row").alias("row"))
     return fit_texts([(r.row.lang, r.row.text) for r in rows.collect()], centroids=centroids)

@@ -37,10 +37,15 @@ SPELLED = {
 _DIGIT_WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _AT, _DOT = "at|arroba|ät", "dot|punto|punkt|point"
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
+# The signs as character references and in percent code.
+_CODED_AT, _CODED_DOT = "&#0*+64;|&#x0*+40;|&commat;|%40", "&#0*+46;|&#x0*+2e;|&period;|%2e"
 # no part can be entered at more than one place of a run of white space, so a scan is linear
 _PHRASES = re.compile(
-    rf"(?P<at>{_OPEN}\s*+(?:{_AT})\s*+{_CLOSE}\s*+)"
-    rf"|(?P<dot>{_OPEN}\s*+(?:{_DOT})\s*+{_CLOSE}\s*+)"
+    rf"(?P<at>{_OPEN}\s*+(?:{_AT}|@)\s*+{_CLOSE}\s*+)"
+    rf"|(?P<dot>{_OPEN}\s*+(?:{_DOT}|\.)\s*+{_CLOSE}\s*+)"
+    rf"|(?P<coded_at>{_CODED_AT})|(?P<coded_dot>{_CODED_DOT})"
+    rf"|(?P<joined_at>(?<=[A-Za-z0-9])_(?:{_AT})_(?=[A-Za-z0-9-]++_(?:{_DOT})_[A-Za-z0-9]))"
+    rf"|(?P<joined_dot>(?<=[A-Za-z0-9])_(?:{_DOT})_(?=[A-Za-z0-9]))"
     rf"|(?P<bare_at>(?<=[A-Za-z0-9])\s++(?:{_AT})\s++(?=[A-Za-z0-9-]++(?:\s++(?:{_DOT})\s++[A-Za-z0-9]|\s*+{_OPEN}\s*+(?:{_DOT})\s*+{_CLOSE}|(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,24}}\b)))"
     rf"|(?P<bare_dot>(?<=[A-Za-z0-9])\s++(?:{_DOT})\s++(?=[A-Za-z0-9]))",
     re.IGNORECASE,
@@ -53,7 +58,7 @@ _TOKENS = re.compile(
 _PARTS = re.compile(r"[^ ,-]++")
 # what all texts have that the normal form changes, but for characters that look like others
 _HINT = re.compile(
-    rf"{_OPEN}\s*+(?:{_AT}|{_DOT})\s*+{_CLOSE}|\s(?:{_DOT})\s"
+    rf"{_OPEN}\s*+(?:{_AT}|{_DOT}|@|\.)\s*+{_CLOSE}|{_CODED_AT}|{_CODED_DOT}|_(?:{_DOT})_|\s(?:{_DOT})\s"
     rf"|\s(?:{_AT})\s++[A-Za-z0-9-]++\."
     rf"|\bplus[ -]++(?:{_DIGIT_WORD}|[0-9]++)\b"
     rf"|\.(?:{_DIGIT_WORD})\b|\b(?:{_DIGIT_WORD})\.[A-Za-z0-9]"
@@ -66,7 +71,9 @@ _NEAR = re.compile(rf"(?:[+0-9]|\bplus)[ ().,-]*\b(?:{_DIGIT_WORD})\b|\b(?:{_DIG
 
 
 # the parts of _HINT and _NEAR that are looked for by themselves, on lower-cased UTF-8, where they begin with a fixed text
-_BRACKETED = re.compile(rf"{_OPEN}\s*+(?:{_AT}|{_DOT})\s*+{_CLOSE}", re.IGNORECASE)
+_BRACKETED = re.compile(rf"{_OPEN}\s*+(?:{_AT}|{_DOT}|@|\.)\s*+{_CLOSE}", re.IGNORECASE)
+_CODED = re.compile(rf"{_CODED_AT}|{_CODED_DOT}", re.IGNORECASE)
+_JOINED_DOTS = [f"_{w}_" for w in _DOT.split("|")]
 _BARE_DOT = re.compile(rf"\s(?:{_DOT})\s", re.IGNORECASE)
 _BARE_AT = re.compile(rf"\s(?:{_AT})\s++[A-Za-z0-9-]++\.", re.IGNORECASE)
 _PLUS = re.compile(rf"\bplus[ -]++(?:{_DIGIT_WORD}|[0-9]++)\b", re.IGNORECASE)
@@ -89,7 +96,7 @@ def _gates(text: str) -> tuple[bool, bool]:
         low = _NO_LETTER.sub(" ", low)
     data = low.encode("utf-8", "replace")
     tokens = b" " + data.translate(_TO_SPACE) + b" "
-    hint = bool(_BRACKETED.search(text)) or any(t in tokens for t in _DOT_TOKENS) and bool(_BARE_DOT.search(text)) or any(t in tokens for t in _AT_TOKENS) and bool(_BARE_AT.search(text)) or b" plus " in tokens and bool(_PLUS.search(text))
+    hint = bool(_BRACKETED.search(text)) or ("&" in text or "%" in text) and bool(_CODED.search(text)) or "_" in text and any(w in low for w in _JOINED_DOTS) or any(t in tokens for t in _DOT_TOKENS) and bool(_BARE_DOT.search(text)) or any(t in tokens for t in _AT_TOKENS) and bool(_BARE_AT.search(text)) or b" plus " in tokens and bool(_PLUS.search(text))
     places: list[tuple[int, int]] = []
     for token in _SPELLED_TOKENS:
         at = tokens.find(token)
@@ -165,11 +172,11 @@ def _characters(text: str) -> tuple[str, list[int]]:
 
 
 def _phrases(text: str) -> tuple[str, list[int]]:
-    """At and dot as words, bare or in brackets, made signs, with the white space around them left out."""
+    """At and dot as words, bare, in brackets or between underscores, and as codes, made signs, with the white space around them left out."""
     out, origin, last = [], [], 0
     for m in _PHRASES.finditer(text):
         before = len(text[last : m.start()].rstrip()) + last if m.lastgroup in ("at", "dot") else m.start()
-        out += [text[last:before], "@" if m.lastgroup in ("at", "bare_at") else "."]
+        out += [text[last:before], "@" if m.lastgroup.endswith("at") else "."]
         origin += [*range(last, before), m.start()]
         last = m.end()
     return "".join(out) + text[last:], [*origin, *range(last, len(text))]
@@ -287,7 +294,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     The four counts and base_sha256 are of the fixed patterns; ``spans`` lists these and the
     n_added spans of disguised identifiers as kind:start:end by start, then kind, in code points
     of the text with the end exclusive. Disguises are look-alike and full-width characters,
-    characters without width, digits as words, and at and dot as words, bare or in brackets.
+    characters without width, digits as words, at and dot as words, bare, in brackets or between
+    underscores, and as signs in brackets, character references or percent codes.
 
     Null and empty texts give zeros, no spans and the digest of an empty string. Repeated rows
     each give a row; an empty table gives an empty result. Columns beside doc_id and text are not
