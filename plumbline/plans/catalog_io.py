@@ -93,15 +93,51 @@ _KIND = "CASE WHEN user_id % 13 = 0 THEN 'nan' ELSE 'k' || CAST(user_id % 5 AS V
 
 
 def _event_files(spark, sf_dir) -> list[str]:
-    """events as two CSV files, in the order of their ids, with missing cells."""
+    """events as two CSV files of several parts, in the order of their ids, with missing cells."""
     rows = events(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 10 == 0, " ").otherwise(F.col("value").cast("string")).alias("value"), F.when(F.col("user_id") % 13 == 0, "nan").otherwise(F.concat(F.lit("k"), (F.col("user_id") % 5).cast("string"))).alias("kind"), F.col("label").cast("string").alias("label"))
     paths = []
     for part in (0, 1):
         paths.append(workspace(spark, f"events-{part}"))
-        sinks.write_csv(rows.where(F.col("event_id") % 2 == part), paths[-1])
+        sinks.write_csv_parts(rows.where(F.col("event_id") % 2 == part).orderBy("event_id"), paths[-1])
     return paths
 
 
+def _ragged_lines(spark, sf_dir) -> str:
+    """events as lines of CSV in the order of their ids: props in quotes, and one cell too many or too few in some."""
+    path = workspace(spark, "events-lines")
+    cells = F.concat_ws(",", F.col("event_id"), F.concat(F.lit('"'), F.replace(F.concat(F.lit('say "a, b", '), "event_type"), F.lit('"'), F.lit('""')), F.lit('"')), F.col("user_id"))
+    line = F.when(F.col("event_id") % 577 == 99, F.concat(cells, F.lit(","))).when(F.col("event_id") % 811 == 5, F.col("event_id").cast("string")).otherwise(cells)
+    # parts begin at many places in the order, so that numbers have to be carried over them; each has its header
+    rows = table(spark, sf_dir, "events").select("event_id", line.alias("line")).orderBy("event_id").drop("event_id")
+    rows.mapInArrow(with_first_line("event_id,said,user_id"), "line string").write.text(path)
+    return path
+
+
+_RAGGED = """WITH r AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS row_ord,
+CASE WHEN event_id % 577 = 99 THEN 4 WHEN event_id % 811 = 5 THEN 1 ELSE 3 END AS n_cells FROM events)"""
+
+
+@query(f"{_RAGGED} SELECT row_ord, CAST(n_cells AS INTEGER) AS n_cells, 3::INTEGER AS n_columns FROM r WHERE n_cells <> 3")
+def csv_ragged_rows(spark, sf_dir):
+    """All rows of a CSV file of many splits with another number of cells than the header, by their number."""
+    lines = csv_tables.numbered_lines(spark, csv_tables.parts_of([_ragged_lines(spark, sf_dir)]))
+    return csv_tables.ragged_rows(lines).select("row_ord", "n_cells", "n_columns")
+
+
+@query(f"{_RAGGED} SELECT min(row_ord) AS row_ord, CAST(min_by(n_cells, row_ord) AS INTEGER) AS n_cells FROM r WHERE n_cells <> 3")
+def csv_first_ragged(spark, sf_dir):
+    """The first of them, by one aggregate."""
+    lines = csv_tables.numbered_lines(spark, csv_tables.parts_of([_ragged_lines(spark, sf_dir)]))
+    return csv_tables.first_ragged(lines).select("row_ord", "n_cells")
+
+
+@query(f"""{_RAGGED} SELECT row_ord, CAST(event_id AS VARCHAR) AS event_id, CASE WHEN n_cells <> 1 THEN 'say "a, b", ' || event_type END AS said FROM r""")
+def csv_numbered_rows(spark, sf_dir):
+    """The rows of that file, padded, in the order of their numbers."""
+    rows = csv_tables.scan(spark, [_ragged_lines(spark, sf_dir)], ragged="pad")
+    return rows.select("row_ord", "event_id", "said")
+
+
 @query(f"""WITH r AS (SELECT event_id % 2 AS file_ord, unnest([CAST(event_id AS VARCHAR), CASE WHEN event_id % 10 = 0 THEN NULL ELSE CAST(value AS VARCHAR) END, CASE WHEN user_id % 13 = 0 THEN NULL ELSE {_KIND} END, '0']) AS cell, unnest(['event_id', 'value', 'kind', 'label']) AS "column" FROM events)
 SELECT CAST(file_ord AS INTEGER) AS file_ord, "column", count(*) AS n_rows, count(*) - count(cell) AS n_missing, count(cell) AS n_present, "column" <> 'kind' AS is_numeric FROM r GROUP BY ALL""")
 def csv_inspection(spark, sf_dir):

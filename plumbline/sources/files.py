@@ -26,19 +26,41 @@ def matching(folder: str, pattern: str) -> list[str]:
     return sorted(f.getPath().toString() for f in store.globStatus(where) or [])
 
 
-def first_bytes(path: str, count: int) -> bytes:
-    """The first bytes of a file, or of the first part file with any in a folder; nothing else is read."""
+def part_files(path: str) -> list[str]:
+    """The file itself, or the part files of a folder that have any bytes, in order of their names; as locations that Spark reads."""
     store, where = _place(path)
     status = store.getFileStatus(where)
     files = [status] if status.isFile() else sorted((f for f in store.listStatus(where) if f.isFile() and f.getLen() and f.getPath().getName()[0] not in "._"), key=lambda f: f.getPath().getName())
-    if not files:
-        return b""
-    stream = store.open(files[0].getPath())
+    return [f.getPath().toUri().toString() for f in files]
+
+
+def first_bytes(path: str, count: int) -> bytes:
+    """The first bytes of a file, or of the first part file with any in a folder; nothing else is read."""
+    for location in part_files(path)[:1]:
+        store, where = _place(location)
+        stream = store.open(where)
+        try:
+            read = SparkSession.active().sparkContext._jvm.org.apache.commons.io
+            return bytes(read.IOUtils.toByteArray(read.input.BoundedInputStream(stream, count)))
+        finally:
+            stream.close()
+    return b""
+
+
+def first_line(path: str, *, most: int = 1 << 24) -> bytes:
+    """The first line of a file, without its end; of the file not much more than that is read, and ``most`` bytes at most."""
+    store, where = _place(path)
+    read = SparkSession.active().sparkContext._jvm.org.apache.commons.io
+    stream, found = store.open(where), b""
     try:
-        found = [stream.read() for _ in range(count)]
+        while not (b"\n" in found or b"\r" in found) and len(found) < most:
+            more = bytes(read.IOUtils.toByteArray(read.input.BoundedInputStream(stream, max(8192, len(found)))))
+            if not more:
+                break
+            found += more
     finally:
         stream.close()
-    return bytes(b for b in found if b >= 0)
+    return found.splitlines()[0] if found else b""
 
 
 def workspace(spark: SparkSession, name: str) -> str:

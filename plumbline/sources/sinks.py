@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -26,6 +27,25 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_csv_parts(rows: DataFrame, path: str) -> None:
+    """CSV part files, each with the header, written by as many tasks as ``rows`` has partitions; sorted rows stay in the order of the files' names."""
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def with_first_line(header: str):
+    """For ``mapInArrow`` on rows of one text column: every task's rows with ``header`` before them."""
+
+    def run(batches):
+        first = True
+        for batch in batches:
+            if first and batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([header], batch.schema.types[0])], batch.schema.names)
+                first = False
+            yield batch
+
+    return run
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     """One JSON-lines file of nested records, for tables with a row per client or group."""
     rows.coalesce(1).write.mode("overwrite").json(path)

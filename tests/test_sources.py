@@ -42,6 +42,68 @@ def test_refusals(spark, tmp_path):
     assert error.value.code == "COMBINED_MISSING"
 
 
+@pytest.fixture
+def small_splits(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_line_numbers_of_splits(spark, tmp_path, small_splits):
+    """Files of many splits, next to small ones that share a task: numbers, the first ragged row of each, and its message."""
+    good = ["a,b"] + [f"{i},x" for i in range(700)]
+    bad = [*good[:311], "7", *good[311:500], "1,2,3", *good[500:]]
+    paths = files(tmp_path, good="\n".join(good) + "\n", bad="\r\n".join(bad), one="a,b\n1,2", none="a,b\n")
+    parts = T.parts_of(paths)
+    lines = T.numbered_lines(spark, parts)
+    assert lines.rdd.getNumPartitions() > 10
+    found = lines.orderBy(T.FILE, T.ROW).collect()
+    assert [(r[T.FILE], r[T.ROW], r["__line"], r.value) for r in found] == [(f, i, i + 2, v) for f, rows in enumerate((good, bad, ["a,b", "1,2"], ["a,b"])) for i, v in enumerate(rows[1:])]
+    assert [(r[T.FILE], r.line, r.n_cells, r.n_columns) for r in T.first_ragged(lines).collect()] == [(1, 312, 1, 2)]
+    assert sorted(r.line for r in T.ragged_rows(lines).collect()) == [312, 502]
+    with pytest.raises(C.ContractError, match="bad.csv: row 312 has another number of cells .1. than the header .2."):
+        T.scan(spark, paths)
+    rows = T.scan(spark, paths, ragged="pad").where(f"{T.FILE} = 1").orderBy(T.ROW).collect()
+    assert (rows[310].a, rows[310].b) == ("7", None) and (rows[500].a, rows[500].b) == ("1", "2") and len(rows) == 702
+
+
+def test_quotes_and_empty_lines(spark, tmp_path):
+    paths = files(tmp_path, q='a,b,c\n"x, ""y""",,\n1,"",3\n', e="a\n1\n\n2\n")
+    rows = T.scan(spark, paths[:1]).orderBy(T.ROW).collect()
+    assert [tuple(r[:3]) for r in rows] == [('x, "y"', None, None), ("1", "", "3")] or [tuple(r[:3]) for r in rows] == [('x, "y"', None, None), ("1", None, "3")]
+    with pytest.raises(C.ContractError, match="row 3 has another number of cells .0."):
+        T.scan(spark, paths[1:])
+    assert [(r.a, r[T.ROW]) for r in T.scan(spark, paths[1:], ragged="pad").orderBy(T.ROW).collect()] == [("1", 0), ("2", 2)]
+
+
+def test_jobs_do_not_grow_with_files(spark, tmp_path):
+    context, counts = spark.sparkContext, []
+    for n in (2, 9):
+        texts = {f"f{n}_{i}": f"time,s{i % 3},attack\n1,2,0\n2,3,1\n" for i in range(n)}
+        context.setJobGroup(f"inspect-{n}", "")
+        found = T.inspect(spark, files(tmp_path, **texts), contract(tmp_path), consistent=False)
+        assert found["labels"] == {0: n, 1: n} and len(found["profile"]) == 3 * n
+        counts.append(len(context.statusTracker().getJobIdsForGroup(f"inspect-{n}")))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[0] == counts[1] > 0
+
+
+def test_folders_of_parts(spark, tmp_path):
+    """A folder is one file whose rows count on over its parts; parts must have one header."""
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    for i, text in enumerate(("a,b\n1,2\n3,4\n", "a,b\n5,6\n", "a,b\n")):
+        (folder / f"part-{i}.csv").write_text(text)
+    assert [(r[T.ROW], r.a) for r in T.scan(spark, [str(folder)]).orderBy(T.ROW).collect()] == [(0, "1"), (1, "3"), (2, "5")]
+    (folder / "part-1.csv").write_text("a,b\n5\n")
+    with pytest.raises(C.ContractError, match=r"parts \(part-1.csv\): row 2"):
+        T.scan(spark, [str(folder)])
+    (folder / "part-3.csv").write_text("b,a\n")
+    with pytest.raises(C.ContractError, match="different headers"):
+        T.scan(spark, [str(folder)])
+
+
 def test_schemas_and_marks(spark, tmp_path):
     paths = files(tmp_path, a=b"\xef\xbb\xbfdate,temp,attack\n1,2,0\n", b="date,lat,attack\n1,2,1\n")
     found = T.inspect(spark, paths, contract(tmp_path, order=("date",), excluded=("attack", "date")), consistent=False)
