@@ -21,8 +21,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -37,7 +39,7 @@ FEWEST, LONGEST = 30, 4
 INSIDE_PERCENT = 80
 TOP = 2000
 #: Bytes of text that are worked on together, about; a longer document goes alone.
-LOT_BYTES = 4 << 20
+LOT_BYTES = 2 << 20
 #: Buckets of one range, as a power of two, and of all ranges at most.
 RANGE_BITS, BUCKET_BITS = 24, 42
 #: Heavy buckets, and slots, that one scan takes along (32 and 72 MB), and keys of a shard on average.
@@ -47,12 +49,13 @@ MAP_BITS = 27
 #: Slots of a part of a task's array.
 PART = 1 << 15
 #: Words that a task numbers before it starts again.
-NUMBERED = 400_000
+NUMBERED = 200_000
 
 _MARKS = b".,;:!?\n\x0b\x0c\r"
 #: After the marks have become commas, a comma ends a piece and a semicolon a document.
 _TO_COMMA = bytes.maketrans(_MARKS, b"," * len(_MARKS))
-_BASE, _LANG = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_B, _L, _64 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
+_BASE, _LANG = np.uint64(_B), np.uint64(_L)
 _LEVELS = 100
 
 
@@ -62,24 +65,33 @@ class _Numbers(dict):
     def __init__(self):
         super().__init__()
         self.words: list[bytes] = []
-        self.halves: tuple[list[int], list[int]] = ([], [])
+        self.fresh: tuple[list[int], list[int]] = ([], [])
+        self.known = [np.zeros(0, dtype=np.uint64)] * 2
         for mark in (b",", b";"):
             self[mark]  # numbers 0 and 1
 
     def __missing__(self, word: bytes) -> int:
         found = self[word] = len(self.words)
         self.words.append(word)
-        for half, own in zip(self.halves, _halves(word), strict=True):
+        for half, own in zip(self.fresh, _halves(word), strict=True):
             half.append(own)
         return found
 
+    def half(self, which: int) -> np.ndarray:
+        """One half of the hashes of all words by number."""
+        if self.fresh[which]:
+            self.known[which] = np.concatenate([self.known[which], np.array(self.fresh[which], dtype=np.uint64)])
+            self.fresh[which].clear()
+        return self.known[which]
 
+
+@lru_cache(maxsize=100_000)
 def _halves(word: bytes) -> tuple[int, int]:
     return divmod(xxhash.xxh3_128_intdigest(word), 1 << 64)
 
 
 class Phrases:
-    """All phrases of some texts: ``keys(n)`` has the first half of the key of the n words from each place, ``whole(n)`` whether they lie in one piece."""
+    """All phrases of some texts by the place where they begin; ``whole(n)`` tells whether the n words from a place lie in one piece."""
 
     def __init__(self, texts: list[bytes | None], langs: list[bytes], numbers: _Numbers):
         joined = b";".join([t.lower().translate(_TO_COMMA) if t else b"" for t in texts])
@@ -88,20 +100,23 @@ class Phrases:
         self.langs = sorted(set(langs))
         self.lang = np.array([self.langs.index(x) for x in langs], dtype=np.int64)[np.cumsum(self.ids == 1)]
         self.word = self.ids > 1
-        self.halves = [np.array(h, dtype=np.uint64)[self.ids] for h in numbers.halves]
         self.lang_halves = [np.array(h, dtype=np.uint64) * _LANG for h in zip(*map(_halves, self.langs), strict=True)]
-        self.sums: dict[tuple[int, int], np.ndarray] = {}
-
-    def _sum(self, half: int, n: int) -> np.ndarray:
-        if n == 1:
-            return self.halves[half]
-        if (half, n) not in self.sums:
-            self.sums[half, n] = self._sum(half, n - 1)[:-1] * _BASE + self.halves[half][n - 1 :]
-        return self.sums[half, n]
-
-    def keys(self, n: int, half: int = 0, at=slice(None)) -> np.ndarray:
-        sums = self._sum(half, n)
-        return mixed(sums[at] + self.lang_halves[half][self.lang[: len(sums)][at]])
+        self.first = self.sums = numbers.half(0)[self.ids]
+        self.length = 1
+
+    def keys(self, n: int) -> np.ndarray:
+        """The first half of the key of the ``n`` words from each place. To be called for 1, 2 and so on."""
+        if n > self.length:
+            self.sums = self.sums[:-1] * _BASE + self.first[n - 1 :]
+            self.length = n
+        return mixed(self.sums + self.lang_halves[0][self.lang[: len(self.sums)]])
+
+    def second_halves(self, n: int, at: np.ndarray) -> np.ndarray:
+        """The second half of the key of the ``n`` words from each place of ``at``."""
+        known, total = self.numbers.half(1), np.zeros(len(at), dtype=np.uint64)
+        for i in range(n):
+            total = total * _BASE + known[self.ids[at + i]]
+        return mixed(total + self.lang_halves[1][self.lang[at]])
 
     def whole(self, n: int) -> np.ndarray:
         found = self.word[: max(0, len(self.word) - n + 1)].copy()
@@ -118,13 +133,17 @@ class Phrases:
 
 def phrase_key(lang: bytes, phrase: bytes) -> tuple[int, int]:
     """The 128-bit key of a phrase as two halves; the empty phrase stands for all words of a language."""
-    found = []
-    for half in (0, 1):
-        total = np.zeros(1, dtype=np.uint64)
-        for word in phrase.split():
-            total = total * _BASE + np.array([_halves(word)[half]], dtype=np.uint64)
-        found.append(int(mixed(total + np.array([_halves(lang)[half]], dtype=np.uint64) * _LANG)[0]))
-    return found[0], found[1]
+    first = second = 0
+    for a, b in map(_halves, phrase.split()):
+        first, second = (first * _B + a) & _64, (second * _B + b) & _64
+    a, b = _halves(lang)
+    return _mixed((first + a * _L) & _64), _mixed((second + b * _L) & _64)
+
+
+def _mixed(x: int) -> int:
+    """``mixed`` of one number."""
+    x = ((x ^ (x >> 33)) * 0xFF51AFD7ED558CCD) & _64
+    return ((x ^ (x >> 29)) * 0xC4CEB9FE1A85EC53) & _64
 
 
 def _scanned(docs: DataFrame, work, schema: str) -> DataFrame:
@@ -221,6 +240,11 @@ def _heavy_map(heavy: DataFrame, bits: int, count: int) -> HeavyMap:
     return HeavyMap(bits, fold, bits_of(heavy.mapInArrow(run, "bit long"), bits - fold))
 
 
+def _lanes(docs: DataFrame) -> int:
+    """Tasks that scan for what each of them sends on once, however much of the input it reads."""
+    return 2 * max(1, docs.sparkSession.sparkContext.defaultParallelism)
+
+
 def _bundles(sizes: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
     """Neighbouring ranges, from (range, buckets), with at most ``most`` buckets together or one range alone, as (first, last)."""
     found, total = [], 0
@@ -250,8 +274,9 @@ def candidate_phrases(docs: DataFrame, heavy: DataFrame, heavy_map: HeavyMap, *,
                 for n, at, keys in known.phrases(found, longest):
                     bucket = keys >> shift
                     mine = buckets[np.minimum(np.searchsorted(buckets, bucket), len(buckets) - 1)] == bucket
-                    keys, first_at = np.unique(keys[mine], return_index=True)
-                    for key, place in zip(keys.tolist(), at[mine][first_at].tolist(), strict=True):
+                    at, keys = at[mine], keys[mine]
+                    once = ~pd.Series(keys).duplicated().to_numpy()
+                    for key, place in zip(keys[once].tolist(), at[once].tolist(), strict=True):
                         if key not in seen:
                             seen.add(key)
                             rows.append((found.langs[found.lang[place]], found.spelled(place, n)))
@@ -260,7 +285,7 @@ def candidate_phrases(docs: DataFrame, heavy: DataFrame, heavy_map: HeavyMap, *,
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x, _ in rows], pa.string()), pa.array([p for _, p in rows], pa.string())], ["lang", "phrase"])
 
-        part = _scanned(docs, work, "lang string, phrase string").distinct()
+        part = _scanned(docs.coalesce(_lanes(docs)), work, "lang string, phrase string").distinct()
         found = part if found is None else found.union(part)
     return found
 
@@ -362,7 +387,7 @@ def _tree_sum(rows: DataFrame, lanes: int) -> DataFrame:
 def slot_counts(docs: DataFrame, table, heavy_map: HeavyMap, size: int, *, longest: int = LONGEST) -> np.ndarray:
     """Occurrences by slot of ``table``, a broadcast SlotTable of ``size`` slots."""
     context = docs.sparkSession.sparkContext
-    lanes = 4 * max(1, context.defaultParallelism)
+    lanes = _lanes(docs)
     shared_map = context.broadcast(heavy_map)
 
     def work(lots_of: Iterator[Phrases]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +396,7 @@ def slot_counts(docs: DataFrame, table, heavy_map: HeavyMap, size: int, *, longe
         for found in lots_of:
             slots = []
             for n, at, keys in known.phrases(found, longest):
-                slots.append(own.slots(keys, found.keys(n, 1, at)))
+                slots.append(own.slots(keys, found.second_halves(n, at)))
             slots = np.concatenate(slots)
             slots = slots[slots >= 0]
             if len(slots):

@@ -87,10 +87,12 @@ def test_keys_of_phrases():
     wanted = {(lang, n, p) for lang, ps in ((b"en", [b"a b", b"c d e"]), (b"", [b"b c"])) for p in ps for w in [p.split()] for n in (1, 2, 3, 4) for p in [b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)]}
     got = set()
     for n in (1, 2, 3, 4):
-        for at in np.flatnonzero(found.whole(n)).tolist():
+        keys, places = found.keys(n), np.flatnonzero(found.whole(n))
+        seconds = dict(zip(places.tolist(), found.second_halves(n, places).tolist(), strict=True))
+        for at in places.tolist():
             lang, phrase = found.langs[found.lang[at]], found.spelled(at, n).encode()
             got.add((lang, n, phrase))
-            assert C.phrase_key(lang, phrase) == (int(found.keys(n)[at]), int(found.keys(n, 1)[at]))
+            assert C.phrase_key(lang, phrase) == (int(keys[at]), seconds[at])
     assert got == wanted
 
 
