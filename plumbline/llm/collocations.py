@@ -41,15 +41,15 @@ TOP = 2000
 #: Bytes of text that are worked on together, about; a longer document goes alone.
 LOT_BYTES = 2 << 20
 #: Buckets of one range, as a power of two, and of all ranges at most.
-RANGE_BITS, BUCKET_BITS = 24, 42
+RANGE_BITS, BUCKET_BITS = 22, 42
 #: Heavy buckets, and slots, that one scan takes along (32 and 72 MB), and keys of a shard on average.
 BUNDLE, SLOTS, SHARD = 4 << 20, 4 << 20, 1 << 17
 #: Bits of the map of all heavy buckets at most (16 MB), as a power of two.
 MAP_BITS = 27
 #: Slots of a part of a task's array.
 PART = 1 << 15
-#: Words that a task numbers before it starts again.
-NUMBERED = 200_000
+#: Words that a task numbers, and phrases that it knows to have sent, before it starts again.
+NUMBERED, SENT = 200_000, 1_000_000
 
 _MARKS = b".,;:!?\n\x0b\x0c\r"
 #: After the marks have become commas, a comma ends a piece and a semicolon a document.
@@ -189,13 +189,13 @@ def heavy_buckets(docs: DataFrame, bits: int, *, fewest: int = FEWEST, longest:
             return pa.RecordBatch.from_arrays([pa.array([current], pa.int64()), pa.array([len(places)], pa.int64()), pa.array([places.tobytes()], pa.binary())], ["range", "n", "buckets"])
 
         for batch in batches:
-            for own, places, counts in zip(batch.column("range").to_pylist(), batch.column("buckets").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            for own, places, counts in zip(batch.column("range").to_pylist(), batch.column("buckets"), batch.column("counts"), strict=True):
                 if own != current:
                     if current is not None:
                         yield heavy()
                     sums[:], current = 0, own
-                at = np.frombuffer(places, dtype="<u4")
-                sums[at] = np.minimum(sums[at] + np.frombuffer(counts, dtype=kind), most)  # the places of a row differ
+                at = np.frombuffer(places.as_buffer(), dtype="<u4")
+                sums[at] = np.minimum(sums[at] + np.frombuffer(counts.as_buffer(), dtype=kind), most)  # the places of a row differ
         if current is not None:
             yield heavy()
 
@@ -280,7 +280,7 @@ def candidate_phrases(docs: DataFrame, heavy: DataFrame, heavy_map: HeavyMap, *,
                         if key not in seen:
                             seen.add(key)
                             rows.append((found.langs[found.lang[place]], found.spelled(place, n)))
-                if len(seen) > bundle:
+                if len(seen) > SENT:
                     seen.clear()
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x, _ in rows], pa.string()), pa.array([p for _, p in rows], pa.string())], ["lang", "phrase"])
@@ -441,7 +441,7 @@ def phrase_counts(docs: DataFrame, *, fewest: int = FEWEST, longest: int = LONGE
     """(lang, phrase, a, n, cuts): phrases of 2 to ``longest`` words with ``fewest`` occurrences, words of the language, and (k, l, r) of each cut."""
     context = docs.sparkSession.sparkContext
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = bucket_bits or min(BUCKET_BITS, max(RANGE_BITS, math.ceil(math.log2(max(1, size)))))
+    bits = bucket_bits or min(BUCKET_BITS, max(24, math.ceil(math.log2(max(1, size)))))
     heavy = cut_lineage(heavy_buckets(docs, bits, fewest=fewest, longest=longest))
     total = heavy.agg(F.sum("n")).first()[0]
     if not total:
