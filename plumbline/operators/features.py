@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -21,22 +22,24 @@ class NumericFit:
     dropped: dict[str, str]
 
 
-def median(rows: DataFrame, column: str) -> float | None:
-    """The exact median of a double column, the mean of the middle two if there is no single one; null is missing, NaN the largest.
+def medians(rows: DataFrame, columns: list[str]) -> dict[str, float]:
+    """The exact median of each double column with a value, the mean of the middle two if there is no single one; null is missing, NaN the largest.
 
-    It comes from running sums over the counts of values by buckets, so no task holds all different
-    values.
+    All columns are one pass: rows of column and value, their counts, and running sums of these by
+    ranges, so no task holds all different values and the number of jobs is that of one column.
     """
-    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    numbers = counts.where(~F.isnan("value"))
-    size = counts.agg(F.sum("n").alias("all"), F.count(F.when(~F.isnan("value"), 1)).alias("different")).first()
-    if not size["all"]:
-        return None
-    steps = running.running_sums(numbers, ["value"], {"upto": F.col("n")}, buckets=min(1024, -(-size["different"] // running.ONE_TASK_ROWS) or 1))
-    middle = [F.min(F.when(F.col("upto") > F.lit(place), F.col("value"))).alias(name) for name, place in (("low", (size["all"] - 1) // 2), ("high", size["all"] // 2))]
-    found = steps.agg(*middle).first()
-    low, high = (float("nan") if v is None else v for v in found)
-    return low if low == high else low * 0.5 + high * 0.5
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))
+    counts = rows.select(cells).where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    steps = running.running_sums(counts, ["value"], {"upto": F.col("n")}, by=("column",))
+    sizes = steps.groupBy("column").agg(F.max("upto").alias("all"))
+    middle = [F.min(F.when(F.col("upto") > F.expr(place), F.col("value"))).alias(name) for name, place in (("low", "(all - 1) div 2"), ("high", "all div 2"))]
+    found = steps.join(F.broadcast(sizes), "column").groupBy("column").agg(*middle).collect()  # a row per column
+    return {r.column: r.low if r.low == r.high else r.low * 0.5 + r.high * 0.5 for r in found}
+
+
+def median(rows: DataFrame, column: str) -> float | None:
+    """The median of one column, None without a value."""
+    return medians(rows, [column]).get(column)
 
 
 def fit_numeric(rows: DataFrame, features: list[str], *, position: str = "pos") -> NumericFit:
@@ -44,25 +47,27 @@ def fit_numeric(rows: DataFrame, features: list[str], *, position: str = "pos")
 
     All-missing columns are dropped, and those whose values are close to the first one in order of
     position: within 1e-8 + 1e-5 * abs(first). The mean is of the imputed column. One aggregate
-    over the rows finds first values, a second one the rest, for all columns side by side; the
-    median of each column is found by itself.
+    over the rows finds first values, a second one the rest, and ``medians`` all medians, for all
+    columns side by side.
     """
+    if not features:
+        return NumericFit({}, {})
     one = rows.agg(*(e for i, f in enumerate(features) for e in (F.min_by(f, F.when(F.col(f).isNotNull(), F.col(position))).alias(f"x{i}"), F.min_by(F.col(f).isNull(), position).alias(f"n{i}")))).first()
-    medians = {f: median(rows, f) for f in features}
-    there = {f: i for i, f in enumerate(features) if medians[f] is not None}
+    middle = medians(rows, features)
+    there = {f: i for i, f in enumerate(features) if f in middle}
     dropped = {f: "all_missing" for f in features if f not in there}
     if not there:
         return NumericFit({}, dropped)
-    filled = {f: F.coalesce(F.col(f), F.lit(medians[f])) for f, i in there.items()}
+    filled = {f: F.coalesce(F.col(f), F.lit(middle[f])) for f, i in there.items()}
     # the first value counts after imputation
-    first = {f: medians[f] if one[f"n{i}"] else one[f"x{i}"] for f, i in there.items()}
+    first = {f: middle[f] if one[f"n{i}"] else one[f"x{i}"] for f, i in there.items()}
     two = rows.agg(*(e for f, i in there.items() for e in (F.avg(filled[f]).alias(f"a{i}"), F.stddev_pop(filled[f]).alias(f"s{i}"), F.max(F.abs(filled[f] - F.lit(first[f]))).alias(f"d{i}")))).first()
     kept = {}
     for f, i in there.items():
         if two[f"d{i}"] <= 1e-8 + 1e-5 * abs(first[f]) or not two[f"s{i}"]:
             dropped[f] = "near_constant"
         else:
-            kept[f] = (medians[f], two[f"a{i}"], two[f"s{i}"])
+            kept[f] = (middle[f], two[f"a{i}"], two[f"s{i}"])
     return NumericFit(kept, dropped)
 
 
@@ -115,34 +120,45 @@ def fit_and_transform(rows: DataFrame, numeric: list[str], text: list[str], *, s
     return transform(rows, fit, fit_categories(base, text)[0])
 
 
-def _in_windows(rows: DataFrame, width: int, stride: int, by, order: str) -> DataFrame:
-    """Each row once for each full window that has it, with window_no. ``order`` counts the rows of a group without gaps.
+def _placed(rows: DataFrame, width: int, by, order: str) -> DataFrame:
+    """Rows of groups that have a full window, with __place, their place in the group, and __size, its rows. ``order`` counts the rows of a group without gaps.
 
-    A row knows its windows from its place, so rows meet by window and not by group: a shard's
-    split may be of any size. Where groups begin is broadcast; there is a row for each shard and
-    split, a number that the settings of a run give and not its input.
+    Where groups begin is broadcast; there is a row for each shard and split, a number that the
+    settings of a run give and not its input.
     """
     groups = rows.groupBy(*by).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__size")).where(F.col("__size") >= width)
-    out = rows.join(F.broadcast(groups), list(by)).withColumn("__place", F.col(order) - F.col("__first"))
-    low = F.greatest(F.lit(0).cast("long"), F.expr(f"(__place - {width} + {stride}) div {stride}"))
-    high = F.least(F.expr(f"__place div {stride}"), F.expr(f"(__size - {width}) div {stride}"))
+    return rows.join(F.broadcast(groups), list(by)).withColumn("__place", F.col(order) - F.col("__first"))
+
+
+def _in_windows(rows: DataFrame, width: int, stride: int, pane: int = 1) -> DataFrame:
+    """Each row of ``_placed``, or each pane of as many rows, once for each full window that has it, with window_no.
+
+    A row knows its windows from its place, so rows meet by window and not by group: a shard's
+    split may be of any size.
+    """
     # numerators below 0 are of the first window's rows
-    low = F.when(F.col("__place") < width, F.lit(0).cast("long")).otherwise(low)
-    return out.withColumns({"__low": low, "__high": high}).where("__low <= __high").withColumn("window_no", F.explode(F.sequence("__low", "__high")))
+    low = F.when(F.col("__place") < width, F.lit(0).cast("long")).otherwise(F.expr(f"(__place + {pane} - {width} + {stride} - 1) div {stride}"))
+    high = F.least(F.expr(f"__place div {stride}"), F.expr(f"(__size - {width}) div {stride}"))
+    return rows.withColumns({"__low": low, "__high": high}).where("__low <= __high").withColumn("window_no", F.explode(F.sequence("__low", "__high")))
 
 
 def window_labels(rows: DataFrame, *, width: int, stride: int, by=("client", "split"), order: str = "local_pos", label: str = "label") -> DataFrame:
     """Full count windows inside each shard's split: start_pos, window_no and label, 1 if any row of the window has 1.
 
     Windows start at every ``stride``-th row of the split; their number is (n - width) div stride + 1.
+    Rows are added up once, by panes that windows are made of whole (their length divides width
+    and stride), where the rows are; only panes are copied to the windows that overlap.
     """
-    out = _in_windows(rows.select(*by, order, label), width, stride, by, order).groupBy(*by, "window_no").agg(F.min(order).alias("start_pos"), F.max(label).cast("int").alias("window_label"))
+    pane = math.gcd(width, stride)
+    placed = _placed(rows.select(*by, order, label), width, by, order).withColumn("__pane", F.expr(f"__place div {pane}"))
+    panes = placed.groupBy(*by, "__pane").agg(F.min(order).alias(order), F.max(label).alias(label), F.min("__place").alias("__place"), F.first("__size").alias("__size"))
+    out = _in_windows(panes, width, stride, pane).groupBy(*by, "window_no").agg(F.min(order).alias("start_pos"), F.max(label).cast("int").alias("window_label"))
     return out.select(*by, "start_pos", "window_no", "window_label")
 
 
 def window_features(rows: DataFrame, *, width: int, stride: int, by=("client", "split"), order: str = "local_pos", label: str = "label", features: str = "features") -> DataFrame:
     """The windows themselves, features first: a matrix of one row per feature and one column per row of the window."""
-    out = _in_windows(rows.select(*by, order, label, features), width, stride, by, order)
+    out = _in_windows(_placed(rows.select(*by, order, label, features), width, by, order), width, stride)
     out = out.groupBy(*by, "window_no").agg(F.min(order).alias("start_pos"), F.max(label).cast("int").alias("window_label"), F.sort_array(F.collect_list(F.struct(order, features))).alias("__rows"))
     turned = F.transform(F.sequence(F.lit(0), F.size(F.get("__rows", F.lit(0))[features]) - 1), lambda i: F.transform("__rows", lambda r: F.get(r[features], i)))
     return out.select(*by, "start_pos", turned.alias("window"), "window_label")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from plumbline.functions.scalars import BATCH_NORM
 from plumbline.operators import scoring, state as states
 from plumbline.operators.networks import Network, State, probabilities, weighted_loss
-from plumbline.sources.files import workspace
+from plumbline.sources.files import remove, workspace
 
 METHODS = ("fedavg", "fedprox", "scaffold", "fedbn")
 
@@ -194,7 +194,7 @@ def predictions(examples: DataFrame, network: Network, shared: State, own: DataF
 
 
 def run_rounds(examples: DataFrame, training: Training, rounds: int, *, hierarchical: bool = True) -> tuple[list[dict], State, DataFrame | None]:
-    """Metrics of each round, the last state and, for FedBN, what belongs to each client.
+    """The row of each round (``scoring.ROUND_COLUMNS``), the last state and, for FedBN, what belongs to each client.
 
     ``examples`` has client, subcluster_id, split, example (its place), features and label, and is
     cached while rounds run. Each round trains all clients in one job whose table is written to the
@@ -208,7 +208,11 @@ def run_rounds(examples: DataFrame, training: Training, rounds: int, *, hierarch
     clients = examples.select("client").distinct().count()
     state, earlier, own = network.initial(training.seed), None, None
     server = {k: np.zeros(s, np.float32) for k, s in network.shapes().items()} if training.method == "scaffold" else None
-    metrics, train = [], examples.where("split = 'train'")
+    elements = sum(int(np.prod(s)) for s in network.shapes().values())
+    links = clients + (examples.select("subcluster_id").distinct().count() if hierarchical else 0)
+    # both ways over each link, and SCAFFOLD's control variates along with the state
+    cost = 4 * elements * 2 * links * (2 if training.method == "scaffold" else 1)
+    metrics, train, behind = [], examples.where("split = 'train'"), None
     for number in range(1, rounds + 1):
         path = workspace(spark, f"round-{number}")
         local_updates(train, training, state, earlier=earlier, server=server, round_no=number).write.parquet(path)
@@ -227,7 +231,10 @@ def run_rounds(examples: DataFrame, training: Training, rounds: int, *, hierarch
             server = to_state(states.server_control(_table(spark, server), new, clients).collect(), network)
         losses = updates.groupBy("client", "subcluster_id").agg(F.first("loss").alias("loss")).groupBy("subcluster_id").agg(F.avg("loss").alias("loss")).agg(F.avg("loss")).first()[0]
         state, earlier = mean, updates
-        scores = scoring.evaluate(predictions(examples, network, state, own)).collect()
-        metrics.append({"round": number, "train_loss": losses} | {f"{r.split}_{r.rule}_{m}": r[m] for r in scores for m in ("f1", "accuracy", "fpr", "log_loss", "threshold")})
+        scores = scoring.round_row(scoring.evaluate(predictions(examples, network, state, own))).first().asDict()
+        metrics.append({"round": number, "train_loss_local_mean": losses, "communication_cost_bytes": cost} | scores)
+        if behind:  # nothing reads the round before any more
+            remove(behind)
+        behind = path
     examples.unpersist()
     return metrics, state, own

@@ -1,57 +1,61 @@
-"""Global order without one task for all rows: positions and running sums by buckets of the keys."""
+"""Global order without one task for all rows: positions and running sums over ranges of the keys."""
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Rows up to which one window without buckets is used.
-ONE_TASK_ROWS = 1_000_000
-#: Keys that are sampled to choose bucket bounds, at most.
-SAMPLE = 4096
-_BUCKET = "__bucket"
-
-
-def _bounds(frame: DataFrame, order: list[str], buckets: int) -> list:
-    """Bucket bounds from the keys of the rows that come first by a hash of all keys, at most SAMPLE of them, so that buckets have about as many rows each."""
-    keys = frame.where(F.col(order[0]).isNotNull()).select(*order).orderBy(F.xxhash64(*order)).limit(SAMPLE).collect()
-    ordered = sorted(tuple((v is not None, v) for v in r) for r in keys)
-    return sorted({ordered[i * len(ordered) // buckets] for i in range(1, buckets)}) if ordered else []
-
-
-def _bucketed(frame: DataFrame, order: list[str], buckets: int | None) -> DataFrame:
-    if buckets is None:
-        rows = frame.count()
-        buckets = 1 if rows <= ONE_TASK_ROWS else min(1024, -(-rows // ONE_TASK_ROWS))
-    bounds = _bounds(frame, order, buckets) if buckets > 1 else []
-    if not bounds:
-        return frame.withColumn(_BUCKET, F.lit(0))
-    types = {c: frame.schema[c].dataType for c in order}
-    keys = F.struct(*(F.col(c).alias(c) for c in order))
-    array = F.array(*[F.struct(*(F.lit(v).cast(types[c]).alias(c) for c, (_, v) in zip(order, bound, strict=True))) for bound in bounds])
-    # halving steps instead of a look at every bound
-    steps = [F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))]
-    place = F.aggregate(F.array(*steps), F.lit(0), lambda at, step: F.when(F.coalesce(F.get(array, at + step - 1) <= keys, F.lit(False)), at + step).otherwise(at))
-    return frame.withColumn(_BUCKET, F.when(F.col(order[0]).isNull(), -1).otherwise(place))
-
-
-def running_sums(frame: DataFrame, order: list[str], sums: dict[str, Column], *, descending: bool = False, buckets: int | None = None) -> DataFrame:
-    """``frame`` with, for each name in ``sums``, the sum over all rows up to and including a row.
-
-    Rows come in the order of the columns ``order``, nulls first, or last if descending. Buckets
-    are ranges of all these columns, so that ties in the first one do not fill a bucket. Each is
-    one window; what comes before a bucket is a running sum over one row per bucket. ``buckets`` defaults to 1 up to a million rows, then one for each million.
+from plumbline.sources.files import cut_lineage
+
+_RANGE, _PLACE = "__range", "__place"
+
+
+def _ranged(frame: DataFrame, order: list[str], *, by=(), descending: bool = False, ranges: int | None = None) -> DataFrame:
+    """``frame`` dealt by ranges of all keys, each sorted, with the number of the range and the place in it.
+
+    Spark's range exchange finds the bounds; there are as many ranges as shuffle partitions, or
+    ``ranges``. The rows are checkpointed, as the exchange would find other bounds when it ran again.
     """
-    rows = _bucketed(frame, order, buckets)
+    keys = [*(F.col(c).asc() for c in by), *(F.col(c).desc() if descending else F.col(c).asc() for c in order)]
+    dealt = frame.repartitionByRange(ranges, *keys) if ranges else frame.repartitionByRange(*keys)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return cut_lineage(dealt.sortWithinPartitions(*keys).select("*", F.spark_partition_id().alias(_RANGE), place.alias(_PLACE)))
+
+
+def running_sums(frame: DataFrame, order: list[str], sums: dict[str, Column], *, by=(), descending: bool = False, buckets: int | None = None) -> DataFrame:
+    """``frame`` with, for each name in ``sums``, the sum over all rows (of its group, with ``by``) up to and including a row.
+
+    Rows come in the order of the columns ``order``, nulls first, or last if descending. Ranges are
+    of all these columns, so that ties in the first one do not fill one, and a group of any size
+    lies in as many ranges as it needs. Each range is one window; what comes before it in a group
+    is a running sum over one row per range and group. ``buckets`` is a number of ranges.
+    """
+    rows = _ranged(frame, order, by=by, descending=descending, ranges=buckets)
     keys = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    across = Window.orderBy(F.col(_BUCKET).desc() if descending else F.col(_BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(_BUCKET).agg(*(F.sum(v).alias(f"__total_{n}") for n, v in sums.items()))
-    starts = totals.select(_BUCKET, *(F.coalesce(F.sum(f"__total_{n}").over(across), F.lit(0)).alias(f"__start_{n}") for n in sums))
-    inside = Window.partitionBy(_BUCKET).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({n: F.sum(v).over(inside) for n, v in sums.items()}).join(F.broadcast(starts), _BUCKET)
+    totals = rows.groupBy(*by, _RANGE).agg(*(F.sum(v).alias(f"__total_{n}") for n, v in sums.items()))
+    across = Window.partitionBy(*by).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*(F.col(c).alias(f"__by_{c}") for c in by), F.col(_RANGE).alias("__of"), *(F.coalesce(F.sum(f"__total_{n}").over(across), F.lit(0)).alias(f"__start_{n}") for n in sums))
+    same = [F.col(_RANGE) == F.col("__of"), *(F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by)]
+    inside = Window.partitionBy(_RANGE, *by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({n: F.sum(v).over(inside) for n, v in sums.items()}).join(starts if by else F.broadcast(starts), same)
     return rows.withColumns({n: F.col(f"__start_{n}") + F.col(n) for n in sums}).select(*frame.columns, *sums)
 
 
+def counted_positions(frame: DataFrame, order: list[str], *, name: str = "pos", buckets: int | None = None) -> tuple[DataFrame, int]:
+    """``positions`` and the number of rows.
+
+    A row's position is the number of rows in the ranges before its own, which the driver adds up
+    over one number per range, and its place in there; no window and no further exchange is needed.
+    """
+    rows = _ranged(frame, order, ranges=buckets)
+    sizes = sorted(rows.groupBy(_RANGE).agg(F.count(F.lit(1)).alias("n")).collect())
+    starts = list(accumulate((r.n for r in sizes), initial=0))
+    known = rows.sparkSession.createDataFrame([(r[_RANGE], start) for r, start in zip(sizes, starts[:-1], strict=True)], f"{_RANGE} int, __start long")
+    found = rows.join(F.broadcast(known), _RANGE).withColumn(name, F.col("__start") + F.col(_PLACE))
+    return found.select(*(c for c in frame.columns if c != name), name), starts[-1]
+
+
 def positions(frame: DataFrame, order: list[str], *, name: str = "pos", buckets: int | None = None) -> DataFrame:
     """``frame`` with the place of each row from 0 in the order of ``order``, which must be unique."""
-    rows = running_sums(frame, order, {name: F.lit(1)}, buckets=buckets)
-    return rows.withColumn(name, (F.col(name) - 1).cast("long"))
+    return counted_positions(frame, order, name=name, buckets=buckets)[0]

@@ -33,19 +33,20 @@ def mean_log_loss(scores: DataFrame, *, by=()) -> DataFrame:
     return scores.groupBy(*by).agg(F.avg(log_loss("p", "label")).alias("log_loss"))
 
 
-def _by_score(scores: DataFrame) -> DataFrame:
-    return scores.groupBy("p").agg(F.count_if(F.col("label") == 1).alias("positives"), F.count_if(F.col("label") == 0).alias("negatives"))
+def _by_score(scores: DataFrame, by=()) -> DataFrame:
+    return scores.groupBy(*by, "p").agg(F.count_if(F.col("label") == 1).alias("positives"), F.count_if(F.col("label") == 0).alias("negatives"))
 
 
-def ranking_metrics(scores: DataFrame, *, buckets: int | None = None) -> DataFrame:
-    """One row: auroc and average_precision, exact, null unless both classes are there.
+def ranking_metrics(scores: DataFrame, *, by=(), buckets: int | None = None) -> DataFrame:
+    """One row, or one for each group of ``by``: auroc and average_precision, exact, null unless both classes are there.
 
     Equal scores count one half in the area; average precision steps over different scores from
-    the top. Rows are first added up by score, so windows see different scores only.
+    the top. Rows are first added up by score, so windows see different scores only; all groups are
+    one pass.
     """
-    steps = running_sums(_by_score(scores), ["p"], {"tp": F.col("positives"), "fp": F.col("negatives")}, descending=True, buckets=buckets)
+    steps = running_sums(_by_score(scores, by), ["p"], {"tp": F.col("positives"), "fp": F.col("negatives")}, by=by, descending=True, buckets=buckets)
     # negatives below a score: all of them less those at it and above
-    found = steps.agg(
+    found = steps.groupBy(*by).agg(
         F.sum("positives").alias("n_positive"),
         F.sum("negatives").alias("n_negative"),
         F.sum(F.col("positives") * (F.col("fp") - F.col("negatives") + 0.5 * F.col("negatives").cast("double"))).alias("beaten"),
@@ -53,7 +54,7 @@ def ranking_metrics(scores: DataFrame, *, buckets: int | None = None) -> DataFra
     )
     both = (F.col("n_positive") > 0) & (F.col("n_negative") > 0)
     pairs = F.col("n_positive").cast("double") * F.col("n_negative")
-    return found.select(F.when(both, 1.0 - F.try_divide(F.col("beaten"), pairs)).alias("auroc"), F.when(both, F.try_divide(F.col("area"), F.col("n_positive").cast("double"))).alias("average_precision"), "n_positive", "n_negative")
+    return found.select(*by, F.when(both, 1.0 - F.try_divide(F.col("beaten"), pairs)).alias("auroc"), F.when(both, F.try_divide(F.col("area"), F.col("n_positive").cast("double"))).alias("average_precision"), "n_positive", "n_negative")
 
 
 def best_threshold(scores: DataFrame, *, buckets: int | None = None) -> DataFrame:
@@ -73,11 +74,43 @@ def best_threshold(scores: DataFrame, *, buckets: int | None = None) -> DataFram
 
 
 def evaluate(scores: DataFrame) -> DataFrame:
-    """Metrics by split of (split, label, p): training at 0.5, validation and test at 0.5 and at the threshold that validation chose."""
+    """Metrics by split of (split, label, p): training at 0.5, validation and test at 0.5 and at the threshold that validation chose.
+
+    Loss and ranking metrics hang on the split alone; they are found once by split and stand beside both rules.
+    """
     tuned = best_threshold(scores.where("split = 'validation'")).select(F.col("threshold").alias("tuned"))
     both = scores.crossJoin(F.broadcast(tuned)).select("split", "label", "p", F.explode(F.array(F.struct(F.lit("default").alias("rule"), F.lit(0.5).alias("threshold")), F.struct(F.lit("tuned").alias("rule"), F.col("tuned").alias("threshold")))).alias("r"))
     both = both.select("split", "label", "p", "r.rule", "r.threshold").where("split <> 'train' OR rule = 'default'")
-    return rates(confusion(both, F.col("threshold"), by=("split", "rule", "threshold"))).join(mean_log_loss(both, by=("split", "rule")), ["split", "rule"])
+    ranks = ranking_metrics(scores, by=("split",)).select("split", "auroc", "average_precision")
+    return rates(confusion(both, F.col("threshold"), by=("split", "rule", "threshold"))).join(mean_log_loss(scores, by=("split",)), "split").join(ranks, "split")
+
+
+# Names of the round table and the metrics of ``evaluate`` that they show, by split.
+_TRAIN_COLUMNS = {"accuracy": "accuracy", "f1": "f1"}
+_RATE_COLUMNS = {"accuracy": "accuracy", "precision": "precision", "recall": "recall", "f1": "f1", "auroc": "auroc", "pr_auc": "average_precision", "fpr": "fpr"}
+ROUND_COLUMNS = [
+    "round", "train_loss_local_mean", *(f"train_{c}" for c in _TRAIN_COLUMNS),
+    *(f"{s}_{c}" for s in ("validation", "test") for c in ("loss", *_RATE_COLUMNS)),
+    "threshold_used", "communication_cost_bytes", *(f"{s}_{c}_default_threshold" for s in ("validation", "test") for c in _RATE_COLUMNS),
+]
+
+
+def round_row(evaluated: DataFrame, *, by=()) -> DataFrame:
+    """The 33 columns of a round's row that come from scores, one row for each group of ``by``.
+
+    ``evaluated`` are rows of ``evaluate``. Validation and test are at the tuned threshold, and at
+    0.5 in the columns that say so; a split without rows gives null.
+    """
+
+    def of(split: str, rule: str, metric: str) -> Column:
+        return F.max(F.when((F.col("split") == split) & (F.col("rule") == rule), F.col(metric)))
+
+    columns = {f"train_{c}": of("train", "default", m) for c, m in _TRAIN_COLUMNS.items()}
+    for split in ("validation", "test"):
+        columns |= {f"{split}_{c}": of(split, "tuned", m) for c, m in {"loss": "log_loss", **_RATE_COLUMNS}.items()}
+        columns |= {f"{split}_{c}_default_threshold": of(split, "default", m) for c, m in _RATE_COLUMNS.items()}
+    columns["threshold_used"] = of("validation", "tuned", "threshold")
+    return evaluated.groupBy(*by).agg(*(columns[c].alias(c) for c in ROUND_COLUMNS if c in columns))
 
 
 def best_round(rounds: DataFrame, *, by=("experiment_id",)) -> DataFrame:

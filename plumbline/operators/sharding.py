@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.operators.running import positions
+from plumbline.operators.running import counted_positions
 
 #: Shares of training, validation and test rows of a shard.
 RATIOS = (0.7, 0.15, 0.15)
@@ -66,10 +66,10 @@ def split_of(local_pos: str | Column = "local_pos", rows: str | Column = "shard_
 
 def shard_and_split(frame: DataFrame, order: list[str], clients: int, *, ratios=RATIOS) -> DataFrame:
     """``frame`` in the global order of ``order`` (unique), with pos, client, local_pos, shard_rows and split."""
-    rows = frame.count()
+    ordered, rows = counted_positions(frame, order)
     if rows < clients:
         raise CoverageError(f"{rows} rows cannot fill {clients} shards")
-    return shards(positions(frame, order), rows, clients).withColumn("split", split_of(ratios=ratios))
+    return shards(ordered, rows, clients).withColumn("split", split_of(ratios=ratios))
 
 
 def split_counts(split_rows: DataFrame, label: str = "label") -> DataFrame:

@@ -370,6 +370,47 @@ def evaluate_round(spark, sf_dir):
     return scoring.evaluate(scored(spark, sf_dir).withColumn("split", split)).select("split", "rule", "threshold", "tp", "fp", "support")
 
 
+_RATES = {
+    "accuracy": "CAST(tn + tp AS DOUBLE) / n", "precision": "coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0)", "recall": "coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0)",
+    "f1": "coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0)", "auroc": "auroc", "pr_auc": "pr_auc", "fpr": "coalesce(CAST(fp AS DOUBLE) / nullif(fp + tn, 0), 0)",
+}
+_ROUND_ROW = ", ".join(
+    [f"round(max(CASE WHEN split = 'train' AND rule = 'default' THEN {_RATES[c]} END), 6) AS train_{c}" for c in ("accuracy", "f1")]
+    + [f"round(max(CASE WHEN split = '{s}' AND rule = 'tuned' THEN {v} END), 6) AS {s}_{c}" for s in ("validation", "test") for c, v in ({"loss": "loss"} | _RATES).items()]
+    + [f"round(max(CASE WHEN split = '{s}' AND rule = 'default' THEN {v} END), 6) AS {s}_{c}_default_threshold" for s in ("validation", "test") for c, v in _RATES.items()]
+)
+
+
+@query(f"""WITH {_SCORED}, x AS (SELECT ['train', 'validation', 'test'][doc_id % 3 + 1] AS split, label, p FROM sc),
+g AS (SELECT split, p, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM x GROUP BY split, p),
+c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY split) AS np, sum(neg) OVER (PARTITION BY split) AS nn FROM g WINDOW w AS (PARTITION BY split ORDER BY p DESC)),
+k AS (SELECT split, CAST(1.0 AS DOUBLE) - sum(pos * (fp - neg + CAST(0.5 AS DOUBLE) * neg)) / (CAST(max(np) AS DOUBLE) * max(nn)) AS auroc, sum(pos * CAST(tp AS DOUBLE) / (tp + fp)) / max(np) AS pr_auc FROM c GROUP BY split),
+q AS (SELECT split, label, greatest(least(p, 1 - CAST(0.000001 AS DOUBLE)), CAST(0.000001 AS DOUBLE)) AS c FROM x),
+e AS (SELECT split, avg(CASE WHEN label = 1 THEN -ln(c) ELSE -ln(1 - c) END) AS loss FROM q GROUP BY split),
+b AS (SELECT p, CAST(2 * tp AS DOUBLE) / (tp + fp + np) AS f1 FROM c WHERE split = 'validation'), m AS (SELECT max(f1) AS best FROM b),
+t AS (SELECT p AS tuned FROM b, m WHERE best - f1 <= CAST(0.00000001 AS DOUBLE) + CAST(0.00001 AS DOUBLE) * best ORDER BY abs(p - 0.5), p DESC LIMIT 1),
+r AS (SELECT x.*, rule, CASE WHEN rule = 'tuned' THEN tuned ELSE 0.5 END AS threshold FROM x, t, (VALUES ('default'), ('tuned')) v(rule)),
+f AS (SELECT split, rule, count(*) AS n, count(*) FILTER (WHERE label <> 1 AND p < threshold) AS tn, count(*) FILTER (WHERE label <> 1 AND p >= threshold) AS fp,
+  count(*) FILTER (WHERE label = 1 AND p < threshold) AS fn, count(*) FILTER (WHERE label = 1 AND p >= threshold) AS tp FROM r GROUP BY split, rule)
+SELECT {_ROUND_ROW}, round(max(tuned), 6) AS threshold_used FROM f JOIN k USING (split) JOIN e USING (split), t""")
+def round_metrics_row(spark, sf_dir):
+    """A round's row: losses, rates and ranking metrics of all splits, at the tuned threshold and at 0.5."""
+    split = F.element_at(F.array(F.lit("train"), F.lit("validation"), F.lit("test")), (F.col("doc_id") % 3 + 1).cast("int"))
+    row = scoring.round_row(scoring.evaluate(scored(spark, sf_dir).withColumn("split", split)))
+    return _rounded(row, *row.columns)
+
+
+@query(f"""WITH {_SCORED}, x AS (SELECT doc_id % 5 AS part, label, p FROM sc),
+g AS (SELECT part, p, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM x GROUP BY part, p),
+c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY part) AS np, sum(neg) OVER (PARTITION BY part) AS nn FROM g WINDOW w AS (PARTITION BY part ORDER BY p DESC))
+SELECT part, round(CAST(1.0 AS DOUBLE) - sum(pos * (fp - neg + CAST(0.5 AS DOUBLE) * neg)) / (CAST(max(np) AS DOUBLE) * max(nn)), 8) AS auroc,
+round(sum(pos * CAST(tp AS DOUBLE) / (tp + fp)) / max(np), 8) AS average_precision, CAST(max(np) AS BIGINT) AS n_positive, CAST(max(nn) AS BIGINT) AS n_negative FROM c GROUP BY part""")
+def ranking_by_group(spark, sf_dir):
+    """Ranking metrics of five groups of documents in one pass."""
+    rows = scored(spark, sf_dir).withColumn("part", F.col("doc_id") % 5)
+    return _rounded(scoring.ranking_metrics(rows, by=("part",)), "auroc", "average_precision", digits=8)
+
+
 # --- model state -----------------------------------------------------------------------------
 
 _TWO = """u AS (SELECT subcluster_id, key, idx, sum(value * n) / sum(n) AS value, sum(n) AS n FROM w GROUP BY ALL),
@@ -584,7 +625,7 @@ def _rounds(spark, sf_dir, network, windows: bool, **options) -> DataFrame:
     from plumbline.operators import federated
 
     rounds, _, _ = federated.run_rounds(_examples(spark, sf_dir, windows=windows), federated.Training(network, **options), 2)
-    return spark.createDataFrame([(r["round"], k, float(v)) for r in rounds for k, v in r.items() if k != "round"], "round int, metric string, value double")
+    return spark.createDataFrame([(r["round"], k, None if v is None else float(v)) for r in rounds for k, v in r.items() if k != "round"], "round int, metric string, value double")
 
 
 @query()

@@ -109,7 +109,7 @@ def _ragged_lines(spark, sf_dir) -> str:
     line = F.when(F.col("event_id") % 577 == 99, F.concat(cells, F.lit(","))).when(F.col("event_id") % 811 == 5, F.col("event_id").cast("string")).otherwise(cells)
     # parts begin at many places in the order, so that numbers have to be carried over them; each has its header
     rows = table(spark, sf_dir, "events").select("event_id", line.alias("line")).orderBy("event_id").drop("event_id")
-    rows.mapInArrow(with_first_line("event_id,said,user_id"), "line string").write.text(path)
+    rows.mapInArrow(sinks.with_first_line("event_id,said,user_id"), "line string").write.text(path)
     return path
 
 

@@ -76,8 +76,11 @@ def run_experiment(data: DataFrame, run: Run, output: str) -> dict:
         raise sharding.CoverageError("training examples have one class only")
     training = replace(run.training, positive_weight=weight)
     metrics, last, own = federated.run_rounds(data, training, run.rounds, hierarchical=run.hierarchical)
-    rows = [(run.experiment_id, training.seed, m["round"], float(m["train_loss"]), m.get("validation_tuned_f1"), m.get("test_tuned_f1"), m.get("test_tuned_fpr"), m.get("validation_tuned_threshold")) for m in metrics]
-    rounds = spark.createDataFrame(rows, "experiment_id string, seed int, round int, train_loss double, val_f1 double, test_f1 double, test_fpr double, threshold double")
+    kinds = {"round": "int", "communication_cost_bytes": "long"}
+    rows = [(run.experiment_id, training.seed, *(m[c] for c in scoring.ROUND_COLUMNS)) for m in metrics]
+    rounds = spark.createDataFrame(rows, ", ".join(["experiment_id string", "seed int", *(f"{c} {kinds.get(c, 'double')}" for c in scoring.ROUND_COLUMNS)]))
+    # the names that reports and comparisons read
+    rounds = rounds.withColumns({"train_loss": F.col("train_loss_local_mean"), "val_f1": F.col("validation_f1"), "threshold": F.col("threshold_used")})
     base = f"{output}/{run.experiment_id}/seed_{training.seed}"
     sinks.write_csv(rounds, f"{base}/round_metrics")
     best = scoring.best_round(rounds).first()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _place(path: str, spark: SparkSession | None = None):
@@ -63,10 +64,37 @@ def first_line(path: str, *, most: int = 1 << 24) -> bytes:
     return found.splitlines()[0] if found else b""
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, which all machines share. A local session without one, as in tests, gets a temporary folder; on a cluster it must be named."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not root:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
+        root = context.getCheckpointDir()
+    return root.rstrip("/")
+
+
+def cut_lineage(frame: DataFrame) -> DataFrame:
+    """A checkpoint of ``frame`` under the shared folder."""
+    shared_root(frame.sparkSession)
+    return frame.checkpoint()
+
+
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new path under the session's spark.checkpoint.dir, which all machines share. Only where it names none, as in tests, a temporary folder."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="plumbline-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path for a table under the shared folder, removed when the session's JVM ends, or before by ``remove``."""
+    folder = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    store, where = _place(folder, spark)
+    store.mkdirs(where)
+    store.deleteOnExit(where)
+    return f"{folder}/rows"
+
+
+def remove(path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    store, where = _place(path)
+    store.delete(where, True)
 
 
 def expanded(paths: list[str]) -> list[str]:

@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -63,7 +64,7 @@ def test_positions_of_ties(spark):
     rows = spark.createDataFrame([(5, i * 37 % 101 if i else None, i) for i in range(101)], "a int, b int, c int")
     found = [r.c for r in running.positions(rows, ["a", "b"], buckets=7).orderBy("pos").collect()]
     assert found == [0, *sorted(range(1, 101), key=lambda i: i * 37 % 101)]
-    assert running._bucketed(rows, ["a", "b"], 7).select("__bucket").distinct().count() >= 5
+    assert running._ranged(rows, ["a", "b"], ranges=7).select("__range").distinct().count() >= 5
 
 
 def test_order_keys(spark):
@@ -178,8 +179,8 @@ def test_rounds(spark):
     examples = spark.createDataFrame(rows, "client long, subcluster_id string, split string, example long, features array<array<double>>, label int")
     training = federated.Training(networks.Network("mlp", 2, dropout=0.0), rate=0.02, adam=True, batch=16, epochs=5)
     metrics, last, own = federated.run_rounds(examples, training, 3)
-    assert [m["round"] for m in metrics] == [1, 2, 3] and metrics[-1]["train_loss"] < metrics[0]["train_loss"]
-    assert metrics[-1]["test_tuned_f1"] > 0.8 and own is None
+    assert [m["round"] for m in metrics] == [1, 2, 3] and metrics[-1]["train_loss_local_mean"] < metrics[0]["train_loss_local_mean"]
+    assert metrics[-1]["test_f1"] > 0.8 and metrics[-1]["test_auroc"] > 0.8 and set(scoring.ROUND_COLUMNS) == metrics[-1].keys() and own is None
     # the first round equals clients trained by hand
     shared = training.network.initial(training.seed)
     sums, total = {}, 0
@@ -285,16 +286,24 @@ def test_median_by_buckets(spark, monkeypatch, count):
     """The median is exact over many buckets, and no aggregate gathers all different values for it."""
     from statistics import median
 
-    from plumbline.operators import features, running
-
     def gathers(column):
         raise AssertionError("F.median holds all different values in one task")
 
     monkeypatch.setattr(features.F, "median", gathers)
-    monkeypatch.setattr(running, "ONE_TASK_ROWS", 50)
     values = [float(i * 7919 % 613) for i in range(count)]
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(count, None)], "pos long, f double")
     assert features.median(rows, "f") == median(values)
     assert features.median(rows.where("f IS NULL"), "f") is None
     if count > 2:
         assert features.fit_numeric(rows, ["f"]).kept["f"][0] == median(values)
+
+
+@pytest.mark.parametrize(("width", "stride"), [(32, 8), (8, 8), (5, 3), (6, 4), (4, 6), (7, 1)])
+def test_windows_of_panes(spark, width, stride):
+    """Panes of a length that divides both give the windows of a plain count, whatever width and stride."""
+    rng = random.Random(width * 10 + stride)
+    groups = {(c, s): [int(rng.random() < 0.1) for _ in range(rng.choice([0, width - 1, width, width + 1, 97]))] for c in range(3) for s in ("train", "test")}
+    rows = [(c, s, 1000 + i, y) for (c, s), ys in groups.items() for i, y in enumerate(ys)]
+    found = features.window_labels(spark.createDataFrame(rows, "client int, split string, local_pos long, label int"), width=width, stride=stride).collect()
+    wanted = [(c, s, 1000 + k * stride, k, max(ys[k * stride : k * stride + width])) for (c, s), ys in groups.items() for k in range((len(ys) - width) // stride + 1 if len(ys) >= width else 0)]
+    assert sorted(map(tuple, found)) == sorted(wanted)
