@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key is hot if it has at least this share of all rows, so there are at most 1/share hot keys.
 HOT_SHARE = 0.001
+#: Values of a column whose counts may be broadcast.
+FEW_VALUES = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,12 +50,14 @@ def first_by_hash(rows: DataFrame, key: str, sample: int, *, most: int | None =
 
     A count of each value sets a bound on the hash below which lie about twice as many rows as are
     wanted; only these are shuffled, so what meets in one task does not grow with the input. The
-    counts, ``most`` rows, are broadcast; without ``most``, all values count and Spark chooses the
-    join by their size. ``doc_id`` and ``key`` must not be null.
+    counts are broadcast: ``most`` rows, or without it all values if they are FEW_VALUES at most;
+    beyond that the rows are shuffled by value. ``doc_id`` and ``key`` must not be null.
     """
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__fh_n"))
     if most is not None:
-        counts = F.broadcast(counts.orderBy(F.desc("__fh_n"), key).limit(most))
+        counts = counts.orderBy(F.desc("__fh_n"), key).limit(most)
+    if most is not None or counts.count() <= FEW_VALUES:
+        counts = F.broadcast(counts)
     chance = F.xxhash64("doc_id")
     place = chance.cast("double") / F.lit(2.0**64) + F.lit(0.5)
     near = rows.join(counts, key).where(place * F.col("__fh_n") <= F.lit(2.0 * sample + 100))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.columns import first_by_hash
+from plumbline.llm.columns import FEW_VALUES, first_by_hash
 
 #: Hashed dimensions of one-, two- and three-character features.
 DIMENSIONS = (1 << 10, 1 << 12, 1 << 13)
@@ -152,12 +152,12 @@ def fit_centroids(labelled: DataFrame, *, sample: int = SAMPLE, centroids: int =
     """Fit on up to ``sample`` documents of every language, SAMPLE_TOTAL in all or 2 of each if that is more; rows without doc_id, text or lang are passed over.
 
     The ids are chosen from doc_id and lang alone, then one more scan fetches SAMPLE_CHARS
-    characters of each by a join with the ids. Of rows with the same doc_id one counts.
+    characters of each by a join with the ids, which are broadcast for up to FEW_VALUES languages. Of rows with the same doc_id one counts.
     """
     known = labelled.where("doc_id IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang")
-    each = max(2, min(sample, SAMPLE_TOTAL // max(1, known.select("lang").distinct().count())))
-    ids = first_by_hash(known, "lang", each, most=None).select("doc_id").distinct()
-    rows = labelled.join(ids, "doc_id").where("text IS NOT NULL AND lang IS NOT NULL")
+    languages = known.select("lang").distinct().count()
+    ids = first_by_hash(known, "lang", max(2, min(sample, SAMPLE_TOTAL // max(1, languages))), most=None).select("doc_id").distinct()
+    rows = labelled.join(F.broadcast(ids) if languages <= FEW_VALUES else ids, "doc_id").where("text IS NOT NULL AND lang IS NOT NULL")
     start = F.lit(1) + F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - F.lit(SAMPLE_CHARS - 1)))
     rows = rows.select("doc_id", F.struct("lang", F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text")).alias("row")).groupBy("doc_id").agg(F.min("row").alias("row"))
     return fit_texts([(r.row.lang, r.row.text) for r in rows.collect()], centroids=centroids)
