@@ -92,8 +92,8 @@ def previous_hash(new: str, *, by=("cluster_id",), order: str = "round_id") -> C
     return F.lag(new).over(Window.partitionBy(*by).orderBy(order))
 
 
-def broken_links(records: DataFrame, *, by=("cluster_id",), order: str = "round_id", new: str = "new_main_model_hash", previous: str = "previous_main_model_hash", span: int = 100_000) -> DataFrame:
-    """The records whose previous hash is not the new hash of the record before; the first one must have none.
+def with_previous(records: DataFrame, *, by=("cluster_id",), order: str = "round_id", new: str = "new_main_model_hash", span: int = 100_000) -> DataFrame:
+    """``records`` with ``expected``, the new hash of the record before, null for the first one of a cluster.
 
     Records meet in stretches of ``span`` round numbers, not by cluster. Each stretch hands the hash
     of its last record on to the next one of its cluster, over one row per stretch.
@@ -101,11 +101,14 @@ def broken_links(records: DataFrame, *, by=("cluster_id",), order: str = "round_
     rows = records.withColumn("__stretch", F.floor(F.col(order) / F.lit(span)))
     last = rows.groupBy(*by, "__stretch").agg(F.max_by(new, order).alias("__last"))
     carried = last.select(*by, "__stretch", F.lag("__last").over(Window.partitionBy(*by).orderBy("__stretch")).alias("__carried"))
-    inside = F.lag(new).over(Window.partitionBy(*by, "__stretch").orderBy(order))
-    first = F.row_number().over(Window.partitionBy(*by, "__stretch").orderBy(order)) == 1
-    rows = rows.withColumns({"__inside": inside, "__first": first}).join(carried, [*by, "__stretch"])
-    rows = rows.withColumn("expected", F.when(F.col("__first"), F.col("__carried")).otherwise(F.col("__inside")))
-    return rows.where(~F.col(previous).eqNullSafe(F.col("expected"))).select(*records.columns, "expected")
+    stretch = Window.partitionBy(*by, "__stretch").orderBy(order)
+    rows = rows.withColumns({"__inside": F.lag(new).over(stretch), "__first": F.row_number().over(stretch) == 1}).join(carried, [*by, "__stretch"])
+    return rows.select(*records.columns, F.when(F.col("__first"), F.col("__carried")).otherwise(F.col("__inside")).alias("expected"))
+
+
+def broken_links(records: DataFrame, *, by=("cluster_id",), order: str = "round_id", new: str = "new_main_model_hash", previous: str = "previous_main_model_hash", span: int = 100_000) -> DataFrame:
+    """The records whose previous hash is not the new hash of the record before, by ``with_previous``; the first one must have none."""
+    return with_previous(records, by=by, order=order, new=new, span=span).where(~F.col(previous).eqNullSafe(F.col("expected")))
 
 
 def latency(records: DataFrame, *, by=("cluster_id",), start: str = "timestamp_start", end: str = "timestamp_end") -> DataFrame:

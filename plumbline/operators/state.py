@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.scalars import is_batch_norm
@@ -42,6 +44,36 @@ def two_level_mean(updates: DataFrame, *, batch_norm: bool = True) -> DataFrame:
     return weighted_mean(lower, by=("cluster_id",), batch_norm=batch_norm)
 
 
+def vector_mean(updates: DataFrame, *, by=("parent",), batch_norm: bool = True) -> DataFrame:
+    """``weighted_mean`` of updates whose ``value`` is the whole array of a key: by, key, value, n.
+
+    One aggregate over vectors, of which each task sends one per parent and key, so what is
+    shuffled hangs on the parents and not on the contributors or the elements. Keys without
+    elements are left out.
+    """
+    rows = (updates if batch_norm else updates.where(~is_batch_norm("key"))).where(F.size("value") > 0)
+    mean = Summarizer.metrics("mean").summary(array_to_vector("value"), F.col("n").cast("double"))
+    means = rows.groupBy(*by, "key").agg(mean.alias("__of"), F.sum("n").alias("n"))
+    return means.select(*by, "key", vector_to_array("__of.mean").alias("value"), "n")
+
+
+def two_level_vector_mean(updates: DataFrame, *, batch_norm: bool = True) -> DataFrame:
+    """``two_level_mean`` of vectors: cluster_id, key, value, n."""
+    lower = vector_mean(updates, by=("cluster_id", "subcluster_id"), batch_norm=batch_norm)
+    return vector_mean(lower, by=("cluster_id",), batch_norm=batch_norm)
+
+
+def vector_sum(vectors: DataFrame, *, by=()) -> DataFrame:
+    """Sums of arrays by key: by, key, value."""
+    sums = vectors.where(F.size("value") > 0).groupBy(*by, "key").agg(Summarizer.metrics("sum").summary(array_to_vector("value")).alias("__of"))
+    return sums.select(*by, "key", vector_to_array("__of.sum").alias("value"))
+
+
+def elements(vectors: DataFrame, *columns: str) -> DataFrame:
+    """One row per element of ``value``: the columns, key, idx, value."""
+    return vectors.select(*columns, "key", F.posexplode("value").alias("idx", "value"))
+
+
 def merge_state(shared: DataFrame, local: DataFrame) -> DataFrame:
     """(key, idx, value) of ``shared``, with batch-norm keys from ``local`` where it has them."""
     own = local.where(is_batch_norm("key")).select("key", "idx", F.col("value").alias("__own"))

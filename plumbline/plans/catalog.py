@@ -8,6 +8,7 @@ state vectors.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -71,6 +72,13 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.lit(1).alias("cluster_id"), F.col("label").alias("subcluster_id"), F.col("vec_id").alias("contributor"), (F.col("vec_id") % 7 + 1).alias("n"), F.element_at(names, (F.floor(F.col("at") / 16) + 1).cast("int")).alias("key"), (F.col("at") % 16).alias("idx"), F.col("v").cast("double").alias("value"))
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same updates with the array of a key in one row."""
+    keys = ("conv.weight", "block1.bn.weight", "dense_bias", "bn1.running_mean")
+    parts = F.array(*[F.struct(F.lit(k).alias("key"), F.transform(F.slice("embedding", 16 * i + 1, 16), lambda x: x.cast("double")).alias("value")) for i, k in enumerate(keys)])
+    return table(spark, sf_dir, "embeddings").select(F.lit(1).alias("cluster_id"), F.col("label").alias("subcluster_id"), F.col("vec_id").alias("contributor"), (F.col("vec_id") % 7 + 1).alias("n"), F.inline(parts))
+
+
 _STATES = """st AS (SELECT 1 AS cluster_id, label AS subcluster_id, vec_id AS contributor, vec_id % 7 + 1 AS n,
   ['conv.weight', 'block1.bn.weight', 'dense_bias', 'bn1.running_mean'][i // 16 + 1] AS key, CAST(i % 16 AS INTEGER) AS idx, CAST(embedding[i + 1] AS DOUBLE) AS value
   FROM embeddings, unnest(range(0, 64)) t(i))"""
@@ -138,17 +146,31 @@ def harmonized_union(spark, sf_dir):
     return harmonised(parts, shared=["key"], last=["nation"]).select("source", "key", "name", "segment", "nation")
 
 
-@query("""WITH f AS (SELECT * FROM (VALUES ('a', 'date'), ('a', 'time'), ('a', 'temp'), ('b', 'date'), ('b', 'time'), ('b', 'door'), ('c', 'date'), ('c', 'lat')) t(file, col))
-SELECT col AS "column", count(DISTINCT file) AS n_files, count(DISTINCT file) = 3 AS in_all FROM f GROUP BY col""")
+_COLUMNS = {
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"], "nation": ["n_nationkey", "n_name", "n_regionkey"],
+}
+_FILLED = "f AS (" + " UNION ALL ".join(f"""SELECT '{t}' AS file, '{c[2:]}' AS col FROM {t} HAVING count("{c}") > 0""" for t, cs in _COLUMNS.items() for c in cs) + ")"
+
+
+def _filled_columns(spark, sf_dir) -> DataFrame:
+    """(file, column) of the columns that have a value, of four tables; names without their table's letter."""
+    found = []
+    for name in _COLUMNS:
+        rows = table(spark, sf_dir, name)
+        counts = rows.agg(F.array(*[F.struct(F.lit(c[2:]).alias("column"), F.count(c).alias("n")) for c in rows.columns]).alias("columns"))
+        found.append(counts.select(F.lit(name).alias("file"), F.inline("columns")).where("n > 0").drop("n"))
+    return reduce(DataFrame.union, found)
+
+
+@query(f"""WITH {_FILLED} SELECT col AS "column", count(DISTINCT file) AS n_files, count(DISTINCT file) = 4 AS in_all FROM f GROUP BY col""")
 def schema_union_intersection(spark, sf_dir):
-    files = {"a": ["date", "time", "temp"], "b": ["date", "time", "door"], "c": ["date", "lat"]}
-    return profile.schema_rollup(spark.createDataFrame([(f, c) for f, cs in files.items() for c in cs], "file string, column string"))
+    return profile.schema_rollup(_filled_columns(spark, sf_dir))
 
 
-@query("""WITH f AS (SELECT * FROM (VALUES ('a', 'date'), ('a', 'temp'), ('b', 'date'), ('b', 'door')) t(file, col))
-SELECT x.file, y.col AS "column", EXISTS (SELECT 1 FROM f WHERE f.file = x.file AND f.col = y.col) AS present FROM (SELECT DISTINCT file FROM f) x, (SELECT DISTINCT col FROM f) y""")
+@query(f"""WITH {_FILLED} SELECT x.file, y.col AS "column", EXISTS (SELECT 1 FROM f WHERE f.file = x.file AND f.col = y.col) AS present FROM (SELECT DISTINCT file FROM f) x, (SELECT DISTINCT col FROM f) y""")
 def column_incidence(spark, sf_dir):
-    return profile.incidence(spark.createDataFrame([("a", "date"), ("a", "temp"), ("b", "date"), ("b", "door")], "file string, column string"))
+    return profile.incidence(_filled_columns(spark, sf_dir))
 
 
 # --- order, shards, splits -------------------------------------------------------------------
@@ -419,34 +441,34 @@ k AS (SELECT key, idx, round(sum(value * n) / sum(n), 6) AS value, CAST(sum(n) A
 
 @query(f"WITH {_STATES}, w AS (SELECT * FROM st), {_TWO} SELECT 1 AS cluster_id, * FROM k")
 def weighted_mean_two_level(spark, sf_dir):
-    return _rounded(state.two_level_mean(states(spark, sf_dir)), "value")
+    return _rounded(state.elements(state.two_level_vector_mean(vectors(spark, sf_dir)), "cluster_id", "n"), "value")
 
 
 @query(f"WITH {_STATES}, w AS (SELECT * FROM st WHERE NOT regexp_matches(lower(key), 'bn|batchnorm|running_mean|running_var|num_batches_tracked')), {_TWO} SELECT 1 AS cluster_id, * FROM k")
 def bn_excluded_mean(spark, sf_dir):
-    return _rounded(state.two_level_mean(states(spark, sf_dir), batch_norm=False), "value")
+    return _rounded(state.elements(state.two_level_vector_mean(vectors(spark, sf_dir), batch_norm=False), "cluster_id", "n"), "value")
 
 
 @query(f"""WITH {_STATES}, w AS (SELECT * FROM st), {_TWO}, own AS (SELECT key, idx, value FROM st WHERE contributor = 3)
 SELECT k.key, k.idx, round(CASE WHEN k.key LIKE '%bn%' THEN coalesce(own.value, k.value) ELSE k.value END, 6) AS value FROM k LEFT JOIN own ON k.key = own.key AND k.idx = own.idx""")
 def state_merge(spark, sf_dir):
-    rows = states(spark, sf_dir)
-    return _rounded(state.merge_state(state.two_level_mean(rows).select("key", "idx", "value"), rows.where("contributor = 3").select("key", "idx", "value")), "value")
+    rows = vectors(spark, sf_dir)
+    return _rounded(state.merge_state(state.elements(state.two_level_vector_mean(rows)), state.elements(rows.where("contributor = 3"))), "value")
 
 
-@query(f"""WITH {_STATES}, ref AS (SELECT key, idx, value FROM st WHERE contributor = 0), up AS (SELECT key, idx, value FROM st WHERE contributor = 1)
-SELECT ref.key, ref.idx, round(CASE WHEN ref.key LIKE '%bn%' THEN ref.value ELSE coalesce(up.value, ref.value) END, 6) AS value FROM ref LEFT JOIN up ON ref.key = up.key AND ref.idx = up.idx""")
+@query(f"""WITH {_STATES}, w AS (SELECT * FROM st), {_TWO}, ref AS (SELECT key, idx, value FROM st WHERE contributor = 0)
+SELECT ref.key, ref.idx, round(CASE WHEN ref.key LIKE '%bn%' THEN ref.value ELSE k.value END, 6) AS value FROM ref JOIN k ON ref.key = k.key AND ref.idx = k.idx""")
 def state_replace(spark, sf_dir):
-    rows = states(spark, sf_dir)
-    pick = lambda c: rows.where(F.col("contributor") == c).select("key", "idx", "value")
-    return _rounded(state.replace_state(pick(0), pick(1)), "value")
+    """The mean of all contributors takes the place of one state, but for its batch normalisation."""
+    rows = vectors(spark, sf_dir)
+    return _rounded(state.replace_state(state.elements(rows.where("contributor = 0")), state.elements(state.two_level_vector_mean(rows))), "value")
 
 
 @query(f"""WITH {_STATES}, d AS (SELECT key, idx, sum(value) AS s FROM st GROUP BY ALL), n AS (SELECT count(DISTINCT contributor) AS n FROM st), c AS (SELECT key, idx, value FROM st WHERE contributor = 0)
 SELECT c.key, c.idx, round(c.value + coalesce(d.s, 0) / n.n, 6) AS value FROM c CROSS JOIN n LEFT JOIN d ON c.key = d.key AND c.idx = d.idx""")
 def scaffold_update(spark, sf_dir):
-    rows = states(spark, sf_dir)
-    return _rounded(state.server_control(rows.where("contributor = 0").select("key", "idx", "value"), rows, rows.select("contributor").distinct().count()), "value")
+    rows = vectors(spark, sf_dir)
+    return _rounded(state.server_control(state.elements(rows.where("contributor = 0")), state.elements(state.vector_sum(rows)), rows.select("contributor").distinct().count()), "value")
 
 
 @query(f"WITH {_STATES}, r AS (SELECT key, idx, value AS b FROM st WHERE contributor = 0) SELECT contributor, round(0.005 * sum(power(value - b, 2)), 8) AS penalty FROM st JOIN r ON st.key = r.key AND st.idx = r.idx GROUP BY contributor")
@@ -468,10 +490,15 @@ def parameter_bytes(spark, sf_dir):
 # --- reports ---------------------------------------------------------------------------------
 
 
-@query("""SELECT * FROM (VALUES ('A_C1', CAST(5828 AS BIGINT), CAST(0 AS BIGINT), CAST(12 AS BIGINT), CAST(0 AS BIGINT), CAST(50 AS BIGINT), CAST(139872 AS BIGINT), CAST(6993600 AS BIGINT), CAST(6993600 AS DOUBLE) / 1048576),
-('B_C1', 5828, 0, 12, 2, 50, 163184, 8159200, CAST(8159200 AS DOUBLE) / 1048576), ('P_C3', 164, 164, 15, 3, 50, 11808, 590400, CAST(590400 AS DOUBLE) / 1048576)) t(run, state_bytes, control_bytes, clients, subclusters, rounds, bytes_per_round, total_bytes, total_mib)""")
+@query("""WITH r AS (SELECT 'run_' || CAST(label AS VARCHAR) AS run, CAST(4 * max(len(embedding)) AS BIGINT) AS state_bytes, CAST(CASE WHEN label % 2 = 0 THEN 4 * max(len(embedding)) ELSE 0 END AS BIGINT) AS control_bytes,
+count(DISTINCT vec_id) AS clients, count(DISTINCT vec_id % 5) AS subclusters, 10 + CAST(label AS BIGINT) AS rounds FROM embeddings GROUP BY label)
+SELECT *, (state_bytes + control_bytes) * 2 * (clients + subclusters) AS bytes_per_round, (state_bytes + control_bytes) * 2 * (clients + subclusters) * rounds AS total_bytes,
+CAST((state_bytes + control_bytes) * 2 * (clients + subclusters) * rounds AS DOUBLE) / 1048576 AS total_mib FROM r""")
 def communication_cost(spark, sf_dir):
-    runs = spark.createDataFrame([("A_C1", 5828, 0, 12, 0, 50), ("B_C1", 5828, 0, 12, 2, 50), ("P_C3", 164, 164, 15, 3, 50)], "run string, state_bytes long, control_bytes long, clients long, subclusters long, rounds long")
+    """One run per label of the vectors, with its vectors as clients; runs of even labels send control variates too."""
+    size = 4 * F.max(F.size("embedding")).cast("long")
+    runs = table(spark, sf_dir, "embeddings").groupBy("label").agg(size.alias("state_bytes"), F.count_distinct("vec_id").alias("clients"), F.count_distinct(F.col("vec_id") % 5).alias("subclusters"))
+    runs = runs.select(F.concat(F.lit("run_"), F.col("label").cast("string")).alias("run"), "state_bytes", F.when(F.col("label") % 2 == 0, F.col("state_bytes")).otherwise(0).alias("control_bytes"), "clients", "subclusters", (10 + F.col("label").cast("long")).alias("rounds"))
     return reports.communication_cost(runs)
 
 
@@ -540,14 +567,17 @@ def unweighted_two_level_loss(spark, sf_dir):
     return _rounded(reports.two_level_loss(losses), "loss")
 
 
-_AXES = {"lr": [0.001, 0.003, 0.01], "batch": [64, 128], "width": [16, 32], "dropout": [0.1, 0.2]}
+_AXES = {"status": "o_orderstatus", "priority": "o_orderpriority", "year": "year(o_orderdate)"}
 
 
-@query("""WITH g AS (SELECT lr, batch, width, dropout, row_number() OVER (ORDER BY a, b, c, d) AS trial_no FROM
-(SELECT unnest([0.003, 0.001, 0.01])::DOUBLE AS lr, unnest(range(0, 3)) AS a), (SELECT unnest([64, 128]) AS batch, unnest(range(0, 2)) AS b), (SELECT unnest([16, 32]) AS width, unnest(range(0, 2)) AS c), (SELECT unnest([0.1, 0.2])::DOUBLE AS dropout, unnest(range(0, 2)) AS d))
-SELECT 'trial_' || lpad(CAST(trial_no AS VARCHAR), 4, '0') AS trial_id, CAST(trial_no AS INTEGER) AS trial_no, lr, batch, width, dropout FROM g""")
+@query("""WITH s AS (SELECT status, row_number() OVER (ORDER BY status <> 'O', status) AS a FROM (SELECT DISTINCT o_orderstatus AS status FROM orders)),
+p AS (SELECT priority, row_number() OVER (ORDER BY priority) AS b FROM (SELECT DISTINCT o_orderpriority AS priority FROM orders)), y AS (SELECT year, row_number() OVER (ORDER BY year) AS c FROM (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year FROM orders)),
+g AS (SELECT status, priority, year, row_number() OVER (ORDER BY a, b, c) AS trial_no FROM s, p, y)
+SELECT 'trial_' || lpad(CAST(trial_no AS VARCHAR), 4, '0') AS trial_id, CAST(trial_no AS INTEGER) AS trial_no, status, priority, year FROM g""")
 def trial_grid(spark, sf_dir):
-    return reports.trial_grid(spark, _AXES, {"lr": [0.003]})
+    """Every combination of the values that three columns of the orders have."""
+    sets = table(spark, sf_dir, "orders").agg(*(F.sort_array(F.collect_set(F.expr(e))).alias(a) for a, e in _AXES.items())).first()
+    return reports.trial_grid(spark, sets.asDict(), {"status": ["O"]})
 
 
 _TRIALS = "t AS (SELECT event_id AS trial_no, round(value, 0) AS val_f1, round(value / 7, 0) AS test_f1, CAST(user_id % 5 AS DOUBLE) AS test_fpr, CAST(user_id % 3 AS DOUBLE) AS seconds, CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'COMPLETE' END AS status FROM events)"
@@ -587,8 +617,8 @@ p AS (SELECT *, lag(new_hash) OVER (PARTITION BY cluster_id ORDER BY round_id) A
 SELECT cluster_id, round_id FROM q WHERE previous_hash IS DISTINCT FROM expected""")
 def ledger_chain_verify(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("cluster_id"), F.col("event_id").alias("round_id"), F.sha2(F.col("event_id").cast("string"), 256).alias("new_hash"))
-    before = ledger.previous_hash("new_hash")
-    rows = rows.withColumn("previous_hash", F.when(F.col("round_id") % 101 == 0, "x").otherwise(before))
+    before = ledger.with_previous(rows, new="new_hash", span=1000)
+    rows = before.withColumn("previous_hash", F.when(F.col("round_id") % 101 == 0, "x").otherwise(F.col("expected"))).drop("expected")
     return ledger.broken_links(rows, new="new_hash", previous="previous_hash", span=1000).select("cluster_id", "round_id")
 
 

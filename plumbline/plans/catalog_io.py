@@ -243,15 +243,22 @@ def experiment_matrix(spark, sf_dir):
 
 # --- reports ---------------------------------------------------------------------------------
 
-_GRID = {"lr": [0.001, 0.003, 0.01, 0.03], "batch": [32, 64, 128, 256], "width": [8, 16, 32, 64], "stride": [4, 8, 16, 32], "dropout": [0.0, 0.1, 0.2, 0.3], "blocks": [1, 2, 3, 4, 5, 6]}
-_GRID_SQL = """g AS (SELECT row_number() OVER (ORDER BY a, b, c, d, e, f) AS trial_no, [0.003, 0.001, 0.01, 0.03][a] AS lr, [32, 64, 128, 256][b] AS batch, [8, 16, 32, 64][c] AS width, [4, 8, 16, 32][d] AS stride, [0.0, 0.1, 0.2, 0.3][e] AS dropout, f AS blocks
-FROM range(1, 5) x1(a), range(1, 5) x2(b), range(1, 5) x3(c), range(1, 5) x4(d), range(1, 5) x5(e), range(1, 7) x6(f))"""
+_GRID = {"returned": "l_returnflag", "state": "l_linestatus", "mode": "cast(round(l_discount * 100) as int)", "line": "cast(l_linenumber as int)", "year": "year(l_shipdate)"}
+_AXIS = {"returned": "l_returnflag", "state": "l_linestatus", "mode": "CAST(round(l_discount * 100) AS INTEGER)", "line": "CAST(l_linenumber AS INTEGER)", "year": "CAST(year(l_shipdate) AS INTEGER)"}
+_GRID_SQL = ", ".join(f"x_{a} AS (SELECT {a}, row_number() OVER (ORDER BY {a}{' <> 3' if a == 'line' else ''}, {a}) AS r_{a} FROM (SELECT DISTINCT {e} AS {a} FROM lineitem))" for a, e in _AXIS.items()) + f""",
+g AS (SELECT *, row_number() OVER (ORDER BY {", ".join(f"r_{a}" for a in _AXIS)}) AS trial_no FROM {", ".join(f"x_{a}" for a in _AXIS)})"""
 
 
-@query(f"""WITH {_GRID_SQL} SELECT 'trial_' || lpad(CAST(trial_no AS VARCHAR), 4, '0') AS trial_id, CAST(trial_no AS INTEGER) AS trial_no, CAST(lr AS DOUBLE) AS lr, CAST(batch AS INTEGER) AS batch, CAST(width AS INTEGER) AS width, CAST(stride AS INTEGER) AS stride, CAST(dropout AS DOUBLE) AS dropout, CAST(blocks AS INTEGER) AS blocks FROM g""")
+def _grid(spark, sf_dir):
+    """The grid of the values that the columns have; each has a few."""
+    sets = table(spark, sf_dir, "lineitem").agg(*(F.sort_array(F.collect_set(F.expr(e))).alias(a) for a, e in _GRID.items())).first()
+    return reports.trial_grid(spark, sets.asDict(), {"line": [3]})
+
+
+@query(f"""WITH {_GRID_SQL} SELECT 'trial_' || lpad(CAST(trial_no AS VARCHAR), 4, '0') AS trial_id, CAST(trial_no AS INTEGER) AS trial_no, {", ".join(_AXIS)} FROM g""")
 def trial_grid_full(spark, sf_dir):
-    """All 6,144 trials of a grid of six axes, preferred values first."""
-    return reports.trial_grid(spark, _GRID, {"lr": [0.003]})
+    """All trials of a grid whose five axes have the values of five columns of the line items, preferred values first."""
+    return _grid(spark, sf_dir)
 
 
 _RESULTS = "r AS (SELECT 'trial_' || lpad(CAST(o_orderkey % 9000 + 1 AS VARCHAR), 4, '0') AS trial_id, min(CASE WHEN o_orderkey % 3 = 0 THEN 'FAILED' ELSE 'COMPLETE' END) AS status FROM orders GROUP BY 1)"
@@ -264,15 +271,18 @@ def _results(spark, sf_dir):
     return tried.groupBy("trial_id").agg(F.min("status").alias("status"))
 
 
-@query(f"WITH {_RESULTS} SELECT CAST(6144 AS BIGINT) AS n_trials, count(*) AS n_attempted, count(*) FILTER (WHERE status = 'COMPLETE') AS n_complete FROM r WHERE trial_id <= 'trial_6144'")
+_NAMED = "n AS (SELECT trial_no, 'trial_' || lpad(CAST(trial_no AS VARCHAR), 4, '0') AS trial_id FROM g)"
+
+
+@query(f"WITH {_GRID_SQL}, {_NAMED}, {_RESULTS} SELECT (SELECT count(*) FROM n) AS n_trials, count(*) AS n_attempted, count(*) FILTER (WHERE status = 'COMPLETE') AS n_complete FROM r WHERE trial_id IN (SELECT trial_id FROM n)")
 def trial_counts(spark, sf_dir):
-    return reports.trial_counts(reports.trial_grid(spark, _GRID), _results(spark, sf_dir))
+    return reports.trial_counts(_grid(spark, sf_dir), _results(spark, sf_dir))
 
 
-@query(f"WITH {_RESULTS} SELECT 'trial_' || lpad(CAST(i AS VARCHAR), 4, '0') AS trial_id FROM range(1001, 3001) t(i) WHERE 'trial_' || lpad(CAST(i AS VARCHAR), 4, '0') NOT IN (SELECT trial_id FROM r WHERE status = 'COMPLETE')")
+@query(f"WITH {_GRID_SQL}, {_NAMED}, {_RESULTS} SELECT trial_id FROM n WHERE trial_no BETWEEN 1001 AND 3000 AND trial_id NOT IN (SELECT trial_id FROM r WHERE status = 'COMPLETE')")
 def open_trials(spark, sf_dir):
     """The trials of a stretch of the grid that have no complete result."""
-    return reports.open_trials(reports.trial_grid(spark, _GRID), _results(spark, sf_dir), start=1000, most=2000).select("trial_id")
+    return reports.open_trials(_grid(spark, sf_dir), _results(spark, sf_dir), start=1000, most=2000).select("trial_id")
 
 
 @query("WITH f AS (SELECT user_id AS experiment_id, CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS tier, event_id FROM events) SELECT * FROM f QUALIFY tier = min(tier) OVER (PARTITION BY experiment_id)")

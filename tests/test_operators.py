@@ -307,3 +307,26 @@ def test_windows_of_panes(spark, width, stride):
     found = features.window_labels(spark.createDataFrame(rows, "client int, split string, local_pos long, label int"), width=width, stride=stride).collect()
     wanted = [(c, s, 1000 + k * stride, k, max(ys[k * stride : k * stride + width])) for (c, s), ys in groups.items() for k in range((len(ys) - width) // stride + 1 if len(ys) >= width else 0)]
     assert sorted(map(tuple, found)) == sorted(wanted)
+
+
+def test_vector_means_and_sums(spark):
+    """Aggregates over arrays give what those over single elements give, whatever contributors and lengths."""
+    rng = random.Random(4)
+    rows = [(1, f"H{c % 3}", c, rng.randint(1, 9), k, [rng.gauss(0, 1) for _ in range(n)]) for c in range(20) for k, n in (("conv.weight", 5), ("bn1.weight", 1), ("bias", 0))]
+    vectors = spark.createDataFrame(rows, "cluster_id int, subcluster_id string, contributor int, n long, key string, value array<double>")
+    single = state.elements(vectors, "cluster_id", "subcluster_id", "contributor", "n")
+    for batch_norm in (True, False):
+        found = {(r.key, r.idx): (pytest.approx(r.value), r.n) for r in state.elements(state.two_level_vector_mean(vectors, batch_norm=batch_norm), "n").collect()}
+        assert found == {(r.key, r.idx): (r.value, r.n) for r in state.two_level_mean(single, batch_norm=batch_norm).collect()} and len(found) == 5 + batch_norm
+    sums = {(r.key, r.idx): pytest.approx(r.value) for r in state.elements(state.vector_sum(vectors)).collect()}
+    assert sums == {(r.key, r.idx): r.value for r in state.sum_states(single).collect()}
+
+
+def test_grouped_running_sums(spark):
+    """Groups of any size over many ranges, null groups and ties: the sums of one window."""
+    rng = random.Random(6)
+    rows = [(g, i, rng.randint(0, 5)) for g, n in (("a", 300), (None, 40), ("b", 1), ("c", 90)) for i in rng.sample(range(1000), n)]
+    frame = spark.createDataFrame(rows, "g string, p int, v int")
+    for descending in (False, True):
+        got = {(r.g, r.p): r.s for r in running.running_sums(frame, ["p"], {"s": F.col("v")}, by=("g",), descending=descending, buckets=7).collect()}
+        assert got == {(g, p): sum(w for h, q, w in rows if h == g and (q >= p if descending else q <= p)) for g, p, _ in rows}
