@@ -24,8 +24,8 @@ SKETCHES, KMERS = 16, 4
 BUCKET = 32
 #: Members of a larger bucket that all its members meet.
 PIVOTS = 4
-#: Bits of a shingle's hash that name its bin in the counts that order shingles.
-BIN_BITS = 18
+#: Bits of a shingle's hash that name its bin in the counts that order shingles, at most (16 MB).
+BIN_BITS = 22
 #: Crowded texts of a lot, about; the pairs of two lots are verified together.
 LOT = 128
 #: Different words whose hashes are remembered.
@@ -188,8 +188,8 @@ def prefix_lengths(n: int, least: float) -> tuple[int, int]:
 def crowded_pairs(docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b), a < b, of ``docs`` (id, text, root) of different roots that can have a similarity of ``least``, by a prefix-filter join.
 
-    The shared order of shingles puts rare ones first, by counts of 2**BIN_BITS bins of their
-    hashes, so what a template gives to many texts is at the end. Any order is exact; this one
+    The shared order of shingles puts rare ones first, by counts of bins of their
+    hashes, about as many as there are shingles and 2**BIN_BITS at most, so what a template gives to many texts is at the end. Any order is exact; this one
     keeps template shingles out of the prefix of a shorter text unless it hardly differs from them.
 
     Texts of one root are in one class already and need not meet again. A shingle whose texts all
@@ -197,16 +197,19 @@ def crowded_pairs(docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
     other roots. So a family that its pivots have put together makes as many rows as it has texts.
     """
 
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(BIN_BITS, max(10, math.ceil(math.log2(max(1, size / 4)))))
+    shift = np.uint64(64 - bits)
+
     def count(batches):
         for batch in batches:
-            bins = np.zeros(1 << BIN_BITS, dtype=np.int64)
-            for _, labelled in _blocks(as_bytes(batch.column("text"))):
-                bins += np.bincount((labelled >> np.uint64(64 - BIN_BITS)).astype(np.int64), minlength=len(bins))
-            used = np.flatnonzero(bins)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(bins[used])], ["bin", "n"])
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                bins = [labelled >> shift for _, labelled in _blocks(as_bytes(part.column("text")))]
+                used, counts = np.unique(np.concatenate(bins), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(counts)], ["bin", "n"])
 
     counted = docs.select("text").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
-    bins = np.zeros(1 << BIN_BITS, dtype=np.int64)
+    bins = np.zeros(1 << bits, dtype=np.float32)
     bins[counted.column("bin").to_numpy()] = counted.column("n").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(bins)
 
@@ -218,7 +221,7 @@ def crowded_pairs(docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
                 for rep, root, (_, labelled) in zip(part.column("id").to_pylist(), part.column("root").to_pylist(), _blocks(as_bytes(part.column("text"))), strict=True):
                     if n := len(labelled):
                         short, long = prefix_lengths(n, least)
-                        ordered = labelled[np.lexsort((labelled, frequency[(labelled >> np.uint64(64 - BIN_BITS)).astype(np.int64)]))]
+                        ordered = labelled[np.lexsort((labelled, frequency[(labelled >> shift).astype(np.int64)]))]
                         places = np.arange(long)
                         for column, values in zip(columns, (np.full(long, rep), np.full(long, root), ordered[:long].view(np.int64), np.full(long, n), places, places < short), strict=True):
                             column.append(values)
@@ -290,10 +293,12 @@ def verify_pairs(pairs: DataFrame, docs: DataFrame, *, least: float = SIMILARITY
 
 
 def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, class_id, copy_of.
+    """One row per document: doc_id, class_id, copy_of, link_to, similarity.
 
     copy_of is the smallest doc_id with the same text, class_id the smallest of the connected
-    component of links. Two texts are linked if their aligned five-word shingles are at least
+    component of links. link_to is the copy_of of another text of the class to which this text has
+    a verified link, that of the greatest ``similarity`` among the links that were looked at, the
+    smallest of equal ones; both are null for texts without a link. Two texts are linked if their aligned five-word shingles are at least
     ``least`` of all shingles of both. Order MinHash keys make candidates: at a similarity of 0.8
     a pair shares none with a probability of 0.0002. All members of a bucket of up to BUCKET meet.
     Those of a larger one meet its pivots, which puts most of a family into one class; then texts
@@ -318,17 +323,20 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
         of = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(crowded, "id").dropDuplicates(["id", "text"])
         of = cut_lineage(of)
         found = found.union(verify_crowded(pivot_pairs(members), of, count, least=least))
-    links = cut_lineage(found.select("a", "b").distinct())
-    roots = cut_lineage(connected_components(links))
+    links = cut_lineage(found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
+    roots = cut_lineage(connected_components(links.select("a", "b")))
     if count:
         placed = of.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", "text", F.coalesce("root", "id").alias("root"))
-        more = cut_lineage(verify_crowded(crowded_pairs(placed, least=least), of, count, least=least).select("a", "b"))
+        more = cut_lineage(verify_crowded(crowded_pairs(placed, least=least), of, count, least=least))
         if not more.isEmpty():
-            roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+            roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("a", "b")))
+            links = links.union(more)
+    ends = links.select(F.inline(F.array(*[F.struct(F.col(x).alias("link"), F.struct("similarity", (-F.col(y)).alias("less")).alias("to")) for x, y in (("a", "b"), ("b", "a"))])))
+    nearest = ends.groupBy("link").agg(F.max("to").alias("to")).select("link", (-F.col("to.less")).alias("link_to"), F.col("to.similarity").alias("similarity"))
     linked = roots.where("node <> root")
     heads = linked.select(F.col("root").alias("node"), "root").distinct()
     classes = texts.drop("keys").join(linked.union(heads), F.col("copy_of") == F.col("node"), "left").where("n_copies > 1 OR root IS NOT NULL")
-    classes = classes.select("text_key", "copy_of", "n_copies", F.coalesce("root", "copy_of").alias("class_id"))
+    classes = classes.join(nearest, F.col("copy_of") == F.col("link"), "left").select("text_key", "copy_of", "n_copies", F.coalesce("root", "copy_of").alias("class_id"), "link_to", "similarity")
     rows = docs.select(F.col("doc_id").cast("long"), F.md5(F.coalesce("text", F.lit(""))).alias("text_key"))
     found = join_weighted(rows, classes, ["text_key"], "n_copies", docs.count())
     single = F.col("n_copies").isNull()
@@ -336,6 +344,8 @@ def near_duplicates(docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
         "doc_id",
         F.when(single, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(single, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"),
+        "link_to",
+        "similarity",
     )
 
 

@@ -323,3 +323,32 @@ def test_near_crowd(make):
     """A family whose texts all match is one class."""
     rows = [(i, " ".join([*(f"t{j}" for j in range(200)), f"d{i}"])) for i in range(150)]
     assert {r.class_id for r in near_duplicates(make(rows)).collect()} == {0}
+
+
+def test_near_links(make):
+    """Every text of a class names another one of it with a link that holds, whatever round found it; copies share it, others have none."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(400)]
+    base = rng.choices(vocabulary, k=120)
+    rows = []
+    for i in range(300):  # a family that fills buckets, each member with its own edits
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice([0, 1, 2, 3])):
+            words[at] = rng.choice(vocabulary)
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(rng.choices(vocabulary, k=60))) for i in range(20)]
+    rows += [(2000, rows[305][1] + " one more"), (2001, rows[310][1]), (2002, None)]
+    found = {r.doc_id: r for r in near_duplicates(make(rows)).collect()}
+    texts = dict(rows)
+    shingles = {i: order_minhash.labelled_shingles(WordHashes().of((t or "").encode())) for i, t in rows}
+    classes = near_brute(rows)
+    members = {}
+    for i, r in found.items():
+        assert r.class_id == classes[i]
+        members.setdefault(r.class_id, set()).add(texts[i])
+    for i, r in found.items():
+        assert (r.link_to is None) == (r.similarity is None) == (len(members[r.class_id]) == 1)
+        if r.link_to is not None:
+            assert found[r.link_to].class_id == r.class_id and found[r.link_to].copy_of == r.link_to and texts[r.link_to] != texts[i]
+            assert order_minhash.similarity(shingles[i], shingles[r.link_to]) == r.similarity >= 0.8
+    assert found[2000].link_to == 1005 and found[2001].link_to is None and found[2001].copy_of == 1010
