@@ -17,7 +17,7 @@ from plumbline.llm.quality_crf import fit_quality, score_quality
 from plumbline.llm.sentencepiece_bpe import encoding_digest
 from plumbline.llm.spelling import spelling_variants
 from plumbline.llm.substring_dedup import remove_repeated_passages
-from plumbline.llm.token_counts import count_tokens, flat_token_blocks
+from plumbline.llm.token_counts import count_by_files
 from plumbline.llm.word_bpe import word_bpe_digest
 
 
@@ -57,7 +57,7 @@ def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(flat_token_blocks(documents(spark, sf_dir))).select("doc_id", "n_tokens")
+    return count_by_files(documents(spark, sf_dir))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

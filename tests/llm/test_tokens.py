@@ -256,3 +256,29 @@ def test_dropout_does_not_depend_on_memory(texts, monkeypatch):
     assert [other.encode(t, i) for i, t in enumerate(some * 2)] == wanted
     ids, starts = other.encode_lot([*some, None], [*range(len(some)), 7])
     assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == [*wanted[: len(some)], []]
+
+
+def test_counts_by_files(spark, make, tmp_path, monkeypatch):
+    """Files written, read by ranges and removed: nulls, repeated rows, long texts, many spans of a file, and an empty table."""
+    folders = []
+    monkeypatch.setattr(tc, "shared_folder", lambda spark, name: folders.append(str(tmp_path / name)) or folders[-1])
+    monkeypatch.setattr(tc, "SPAN_BYTES", 4096)
+    rows = [(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "x y"), (4, "ein wort " * 20000), *((10 + i, t) for i, t in enumerate(random_texts(8)))]
+    encoding = byte_encoding()
+    for parts in (1, 3):
+        docs = make(rows, extra=("file", "block", "n_tokens")).repartition(parts)
+        found = sorted(((r.doc_id, r.n_tokens) for r in tc.count_by_files(docs, block_bytes=512).collect()), key=str)
+        assert found == sorted(((i, len(encoding.encode_ordinary(t or ""))) for i, t in rows), key=str)
+        assert not (tmp_path / "token-files").exists()
+    assert tc.count_by_files(make([])).count() == 0
+
+
+def test_flat_files_hold_the_ids(spark, make, tmp_path):
+    rows = [(i, t) for i, t in enumerate(random_texts(9, 50))]
+    listed = tc.write_flat_files(make(rows).repartition(2), f"file:{tmp_path}/ids", block_bytes=256).collect()
+    encoding, end = byte_encoding(), [tc.END_OF_DOCUMENT]
+    wanted = {i: encoding.encode_ordinary(t) for i, t in rows}
+    for file in {r.file for r in listed}:
+        own = sorted((r for r in listed if r.file == file), key=lambda r: r.block)
+        ids = np.fromfile(file.removeprefix("file:"), dtype="<u2").tolist()
+        assert ids == sum((wanted[d] + end for r in own for d in r.doc_ids), []) and sum(r.length for r in own) == 2 * len(ids)
