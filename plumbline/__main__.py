@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 from plumbline.operators import sharding
 from plumbline.plans import experiments as E, runs
@@ -88,13 +88,24 @@ def tune(spark, args):
     window = runs.adapter(entry)
     network = runs.Network(runs.FAMILIES[entry["model_family"]], len(names), window.width if window else 1)
     base = E.Run(entry["experiment_id"], entry["cluster_id"], runs.federated.Training(network, method=runs.METHODS[entry["fl_method"]], rate=chosen["rate"], batch=chosen["batch"], seed=chosen["seed"]), chosen["rounds"])
-    return E.tune(lambda values: data, base, axes, f"{args.output}/tuning", most=args.most)
+    folder = f"{args.output}/tuning"
+    grid = runs.reports.trial_grid(spark, axes)
+    runs.write_trials(spark, runs.trial_entries(grid, entry, list(axes)), f"{folder}/configurations")
+    best = E.tune(lambda values: data, base, axes, folder, most=args.most)
+    references = spark.createDataFrame([], "experiment_id string, test_f1 double")
+    if args.reference:
+        rows = spark.read.option("header", True).csv([f"{args.output}/{r}/seed_*/summary" for r in args.reference])
+        references = rows.groupBy("experiment_id").agg(F.avg(rows["test_f1"].try_cast("double")).alias("test_f1"))
+    # a search is fair if its trials ran as long, and on as many examples, as the runs that it is held against
+    runs.tuning_report(spark, grid, spark.read.parquet(f"{folder}/trials"), references, folder, fair=not args.smoke and not chosen["cap"])
+    return best
 
 
 def figures(spark, args):
-    """Say which chosen experiments lack artefacts, and write the bands of those that have some."""
+    """Say which chosen experiments lack artefacts, and write what the figures of the others show: bands, confusion, pairs."""
     have = matrices.artifact_listing(spark, args.output)
     wanted = spark.createDataFrame([(e["experiment_id"], s) for e in _chosen(args) for s in args.seed or e.get("seeds") or [42]], "experiment_id string, seed long")
+    runs.figure_tables(spark, _chosen(args), have, args.output)
     return runs.missing_inputs(wanted, have)
 
 
@@ -124,6 +135,7 @@ def main(argv=None, spark: SparkSession | None = None):
         if name == "tune":
             one.add_argument("--axis", action="append", required=True)
             one.add_argument("--most", type=int)
+            one.add_argument("--reference", action="append")
     args = parser.parse_args(argv)
     found = COMMANDS[args.command](spark or SparkSession.builder.appName("plumbline").getOrCreate(), args)
     if found is not None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import traceback
+import uuid
 from dataclasses import dataclass, replace
 from datetime import UTC, datetime, timedelta
 
@@ -15,6 +16,7 @@ from plumbline.operators import features, federated, grouping, ledger, reports,
 from plumbline.sources import sinks
 from plumbline.sources.contract import Contract
 from plumbline.sources.csv_tables import FILE, ROW, training_table
+from plumbline.sources.files import publish, remove
 
 
 @dataclass(frozen=True)
@@ -69,7 +71,11 @@ class Run:
 
 
 def run_experiment(data: DataFrame, run: Run, output: str) -> dict:
-    """Train and score a run on examples with subcluster_id, and write its rounds, predictions, ledger and status under ``output``."""
+    """Train and score a run on examples with subcluster_id, and write its rounds, predictions, ledger and status under ``output``.
+
+    Rounds and predictions are written to a staging folder, read again and compared with what they
+    should have, and only then renamed to their places; the status row that says COMPLETE comes last.
+    """
     spark, began = data.sparkSession, time.perf_counter()
     weight = features.class_weight(data.where("split = 'train'")).first().positive_weight
     if weight is None:
@@ -82,10 +88,15 @@ def run_experiment(data: DataFrame, run: Run, output: str) -> dict:
     # the names that reports and comparisons read
     rounds = rounds.withColumns({"train_loss": F.col("train_loss_local_mean"), "val_f1": F.col("validation_f1"), "threshold": F.col("threshold_used")})
     base = f"{output}/{run.experiment_id}/seed_{training.seed}"
-    sinks.write_csv(rounds, f"{base}/round_metrics")
+    staged = f"{base}/.staged-{uuid.uuid4().hex}"
+    sinks.write_csv(rounds, f"{staged}/round_metrics")
     best = scoring.best_round(rounds).first()
     scores = federated.predictions(data, training.network, last, own).withColumns({"experiment_id": F.lit(run.experiment_id), "seed": F.lit(training.seed)})
-    sinks.write_predictions(scores, f"{base}/predictions")
+    sinks.write_predictions(scores, f"{staged}/predictions")
+    check_written(spark, staged, data, run)
+    for name in ("round_metrics", "predictions"):
+        publish(f"{staged}/{name}", f"{base}/{name}")
+    remove(staged)
     groups = data.select("client", "subcluster_id").distinct()
     sizes = data.where("split = 'train'").groupBy("client").count().agg(F.count(F.lit(1)).alias("clients"), F.sum("count").alias("samples")).first()
     write_ledger(spark, run, metrics, f"{output}/{run.experiment_id}/ledger", clients=sizes.clients, samples=sizes.samples, groups=groups)
@@ -94,6 +105,21 @@ def run_experiment(data: DataFrame, run: Run, output: str) -> dict:
     return summary
 
 
+class UnfinishedRunError(ValueError):
+    """What was written is not what the run should have written."""
+
+
+def check_written(spark: SparkSession, staged: str, data: DataFrame, run: Run) -> None:
+    """Read staged results again: one row per round, and for each split as many predictions and positives as the examples have."""
+    rounds = spark.read.option("header", True).csv(f"{staged}/round_metrics").agg(F.count(F.lit(1)), F.count_distinct("round")).first()
+    if tuple(rounds) != (run.rounds, run.rounds):
+        raise UnfinishedRunError(f"{run.experiment_id}: {rounds[0]} rounds were written, not {run.rounds}")
+    count = lambda rows: {r.split: (r.n, r.positives) for r in rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("positives")).collect()}
+    written, wanted = count(spark.read.parquet(f"{staged}/predictions")), count(data)
+    if written != wanted:
+        raise UnfinishedRunError(f"{run.experiment_id}: predictions by split are {written}, not {wanted}")
+
+
 def described(error: Exception) -> str:
     """Kind, text and the last calls of an error, for a status row."""
     return f"{type(error).__name__}: {str(error)[:500]}\n" + "".join(traceback.format_tb(error.__traceback__)[-4:])[-1500:]

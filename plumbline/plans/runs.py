@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 from dataclasses import replace
+from functools import reduce
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -196,18 +197,75 @@ def figure_rows(metrics: DataFrame, spec: DataFrame, control_id: str, treatment_
     return sides[0].union(sides[1]).join(spec, "experiment_id")
 
 
-def seed_report(spark: SparkSession, summaries: DataFrame, metrics: list[str], output: str, *, title: str = "Results over seeds") -> DataFrame:
-    """Mean and deviation over seeds by experiment: as CSV, as a table of display texts, and as Markdown, sorted by experiment."""
+FIGURE_METRICS = ("train_loss", "val_f1", "test_f1", "test_fpr", "test_auroc")
+
+
+def figure_tables(spark: SparkSession, entries: list[dict], available: DataFrame, output: str) -> None:
+    """What the figures of experiments show, as CSV under ``reports``, for those that have artefacts.
+
+    ``bands``: mean and deviation over seeds by round of each metric; ``unaligned``: experiments
+    whose seeds have different rounds; ``confusion``: rates by split; ``pairs``: rows of controls
+    and treatments side by side.
+    """
+    ids = sorted({e["experiment_id"] for e in entries} & {r.experiment_id for r in available.select("experiment_id").distinct().collect()})
+    if not ids:
+        return
+    rows = curves(spark, output, "{" + ",".join(ids) + "}")
+    numbers = rows.select("experiment_id", "seed", F.col("round").cast("int").alias("round"), *(rows[m].try_cast("double").alias(m) for m in FIGURE_METRICS))
+    bands = [reports.curve_band(numbers, m).select("experiment_id", F.lit(m).alias("metric"), "round", "n", "mean", "std") for m in FIGURE_METRICS]
+    sinks.write_csv(reduce(DataFrame.union, bands).orderBy("experiment_id", "metric", "round"), f"{output}/reports/bands")
+    uneven = reports.unaligned_rounds(numbers).orderBy("experiment_id")
+    if uneven.limit(1).collect():
+        sinks.write_csv(uneven, f"{output}/reports/unaligned")
+    sinks.write_csv(confusion_summary(spark, output).where(F.col("experiment_id").isin(ids)).orderBy("experiment_id", "seed", "split"), f"{output}/reports/confusion")
+    spec = spark.createDataFrame([(e["experiment_id"], e.get("cluster_id"), e.get("fl_method")) for e in entries if e["experiment_id"] in ids], "experiment_id string, cluster_id int, fl_method string")
+    best = scoring.best_round(numbers, by=("experiment_id", "seed"))
+    pairs = [figure_rows(best, spec, e["control"], e["experiment_id"]).withColumn("pair", F.lit(f"{e['control']}:{e['experiment_id']}")) for e in entries if e["experiment_id"] in ids and e.get("control") in ids]
+    if pairs:
+        sinks.write_csv(reduce(DataFrame.unionByName, pairs).orderBy("pair", "side", "seed"), f"{output}/reports/pairs")
+
+
+def run_states(spark: SparkSession, entries: list[dict], status: DataFrame, seeds=None) -> DataFrame:
+    """(experiment_id, seed, state) of every seed that the entries ask for; MISSING if it has no status."""
+    wanted = [(e["experiment_id"], int(s)) for e in entries for s in dict.fromkeys(seeds or e.get("seeds") or [e.get("seed", 42)])]
+    grid = spark.createDataFrame(wanted, "experiment_id string, seed int").distinct()
+    return grid.join(status, ["experiment_id", "seed"], "left").select("experiment_id", "seed", F.coalesce("state", F.lit("MISSING")).alias("state"))
+
+
+def seed_report(spark: SparkSession, summaries: DataFrame, metrics: list[str], output: str, *, title: str = "Results over seeds", states: DataFrame | None = None) -> DataFrame:
+    """Mean and deviation over seeds by experiment: as CSV, as a table of display texts, and as Markdown, sorted by experiment.
+
+    With ``states`` (experiment_id, seed, state) the report also lists the seeds that have no
+    complete result, and has a CSV of the state of every seed.
+    """
     long = reports.mean_std(summaries, metrics)
     sinks.write_csv(long.select("experiment_id", "metric", "n", "mean", "std").orderBy("experiment_id", "metric"), f"{output}/mean_std")
     display = long.groupBy("experiment_id").pivot("metric", metrics).agg(F.first("display")).orderBy("experiment_id")
     sinks.write_csv(display, f"{output}/display")
     rows = display.collect()  # a row per experiment
     lines = [f"# {title}", "", "| experiment | " + " | ".join(metrics) + " |", "| --- " * (len(metrics) + 1) + "|", *("| " + " | ".join([r.experiment_id, *(r[m] for m in metrics)]) + " |" for r in rows)]
+    if states is not None:
+        sinks.write_csv(states.orderBy("experiment_id", "seed"), f"{output}/seeds")
+        without = states.where("state <> 'COMPLETE'").orderBy("experiment_id", "seed").collect()
+        lines += ["", "## Seeds without a result", "", *(f"* {r.experiment_id}, seed {r.seed}: {r.state}" for r in without)] if without else ["", "All seeds have results."]
     write_text(f"{output}/report.md", "\n".join(lines) + "\n")
     return display
 
 
+def write_trials(spark: SparkSession, entries: list[dict], path: str) -> None:
+    """One JSON line per trial with its whole configuration, as ``load_trial`` reads it."""
+    rows = spark.createDataFrame([(e["trial_id"], json.dumps(e, sort_keys=True)) for e in entries], "trial_id string, configuration string")
+    sinks.write_json(rows.orderBy("trial_id"), path)
+
+
+def load_trial(spark: SparkSession, path: str, trial_id: str) -> dict:
+    """The configuration of one trial."""
+    found = spark.read.schema("trial_id string, configuration string").json(path).where(F.col("trial_id") == trial_id).first()
+    if not found:
+        raise ContractError(f"{path} has no trial {trial_id}")
+    return json.loads(found.configuration)
+
+
 def beats_references(best: DataFrame, references: DataFrame, metric: str = "test_f1") -> DataFrame:
     """The best trial beside each reference run: reference_id, reference, trial, beats; null where one has no number."""
     trial = F.broadcast(best.select("trial_id", F.col(metric).alias("trial")))  # one row
@@ -241,7 +299,7 @@ def run_suite(spark: SparkSession, contracts: dict[int, Contract], entries: list
     status = sinks.read_status(spark, f"{output}/status").select("experiment_id", "seed", F.col("status").alias("state"))
     if status.where("state = 'COMPLETE'").limit(1).collect():
         summaries = spark.read.option("header", True).csv(f"{output}/*/seed_*/summary")
-        seed_report(spark, summaries, ["val_f1", "test_f1", "test_fpr", "seconds"], f"{output}/reports")
+        seed_report(spark, summaries, ["val_f1", "test_f1", "test_fpr", "seconds"], f"{output}/reports", states=run_states(spark, entries, status, seeds))
     return reports.experiment_status(status)
 
 

@@ -97,6 +97,14 @@ def remove(path: str) -> None:
     store.delete(where, True)
 
 
+def publish(staged: str, final: str) -> None:
+    """Put a staged file or folder in its place by renaming it; what was there goes first."""
+    store, where = _place(final)
+    store.delete(where, True)
+    if not store.rename(_place(staged)[1], where):
+        raise OSError(f"{staged} could not be renamed to {final}")
+
+
 def expanded(paths: list[str]) -> list[str]:
     """Files as they are, and the CSV files of each folder, in order of their names and each once."""
     found = []

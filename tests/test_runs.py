@@ -71,12 +71,55 @@ def test_commands(spark, tmp_path, capsys):
     main(["figures", *options, "--experiment", "B_C2", "--seed", "7", "--seed", "9"], spark)
     printed = capsys.readouterr().out
     assert "B_C2" in printed and "|9 " in printed and "|7 " not in printed
+    table = lambda name: spark.read.option("header", True).csv(f"{out}/reports/{name}")
+    assert table("bands").where("experiment_id = 'B_C2' AND n = '1'").count() == 2 * len(runs.FIGURE_METRICS)
+    assert {r.split for r in table("confusion").collect()} == {"train", "validation", "test"} and not is_there(f"{out}/reports/pairs")
+    report = read_text(f"{out}/reports/report.md")
+    assert "* A_C9, seed 7: FAILED" in report and "B_C2, seed" not in report
+    assert {(r.experiment_id, r.state) for r in table("seeds").collect()} == {("A_C9", "FAILED"), ("B_C2", "COMPLETE")}
+    columns = spark.read.option("header", True).csv(f"{out}/B_C2/seed_7/round_metrics").columns
+    assert set(columns) >= {"validation_auroc", "test_pr_auc_default_threshold", "communication_cost_bytes", "threshold_used"}
     groups = runs.frozen_groups(spark, f"{out}/memberships/cluster2.json", hierarchical, lambda: pytest.fail("made anew"))
     assert groups.count() == 3
     with pytest.raises(grouping.MembershipError):
         runs.frozen_groups(spark, f"{out}/memberships/cluster2.json", {**hierarchical, "groups": 3, "group_ids": ["a", "b", "c"]}, None)
 
 
+def test_tune_command(spark, tmp_path):
+    """A search writes its configurations, results and a comparison with the runs that it names."""
+    control = {**ENTRY, "experiment_id": "B_C2", "hierarchy": "hierarchical_fixed"}
+    options = setup(tmp_path, [control])
+    out = str(tmp_path / "out")
+    main(["run", *options, "--experiment", "B_C2", "--smoke", "--seed", "7"], spark)
+    main(["tune", *options, "--experiment", "B_C2", "--smoke", "--axis", "rate=0.01,0.05", "--most", "1", "--reference", "B_C2"], spark)
+    found = json.loads(read_text(f"{out}/tuning/best_config.json"))
+    assert found["best"]["trial_id"] == "trial_0001" and found["n_trials"] == 2 and found["n_complete"] == 1 and not found["fair"] and found["beats"].keys() == {"B_C2"}
+    assert runs.load_trial(spark, f"{out}/tuning/configurations", "trial_0002")["rate"] == 0.05
+    with pytest.raises(ContractError):
+        runs.load_trial(spark, f"{out}/tuning/configurations", "trial_0003")
+    states = runs.run_states(spark, [{**control, "seeds": [7, 8]}], spark.createDataFrame([("B_C2", 7, "COMPLETE")], "experiment_id string, seed int, state string"))
+    assert sorted((r.seed, r.state) for r in states.collect()) == [(7, "COMPLETE"), (8, "MISSING")]
+
+
+def test_staged_results_are_checked(spark, tmp_path):
+    """Results that lack rows are refused before they take the place of others."""
+    from plumbline.plans import experiments as E
+    from plumbline.sources import sinks
+
+    data = spark.createDataFrame([(c, s, c % 2) for c in range(6) for s in ("train", "test")], "client long, split string, label int")
+    run = E.Run("A_C1", 1, None, 2)
+    scores = data.selectExpr("'A_C1' AS experiment_id", "7 AS seed", "split", "client", "0.5D AS p", "label")
+    sinks.write_csv(spark.createDataFrame([(1,), (2,)], "round int"), f"{tmp_path}/round_metrics")
+    sinks.write_predictions(scores, f"{tmp_path}/predictions")
+    E.check_written(spark, str(tmp_path), data, run)
+    sinks.write_predictions(scores.where("client > 0 OR split = 'train'"), f"{tmp_path}/predictions")
+    with pytest.raises(E.UnfinishedRunError, match="predictions by split"):
+        E.check_written(spark, str(tmp_path), data, run)
+    sinks.write_csv(spark.createDataFrame([(1,), (1,)], "round int"), f"{tmp_path}/round_metrics")
+    with pytest.raises(E.UnfinishedRunError, match="rounds"):
+        E.check_written(spark, str(tmp_path), data, run)
+
+
 def test_data_commands(spark, tmp_path, capsys):
     options = setup(tmp_path, [ENTRY])[:4]
     main(["profile", *options, str(tmp_path / "data")], spark)
