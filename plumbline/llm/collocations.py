@@ -39,7 +39,7 @@ FEWEST, LONGEST = 30, 4
 INSIDE_PERCENT = 80
 TOP = 2000
 #: Bytes of text that are worked on together, about; a longer document goes alone.
-LOT_BYTES = 2 << 20
+LOT_BYTES = 1 << 20
 #: Buckets of one range, as a power of two, and of all ranges at most.
 RANGE_BITS, BUCKET_BITS = 22, 42
 #: Heavy buckets, and slots, that one scan takes along (32 and 72 MB), and keys of a shard on average.
@@ -49,7 +49,7 @@ MAP_BITS = 27
 #: Slots of a part of a task's array.
 PART = 1 << 15
 #: Words that a task numbers, and phrases that it knows to have sent, before it starts again.
-NUMBERED, SENT = 200_000, 1_000_000
+NUMBERED, SENT = 100_000, 300_000
 
 _MARKS = b".,;:!?\n\x0b\x0c\r"
 #: After the marks have become commas, a comma ends a piece and a semicolon a document.
