@@ -165,3 +165,22 @@ def test_streamed_counts(spark, sf_dir, tmp_path):
     query = stream.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.sql("SELECT sum(n_rows) n, sum(positives) p FROM counted").first() == source.selectExpr("count(*) n", "sum(label) p").first()
+
+
+def test_nested_registry(spark, tmp_path):
+    texts = {
+        "flat.yaml": "experiment_group: A\nclusters:\n  - {experiment_id: A_C1, cluster_config: c/one.yaml, n_subclusters: 0}\n  - {experiment_id: A_C2, cluster_config: c/two.yaml, fl_method: FedAvg}\n",
+        "arms.yaml": "comparisons:\n  - control: {experiment_id: AB_C1, cluster_config: c/one.yaml, rate: 0.01}\n    treatment: {experiment_id: P_C1}\n  - control: {experiment_id: B_C1, cluster_config: c/one.yaml}\n",
+        "none.yaml": "experiment_group: A\n", "again.yaml": "experiment_group: B\nclusters: [{experiment_id: A_C1, cluster_config: c/one.yaml}]\n", "bare.yaml": "experiment_group: B\nclusters: [{experiment_id: B_C2}]\n",
+        "c/one.yaml": "cluster: {id: 1, dataset_name: x}\n", "c/two.yaml": "cluster: {id: 2, dataset_name: y}\n", "c/bad.yaml": "cluster: {id: 3}\n", "third.yaml": "experiment_group: C\nclusters: [{experiment_id: C_C3, cluster_config: c/bad.yaml}]\n",
+    }
+    (tmp_path / "c").mkdir()
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    read = lambda *names: experiments.nested_registry(spark, [str(tmp_path / n) for n in names], root=str(tmp_path))
+    found = {r.experiment_id: r for r in read("flat.yaml", "arms.yaml").collect()}
+    assert {k: (r.experiment_group, r.cluster_id, r.dataset_name) for k, r in found.items()} == {"A_C1": ("A", 1, "x"), "A_C2": ("A", 2, "y"), "AB_C1": ("ablation_fl_method", 1, "x")}
+    assert found["A_C1"].entry["n_subclusters"] == "0" and found["AB_C1"].entry["rate"] == "0.01"
+    for names, message in ((["none.yaml"], "without experiments"), (["flat.yaml", "again.yaml"], "A_C1"), (["bare.yaml"], "B_C2"), (["third.yaml"], "bad.yaml")):
+        with pytest.raises(C.ContractError, match=message):
+            read(*names)
