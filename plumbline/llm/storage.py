@@ -13,10 +13,12 @@ _BUCKET = 32768
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Only where it names none, as in tests, a temporary one is set."""
+    """The session's checkpoint folder. A local session that names none, as in tests, gets a temporary one; on a cluster it must be named."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         folder = context.getCheckpointDir()
     return folder
