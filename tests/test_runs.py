@@ -146,3 +146,17 @@ def test_comparisons(spark, tmp_path):
     assert [e["x"] for e in runs.trial_entries(grid, ENTRY, ["x"])] == [1, 2, 3]
     spec = references.selectExpr("experiment_id", "'cnn' AS family")
     assert sorted((r.side, r.family) for r in runs.figure_rows(references, spec, "A_C1", "P_C1").collect()) == [("control", "cnn"), ("treatment", "cnn")]
+
+
+def test_shared_folder_is_named_on_clusters():
+    from types import SimpleNamespace
+
+    from plumbline.sources.files import shared_root
+
+    for master, folder in (("yarn", None), ("local-cluster[3,2,1000]", None), ("yarn", "hdfs:///x/")):
+        context = SimpleNamespace(master=master, getConf=lambda f=folder: {"spark.checkpoint.dir": f}, getCheckpointDir=lambda: None)
+        if folder:
+            assert shared_root(SimpleNamespace(sparkContext=context)) == "hdfs:///x"
+        else:
+            with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+                shared_root(SimpleNamespace(sparkContext=context))
