@@ -4,7 +4,8 @@
    tasks count their own buckets, which meet by ranges in a shuffle. A phrase with enough
    occurrences lies in a heavy bucket, and so does each of its parts.
 2. Spell. Phrases that are in a heavy bucket with all their parts are the candidates: no phrase
-   with enough occurrences is missing (Apriori), and few others come with them.
+   with enough occurrences is missing (Apriori), and few others come with them. A task sends each
+   candidate once, as it remembers the keys that it has sent.
 3. Number. Shards of candidates each get a minimal perfect hash: level by level, keys that fall
    alone into a place of a bit vector stay there, the others go on. A key's slot is the number of
    bits before its own. The 128-bit key that owns a slot is stored with it.
@@ -21,10 +22,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -48,61 +48,84 @@ BUNDLE, SLOTS, SHARD = 4 << 20, 4 << 20, 1 << 17
 MAP_BITS = 27
 #: Slots of a part of a task's array.
 PART = 1 << 15
-#: Words that a task numbers, and phrases that it knows to have sent, before it starts again.
-NUMBERED, SENT = 100_000, 300_000
+#: Bytes from which a word is hashed by itself, and such words that a task remembers before it starts again.
+LONG_WORD, NUMBERED = 64, 100_000
+#: Phrases that a task knows to have sent before it starts again (two places of 8 bytes each), and phrases of a batch that it sends.
+SENT, SENDING = 8 << 20, 1 << 16
 
 _MARKS = b".,;:!?\n\x0b\x0c\r"
-#: After the marks have become commas, a comma ends a piece and a semicolon a document.
-_TO_COMMA = bytes.maketrans(_MARKS, b"," * len(_MARKS))
+#: A-Z lower-cased, marks as commas. A comma ends a piece, a semicolon a document.
+_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _MARKS, b"abcdefghijklmnopqrstuvwxyz" + b"," * len(_MARKS))
 _B, _L, _64 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
 _BASE, _LANG = np.uint64(_B), np.uint64(_L)
+#: What the two halves of a word's hash start from, and the odd factors of its eight bytes.
+_SEEDS, _FACTORS = (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3), (1, 0xA0761D6478BD642F)
+#: By bytes left of a word, those of the next eight that are its own.
+_OWN = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 _LEVELS = 100
 
 
 class _Numbers(dict):
-    """Words to consecutive numbers, with both halves of a 128-bit hash of each."""
-
-    def __init__(self):
-        super().__init__()
-        self.words: list[bytes] = []
-        self.fresh: tuple[list[int], list[int]] = ([], [])
-        self.known = [np.zeros(0, dtype=np.uint64)] * 2
-        for mark in (b",", b";"):
-            self[mark]  # numbers 0 and 1
-
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = len(self.words)
-        self.words.append(word)
-        for half, own in zip(self.fresh, _halves(word), strict=True):
-            half.append(own)
-        return found
+    """Both halves of a 128-bit hash of long words, remembered."""
 
-    def half(self, which: int) -> np.ndarray:
-        """One half of the hashes of all words by number."""
-        if self.fresh[which]:
-            self.known[which] = np.concatenate([self.known[which], np.array(self.fresh[which], dtype=np.uint64)])
-            self.fresh[which].clear()
-        return self.known[which]
+    def __missing__(self, word: bytes) -> tuple[int, int]:
+        found = self[word] = divmod(xxhash.xxh3_128_intdigest(word), 1 << 64)
+        return found
 
 
 @lru_cache(maxsize=100_000)
 def _halves(word: bytes) -> tuple[int, int]:
-    return divmod(xxhash.xxh3_128_intdigest(word), 1 << 64)
+    """Both halves of a word's hash, as ``_word_halves`` has them."""
+    if len(word) > LONG_WORD:
+        return divmod(xxhash.xxh3_128_intdigest(word), 1 << 64)
+    halves = [_mixed(seed + len(word) & _64) for seed in _SEEDS]
+    for at in range(0, len(word), 8):
+        own = int.from_bytes(word[at : at + 8], "little")
+        halves = [_mixed(half ^ own * factor & _64) for half, factor in zip(halves, _FACTORS, strict=True)]
+    return halves[0], halves[1]
+
+
+def _word_halves(data: np.ndarray, start: np.ndarray, size: np.ndarray, numbers: _Numbers) -> list[np.ndarray]:
+    """Both halves of the hash of the words at ``start``, eight bytes of all of them at a time; words of up to eight bytes of one size never share one."""
+    halves = [mixed(np.uint64(seed) + size.astype(np.uint64)) for seed in _SEEDS]
+    eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    rest = None
+    for done in range(0, LONG_WORD, 8):
+        rest = np.flatnonzero(size <= LONG_WORD) if rest is None else rest[size[rest] > done]
+        if not len(rest):
+            break
+        own = eights[start[rest] + done] & _OWN[np.minimum(size[rest] - done, 8)]
+        for half, factor in zip(halves, _FACTORS, strict=True):
+            half[rest] = mixed(half[rest] ^ own * np.uint64(factor))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        halves[0][i], halves[1][i] = numbers[data[start[i] : start[i] + size[i]].tobytes()]
+    return halves
 
 
 class Phrases:
     """All phrases of some texts by the place where they begin; ``whole(n)`` tells whether the n words from a place lie in one piece."""
 
     def __init__(self, texts: list[bytes | None], langs: list[bytes], numbers: _Numbers):
-        joined = b";".join([t.lower().translate(_TO_COMMA) if t else b"" for t in texts])
-        self.numbers = numbers
-        self.ids = np.fromiter(map(numbers.__getitem__, joined.replace(b",", b" , ").replace(b";", b" ; ").split()), dtype=np.int64)
+        plain = [t.translate(_PLAIN) if t else b"" for t in texts]
+        joined = b";".join(plain) + b";"
+        self.data = np.frombuffer(joined + bytes(8), dtype=np.uint8)
+        own = self.data[: len(joined)]
+        marks = (own == ord(",")) | (own == ord(";"))
+        self.inside = ~(marks | (own == ord(" ")) | (own == ord("\t")))
+        edges = np.flatnonzero(self.inside[1:] != self.inside[:-1]) + 1
+        if self.inside[0]:
+            edges = np.concatenate(([0], edges))
+        self.start, self.end = edges[::2], edges[1::2]
+        self.piece = np.cumsum(marks, dtype=np.int32)[self.start]
         self.langs = sorted(set(langs))
-        self.lang = np.array([self.langs.index(x) for x in langs], dtype=np.int64)[np.cumsum(self.ids == 1)]
-        self.word = self.ids > 1
+        number = {x: i for i, x in enumerate(self.langs)}
+        ends = np.cumsum([len(t) + 1 for t in plain])
+        words = np.diff(np.searchsorted(self.start, ends), prepend=0)
+        self.by_text = np.cumsum(words) - words
+        self.lang = np.repeat(np.array([number[x] for x in langs], dtype=np.int64), words)
         self.lang_halves = [np.array(h, dtype=np.uint64) * _LANG for h in zip(*map(_halves, self.langs), strict=True)]
-        self.first = self.sums = numbers.half(0)[self.ids]
-        self.length = 1
+        self.first, self.second = _word_halves(self.data, self.start, self.end - self.start, numbers)
+        self.sums, self.length = self.first, 1
 
     def keys(self, n: int) -> np.ndarray:
         """The first half of the key of the ``n`` words from each place. To be called for 1, 2 and so on."""
@@ -113,22 +136,75 @@ class Phrases:
 
     def second_halves(self, n: int, at: np.ndarray) -> np.ndarray:
         """The second half of the key of the ``n`` words from each place of ``at``."""
-        known, total = self.numbers.half(1), np.zeros(len(at), dtype=np.uint64)
+        total = np.zeros(len(at), dtype=np.uint64)
         for i in range(n):
-            total = total * _BASE + known[self.ids[at + i]]
+            total = total * _BASE + self.second[at + i]
         return mixed(total + self.lang_halves[1][self.lang[at]])
 
     def whole(self, n: int) -> np.ndarray:
-        found = self.word[: max(0, len(self.word) - n + 1)].copy()
-        for i in range(1, n):
-            found &= self.word[i : len(found) + i]
-        return found
+        return self.piece[: max(0, len(self.piece) - n + 1)] == self.piece[n - 1 :]
 
     def spelled(self, at: int, n: int) -> str:
-        return b" ".join([self.numbers.words[i] for i in self.ids[at : at + n].tolist()]).decode()
+        return b" ".join([self.data[a:b].tobytes() for a, b in zip(self.start[at : at + n].tolist(), self.end[at : at + n].tolist(), strict=True)]).decode()
+
+    @cached_property
+    def _spaced(self) -> tuple[np.ndarray, np.ndarray]:
+        """All words with one space after each, and where each starts."""
+        data, kept = self.data[: len(self.inside)].copy(), self.inside.copy()
+        data[self.end], kept[self.end] = ord(" "), True
+        sizes = self.end - self.start + 1
+        return data[kept], np.cumsum(sizes) - sizes
+
+    def spellings(self, at: np.ndarray, n: int) -> pa.Array:
+        """What ``spelled`` gives for each place of ``at``."""
+        data, start = self._spaced
+        sizes = start[at + n - 1] + (self.end - self.start)[at + n - 1] - start[at]
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        taken = data[np.repeat(start[at] - offsets[:-1], sizes) + np.arange(offsets[-1])]
+        return pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets.astype("<i8")), pa.py_buffer(taken)])
 
     def words_by_lang(self) -> Iterator[tuple[bytes, int]]:
-        return zip(self.langs, np.bincount(self.lang[self.word], minlength=len(self.langs)).tolist(), strict=True)
+        return zip(self.langs, np.bincount(self.lang, minlength=len(self.langs)).tolist(), strict=True)
+
+
+class _Sent:
+    """64-bit keys in open addressing, looked up and added by arrays. Beyond ``most`` keys it starts again."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self._start(10)
+
+    def _start(self, bits: int) -> None:
+        self.table, self.count = np.zeros(1 << bits, dtype=np.uint64), 0
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        return (keys & np.uint64(len(self.table) - 1)).astype(np.int64)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key was added. A key of 0 marks a free place and never counts as added."""
+        found, rest, place = np.zeros(len(keys), dtype=bool), np.arange(len(keys)), self._places(keys)
+        while len(rest):
+            there = self.table[place]
+            same = there == keys[rest]
+            on = ~same & (there != 0)
+            found[rest[same & (there != 0)]] = True
+            rest, place = rest[on], (place[on] + 1) & (len(self.table) - 1)
+        return found
+
+    def add(self, keys: np.ndarray) -> None:
+        """Add different keys, none of them added before."""
+        if self.count + len(keys) > self.most:
+            self._start(10)
+        if 2 * (self.count + len(keys)) > len(self.table):
+            keys = np.concatenate([self.table[self.table != 0], keys])
+            self._start((2 * len(keys)).bit_length())
+        self.count += len(keys)
+        place = self._places(keys)
+        while len(keys):
+            free = self.table[place] == 0
+            self.table[place[free]] = keys[free]
+            on = self.table[place] != keys
+            keys, place = keys[on], (place[on] + 1) & (len(self.table) - 1)
 
 
 def phrase_key(lang: bytes, phrase: bytes) -> tuple[int, int]:
@@ -266,24 +342,26 @@ def candidate_phrases(docs: DataFrame, heavy: DataFrame, heavy_map: HeavyMap, *,
         own = [(r.range << RANGE_BITS) + np.frombuffer(r.buckets, dtype="<u4").astype(np.uint64) for r in heavy.where(F.col("range").between(first, last)).toLocalIterator()]
         shared = docs.sparkSession.sparkContext.broadcast((heavy_map, np.sort(np.concatenate(own))))
 
-        def work(lots_of: Iterator[Phrases], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
+        def work(lots_of: Iterator[Phrases], shared=shared, number=number, first=first, last=last) -> Iterator[pa.RecordBatch]:
             known, buckets = shared.value
-            seen: set[int] = set()
+            low, high = first << RANGE_BITS, (last + 1 << RANGE_BITS) - 1
+            sent, langs = _Sent(SENT), set()
             for found in lots_of:
-                rows = [] if number else [(x, "") for x in found.langs]
+                names = pa.array([x.decode() for x in found.langs], pa.large_string())
+                if not number and (new := [i for i, x in enumerate(found.langs) if x not in langs]):
+                    langs.update(found.langs)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(new)).cast(pa.string()), pa.array([""] * len(new), pa.string())], ["lang", "phrase"])
                 for n, at, keys in known.phrases(found, longest):
                     bucket = keys >> shift
+                    new = np.flatnonzero((bucket >= low) & (bucket <= high))
+                    new = new[~sent.has(keys[new])]
+                    own, once = np.unique(keys[new], return_index=True)
+                    at, bucket = at[new[once]], own >> shift
                     mine = buckets[np.minimum(np.searchsorted(buckets, bucket), len(buckets) - 1)] == bucket
-                    at, keys = at[mine], keys[mine]
-                    once = ~pd.Series(keys).duplicated().to_numpy()
-                    for key, place in zip(keys[once].tolist(), at[once].tolist(), strict=True):
-                        if key not in seen:
-                            seen.add(key)
-                            rows.append((found.langs[found.lang[place]], found.spelled(place, n)))
-                if len(seen) > SENT:
-                    seen.clear()
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x, _ in rows], pa.string()), pa.array([p for _, p in rows], pa.string())], ["lang", "phrase"])
+                    at = at[mine]
+                    sent.add(own[mine])
+                    for some in (at[i : i + SENDING] for i in range(0, len(at), SENDING)):
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(found.lang[some])).cast(pa.string()), found.spellings(some, n).cast(pa.string())], ["lang", "phrase"])
 
         part = _scanned(docs.coalesce(_lanes(docs)), work, "lang string, phrase string").distinct()
         found = part if found is None else found.union(part)
@@ -353,13 +431,40 @@ class SlotTable:
         return found
 
 
+class _Candidates:
+    """The keys of candidate phrases, of their languages and of the parts of their cuts, all at once."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        """``batch``: (lang, phrase); the empty phrase stands for all words of its language."""
+        phrases = as_bytes(batch.column("phrase"))
+        self.sizes = np.array([p.count(b" ") + 1 if p else 0 for p in phrases], dtype=np.int64)
+        self.langs = as_bytes(batch.column("lang"))
+        self.found = Phrases(phrases, self.langs, _Numbers())
+        self.first = [self.found.keys(n) for n in range(1, max([1, *self.sizes.tolist()]) + 1)]
+
+    def keys(self, what: int) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of the keys of the phrases (what 0), their languages (1), or the first or last part of the cut after k words (2k and 2k + 1); of phrases of k words or fewer, no key that counts."""
+        k, last = divmod(what, 2)
+        start, sizes = (self.found.by_text + k, self.sizes - k) if last else (self.found.by_text, np.minimum(self.sizes, k) if k else self.sizes)
+        if what == 1:
+            sizes = np.zeros_like(sizes)
+        first, second = (np.zeros(len(sizes), dtype=np.uint64) for _ in range(2))
+        for n in np.unique(sizes[sizes > 0]).tolist():
+            own = np.flatnonzero(sizes == n)
+            first[own], second[own] = self.first[n - 1][start[own]], self.found.second_halves(n, start[own])
+        empty = np.flatnonzero(sizes == 0)
+        of = {x: phrase_key(x, b"") for x in self.found.langs}
+        if len(empty):
+            first[empty], second[empty] = (np.array(half, dtype=np.uint64) for half in zip(*(of[self.langs[i]] for i in empty.tolist()), strict=True))
+        return first, second
+
+
 def _built(candidates: DataFrame, shards: int) -> DataFrame:
     """(shard, n, sizes, words, keys): the perfect hash of each shard of the candidates."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [phrase_key(x, p) for x, p in zip(as_bytes(batch.column("lang")), as_bytes(batch.column("phrase")), strict=True)]
-            first, second = (np.array([k[i] for k in keys], dtype=np.uint64) for i in (0, 1))
+            first, second = _Candidates(batch).keys(0)
             yield pa.RecordBatch.from_arrays([pa.array((second % np.uint64(shards)).astype(np.int64)), *(pa.array(x.view(np.int64)) for x in (first, second))], ["shard", "first", "second"])
 
     def build(table: pa.Table) -> pa.Table:
@@ -417,24 +522,24 @@ def slot_counts(docs: DataFrame, table, heavy_map: HeavyMap, size: int, *, longe
     return counts[:size]
 
 
-def _read(candidates: DataFrame, table, counts) -> DataFrame:
-    """(lang, phrase, what, f): counts that ``table`` has of a phrase (what 0), its language (1), and the first and last part of its cut after k words (2k and 2k + 1)."""
+def _read(candidates: DataFrame, table, counts, longest: int) -> DataFrame:
+    """(lang, phrase, f0, f1, ...): counts that ``table`` has of a phrase (f0), its language (f1), and the first and last part of its cut after k words (2k and 2k + 1); null if it has none."""
+    names = [f"f{what}" for what in range(2 * longest)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, numbers = table.value, counts.value
         for batch in batches:
-            rows = []
-            for lang, phrase in zip(as_bytes(batch.column("lang")), as_bytes(batch.column("phrase")), strict=True):
-                words = phrase.split()
-                if len(words) > 1:
-                    parts = [phrase, b"", *(b" ".join(p) for k in range(1, len(words)) for p in (words[:k], words[k:]))]
-                    rows += [(lang.decode(), phrase.decode(), what, *phrase_key(lang, p)) for what, p in enumerate(parts)]
-            slots = own.slots(*(np.array([r[i] for r in rows], dtype=np.uint64) for i in (3, 4)))
-            rows = [(*r[:3], f) for r, s, f in zip(rows, slots.tolist(), numbers[slots].tolist() if len(numbers) else (), strict=True) if s >= 0]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["lang", "phrase", "what", "f"])
+            found = _Candidates(batch)
+            columns = []
+            for what in range(2 * longest):
+                slots = own.slots(*found.keys(what))
+                there = (slots >= 0) & (found.sizes > max(1, what // 2))
+                f = np.zeros(len(slots), dtype=np.int64)
+                f[there] = numbers[slots[there]]
+                columns.append(pa.array(f, mask=~there))
+            yield pa.RecordBatch.from_arrays([batch.column("lang").cast(pa.string()), batch.column("phrase").cast(pa.string()), *columns], ["lang", "phrase", *names])
 
-    return candidates.mapInArrow(run, "lang string, phrase string, what long, f long")
+    return candidates.where("phrase <> ''").mapInArrow(run, "lang string, phrase string, " + ", ".join(f"{x} long" for x in names))
 
 
 def phrase_counts(docs: DataFrame, *, fewest: int = FEWEST, longest: int = LONGEST, bucket_bits: int | None = None, bundle: int = BUNDLE, slots: int = SLOTS, shard: int = SHARD) -> DataFrame:
@@ -450,20 +555,19 @@ def phrase_counts(docs: DataFrame, *, fewest: int = FEWEST, longest: int = LONGE
     candidates = cut_lineage(candidate_phrases(docs, heavy, heavy_map, longest=longest, bundle=bundle))
     shards = -(-candidates.count() // shard)
     built = cut_lineage(_built(candidates, shards))
-    rows = None
+    rows, tables = None, 0
     for first, last in _bundles([(r.shard, r.n) for r in built.select("shard", "n").collect()], slots):
         own = [(r.shard, r.sizes, np.frombuffer(r.words, dtype="<u8"), np.frombuffer(r.keys, dtype="<u8").reshape(-1, 2)) for r in built.where(F.col("shard").between(first, last)).toLocalIterator()]
         table = SlotTable(shards, own)
         shared = context.broadcast(table)
         counts = slot_counts(docs, shared, heavy_map, len(table), longest=longest)
-        part = _read(candidates, shared, context.broadcast(counts))
+        part = _read(candidates, shared, context.broadcast(counts), longest)
         rows = part if rows is None else rows.union(part)
+        tables += 1
 
-    def read(what: int) -> Column:
-        return F.max(F.when(F.col("what") == what, F.col("f")))
-
-    cuts = [F.struct(F.lit(k).alias("k"), read(2 * k).alias("l"), read(2 * k + 1).alias("r")) for k in range(1, longest)]
-    found = rows.groupBy("lang", "phrase").agg(read(0).alias("a"), read(1).alias("n"), F.array(*cuts).alias("cuts")).where(F.col("a") >= fewest)
+    whole = rows.groupBy("lang", "phrase").agg(*(F.max(f"f{what}").alias(f"f{what}") for what in range(2 * longest))) if tables > 1 else rows
+    cuts = [F.struct(F.lit(k).alias("k"), F.col(f"f{2 * k}").alias("l"), F.col(f"f{2 * k + 1}").alias("r")) for k in range(1, longest)]
+    found = whole.where(F.col("f0") >= fewest).select("lang", "phrase", F.col("f0").alias("a"), F.col("f1").alias("n"), F.array(*cuts).alias("cuts"))
     return found.withColumn("cuts", F.filter("cuts", lambda c: c["l"].isNotNull()))
 
 

@@ -112,3 +112,37 @@ def test_odd_rows(make):
     assert found(table(make, docs, extra=("phrase", "a", "n", "rank"))) == by_hand(docs)
     assert found(make([])) == found(table(make, [("a b c", "en")])) == []
     assert C.collocations(make([])).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+def test_candidates_are_sent_once_by_a_task(make, monkeypatch):
+    """Far more candidates than a lot has: a task sends each of them once, however often its lots repeat them."""
+    rows = []
+    scanned = C._scanned
+    monkeypatch.setattr(C, "_scanned", lambda *a: rows.append(scanned(*a)) or rows[-1])
+    docs = table(make, [(" ".join(f"w{i}" for i in range(90_000)), "en")] * 4).repartition(1)
+    heavy = C.cut_lineage(C.heavy_buckets(docs, 30, fewest=4))
+    found = C.candidate_phrases(docs, heavy, C._heavy_map(heavy, 30, heavy.agg({"n": "sum"}).first()[0]))
+    assert found.count() == rows[-1].count() == 4 * 90_000 - 6 + 1
+
+
+def test_hashes_of_words():
+    """Words of all sizes, some longer than what is hashed side by side, as one by one; near ones differ."""
+    rng = random.Random(3)
+    words = [bytes(rng.choice(b"xyz\x00\xc3") for _ in range(n)) for n in range(1, 200)] + [b"\x00" * n for n in range(1, 80)]
+    found = C.Phrases([b" ".join(words)], [b"en"], C._Numbers())
+    got = list(zip(found.first.tolist(), found.second.tolist(), strict=True))
+    assert got == [C._halves(w) for w in words]
+    assert len({h for h, _ in got}) == len({h for _, h in got}) == len(set(words))
+
+
+def test_sent_keys():
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 64, 5000, dtype=np.uint64) >> np.uint64(3) << np.uint64(3))  # places that clash
+    sent = C._Sent(6000)
+    sent.add(keys[:2000])
+    sent.add(keys[2000:4000])
+    assert sent.has(np.repeat(keys, 2)).tolist() == [True] * 8000 + [False] * (2 * len(keys) - 8000)
+    assert not sent.has(np.zeros(2, dtype=np.uint64)).any()
+    sent.add(np.zeros(1, dtype=np.uint64))
+    sent.add(np.arange(1, 2001, dtype=np.uint64))
+    assert sent.has(np.arange(1, 2001, dtype=np.uint64)).all() and not sent.has(keys[:4000]).any()
