@@ -193,8 +193,9 @@ def crowded_pairs(docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
     keeps template shingles out of the prefix of a shorter text unless it hardly differs from them.
 
     Texts of one root are in one class already and need not meet again. A shingle whose texts all
-    have one root goes; of any other, the texts of its most frequent root meet only the texts of
-    other roots. So a family that its pivots have put together makes as many rows as it has texts.
+    have one root goes: most are not even spelled out, as the bins tell whether several roots meet
+    in them. Of any other, the texts of its most frequent root meet only the texts of other roots.
+    So a family that its pivots have put together makes rows where it shares shingles with others.
     """
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -205,16 +206,23 @@ def crowded_pairs(docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 bins = [labelled >> shift for _, labelled in _blocks(as_bytes(part.column("text")))]
-                used, counts = np.unique(np.concatenate(bins), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(counts)], ["bin", "n"])
-
-    counted = docs.select("text").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
-    bins = np.zeros(1 << bits, dtype=np.float32)
-    bins[counted.column("bin").to_numpy()] = counted.column("n").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bins)
+                roots = np.repeat(part.column("root").to_numpy(), [len(x) for x in bins])
+                bins = np.concatenate(bins)
+                order = np.argsort(bins)
+                used, starts, counts = np.unique(bins[order], return_index=True, return_counts=True)
+                ends = [f.reduceat(roots[order], starts) if len(used) else roots for f in (np.minimum, np.maximum)]
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(counts), *map(pa.array, ends)], ["bin", "n", "low", "high"])
+
+    counted = docs.select("root", "text").mapInArrow(count, "bin long, n long, low long, high long").groupBy("bin")
+    counted = counted.agg(F.sum("n").alias("n"), (F.min("low") < F.max("high")).alias("shared")).toArrow()
+    places = counted.column("bin").to_numpy()
+    bins, meeting = np.zeros(1 << bits, dtype=np.float32), np.zeros(1 << bits, dtype=bool)
+    bins[places] = counted.column("n").to_numpy()
+    meeting[places] = counted.column("shared").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast((bins, meeting))
 
     def prefixes(batches):
-        frequency = shared.value
+        frequency, meeting = shared.value
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, max(1, batch.num_rows), 256)):
                 columns = [[], [], [], [], [], []]
@@ -222,8 +230,9 @@ def crowded_pairs(docs: DataFrame, *, least: float = SIMILARITY) -> DataFrame:
                     if n := len(labelled):
                         short, long = prefix_lengths(n, least)
                         ordered = labelled[np.lexsort((labelled, frequency[(labelled >> shift).astype(np.int64)]))]
-                        places = np.arange(long)
-                        for column, values in zip(columns, (np.full(long, rep), np.full(long, root), ordered[:long].view(np.int64), np.full(long, n), places, places < short), strict=True):
+                        places = np.flatnonzero(meeting[(ordered[:long] >> shift).astype(np.int64)])
+                        kept = len(places)
+                        for column, values in zip(columns, (np.full(kept, rep), np.full(kept, root), ordered[places].view(np.int64), np.full(kept, n), places, places < short), strict=True):
                             column.append(values)
                 kinds = (np.int64, np.int64, np.int64, np.int64, np.int64, bool)
                 arrays = [pa.array(np.concatenate(c) if c else np.zeros(0, dtype=k)) for c, k in zip(columns, kinds, strict=True)]

@@ -319,6 +319,17 @@ def test_crowded_pairs_are_those_between_roots(make, spark, apart):
     assert verified == wanted
 
 
+def test_shingles_of_one_root_are_not_spelled_out(spark, monkeypatch):
+    """Of families of one root each, only the shingles that several roots may have become rows of the prefix join."""
+    made, cut = [], order_minhash.cut_lineage
+    monkeypatch.setattr(order_minhash, "cut_lineage", lambda frame: made.append(cut(frame)) or made[-1])
+    rows = [(i, " ".join(f"f{i % 3}e{i}" if j == i // 3 % 60 else f"f{i % 3}w{j}" for j in range(60)), i % 3) for i in range(600)]
+    rows += [(600, " ".join(f"f0w{j}" for j in range(60)), 600), (601, "", 601), (602, None, 602)]
+    found = {(r.a, r.b) for r in order_minhash.crowded_pairs(spark.createDataFrame(rows, "id long, text string, root long")).collect()}
+    assert found == {(i, 600) for i in range(0, 600, 3)}
+    assert made[1].count() <= made[0].count() < 5000
+
+
 def test_near_crowd(make):
     """A family whose texts all match is one class."""
     rows = [(i, " ".join([*(f"t{j}" for j in range(200)), f"d{i}"])) for i in range(150)]
