@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline.llm.columns import HOT_SHARE, join_weighted
 from plumbline.llm.components import connected_components
 from plumbline.llm.storage import cut_lineage
-from plumbline.llm.words import WordHashes, as_bytes, mixed, rolling
+from plumbline.llm.words import WordHashes, as_bytes, lots, mixed, rolling
 
 #: Words of a k-mer.
 SHINGLE = 5
@@ -28,6 +28,8 @@ PIVOTS = 4
 BIN_BITS = 22
 #: Crowded texts of a lot, about; the pairs of two lots are verified together.
 LOT = 128
+#: Bytes of text that are sketched together, about; a longer text goes alone.
+LOT_BYTES = 1 << 20
 #: Different words whose hashes are remembered.
 REMEMBERED = 1 << 19
 
@@ -127,10 +129,10 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (MD5 of the text; null counts as empty) and keys, the order MinHash keys."""
 
     def run(batches):
-        for batch in batches:
-            texts = [t or b"" for t in as_bytes(batch.column("text"))]
+        for lot in lots(batches, LOT_BYTES):
+            texts = [t or b"" for t in as_bytes(lot.column("text"))]
             keys = [sketch(labelled) for _, labelled in _blocks(texts)]
-            arrays = [batch.column("doc_id"), pa.array([hashlib.md5(t).hexdigest() for t in texts], pa.string()), pa.array(keys, pa.list_(pa.int64()))]
+            arrays = [lot.column("doc_id"), pa.array([hashlib.md5(t).hexdigest() for t in texts], pa.string()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "keys"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text_key string, keys array<long>")

@@ -21,10 +21,10 @@ from plumbline.llm.words import mixed
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Share of candidate merges that are skipped.
 DROPOUT = 0.1
-#: Units, and characters of units, that a worker remembers.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 6_000_000
+#: Units, and characters of units, that a task remembers.
+REMEMBERED, REMEMBERED_CHARS = 100_000, 2_000_000
 #: Bytes of text that are encoded together, about; a longer document goes alone.
-LOT_BYTES = 1 << 20
+LOT_BYTES = 1 << 19
 #: Characters of the units whose agendas are worked off side by side, by the width of their table; longer ones go one by one.
 WIDTHS = (4, 8, 16, 32, 64)
 #: Cells of a table of agendas.
@@ -49,7 +49,6 @@ class Pieces:
     byte_ids: tuple[int, ...]
     output: tuple[bytes, ...]
     units: str
-    digest: str
 
 
 def load_pieces(path: str = MODEL_PATH) -> Pieces:
@@ -77,8 +76,7 @@ def load_pieces(path: str = MODEL_PATH) -> Pieces:
         order[i] = scores[-model.get_score(i)]
     halves = ((piece[:k], piece[k:], i) for piece, i in ids.items() for k in range(1, len(piece)))
     pairs = {ids[a] << _PAIR | ids[b]: i for a, b, i in halves if a in ids and b in ids}
-    digest = hashlib.sha256(model.serialized_model_proto()).hexdigest()
-    return Pieces({c: i for c, i in ids.items() if len(c) == 1}, pairs, order, tuple(byte_ids), tuple(output), _units("".join(sorted(glue))), digest)
+    return Pieces({c: i for c, i in ids.items() if len(c) == 1}, pairs, order, tuple(byte_ids), tuple(output), _units("".join(sorted(glue))))
 
 
 def _units(glue: str) -> str:
@@ -362,20 +360,21 @@ class Encoder:
         """Ids of whole texts one after another, and where each text's begin, with the total at the end; null and empty texts have none."""
         if len(self.known) > REMEMBERED or self.chars.size > REMEMBERED_CHARS:
             self._forget()
-        units, sizes, keys = [], [], []
+        numbers, sizes, keys = [np.zeros(0, dtype=np.int64)], [], []
         for text, doc_id in zip(texts, doc_ids, strict=True):
-            before = len(units)
+            units = []  # of one text only: beside those of a whole lot, the few that are remembered would keep all their memory
             for i, part in enumerate(text.split(_MARK) if text else ()):
                 units += [_MARK] * bool(i)
                 units += self.units.findall(part if i else " " + part)
-            sizes.append(len(units) - before)
+            sizes.append(len(units))
+            numbers.append(np.fromiter(map(self.known.__getitem__, units), dtype=np.int64, count=len(units)))
             if self.dropout:
-                keys.append(self.occurrence_keys(doc_id, np.arange(sizes[-1])))
-        numbers = np.fromiter(map(self.known.__getitem__, units), dtype=np.int64, count=len(units))
+                keys.append(self.occurrence_keys(doc_id, np.arange(len(units))))
+        numbers = np.concatenate(numbers)
         if self.known.fresh:
             self._learn()
         begin, count, pool = self.plain_start.data[numbers], self.plain_size.data[numbers], self.plain.data[: self.plain.size]
-        if self.dropout and units:
+        if self.dropout and len(numbers):
             keys = np.concatenate(keys)
             touched = np.flatnonzero(self._gaps(keys, 0) < self.merges.data[numbers])
             size = self.char_size.data[numbers[touched]]
@@ -400,22 +399,10 @@ class Encoder:
         return b"".join(map(self.pieces.output.__getitem__, ids))[1:].decode("utf-8", "replace")
 
 
-#: The encoder of a Python worker, which later tasks of the same job go on with; what it remembers is bounded.
-_WORKER: dict[tuple, Encoder] = {}
-
-
 def _encoder(docs: DataFrame, path: str, dropout: float, seed: int):
-    pieces = load_pieces(path)
-    key = (pieces.digest, dropout, seed)
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
-
-    def make() -> Encoder:
-        if key not in _WORKER:
-            _WORKER.clear()
-            _WORKER[key] = Encoder(shared.value, dropout=dropout, seed=seed)
-        return _WORKER[key]
-
-    return make
+    """Makes the encoder of a task. It goes with the task: a Python worker lives on, and later stages would carry what it remembers."""
+    shared = docs.sparkSession.sparkContext.broadcast(load_pieces(path))
+    return lambda: Encoder(shared.value, dropout=dropout, seed=seed)
 
 
 def _lots(batches):

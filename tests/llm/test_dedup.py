@@ -363,3 +363,20 @@ def test_near_links(make):
             assert found[r.link_to].class_id == r.class_id and found[r.link_to].copy_of == r.link_to and texts[r.link_to] != texts[i]
             assert order_minhash.similarity(shingles[i], shingles[r.link_to]) == r.similarity >= 0.8
     assert found[2000].link_to == 1005 and found[2001].link_to is None and found[2001].copy_of == 1010
+
+
+def test_sketches_by_lots(spark, monkeypatch):
+    """A task holds the words and keys of a lot of texts, not those of a whole batch; no row is lost, nulls, empty and long texts among them."""
+
+    class Plan:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    monkeypatch.setattr(order_minhash, "LOT_BYTES", 4096, raising=False)
+    rows = [(1, None), (2, ""), (None, "x y"), (3, LONG), (3, LONG), *((10 + i, f"{i} some words of a text of its own {i} " * 5) for i in range(200)), (4, None)]
+    columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())]
+    batch = pa.RecordBatch.from_arrays(columns, ["doc_id", "text"])
+    found = list(order_minhash.sketch_documents(Plan())(iter([batch, batch.slice(0, 0), batch.slice(0, 2)])))
+    assert max(b.num_rows for b in found) < 40
+    wanted = [(i, hashlib.md5((t or "").encode()).hexdigest(), order_minhash.sketch(labelled_shingles(WordHashes().of((t or "").encode()))[1])) for i, t in [*rows, *rows[:2]]]
+    assert [tuple(r.values()) for b in found for r in b.to_pylist()] == wanted

@@ -1,8 +1,10 @@
 """Encoding, packing, token counts and mixing."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -258,6 +260,21 @@ def test_dropout_does_not_depend_on_memory(texts, monkeypatch):
     assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == [*wanted[: len(some)], []]
 
 
+def test_encoding_holds_little_at_a_time():
+    """What a lot of many texts takes beside the encoder, as a peak: units are numbered text by text."""
+    encoder = sp.Encoder(sp.load_pieces())
+    texts = [f"a b c d e f g h {i % 9} " * 100 for i in range(800)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(800)), pa.array(texts)], ["doc_id", "text"])
+    encoder.encode_lot(texts[:9], list(range(9)))
+    tracemalloc.start()
+    rows = 0
+    for lot in sp._lots([batch]):
+        rows += len(encoder.encode_lot(lot.column("text").to_pylist(), lot.column("doc_id").to_pylist())[1]) - 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 800 and peak < 40_000_000
+
+
 def test_counts_by_files(spark, make, tmp_path, monkeypatch):
     """Files written, read by ranges and removed: nulls, repeated rows, long texts, many spans of a file, and an empty table."""
     folders = []
