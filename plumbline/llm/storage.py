@@ -8,6 +8,8 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Spark's switch: what a query shuffles is deleted when the query ends, not when the driver happens to collect its garbage.
+_DELETE_SHUFFLED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bits of one bitmap of Spark's bitmap functions.
 _BUCKET = 32768
 
@@ -30,9 +32,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
-    """A checkpoint of ``frame`` in the checkpoint folder."""
+    """A checkpoint of ``frame`` in the checkpoint folder. What was shuffled to make it is deleted as soon as it is written."""
+    conf = frame.sparkSession.conf
     checkpoint_folder(frame.sparkSession)
-    return frame.checkpoint()
+    before = conf.get(_DELETE_SHUFFLED, "false")
+    conf.set(_DELETE_SHUFFLED, "true")
+    try:
+        return frame.select("*").checkpoint()  # a query takes the switch as it stands when it is made
+    finally:
+        conf.set(_DELETE_SHUFFLED, before)
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
